@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
+from .near_dedup import op10_bagminhash
 from .sharding import op6_sharding
 from .token_files import op4_token_files
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op10_bagminhash": op10_bagminhash,
 }
 
 SQL = {
