@@ -5,9 +5,11 @@ from __future__ import annotations
 from .decontamination import OP7_SQL, op7_decontamination
 from .near_dedup import op10_bagminhash
 from .sharding import op6_sharding
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_token_files": op4_token_files,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_substring_dedup": OP2_SQL,
     "op7_decontamination": OP7_SQL,
 }
