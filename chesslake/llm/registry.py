@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
 from .near_dedup import op10_bagminhash
+from .quality_rules import op1_quality_rules
 from .sharding import op6_sharding
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_token_files": op4_token_files,
     "op6_sharding": op6_sharding,
