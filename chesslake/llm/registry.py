@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
+from .license_scan import op3_license_scan
 from .near_dedup import op10_bagminhash
 from .quality_rules import op1_quality_rules
+from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op6_sharding
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op4_token_files
@@ -12,7 +14,9 @@ from .token_files import op4_token_files
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op10_bagminhash": op10_bagminhash,
