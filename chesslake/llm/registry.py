@@ -10,6 +10,7 @@ from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op6_sharding
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op4_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_bagminhash": op10_bagminhash,
 }
 
