@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
+from .edit_counts import op8_edit_counts
 from .license_scan import op3_license_scan
 from .near_dedup import op10_bagminhash
 from .quality_rules import op1_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_edit_counts": op8_edit_counts,
     "op9_toxicity": op9_toxicity,
     "op10_bagminhash": op10_bagminhash,
 }
