@@ -12,8 +12,8 @@ per partition; files are written under a temporary name and then renamed, so a t
 that is run again, or twice at once, leaves one whole file. Only one row per file
 comes back to the driver.
 
-Encoding is cached by blank-separated chunk: no merge, split or normalisation of the
-vocabulary crosses a blank, so the ids of a text are those of its chunks in order.
+Encoding is cached by pre-token: no merge of the vocabulary crosses one, so the ids of a text
+are those of its pieces in order (see `PieceEncoder`).
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids come first;
 repeated rows are written as often as they come; an empty table gives no files.
@@ -40,36 +40,74 @@ from pyspark.sql import types as T
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
-CACHE_CHUNKS = 400_000
+#: Pieces that a worker process remembers, about 200 bytes each.
+CACHE_PIECES = 1_000_000
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 
-class ChunkEncoder:
-    """Text to the bytes of its ids, with a bounded cache of chunks."""
+# What \p{L}, \p{N} and \s are below U+0250.
+_LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_BLANKS = "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+#: Texts with these are left to the library whole: other scripts, a letter whose lower case is two, special tokens.
+_OTHER = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
 
-    def __init__(self, path: str, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS):
+
+class PieceEncoder:
+    """Text to the bytes of its ids, with a bounded cache of pre-token pieces.
+
+    Below U+0250 the vocabulary's normaliser only lowers case and its pre-tokeniser is the pattern
+    above, so a text's ids are those of its pieces in order. New pieces are encoded together, with
+    blanks between; every piece ends with a token that ends a word. Other texts are encoded whole.
+    """
+
+    def __init__(self, path: str, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = struct.pack("<I", end_id)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.cache_chunks = cache_chunks
+        self.cache: dict[str, bytes] = {}
+        self.cache_pieces = cache_pieces
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [re.split("[ \n]", t) if t else [] for t in texts]
-        if len(self.cache) > self.cache_chunks:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = list({c for chunks in split for c in chunks} - cache.keys())
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[c] for c in chunks]) + self.end for chunks in split]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(part):
+                self.cache.update((piece, self._whole(piece)) for piece in part)
+                continue
+            data = ids.tobytes()
+            self.cache.update(zip(part, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [None if t and _OTHER.search(t) else _PIECES.findall(t.lower()) if t else [] for t in texts]
+        if len(self.cache) > self.cache_pieces:
+            self.cache.clear()
+        self._learn(list({p for pieces in split if pieces for p in pieces} - self.cache.keys()))
+        get = self.cache.__getitem__
+        return [(self._whole(t) if pieces is None else b"".join(map(get, pieces))) + self.end for t, pieces in zip(texts, split)]
+
+
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> PieceEncoder:
+    """The encoder of this worker process: its cache serves task after task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 class FrameWriter:
@@ -191,10 +229,10 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
                 name = f"part-{part:05d}.tokens.zst"
                 temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 out = store.open_output_stream(temporary)
-                writer, encoder = FrameWriter(out, frame_bytes), ChunkEncoder(tokenizer, end_id)
+                writer, encode = FrameWriter(out, frame_bytes), encoder(tokenizer, end_id).encode
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
                     writer.add(doc_id, ids)
                     total += len(ids) // 4
         if writer is not None:
