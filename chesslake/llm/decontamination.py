@@ -175,10 +175,12 @@ def n_hit() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """`docs` without hit spans; a document goes if more than `max_coverage` of its words are hit."""
-    columns = tuple(docs.columns)
-    found = scan(docs, benchmark, window, keep=tuple(c for c in columns if c != "text"), with_clean=True)
+    others = [c for c in docs.columns if c != "text"]
+    numbered = docs.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(others)), text_column(docs).alias("text"))
+    found = scan(numbered, benchmark, window, keep=tuple(c for c in numbered.columns if c != "text"), with_clean=True)
     kept = found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words"))
-    return kept.withColumn("text", F.col("clean_text")).select(*columns)
+    back = {c: F.col(f"__c{i}") for i, c in enumerate(others)} | {"text": F.col("clean_text")}
+    return kept.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

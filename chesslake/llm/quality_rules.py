@@ -170,11 +170,12 @@ def _met(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """Columns of `docs` but the text, with the counts, base_failed, distance and kept.
+    """doc_id, lang, source and keys (`__k...`) of `docs`, with the counts, base_failed, distance and kept.
 
-    `distance` is the squared Mahalanobis distance over the group's scale, null where there are too
+    Other columns are left out, so their names don't matter. `distance` is the squared Mahalanobis distance over the group's scale, null where there are too
     few documents to tell.
     """
+    docs = docs.select(*(c for c in docs.columns if c in ("doc_id", "lang", "source", "text") or c.startswith("__k")))
     held = docs.columns
     rows = counts(docs).drop("text").withColumn("base_failed", base_failed())
     rows = materialize(rows, "counts")

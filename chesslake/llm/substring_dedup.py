@@ -73,17 +73,16 @@ def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """`docs` with its texts shortened, and n_sentences and n_removed."""
-    gone = materialize(covered(docs, span, min_words, long_words).toDF("__d", "__h", "removed"), "covered")
+    """`docs` with its texts shortened, and n_sentences and n_removed (which replace columns so named)."""
+    gone = materialize(covered(docs, span, min_words, long_words).toDF("__d", "__h", "__removed"), "covered")
     rows = docs.withColumn("__text_hash", F.xxhash64(text_column(docs)))
     rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left")
     pieces = rows.withColumn("__pieces", sentences(text_column(docs)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), "removed")
-    text = F.when(F.col("removed").isNull(), text_column(docs)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__pieces", i)), ""))
-    n = F.coalesce(F.size("__pieces"), F.lit(0)).cast("long")
-    return pieces.withColumns({"__new": text, "n_sentences": F.when(text_column(docs).isNull(), F.lit(0).cast("long")).otherwise(n), "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")}).select(
-        *(F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_sentences", "n_removed")), "n_sentences", "n_removed"
-    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), "__removed")
+    text = F.when(F.col("__removed").isNull(), text_column(docs)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__pieces", i)), ""))
+    held = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    numbers = (F.when(text_column(docs).isNull(), 0).otherwise(F.size("__pieces")), F.coalesce(F.size("__removed"), F.lit(0)))
+    return pieces.select(*held, *(v.cast("long").alias(c) for v, c in zip(numbers, ("n_sentences", "n_removed"))))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
