@@ -72,10 +72,16 @@ class GameQuery:
         return out
 
     def run(self, games: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-        """The games that match, with first_ply where a position was asked for."""
+        """The games that match, with first_ply where a position was asked for.
+
+        Positions come from a table of them, or without one from the `steps` of replayed games.
+        """
         found = games.where(self.condition())
         if self.position is None:
             return found
+        if positions is None:
+            keys = F.transform("steps", lambda s: s["position_key"])
+            return found.withColumn("first_ply", (F.array_position(keys, F.lit(position_key(self.position))) - 1).cast("int")).where("first_ply >= 0")
         hits = positions.where(F.col("position_key") == F.lit(position_key(self.position))).groupBy("game_id").agg(F.min("ply").alias("first_ply"))
         return found.join(hits, "game_id")
 

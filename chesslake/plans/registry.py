@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,6 +193,7 @@ def _visits(s, d) -> DataFrame:
     """game columns, ply, position_key and the position's name: the least line, shortest first, that reaches it."""
     steps = replayed(s, d).select("game_id", "white_key", "black_key", "played_on", "result", F.posexplode("steps").alias("ply", "step"), "moves")
     rows = steps.select("game_id", "white_key", "black_key", "played_on", "result", "ply", F.col("step.position_key").alias("position_key"), F.array_join(F.slice("moves", 1, F.col("ply")), " ").alias("line"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # read for the names and for the visits
     names = rows.groupBy("position_key").agg(F.min(F.struct("ply", "line")).alias("n")).select("position_key", F.col("n.line").alias("name"))
     return rows.join(names, "position_key")
 
@@ -207,8 +209,7 @@ _ITALIAN = "r1bqkbnr/pppp1ppp/2n5/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R w KQkq - 4 3"
 
 @query("query_position", oracle("SELECT game_id, 4 AS first_ply FROM g WHERE line_id IN (0, 6, 11)"), plain=True)
 def query_position(s, d):
-    games_ = replayed(s, d)
-    return GameQuery(position=_ITALIAN).run(games_, pgn.position_rows(games_)).select("game_id", "first_ply")
+    return GameQuery(position=_ITALIAN).run(replayed(s, d)).select("game_id", "first_ply")
 
 
 @query("query_position_player", oracle(f"SELECT game_id, 4 AS first_ply FROM g WHERE line_id IN (0, 6, 11) AND {_OWN}"), plain=True)

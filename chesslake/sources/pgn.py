@@ -1,8 +1,8 @@
 """PGN sources and sinks.
 
 Files are read with Spark's binary source (plain or Zstandard), cut into games inside the tasks, and
-parsed game by game; a fault in a game is a row's `error`, never an exception. Position tables
-replay each distinct line of moves once and join the result back to the games.
+parsed game by game; a fault in a game is a row's `error`, never an exception. Positions come from
+replaying each game's moves in the same pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -154,24 +155,56 @@ _STEP = T.StructType([T.StructField(n, t) for n, t in (("ply", T.IntegerType()),
 _REPLAY = T.StructType([T.StructField("steps", T.ArrayType(_STEP)), T.StructField("replay_error", T.StructType([T.StructField("kind", T.StringType()), T.StructField("ply", T.IntegerType())]))])
 
 
+#: Plies of a line whose positions a worker process remembers, and how many such openings.
+_OPENING, _OPENINGS = 16, 20_000
+
+
+def _step(board: B.Board, ply: int, san: str | None, move) -> dict:
+    return {"ply": ply, "san": san, "uci": move and B.uci(move), "board": board.board64(), "fen": board.fen(), "position_key": board.key()}
+
+
+def _play(board: B.Board, san: str, ply: int) -> dict:
+    """Play a move on the board; gives its step, or raises SanError."""
+    before = board.copy()
+    move = board.play_san(san)
+    return _step(board, ply, before.san(*move), move)
+
+
+@lru_cache(_OPENINGS)
+def _opening(fen: str, moves: tuple[str, ...]) -> tuple[B.Board, tuple[dict, ...], str | None]:
+    """Board and steps after the first moves of a line, and the error that ended them."""
+    if not moves:
+        board = B.Board(fen or None)
+        return board, (_step(board, 0, None, None),), None
+    board, steps, error = _opening(fen, moves[:-1])
+    if error is None:
+        board = board.copy()
+        try:
+            steps = (*steps, _play(board, moves[-1], len(moves)))
+        except B.SanError as fault:
+            error = str(fault)
+    return board, steps, error
+
+
 def replay_line(line: str | None) -> dict:
     """Positions of a line `fen|san san ...`, ply 0 first, and the first move that can't be played."""
-    fen, _, text = (line or "|").partition("|")
-    steps: list[dict] = []
+    if line is None:
+        return {"steps": None, "replay_error": None}
+    fen, _, text = line.partition("|")
+    moves = tuple(text.split(" ")) if text else ()
     try:
-        board = B.Board(fen or None)
+        board, steps, error = _opening(fen, moves[:_OPENING])
     except B.FenError as fault:
-        return {"steps": steps, "replay_error": {"kind": f"invalid_fen:{fault}", "ply": 0}}
-    step = lambda san, move: {"ply": len(steps), "san": san, "uci": move and B.uci(move), "board": board.board64(), "fen": board.fen(), "position_key": board.key()}
-    steps.append(step(None, None))
-    for san in text.split(" ") if text else ():
+        return {"steps": [], "replay_error": {"kind": f"invalid_fen:{fault}", "ply": 0}}
+    steps = list(steps)
+    if error is None and len(moves) > _OPENING:
+        board = board.copy()
         try:
-            before = board.copy()
-            move = board.play_san(san)
-            steps.append(step(before.san(*move), move))
+            for san in moves[_OPENING:]:
+                steps.append(_play(board, san, len(steps)))
         except B.SanError as fault:
-            return {"steps": steps, "replay_error": {"kind": str(fault), "ply": len(steps)}}
-    return {"steps": steps, "replay_error": None}
+            error = str(fault)
+    return {"steps": steps, "replay_error": error and {"kind": error, "ply": len(steps)}}
 
 
 def line_of(fen, moves):
@@ -182,12 +215,11 @@ def line_of(fen, moves):
 def replay(rows: DataFrame) -> DataFrame:
     """Adds `steps` and `replay_error` to games with fen, variant and moves; other variants get nulls.
 
-    Each distinct line is replayed once, wherever its games are.
+    Games are replayed where they are; a worker process remembers the openings that many games share.
     """
     standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
     named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
-    lines = named.select("__line").where("__line IS NOT NULL").distinct()
-    return named.join(_with(lines, "__line", replay_line, _REPLAY), "__line", "left").drop("__line")
+    return _with(named, "__line", replay_line, _REPLAY).drop("__line")
 
 
 def position_rows(replayed: DataFrame) -> DataFrame:
