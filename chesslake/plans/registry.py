@@ -632,3 +632,127 @@ def recent_libraries(s, d):
 def snapshot_latest(s, d):
     """Of the answers per path the newest by (generation, revision)."""
     return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct(F.col("event_id") % 10, "event_id")).alias("snapshot"))
+
+
+# More of the kernel, text functions and small rules
+
+
+@query("legal_moves", _positions_sql("""SELECT /*visits*/ DISTINCT v.name, k.n AS moves, CAST(0 AS BIGINT) AS unplayable FROM v JOIN (VALUES ('', 20), ('e4', 20), ('d4', 20), ('f3', 20), ('Nf3', 20)) AS k(name, n) ON v.name = k.name WHERE v.ply <= 1"""), plain=True)
+def legal_moves(s, d):
+    """Legal moves of the positions after at most one ply, and those of them that their own notation cannot play."""
+    from ..functions import udf
+
+    udf.register(s)
+    steps = replayed(s, d).select(F.explode("steps").alias("s"), "moves").select("s.fen", F.coalesce("s.san", F.lit("")).alias("name"), "s.ply").where("ply <= 1").distinct()
+    return s.sql("SELECT p.name, CAST(count(*) AS INT) AS moves, count_if(m.fen IS NULL) AS unplayable FROM {p} p, LATERAL legal_moves(p.fen) m GROUP BY p.name", p=steps)
+
+
+@query("fen_roundtrip", oracle("SELECT CAST(sum(plies + 1) AS BIGINT) AS positions, CAST(sum(plies + 1) AS BIGINT) AS same_fen, CAST(sum(plies + 1) AS BIGINT) AS same_key FROM g"), plain=True)
+def fen_roundtrip(s, d):
+    from ..functions import udf
+
+    steps = replayed(s, d).select(F.explode("steps").alias("s")).select("s.*")
+    each = steps.select("fen", "position_key").groupBy("fen", "position_key").agg(F.count(F.lit(1)).alias("n"))
+    checked = each.select("n", (udf.fen_normalize("fen") == F.col("fen")).alias("f"), (udf.position_key("fen") == F.col("position_key")).alias("k"))
+    return checked.agg(F.sum("n").alias("positions"), F.sum(F.when(F.col("f"), F.col("n"))).alias("same_fen"), F.sum(F.when(F.col("k"), F.col("n"))).alias("same_key"))
+
+
+@query("san_roundtrip", oracle(f"SELECT m.san, CAST(count(*) AS BIGINT) AS n FROM g JOIN (VALUES {_MOVES}) AS m(line_id, ply, san) USING (line_id) GROUP BY m.san"), plain=True)
+def san_roundtrip(s, d):
+    """Moves as the kernel writes them, over all games."""
+    return pgn.move_rows(replayed(s, d)).groupBy("san").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fn_texts",
+    """SELECT c_custkey, nullif(trim(concat('  ', c_mktsegment, ' ')), '') AS trimmed, regexp_full_match(c_name, '[A-Za-z0-9_-]{2,30}') AS username, CAST(floor((w + dr / 2) / (w + dr + l + 1) * 100 + 0.5) AS INTEGER) AS score,
+      concat(w, 'W · ', dr, 'D · ', l, 'L') AS record, greatest(1.0, least(98.0, 100.0 * w / 40)) AS progress FROM (SELECT *, c_custkey % 40 AS w, CAST(c_custkey % 7 AS DOUBLE) AS dd, c_custkey % 7 AS dr, c_custkey % 5 AS l FROM customer)""",
+    plain=True,
+)
+def fn_texts(s, d):
+    k = F.col("c_custkey")
+    w, dr, lost = k % 40, k % 7, k % 5
+    return s.read.parquet(f"{d}/customer.parquet").select(
+        "c_custkey", C.trimmed_or_null(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))).alias("trimmed"), C.is_username(F.col("c_name")).alias("username"), C.score_percent(w, dr, w + dr + lost + 1).alias("score"),
+        C.record_text(w, dr, lost).alias("record"), C.progress_percent(w, F.lit(0), F.lit(40)).alias("progress"),
+    )
+
+
+@query("fn_github_escape", "SELECT page_id, replace(replace(replace(html, '%', '%25'), chr(13), '%0D'), chr(10), '%0A') AS data, replace(replace(replace(replace(replace(url, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C') AS property FROM pages", plain=True)
+def fn_github_escape(s, d):
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", C.github_escape(F.col("html")).alias("data"), C.github_escape(F.col("url"), True).alias("property"))
+
+
+@query("lesson_sample", "SELECT count(*) AS games FROM g WHERE mainline_plies > 0 AND result IN (1, 2)")
+def lesson_sample(s, d):
+    """Games that lessons can come from: decided, with moves."""
+    return games(s, d).where("mainline_plies > 0 AND result IN (1, 2)").agg(F.count(F.lit(1)).alias("games"))
+
+
+@query("query_ply_range", _positions_sql("SELECT /*visits*/ ply, CAST(count(*) AS BIGINT) AS visits FROM v WHERE ply BETWEEN 2 AND 6 GROUP BY ply"), plain=True)
+def query_ply_range(s, d):
+    return pgn.position_rows(replayed(s, d)).where(F.col("ply").between(2, 6)).groupBy("ply").agg(F.count(F.lit(1)).alias("visits"))
+
+
+@query("partition_plan", f"SELECT source, part, count(*) AS games, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT source, n, CAST((sum(n) OVER (PARTITION BY source ORDER BY source_game) - n) // 100000 AS BIGINT) AS part FROM (SELECT source, source_game, strlen({_PGN}) AS n FROM g)) GROUP BY ALL")
+def partition_plan(s, d):
+    """Ranges of whole games of about 100,000 bytes in each source."""
+    rows = with_pgn(raw_games(s, d)).select("source", "source_game", F.length("pgn").cast("bigint").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("source_game").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return rows.withColumn("part", F.floor(before / 100000)).groupBy("source", "part").agg(F.count(F.lit(1)).alias("games"), F.sum("n").alias("bytes"))
+
+
+@query("db_source_lookup", "SELECT substr(source, 1, 1) AS prefix, count(DISTINCT source) AS sources, count(DISTINCT source) > 1 AS ambiguous FROM g GROUP BY 1")
+def db_source_lookup(s, d):
+    """Sources by a name that may stand for several."""
+    found = raw_games(s, d).select("source").distinct().groupBy(F.substring("source", 1, 1).alias("prefix")).agg(F.count(F.lit(1)).alias("sources"))
+    return found.withColumn("ambiguous", F.col("sources") > 1)
+
+
+_LOG = "SELECT o_custkey AS search, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 9 THEN concat('bestmove m', CAST(o_orderkey % 3 AS STRING)) ELSE concat('info depth ', CAST(o_orderkey % 20 AS STRING), ' multipv 1 score ', CASE WHEN o_orderkey % 7 = 0 THEN concat('mate ', CAST(o_orderkey % 9 - 4 AS STRING)) ELSE concat('cp ', CAST(o_orderkey % 400 - 200 AS STRING)) END, CASE WHEN o_orderkey % 4 = 0 THEN ' lowerbound' ELSE '' END, ' nodes 5 pv m', CAST(o_orderkey % 3 AS STRING), ' e7e5') END AS line FROM {orders}"
+
+
+@query(
+    "uci_parse",
+    """SELECT o_custkey AS search, o_orderkey AS seq, CAST(o_orderkey % 20 AS INTEGER) AS depth, CASE WHEN o_orderkey % 7 <> 0 THEN 'centipawns' WHEN o_orderkey % 9 - 4 > 0 THEN 'mate_for' ELSE 'mate_against' END AS kind,
+      CAST(CASE WHEN o_orderkey % 7 = 0 THEN abs(o_orderkey % 9 - 4) ELSE o_orderkey % 400 - 200 END AS INTEGER) AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'lower' ELSE 'exact' END AS bound, concat('m', o_orderkey % 3, ' e7e5') AS moves FROM orders WHERE o_orderkey % 10 <> 9""",
+    plain=True,
+)
+def uci_parse(s, d):
+    log = s.sql(_LOG, orders=s.read.parquet(f"{d}/orders.parquet"))
+    return evidence.uci_info(log).select("search", "seq", "depth", "kind", "value", "bound", F.array_join("pv", " ").alias("moves"))
+
+
+@query(
+    "uci_evidence",
+    """WITH info AS (SELECT o_custkey AS search, o_orderkey AS seq, o_orderkey % 20 AS depth, o_orderkey % 4 = 0 AS bounded, concat('m', o_orderkey % 3) AS first FROM orders WHERE o_orderkey % 10 <> 9),
+    best AS (SELECT o_custkey AS search, arg_max(concat('m', o_orderkey % 3), o_orderkey) AS best FROM orders WHERE o_orderkey % 10 = 9 GROUP BY 1),
+    own AS (SELECT info.* FROM info JOIN best USING (search) WHERE first = best), last AS (SELECT search, max(seq) AS seq FROM own GROUP BY search),
+    l AS (SELECT own.* FROM own JOIN last USING (search, seq)), prior AS (SELECT own.search, max(own.seq) AS seq FROM own JOIN l ON own.search = l.search AND NOT own.bounded AND own.depth + 1 = l.depth GROUP BY 1)
+    SELECT l.search, CASE WHEN l.bounded AND prior.seq IS NOT NULL THEN prior.seq ELSE l.seq END AS seq FROM l LEFT JOIN prior USING (search)""",
+    plain=True,
+)
+def uci_evidence(s, d):
+    return evidence.best_evidence(s.sql(_LOG, orders=s.read.parquet(f"{d}/orders.parquet"))).select("search", "seq")
+
+
+@query("player_decisions", _positions_sql(f"SELECT /*visits*/ v.game_id, CAST(count(*) AS BIGINT) AS decisions FROM v WHERE ply > 2 AND {_OWN} AND (ply % 2 = 1) = ({_W}) GROUP BY v.game_id"), plain=True)
+def player_decisions(s, d):
+    """Moves after two shared plies that the player had to find, by game."""
+    own = explore.scoped(replayed(s, d), PLAYER).select("game_id", "white_key", F.explode("steps").alias("s"))
+    white = F.coalesce(F.col("white_key") == PLAYER, F.lit(False))
+    return own.where((F.col("s.ply") > 2) & ((F.col("s.ply") % 2 == 1) == white)).groupBy("game_id").agg(F.count(F.lit(1)).alias("decisions"))
+
+
+@query("practice_entry", "SELECT user_id, arg_min(event_id, (CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_id)) AS entry FROM events GROUP BY user_id", plain=True)
+def practice_entry(s, d):
+    """The exercise to open: the first active one, else the first for later, else the first."""
+    tier = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.min_by("event_id", F.struct(tier, "event_id")).alias("entry"))
+
+
+@query("report_json", "SELECT source, count(*) AS games, count(*) AS parsed_games FROM g GROUP BY source")
+def report_json(s, d):
+    """Statistics as JSON reports per source, and what the reports say."""
+    reports = stats.core(games(s, d), "source").select("source", "games", F.to_json(F.struct("games", "plies", "white_wins", "black_wins", "draws", "unfinished")).alias("report"))
+    return reports.select("source", "games", F.get_json_object("report", "$.games").cast("bigint").alias("parsed_games"))

@@ -206,3 +206,45 @@ def test_registered_queries_match_their_sql(spark, sf):
         columns = sorted(want.columns)
         rows = lambda it: sorted(repr([None if v is None else v for v in r]) for r in it)
         assert rows(tuple(r) for r in got.select(*columns).collect()) == rows(want.select(*[f'"{c}"' for c in columns]).fetchall()), name
+
+
+class FakeArchive:
+    """A transport: one user with two games, one that is locked out, no others."""
+
+    def fetch(self, options):
+        if options.get("user") == "locked":
+            return 403, b""
+        return (200, TWO) if options.get("user") == "alice" else (404, b"")
+
+
+def test_data_sources(spark, folder):
+    from chesslake.sources import remote
+
+    remote.register(spark)
+    files = spark.read.format("pgn").load(str(folder))
+    assert files.where("error IS NULL").count() == pgn.read_frames(spark, str(folder)).where("error IS NULL").count()
+    (folder / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        remote.discover([str(folder / "none")])
+    for status, error in ((401, remote.AccessDenied), (404, remote.GameNotFound), (429, remote.RateLimited), (500, OSError)):
+        with pytest.raises(error):
+            remote.check_status(status)
+    games = spark.read.format("pgn_remote").options(user="alice", transport="tests.test_engine.FakeArchive").load()
+    assert games.count() == 2
+    with pytest.raises(Exception, match="refused"):
+        spark.read.format("pgn_remote").options(user="locked", transport="tests.test_engine.FakeArchive").load().count()
+
+
+def test_sql_functions(spark):
+    from chesslake.functions import udf
+
+    udf.register(spark)
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    row = spark.sql(f"SELECT hex(position_key('{start}')) k, fen_normalize('x') n, fen_error('8/8 w - - 0 1') e, in_check('{start}') c").first()
+    assert (row["k"].lower(), row["n"], row["e"], row["c"]) == ("a0fcaf7dd08a1dd221e64656ada2fc8e", None, "invalid_board", False)
+    assert spark.sql(f"SELECT * FROM legal_moves('{start}')").count() == 20
+    assert [r["error"] for r in spark.sql("SELECT * FROM replay('', 'e4 e5 Ke3')").collect()] == [None, None, "illegal_move"]
+    assert [r["kind"] for r in spark.sql("SELECT * FROM pgn_events('1. e4 *')").collect()] == ["game_start", "movetext_start", "move_number", "san", "outcome", "game_end"]
+    assert udf.play_uci(start, "e2e4").split()[1] == "b"
+    with pytest.raises(ValueError):
+        udf.play_uci(start, "e2e5")
