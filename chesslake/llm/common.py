@@ -112,7 +112,7 @@ def map_texts(
     return df.select(text_column(df).alias("__text"), *keep).mapInArrow(run, schema)
 
 
-def _bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes of text, one row at least."""
     import numpy as np
     import pyarrow.compute as pc

@@ -15,10 +15,14 @@ probability (1 - 0.8**4)**32, below 1e-7), and candidates are verified on the wh
 multiset overlap over the multiset union is at least `threshold`.
 
 Large groups. Documents with the same words are one node, so exact copies never pair up.
-In a bucket each node meets the bucket's smallest node first; links found there
-are joined into components, and then only pairs of nodes that share a bucket but lie
-in different components are verified. This finds the components of all candidate pairs
-without writing out the pairs inside a group.
+In a bucket every node is verified against one centre, the node with the most company
+in all its buckets. Links found join nodes to components. Two nodes x and y of different components
+that met the same centre c can only be similar if they share shingles that c lacks, or if
+min(|x&c|, |y&c|) alone is large enough for their sizes, so only such pairs are verified
+then. Shingles beyond c are matched by prefix: sizes tell how many of them a similar pair must share
+at least, so one of the others and one more, taken rarest first, is among those shared; what only c
+lacks is the most frequent and comes last. This finds the components of all candidate
+pairs without writing out the pairs inside a group.
 
 Defined cases: null and wordless texts are classes of their own, but for rows with the
 same doc_id and text; texts of one to four words are one shingle; rows of the
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,20 +136,22 @@ def profiles(docs: DataFrame) -> DataFrame:
     return found.withColumn("node", F.when(F.col("n_words") > 0, F.xxhash64("k1", "k2")).otherwise(alone)).drop("k1", "k2")
 
 
-def _similarity(a: bytes, b: bytes, memo: dict) -> float:
+def _compare(a: bytes, b: bytes, threshold: float, memo: dict) -> tuple[int, int, bool, np.ndarray]:
+    """Overlap, size of b, whether they are similar, and b's shingles beyond a (with numbers, if they repeat)."""
     left, right = (_sorted_bag(x, memo) for x in (a, b))
-    both = np.concatenate((left[0], right[0]))
-    order = np.argsort(both, kind="stable")
-    both = both[order]
-    weights = np.concatenate((left[1], right[1]))[order]
-    same = np.flatnonzero(both[1:] == both[:-1])
-    overlap = np.minimum(weights[same], weights[same + 1]).sum()
-    return overlap / (left[1].sum() + right[1].sum() - overlap)
+    place = np.minimum(np.searchsorted(left[0], right[0]), len(left[0]) - 1)
+    shared = np.where(left[0][place] == right[0], np.minimum(left[1][place], right[1]), 0)
+    overlap, size = int(shared.sum()), int(right[1].sum())
+    more = np.repeat(np.arange(len(shared)), right[1] - shared)
+    which = np.arange(len(more)) - np.concatenate(([0], np.cumsum(right[1] - shared)))[more] + shared[more]
+    beyond = mix(right[0][more] + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    similar = overlap >= threshold * (int(left[1].sum()) + size - overlap)
+    return overlap, size, similar, beyond
 
 
 def _sorted_bag(text: bytes, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     if text not in memo:
-        if len(memo) > 256:
+        if sum(map(len, memo)) > 1 << 20:
             memo.clear()
         words, counts = word_hashes([text])
         memo[text] = np.unique(shingle_hashes(words, counts, WIDTH)[0], return_counts=True)
@@ -153,19 +159,55 @@ def _sorted_bag(text: bytes, memo: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags are similar; `texts` has node and text of those involved."""
+    """a, b, overlap, size (of b), similar and beyond of pairs of nodes; `texts` has node and text of those involved."""
 
     def work(batches):
         memo: dict = {}
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             left, right = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            good = [_similarity(x, y, memo) >= threshold for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            overlap, size, similar, beyond = zip(*(_compare(x, y, threshold, memo) for x, y in zip(left, right)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(overlap, pa.int64()), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.array(beyond, pa.list_(pa.int64()))],
+                names=["a", "b", "overlap", "size", "similar", "beyond"],
+            )
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(work, "a long, b long, overlap long, size long, similar boolean, beyond array<long>")
+
+
+def _open_pairs(shared: DataFrame, stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes that share a bucket, lie in different components and may be similar by what is known."""
+    named = shared.join(labels, shared["b"] == labels["node"], "left").select("key", "a", "b", F.coalesce("component", "b").alias("component"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    met = named.where("a <> b").join(mixed, "key").select("key", "a", "b", "component")
+    met = materialize(met.join(stars.select("a", "b", "overlap", "size"), ["a", "b"]), "met")
+
+    def across(left: DataFrame, keys: list[str], more=None) -> DataFrame:
+        x, y = left, left.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("b", "component", "overlap", "size")))
+        pairs = x.join(y, keys).where("b < b_y AND component <> component_y")
+        return (pairs if more is None else pairs.where(more)).select(F.col("b").alias("a"), F.col("b_y").alias("b"))
+
+    enough = F.least("overlap", "overlap_y") >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size_y"))
+    by_size = across(met, ["key"], enough)
+    once = met.select("a", "b", "component", "overlap", "size").distinct()
+    once = once.join(once.groupBy("a").agg(F.min("size").alias("least")), "a")
+    each = once.join(stars.select("a", "b", "beyond"), ["a", "b"]).select("a", "b", "component", "overlap", "size", "least", F.explode("beyond").alias("shingle"))
+    each = materialize(each, "beyond")
+    known = each.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "shingle"))
+    # shingles beyond the centre that x must share with any similar node of the star, and so its prefix
+    other = F.greatest(threshold * F.col("size"), F.col("least"))
+    needed = F.greatest(F.lit(0), F.ceil(threshold / (1 + threshold) * (F.col("size") + other) - 1e-9) - F.col("overlap"))
+    prefix = F.col("size") - F.col("overlap") - needed + 1
+    several = F.count_if(F.col("n") > 1).over(Window.partitionBy("a", "b"))
+    first = each.join(known, ["a", "shingle"]).withColumns({"place": rarest, "several": several}).where((F.col("place") <= prefix) & F.expr("low <> high"))
+    # what two nodes share beyond the centre, others of the star have too: `several` bounds it
+    first = first.withColumn("overlap", F.col("overlap") + F.col("several")).select("a", "b", "component", "overlap", "size", "shingle")
+    by_shingle = across(materialize(first, "first"), ["a", "shingle"], enough)
+    return by_size.union(by_shingle).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -195,9 +237,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = materialize(profiles(docs), "profiles")
     nodes = rows.where("n_words > 0").groupBy("node").agg(F.first("bands").alias("bands"))
     keys = materialize(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    shared = materialize(keys.join(buckets, "key").select("key", "a", F.col("node").alias("b")), "buckets")
-    stars = materialize(shared.where("a <> b").select("a", "b").distinct(), "pairs")
+    sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    shared = materialize(keys.join(sizes, "key"), "shared")
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = materialize(shared.join(company, "node").select("key", "node", "company"), "company")
+    centres = shared.groupBy("key").agg(F.max("company").alias("company"))
+    centres = shared.join(centres, ["key", "company"]).groupBy("key").agg(F.min("node").alias("a"))
+    shared = materialize(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "buckets")
+    pairs = materialize(shared.where("a <> b").select("a", "b").distinct(), "pairs")
 
     involved = shared.select(F.col("b").alias("node")).distinct()
     # any document of a node will do: its words are those of the node
@@ -206,19 +253,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         picked, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
     ).select("node", "text").dropDuplicates(["node"])
     texts = materialize(texts, "texts")
-    edges = materialize(verify(stars, texts, threshold), "edges")
+    stars = materialize(verify(pairs, texts, threshold), "stars")
+    edges = stars.where("similar").select("a", "b")
     labels = components(edges)
-
-    # pairs that share a bucket and lie in different components so far
-    named = shared.select("key", F.col("b").alias("node")).join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = materialize(named.join(mixed, "key"), "open")
-    left, right = (open_.toDF("key", n, f"c{n}") for n in ("a", "b"))
-    rest = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    known = pairs.union(pairs.select("b", "a").toDF("a", "b"))
+    rest = materialize(_open_pairs(shared, stars, labels, threshold).join(known, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = materialize(verify(rest, texts, threshold), "edges")
+        more = materialize(verify(rest, texts, threshold).where("similar").select("a", "b"), "edges")
         if not more.isEmpty():
             labels = components(edges.union(more))
 
@@ -232,13 +273,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one document of each class: its representative, one row of it."""
-    kept = near_classes(docs, threshold).where("representative").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    kept = near_classes(docs, threshold).where("representative").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
     kept = materialize(kept, "kept")
-    found = docs.withColumn("__h", text_hash(docs)).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")))
-    once = found.where("n = 1").select(*docs.columns)
-    if kept.where("n > 1").isEmpty():
+    found = docs.withColumn("__text_hash", text_hash(docs)).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")))
+    once = found.where("__n = 1").select(*docs.columns)
+    if kept.where("__n > 1").isEmpty():
         return once
-    return once.unionByName(found.where("n > 1").dropDuplicates(["d", "h"]).select(*docs.columns))
+    return once.unionByName(found.where("__n > 1").dropDuplicates(["__d", "__h"]).select(*docs.columns))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
