@@ -53,10 +53,11 @@ class PieceCounter:
     def counts(self, pieces: list[str]) -> list[int]:
         if len(self.cache) > self.cache_pieces:
             self.cache.clear()
-        new = list(set(pieces) - self.cache.keys())
-        if new:
-            self.cache.update(zip(new, map(len, self.encoding.encode_ordinary_batch(new, num_threads=1))))
-        return list(map(self.cache.__getitem__, pieces))
+        cache, encode = self.cache, self.encoding.encode_ordinary
+        for piece in set(pieces):
+            if piece not in cache:
+                cache[piece] = len(encode(piece))
+        return list(map(cache.__getitem__, pieces))
 
 
 _counters: dict[str, PieceCounter] = {}
