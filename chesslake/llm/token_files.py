@@ -95,7 +95,8 @@ class PieceEncoder:
         split = [None if t and _OTHER.search(t) else _PIECES.findall(t.lower()) if t else [] for t in texts]
         if len(self.cache) > self.cache_pieces:
             self.cache.clear()
-        self._learn(list({p for pieces in split if pieces for p in pieces} - self.cache.keys()))
+        cache = self.cache
+        self._learn([p for p in {p for pieces in split if pieces for p in pieces} if p not in cache])
         get = self.cache.__getitem__
         return [(self._whole(t) if pieces is None else b"".join(map(get, pieces))) + self.end for t, pieces in zip(texts, split)]
 
