@@ -3,10 +3,19 @@
 A sentence is a run of characters up to and with its `.`, `!`, `?` or line ends and the blanks
 after them; sentences compare trimmed and in lower case. Every run of `SPAN` consecutive
 sentences with at least `MIN_WORDS` words is hashed (128 bits); a sentence of at least
-`LONG_WORDS` words is a run by itself. Runs are grouped over the whole corpus; the
+`LONG_WORDS` words is a run by itself. Where `SPAN` sentences have fewer than `MIN_WORDS`
+words, the run from their first and the run to their last sentence grow sentence by
+sentence until they have as many (`grow`), so passages of short lines are found to both
+ends; a start and an end give one run at most. Runs are grouped over the whole corpus; the
 first occurrence of a run is the one with the smallest doc_id, then hash of the text,
 then position, and the sentences that any other occurrence covers are removed.
 
+Words are told apart by blanks of any kind; in scripts written without spaces a Han or
+kana character is a word, and so are four characters of Thai, Lao, Khmer or Burmese.
+
+OP2_SQL and the brute force of the tests know no grown runs, so the registered query and the
+pipeline, which are held to them, take `grow=False`.
+
 Only hashes and positions are shuffled to find repeats, and runs are counted before the
 shuffle, so a run that many documents share is one row per map task. Texts move once,
 to meet the positions to remove.
@@ -28,6 +37,9 @@ MIN_WORDS = 8
 LONG_WORDS = 50
 _SENTENCE = r"[^.!?\n]+[.!?\n]*[ \t\n\r\f]*|[.!?\n]+[ \t\n\r\f]*"
 _BLANKS = " \t\n\r\f"
+_SPACES = " \t\n\x0b\f\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_IDEOGRAPHS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+_UNSPACED = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def sentences(text: Column) -> Column:
@@ -35,21 +47,30 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
 
 
-def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def _words(norm: Column) -> Column:
+    """Words of a trimmed sentence."""
+    blanks = F.length(norm) - F.length(F.translate(norm, _SPACES, ""))
+    # a character of these scripts has three bytes or more
+    unspaced = F.when(F.octet_length(norm) > F.length(norm) + 1, F.regexp_count(norm, F.lit(_IDEOGRAPHS)) + F.floor(F.regexp_count(norm, F.lit(_UNSPACED)) / 4).cast("int")).otherwise(0)
+    return F.greatest(blanks + F.when(norm == "", 0).otherwise(1), unspaced)
+
+
+def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, grow: bool = True) -> DataFrame:
     """Every run: doc_id, text_hash, place (of its first sentence), size, h1, h2."""
 
     def unit(piece: Column) -> Column:
         norm = F.lower(F.btrim(piece, F.lit(_BLANKS)))
-        blanks = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
-        return F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit(1)).alias("b"), (blanks + F.when(norm == "", 0).otherwise(1)).alias("w"))
+        return F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit(1)).alias("b"), _words(norm).alias("w"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column(docs)).alias("text_hash"), F.transform(sentences(text_column(docs)), unit).alias("u"))
 
+    def words(first: Column, size: int) -> Column:
+        return sum((F.get("u", first + k)["w"] for k in range(1, size)), F.get("u", first)["w"])
+
     def run(first: Column, size: int) -> Column:
         own = [F.get("u", first + k) for k in range(size)]
-        words = sum((x["w"] for x in own[1:]), own[0]["w"])
         return F.struct(
-            first.alias("place"), F.lit(size).alias("size"), words.alias("words"),
+            first.alias("place"), F.lit(size).alias("size"), words(first, size).alias("words"),
             F.xxhash64(*(x["a"] for x in own), F.lit(size)).alias("h1"), F.xxhash64(*(x["b"] for x in own), F.lit(size)).alias("h2"),
         )
 
@@ -57,14 +78,45 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_wo
         there = F.transform(F.sequence(F.lit(0), F.size("u") - size), lambda i: run(i, size))
         return F.when(F.size("u") >= size, F.filter(there, lambda x: x["words"] >= least))
 
+    # a sentence without words is the first of its text, so min_words + 1 sentences are enough
+    most = max(span, min_words + 1)
+
+    def reach(units: Column) -> Column:
+        """How many of `units` have min_words words together, and their words without the last."""
+        none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("words"), F.lit(0).alias("before"))
+        step = lambda s, x: F.when(s["words"] >= min_words, s).otherwise(F.struct((s["size"] + 1).alias("size"), (s["words"] + x["w"]).alias("words"), s["words"].alias("before")))
+        return F.aggregate(units, none, step)
+
+    def grown(first: Column, size: Column, total: Column) -> Column:
+        own = F.slice("u", first + 1, size)
+        return F.struct(
+            first.alias("place"), size.alias("size"), total.alias("words"),
+            F.xxhash64(F.transform(own, lambda x: x["a"]), size).alias("h1"), F.xxhash64(F.transform(own, lambda x: x["b"]), size).alias("h2"),
+        )
+
+    def onward(i: Column) -> Column:
+        got = reach(F.slice("u", i + 1, F.lit(most)))
+        return F.transform(F.array(got), lambda g: grown(i, g["size"], g["words"]))
+
+    def back(i: Column) -> Column:
+        end = i + span  # the run to sentence end - 1, unless the run from its first sentence ends there too
+        low = F.greatest(F.lit(0), end - most)
+        got = reach(F.reverse(F.slice("u", low + 1, end - low)))
+        fresh = F.filter(F.array(got), lambda g: g["words"] - F.get("u", end - 1)["w"] >= min_words)
+        return F.transform(fresh, lambda g: grown(end - g["size"], g["size"], g["words"]))
+
     empty = F.array().cast("array<struct<place:int,size:int,words:int,h1:bigint,h2:bigint>>")
-    both = F.concat(F.coalesce(runs(span, min_words), empty), F.coalesce(runs(1, long_words), empty))
-    return rows.select("doc_id", "text_hash", F.inline(both)).drop("words")
+    every = [F.coalesce(runs(span, min_words), empty), F.coalesce(runs(1, long_words), empty)]
+    if grow:
+        short = F.filter(F.sequence(F.lit(0), F.size("u") - span), lambda i: words(i, span) < min_words)
+        both = F.flatten(F.transform(short, lambda i: F.concat(onward(i), back(i))))
+        every.append(F.coalesce(F.when(F.size("u") >= span, F.filter(both, lambda x: x["words"] >= min_words)), empty))
+    return rows.select("doc_id", "text_hash", F.inline(F.concat(*every))).drop("words")
 
 
-def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, grow: bool = True) -> DataFrame:
     """doc_id, text_hash and the numbers of the sentences to remove, for documents that have some."""
-    every = materialize(spans(docs, span, min_words, long_words), "spans")
+    every = materialize(spans(docs, span, min_words, long_words, grow), "spans")
     place = F.struct("doc_id", "text_hash", "place")
     repeated = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     later = every.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
@@ -72,9 +124,9 @@ def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_
     return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(numbers).alias("removed"))
 
 
-def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, grow: bool = True) -> DataFrame:
     """`docs` with its texts shortened, and n_sentences and n_removed (which replace columns so named)."""
-    gone = materialize(covered(docs, span, min_words, long_words).toDF("__d", "__h", "__removed"), "covered")
+    gone = materialize(covered(docs, span, min_words, long_words, grow).toDF("__d", "__h", "__removed"), "covered")
     rows = docs.withColumn("__text_hash", F.xxhash64(text_column(docs)))
     rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left")
     pieces = rows.withColumn("__pieces", sentences(text_column(docs)))
@@ -86,7 +138,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), grow=False)
 
 
 OP2_SQL = rf"""

@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of sentences; documents of which nothing is left go."""
-    short = substring_dedup(docs)
+    short = substring_dedup(docs, grow=False)  # as the query, which OP2_SQL checks
     return _counted(short.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns))
 
 

@@ -143,6 +143,28 @@ def test_a_run_shared_by_many(spark):
     assert sum(run in r["text"] for r in got) == 1 and all(f"Own start {r['doc_id']} " in r["text"] for r in got)
 
 
+def test_passages_of_short_lines(spark):
+    """Sixty lines of three words, and a passage that ends on a line of one word, stay in one document only."""
+    rng = random.Random(3)
+    lines = "".join(f"{a} {b} {c}\n" for a, b, c in ([f"w{rng.randint(0, 10**6)}" for _ in range(3)] for _ in range(60)))
+    uneven = "one two three four five.\nsix seven eight nine ten.\neleven.\n"
+    docs = spark.createDataFrame([(i, f"Own start {i} of this text stands {i} here.\n{lines}Own middle {i} of this {i} text is here.\n{uneven}Own end {i} of this text is the {i} last.") for i in range(8)], "doc_id long, text string")
+    for r in substring_dedup.substring_dedup(docs).collect():
+        assert (r["text"].count("\n") == 65) == (r["doc_id"] == 0) and (lines in r["text"]) == (uneven in r["text"]) == (r["doc_id"] == 0)
+        assert r["n_removed"] == (0 if r["doc_id"] == 0 else 63) and all(f"Own {w} {r['doc_id']} " in r["text"] for w in ("start", "middle", "end"))
+
+
+def test_words_of_other_blanks_and_scripts(spark):
+    rng = random.Random(4)
+    tabs = "\t".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + "\n"
+    han = "".join(chr(0x4E00 + rng.randint(0, 20000)) for _ in range(80)) + "\n"
+    thai = "".join(chr(0x0E01 + rng.randint(0, 40)) for _ in range(240)) + "\n"
+    for grow in (False, True):
+        docs = spark.createDataFrame([(i, f"Start {i} x{i}.\n{tabs}Middle {i} y{i}.\n{han}End {i} z{i}.\n{thai}") for i in range(4)], "doc_id long, text string")
+        got = substring_dedup.substring_dedup(docs, grow=grow).collect()
+        assert all((p in r["text"]) == (r["doc_id"] == 0) for r in got for p in (tabs, han, thai))
+
+
 # 3 licence scans
 
 
