@@ -35,8 +35,9 @@ C_STEPS = 5
 MIN_ROWS = 200
 #: Chi-square quantiles with seven degrees of freedom: the median, and 0.999.
 CHI2_MEDIAN, CHI2_LIMIT = 6.346, 24.322
-#: Standard deviations below which a statistic's spread is not told apart from none.
-FLOORS = (0.04, 0.04, 0.15, 0.08, 0.1, 0.1, 0.08)
+#: Standard deviations added to a statistic's own: what one or two occurrences in a text of MIN_WORDS words
+#: (for repeated words, one repeated window in 60 words) may do in a group without any, over the limit's root of 4.9.
+FLOORS = (0.02, 0.02, 0.035, 0.011, 0.045, 0.035, 0.011)
 P = len(FLOORS)
 _X = [f"x{i}" for i in range(P)]
 _BLANKS = " \t\n\x0b\x0c\r"

@@ -87,6 +87,34 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
+def prose(rng, n, letters=(2, 8)):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(*letters))) for _ in range(n)]
+
+
+def test_single_outliers_go(spark):
+    """One statistic alone rejects a text in a group without that feature; one or two occurrences in a short text don't."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(prose(rng, rng.randint(40, 300)))) for i in range(400)]
+    w, short, twice = prose(rng, 200), prose(rng, 22), prose(rng, 56)
+    planted = {
+        "bangs": " ".join(x + "!" * (i % 2) for i, x in enumerate(w)),
+        "caps": " ".join(x.upper() if i < 80 else x for i, x in enumerate(w)),
+        "symbols": " ".join(x + "#" * (i % 3 == 0) for i, x in enumerate(w)),
+        "length": " ".join(x[:1] * 7 for x in w[:100]),
+        "lines": "\n".join([*w[:90], *["same"] * 10]),
+        "repeats": " ".join(w[:175] + w[:25]),
+        "stutters": " ".join(x for i, x in enumerate(w) for _ in range(1 + (i < 40))),
+    }
+    ordinary = {"bang": " ".join(short) + "!", "symbol": " ".join(short) + " $", "cap": "USA " + " ".join(short), "line": "\n".join([*short, short[0]])}
+    rows += [(1000 + i, t) for i, t in enumerate([*planted.values(), *ordinary.values()])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    verdict = dict(zip([*planted, *ordinary], (got[1000 + i]["kept"] for i in range(len(planted) + len(ordinary)))))
+    assert verdict == dict.fromkeys(planted, False) | dict.fromkeys(ordinary, True)
+    assert np.mean([got[i]["kept"] for i in range(400)]) > 0.98
+
+
 def test_quality_edge_cases(spark, hostile, nothing):
     got = quality_rules.quality(hostile).collect()
     assert len(got) == hostile.count()
