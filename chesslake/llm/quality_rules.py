@@ -2,24 +2,33 @@
 
 Base counts of each text give a vector of seven transformed statistics (shrunken word length,
 and shares of symbols, exclamation marks, capitalised runs, repeated words, repeated
-lines and words equal to the one before). Per language and source the minimum-covariance-determinant estimate of their
-location and scatter is found by C-steps: take the part H of the documents with
-the smallest distances, estimate anew from them, repeat; of two deterministic starts
-the one with the smaller determinant wins. A document goes if its Mahalanobis distance
-exceeds a chi-square limit.
+lines and words equal to the one before). Every pair of language and source, whatever its size, gets its own
+minimum-covariance-determinant estimate of their location and scatter:
 
-A C-step is one aggregation: documents are grouped by group, start and a fine bin of the
-distance, with counts, sums and products, so that the h-subset is a running sum over
-bins. No step holds a group's rows together, whatever its size. A group of fewer than
-MIN_ROWS documents is judged by its language, a language of fewer by all documents; too
-few even then: the method rejects nothing.
+* C-steps: take the part H of the documents with the smallest distances, (n + 7 + 1) / 2 of them (and those in the
+  same fine bin of distance as the last), estimate anew from them, repeat until the determinant falls no more; of two
+  deterministic starts the one with the smaller determinant wins.
+* The scatter of H is made consistent (a factor of its share of the group), and the estimate is taken anew from the
+  documents within the 0.975 chi-square quantile of it.
+* It is pulled towards the same estimate of its language: n documents of the group weigh against PRIOR of the
+  language, by one formula at every n. NOISE is added to the variances.
+
+A document goes if its squared Mahalanobis distance exceeds the 0.999 chi-square quantile.
 
-Defined cases: a null text has no words and fails the base rule; null languages and
-sources are groups of their own; every row of `docs` gives one row, repeats included.
+A C-step is one aggregation: documents are grouped by group, start and a fine bin of the
+distance, with counts, sums and products, so that H is a running sum over bins. No step holds a
+group's rows together, whatever its size, and groups that have converged leave the next steps.
+
+Defined cases: a null or blank text has no words and fails the base rule; null languages and
+sources are groups of their own; documents that fail the base rule are in no estimate; equal
+texts of one group get one verdict; a text of any length is one vector; every row of `docs` gives one row, repeats
+included; an empty table gives none. Columns of `docs` beside doc_id, text, lang, source and keys named
+`__k...` are left out, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,19 +39,39 @@ from .common import materialize, read_table, text_column
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-H = 0.6
-C_STEPS = 5
-MIN_ROWS = 200
-#: Chi-square quantiles with seven degrees of freedom: the median, and 0.999.
-CHI2_MEDIAN, CHI2_LIMIT = 6.346, 24.322
+#: Documents of the language that are added, by weight, to a group's own.
+PRIOR = 20
 #: Standard deviations added to a statistic's own: what one or two occurrences in a text of MIN_WORDS words
 #: (for repeated words, one repeated window in 60 words) may do in a group without any, over the limit's root of 4.9.
-FLOORS = (0.02, 0.02, 0.035, 0.011, 0.045, 0.035, 0.011)
-P = len(FLOORS)
+NOISE = (0.02, 0.02, 0.035, 0.011, 0.045, 0.035, 0.011)
+P = len(NOISE)
+#: Chi-square quantiles with seven degrees of freedom: for the estimate taken anew, and for rejecting.
+CHI2_INNER, CHI2_LIMIT = 16.013, 24.322
+#: A determinant that falls by less, in logarithms, has converged.
+FALLS = 1e-6
 _X = [f"x{i}" for i in range(P)]
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _chi2(x: float, k: int) -> float:
+    """The share of a chi-square law with k (odd) degrees of freedom that lies below x."""
+    total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for j in range(1, k, 2):
+        total, term = total - term, term * x / (j + 2)
+    return total
+
+
+def consistency(percent: int) -> float:
+    """What the scatter of the nearest `percent` of a normal sample is multiplied by to be that of the whole."""
+    share, low, high = percent / 100, 0.0, 400.0
+    if percent >= 100:
+        return 1.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi2(middle, P) < share else (low, middle)
+    return share / _chi2(low, P + 2)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bangs, n_caps and n_stutters."""
     text = F.coalesce(text_column(docs), F.lit(""))
@@ -108,28 +137,45 @@ def with_vectors(rows: DataFrame) -> DataFrame:
     return joined.select("*", *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for v, c in zip(x, _X)))
 
 
-def _estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Location m*, inverse Cholesky factor w* of the scatter and its log-determinant, from n, s* and q*."""
-    df = sums.select(*keys, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(f"q{i}{j}" for i in range(P) for j in range(i + 1)))
-    cov = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
-    df = df.select(*keys, "n", *(f"m{i}" for i in range(P)), *cov)
-    below = lambda i, j: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+_M = [f"m{i}" for i in range(P)]
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_W = [f"w{i}{j}" for i, j in _PAIRS]
+_C = [f"c{i}{j}" for i, j in _PAIRS]
+_SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _PAIRS)]
+
+
+# The expressions of a step are SQL text, parsed at once: built as columns they are thousands of calls a step.
+def _sums() -> list[Column]:
+    return [F.expr("count(1)").alias("n"), *(F.expr(f"sum(x{i})").alias(f"s{i}") for i in range(P)), *(F.expr(f"sum(x{i} * x{j})").alias(f"q{i}{j}") for i, j in _PAIRS)]
+
+
+def _moments(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Location m* and scatter c*, from n, s* and q*."""
+    return sums.selectExpr(*keys, "n", *(f"s{i} / n AS m{i}" for i in range(P)), *(f"q{i}{j} / n - m{i} * m{j} AS c{i}{j}" for i, j in _PAIRS))
+
+
+def _cholesky() -> list[str]:
+    """l*, the Cholesky factor of the scatter with its noise, and w*, its inverse; each refers to those before it."""
+    less = lambda i, j: "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+    out = []
     for j in range(P):
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - below(j, j), F.lit(1e-12))))
-        df = df.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - below(i, j)) / F.col(f"l{j}{j}") for i in range(j + 1, P)})
-    df = df.withColumns({f"w{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(P)})
+        out.append(f"sqrt(greatest(c{j}{j} + {NOISE[j] ** 2!r}D{less(j, j)}, 1e-12D)) AS l{j}{j}")
+        out += [f"(c{i}{j}{less(i, j)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)]
+    out += [f"1 / l{i}{i} AS w{i}{i}" for i in range(P)]
     for gap in range(1, P):
-        df = df.withColumns({f"w{i}{i - gap}": -sum(F.col(f"l{i}{k}") * F.col(f"w{k}{i - gap}") for k in range(i - gap, i)) / F.col(f"l{i}{i}") for i in range(gap, P)})
-    det = 2 * sum(F.log(f"l{i}{i}") for i in range(P))
-    return df.select(*keys, *_PARAMETERS, det.alias("log_det"))
+        out += [f"-({' + '.join(f'l{i}{k} * w{k}{i - gap}' for k in range(i - gap, i))}) / l{i}{i} AS w{i}{i - gap}" for i in range(gap, P)]
+    return out
 
 
-_PARAMETERS = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1))]
+def _factored(df: DataFrame) -> DataFrame:
+    """Adds w*, the inverse Cholesky factor of the scatter with its noise, and log_det, the logarithm of its determinant."""
+    det = "2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ") AS log_det"
+    return df.selectExpr("*", *_cholesky(), det).select(*df.columns, *_W, "log_det")
 
 
 def squared_distance() -> Column:
-    z = [sum(F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)) for i in range(P)]
-    return reduce(lambda a, b: a + b, (v * v for v in z))
+    rows = ("(" + " + ".join(f"w{i}{j} * (x{j} - m{j})" for j in range(i + 1)) + ")" for i in range(P))
+    return F.expr(" + ".join(f"{row} * {row}" for row in rows))
 
 
 def _bin() -> Column:
@@ -137,28 +183,53 @@ def _bin() -> Column:
     return F.floor(64 * F.log2(1 + 16 * squared_distance())).cast("int")
 
 
-def mcd(fit: DataFrame, h: float = H, c_steps: int = C_STEPS) -> DataFrame:
-    """The estimates of every group of `fit` (columns group, x0 to x6): group, m*, w*, scale."""
-    spark = fit.sparkSession
-    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(_X)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1))]
-    totals = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i in range(P) for j in range(i + 1))]
-    whole = _estimates(fit.groupBy("group").agg(*sums), ["group"]).withColumn("start", F.lit(0))
-    # the other start: no unusual statistics at all, and the least spread
-    plain = whole.select("group", *(F.lit(0.0).alias(f"m{i}") for i in range(P)), *(F.lit(1 / FLOORS[i] if i == j else 0.0).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)), "log_det").withColumn("start", F.lit(1))
-    now = materialize(whole.unionByName(plain), "mcd")
+def _nearest(met: DataFrame) -> DataFrame:
+    """Sums of the half H of every group and start, by whole bins of the distance; `share` is its percentage of the group."""
     upto = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("group", "start")
-    for _ in range(c_steps):
-        binned = _met(fit, now).withColumn("bin", _bin()).groupBy("group", "start", "bin").agg(*sums)
-        nearest = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(every))
-        chosen = nearest.where(F.col("before") < h * F.col("all")).groupBy("group", "start").agg(*(F.sum(c).alias(c) for c in totals))
-        now = materialize(_estimates(chosen, ["group", "start"]), "mcd")
-    best = Window.partitionBy("group").orderBy("log_det", "start")
-    now = materialize(now.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k"), "mcd")
-    binned = _met(fit, now).withColumn("bin", _bin()).groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
-    half = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(every)).where("2 * before < all")
-    median = half.groupBy("group").agg(((F.pow(2.0, (F.max("bin") + 0.5) / 64) - 1) / 16).alias("median"))
-    return now.join(median, "group").select("group", *_PARAMETERS, F.greatest(F.lit(1.0), F.col("median") / CHI2_MEDIAN).alias("scale"))
+    binned = met.withColumn("bin", _bin()).groupBy("group", "start", "bin").agg(F.first("log_det").alias("before_det"), *_sums())
+    placed = binned.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "all": F.sum("n").over(every)})
+    half = placed.where(F.col("before") < F.least(F.col("all"), F.floor((F.col("all") + P + 1) / 2)))
+    share = F.greatest(F.lit(50), F.round(100 * F.sum("n") / F.first("all"))).cast("int").alias("share")
+    return half.groupBy("group", "start").agg(F.first("before_det").alias("before_det"), share, *(F.sum(c).alias(c) for c in _SUMS))
+
+
+def mcd(fit: DataFrame) -> DataFrame:
+    """The MCD estimate of every group of `fit` (columns group, x0 to x6): group, share, n (of H), m*, c* (of H, as it is), w*, log_det."""
+    whole = _factored(_moments(fit.groupBy("group").agg(*_sums()), ["group"])).select("group", F.lit(0).alias("start"), *_M, *_W, F.lit(math.inf).alias("log_det"))
+    # the other start: no unusual statistics at all, and the least spread
+    plain = whole.select("group", F.lit(1).alias("start"), *(F.lit(0.0).alias(m) for m in _M), *(F.lit(1 / NOISE[i] if i == j else 0.0).alias(f"w{i}{j}") for i, j in _PAIRS), "log_det")
+    now = materialize(whole.unionByName(plain), "mcd")
+    steps = []
+    while True:  # every step lowers a determinant, or is the last
+        sums = _nearest(_met(fit, now))
+        found = _factored(_moments(sums, ["group", "start", "share", "before_det"])).withColumn("falls", F.col("log_det") < F.col("before_det") - FALLS)
+        steps.append(materialize(found, "mcd"))
+        now = steps[-1].where("falls").select("group", "start", *_M, *_W, "log_det")
+        if now.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, steps)
+    best = every.groupBy("group").agg(F.min_by(F.struct("share", "n", *_M, *_C, *_W, "log_det"), F.struct("log_det", "start")).alias("best"))
+    return materialize(best.select("group", "best.*"), "mcd")
+
+
+def reweighted(fit: DataFrame, raw: DataFrame) -> DataFrame:
+    """group, n, m*, c* of the documents near the MCD estimate with its scatter made consistent."""
+    factors = F.array(*(F.lit(consistency(percent)) for percent in range(50, 101)))
+    wide = raw.select("group", *_M, *((F.col(c) * F.element_at(factors, F.col("share") - 49)).alias(c) for c in _C))
+    near = _met(fit, materialize(_factored(wide).select("group", *_M, *_W), "near")).where(squared_distance() <= CHI2_INNER)
+    return _moments(near.groupBy("group").agg(*_sums()), ["group"])
+
+
+def estimates(fit: DataFrame, groups: DataFrame) -> DataFrame:
+    """group, m* and w* of every `fine` group, pulled towards that of its `coarse` one. `fit` has the rows of both."""
+    found = materialize(reweighted(fit, mcd(fit)), "estimates")
+    wider = found.select(F.col("group").alias("coarse"), *(F.col(c).alias(f"{c}_") for c in (*_M, *_C)))
+    few = found.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    own = found.withColumnRenamed("group", "fine").join(groups.select("fine", "coarse"), "fine")
+    both = own.join(F.broadcast(wider) if few else wider, "coarse")
+    pulled = both.select(F.col("fine").alias("group"), *(((F.col("n") * F.col(c) + PRIOR * F.col(f"{c}_")) / (F.col("n") + PRIOR)).alias(c) for c in (*_M, *_C)))
+    return materialize(_factored(pulled).select("group", *_M, *_W), "estimates")
 
 
 #: Up to so many groups their estimates are broadcast (a few hundred bytes each); above, the join shuffles.
@@ -171,39 +242,24 @@ def _met(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and keys (`__k...`) of `docs`, with the counts, base_failed, distance and kept.
+    """doc_id, lang, source and keys (`__k...`) of `docs`, with the counts, base_failed, kept and distance.
 
-    Other columns are left out, so their names don't matter. `distance` is the squared Mahalanobis distance over the group's scale, null where there are too
-    few documents to tell.
+    `distance` is the squared Mahalanobis distance from the estimate of the row's language and source; it is null
+    where all of these fail the base rule.
     """
     docs = docs.select(*(c for c in docs.columns if c in ("doc_id", "lang", "source", "text") or c.startswith("__k")))
     held = docs.columns
-    rows = counts(docs).drop("text").withColumn("base_failed", base_failed())
-    rows = materialize(rows, "counts")
-    judged = with_vectors(rows)
-    # the finest group with enough documents to estimate from
+    rows = materialize(counts(docs).drop("text").withColumn("base_failed", base_failed()), "counts")
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    fine, coarse, whole = F.to_json(F.array(text("lang"), text("source"))), F.to_json(F.array(text("lang"))), F.lit("[]")
-    levels = judged.withColumns({"fine": fine, "coarse": coarse, "whole": whole})
-    sizes = materialize(levels.where("NOT base_failed").groupBy("fine", "coarse", "whole").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    by_lang = sizes.withColumn("n_coarse", F.sum("n").over(Window.partitionBy("coarse")))
-    total = sizes.agg(F.sum("n").alias("n_all"))
-    chosen = by_lang.join(F.broadcast(total)).select(  # one row
-        "fine",
-        F.when(F.col("n") >= MIN_ROWS, F.col("fine")).when(F.col("n_coarse") >= MIN_ROWS, F.col("coarse")).when(F.col("n_all") >= MIN_ROWS, F.col("whole")).alias("group"),
-    )
-    chosen = materialize(chosen.where("group IS NOT NULL"), "groups")
-    few = chosen.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    levels = levels.join(F.broadcast(chosen) if few else chosen, "fine", "left")
+    levels = with_vectors(rows).withColumns({"fine": F.to_json(F.array(text("lang"), text("source"))), "coarse": F.to_json(F.array(text("lang")))})
     levels = materialize(levels, "vectors")
-    needed = chosen.select("group").distinct()
-    fit = levels.where("NOT base_failed").select(F.explode(F.array("fine", "coarse", "whole")).alias("group"), *_X)
-    fit = fit.join(F.broadcast(needed) if few else needed, "group", "left_semi")
-    met = _met(levels, mcd(materialize(fit, "fit")), "left")
-    distance = squared_distance() / F.col("scale")
+    passed = levels.where("NOT base_failed")
+    groups = passed.select("fine", "coarse").distinct()
+    fit = materialize(passed.select(F.explode(F.array("fine", "coarse")).alias("group"), *_X), "fit")
+    met = _met(levels.withColumnRenamed("fine", "group"), estimates(fit, groups), "left")
     return met.select(
         *(c for c in held if c != "text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(distance > CHI2_LIMIT, F.lit(False))).alias("kept"), distance.alias("distance"),
+        (~F.col("base_failed") & ~F.coalesce(squared_distance() > CHI2_LIMIT, F.lit(False))).alias("kept"), squared_distance().alias("distance"),
     )
 
 

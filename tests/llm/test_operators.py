@@ -48,35 +48,93 @@ def test_quality_counts_match_brute_force(spark, sf):
         assert not (r["base_failed"] and r["kept"])
 
 
-def brute_mcd(x, h, steps):
-    """C-steps on arrays, from the two starts, with whole bins of distances as the operator takes them."""
-    floors = np.diag(np.square(quality_rules.FLOORS))
-    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    best = None
-    for m, c in ((x.mean(0), np.cov(x.T, bias=True) + floors), (np.zeros(x.shape[1]), floors)):
-        for _ in range(steps):
-            bins = np.floor(64 * np.log2(1 + 16 * distance(m, c))).astype(int)
-            limit = np.sort(bins)[int(np.ceil(h * len(x))) - 1]
-            own = x[bins <= limit]
-            m, c = own.mean(0), np.cov(own.T, bias=True) + floors
-        det = np.linalg.slogdet(c)[1]
-        if best is None or det < best[0] - 1e-12:
-            best = (det, m, c)
-    return best[1], best[2]
-
-
-def test_mcd_matches_numpy(spark):
+def distances(x, m, c):
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.diag(np.square(quality_rules.NOISE))), x - m)
+
+
+def scatter(x):
+    return np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
+
+
+def brute_mcd(x):
+    """Location and scatter of H, and its share in percent: C-steps on arrays, with whole bins of distances as the operator takes them."""
+    noise, n, best = np.diag(np.square(quality_rules.NOISE)), len(x), None
+    for m, c in ((x.mean(0), scatter(x)), (np.zeros(x.shape[1]), 0 * noise)):
+        last = np.inf
+        while True:
+            bins = np.floor(64 * np.log2(1 + 16 * distances(x, m, c))).astype(int)
+            own = x[bins <= np.sort(bins)[min(n, (n + x.shape[1] + 1) // 2) - 1]]
+            m, c = own.mean(0), scatter(own)
+            det = np.linalg.slogdet(c + noise)[1]
+            if best is None or det < best[0] - 1e-9:
+                best = (det, m, c, max(50, int(np.floor(100 * len(own) / n + 0.5))))
+            if det >= last - quality_rules.FALLS:
+                break
+            last = det
+    return best[1:]
+
+
+def brute_quality(rows):
+    """Squared distance of (key, lang, source, vector) rows from the estimates of their groups."""
+    pooled = {}
+    for level in (lambda r: (r[1],), lambda r: (r[1], r[2])):
+        for group in {level(r) for r in rows}:
+            x = np.array([r[3] for r in rows if level(r) == group])
+            m, c, share = brute_mcd(x)
+            near = x[distances(x, m, c * quality_rules.consistency(share)) <= quality_rules.CHI2_INNER]
+            pooled[group] = len(near), near.mean(0), scatter(near)
+    out = {}
+    for key, lang, source, x in rows:
+        n, *own = pooled[lang, source]
+        m, c = ((n * a + quality_rules.PRIOR * b) / (n + quality_rules.PRIOR) for a, b in zip(own, pooled[lang,][1:]))
+        out[key] = distances(np.array([x]), m, c)[0]
+    return out
+
+
+def vectors(rows):
+    """(key, lang, source, statistics) of (key, lang, source, text) rows that pass the base rule."""
+    base = {k: (lang, source, t, brute_counts(t)) for k, lang, source, t in rows}
+    base = {k: v for k, v in base.items() if v[3][0] >= 20 and 100 * v[3][4] <= 30 * v[3][0]}
+    usual = {g: sum(v[3][1] for v in base.values() if v[:2] == g) / sum(v[3][0] for v in base.values() if v[:2] == g) for g in {v[:2] for v in base.values()}}
+    out = []
+    for k, (lang, source, t, (n, chars, symbols, lines, repeated)) in base.items():
+        words, u = re.findall(r"[^\x20\x09-\x0D]+", t), usual[lang, source]
+        stutters = sum(a == b for a, b in zip(words, words[1:])) if n > 8 else 0
+        x = (np.log((chars + 100 * u) / (n + 100) / u), (symbols / (chars + 100)) ** 0.5, (t.count("!") / (n + 20)) ** 0.5, len(re.findall("[A-Z]{2,}", t)) / (n + 20), repeated / (n + 20), lines / (n / 10 + 10), stutters / (n + 20))
+        out.append((k, lang, source, x))
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_verdicts_match_brute_force(spark, size):
+    """Every language and source has its own estimate: distance and verdict of every row, as numpy has them."""
+    folder = f"/root/testdata/{size}"
+    rows = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    expected = brute_quality(vectors(rows))
+    for r in registry.QUERIES["op1_quality_rules"](spark, folder).collect():
+        assert r["base_failed"] == (r["doc_id"] not in expected)
+        if not r["base_failed"]:
+            assert np.isclose(r["distance"], expected[r["doc_id"]], rtol=1e-5, atol=1e-6)
+        assert r["kept"] == (not r["base_failed"] and expected[r["doc_id"]] <= quality_rules.CHI2_LIMIT)
+
+
+def test_consistency_is_that_of_normal_samples():
+    x = np.random.default_rng(1).normal(size=(400_000, quality_rules.P))
+    d = (x * x).sum(1)
+    for percent in (50, 75, 99):
+        near = x[d <= np.quantile(d, percent / 100)]
+        assert abs(quality_rules.consistency(percent) * near.var() - 1) < 0.01
+
+
+def test_mcd_ignores_a_cluster_of_outliers(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (400, quality_rules.P)), rng.normal(1.5, 0.3, (120, quality_rules.P))])
     rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "group string, " + ", ".join(f"x{i} double" for i in range(quality_rules.P)))
     got = quality_rules.mcd(rows).first()
-    m, c = brute_mcd(x, quality_rules.H, quality_rules.C_STEPS)
-    assert np.allclose([got[f"m{i}"] for i in range(quality_rules.P)], m, atol=1e-6)
-    w = np.zeros((quality_rules.P, quality_rules.P))
-    for i in range(quality_rules.P):
-        for j in range(i + 1):
-            w[i, j] = got[f"w{i}{j}"]
-    assert np.allclose(w.T @ w, np.linalg.inv(c), rtol=1e-5)
+    m, c, share = brute_mcd(x)
+    assert got["share"] == share and np.allclose([got[f"m{i}"] for i in range(quality_rules.P)], m, atol=1e-6)
+    assert all(np.isclose(got[f"c{i}{j}"], c[i, j], atol=1e-8) for i in range(quality_rules.P) for j in range(i + 1))
+    assert np.abs(m).max() < 0.05
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
