@@ -187,25 +187,37 @@ def test_quality_edge_cases(spark, hostile, nothing):
 
 
 def brute_spans(rows):
-    """Sentences to remove of (doc_id, text) rows without repeats, by dictionaries."""
+    """Texts without the sentences to remove of (doc_id, text) rows without repeats, by dictionaries."""
+    span, least = substring_dedup.SPAN, substring_dedup.MIN_WORDS
     found = collections.defaultdict(list)
     pieces = {}
     for key, text in rows:
         pieces[key] = re.findall(substring_dedup._SENTENCE, text or "")
         norm = [p.strip(" \t\n\r\f").lower() for p in pieces[key]]
-        size = [n.count(" ") + 1 if n else 0 for n in norm]
+        size = [max(1, len(re.findall(substring_dedup._WORD, n))) for n in norm]
+        own = {(i, i + 1) for i in range(len(norm)) if size[i] >= substring_dedup.LONG_WORDS}
         for i in range(len(norm)):
-            if i + 2 <= len(norm) and size[i] + size[i + 1] >= substring_dedup.MIN_WORDS:
-                found[tuple(norm[i : i + 2])].append((key, i, 2))
-            if size[i] >= substring_dedup.LONG_WORDS:
-                found[norm[i],].append((key, i, 1))
+            onward = [j for j in range(i + span, len(norm) + 1) if sum(size[i:j]) >= least]
+            back = [j for j in range(i + 1 - span, -1, -1) if sum(size[j : i + 1]) >= least]
+            own |= {(i, j) for j in onward[:1]} | {(j, i + 1) for j in back[:1]}
+        for i, j in own:
+            found[tuple(norm[i:j])].append((key, i, j))
     gone = collections.defaultdict(set)
     for own in found.values():
-        for key, i, n in sorted(own)[1:]:
-            gone[key].update(range(i, i + n))
+        for key, i, j in sorted(own)[1:]:
+            gone[key].update(range(i, j))
     return {k: "".join(p for i, p in enumerate(own) if i not in gone[k]) for k, own in pieces.items()}
 
 
+def test_random_short_sentences_match_brute_force(spark):
+    """Sentences of zero to six words in several scripts, many of them shared."""
+    rng = random.Random(8)
+    some = [*"abcd", "e f g", "h  i\tj k", "l m n o p q", "你好世界", "ก" * 9, "\u00a0", " "]
+    texts = [(i, "".join(rng.choice(some) + rng.choice([". ", "!", "? \n", "\n", "。", "؟ ", "।"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_spans(texts) and sum(map(len, got.values())) < 0.95 * sum(len(t) for _, t in texts)
+
+
 def test_substrings_match_brute_force(spark, sf):
     texts = docs_of(spark, sf)
     expected = brute_spans(sorted(texts.items()))
@@ -245,10 +257,15 @@ def test_words_of_other_blanks_and_scripts(spark):
     tabs = "\t".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + "\n"
     han = "".join(chr(0x4E00 + rng.randint(0, 20000)) for _ in range(80)) + "\n"
     thai = "".join(chr(0x0E01 + rng.randint(0, 40)) for _ in range(240)) + "\n"
-    for grow in (False, True):
-        docs = spark.createDataFrame([(i, f"Start {i} x{i}.\n{tabs}Middle {i} y{i}.\n{han}End {i} z{i}.\n{thai}") for i in range(4)], "doc_id long, text string")
-        got = substring_dedup.substring_dedup(docs, grow=grow).collect()
-        assert all((p in r["text"]) == (r["doc_id"] == 0) for r in got for p in (tabs, han, thai))
+    docs = spark.createDataFrame([(i, f"Start {i} x{i}.\n{tabs}Middle {i} y{i}.\n{han}End {i} z{i}.\n{thai}") for i in range(4)], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert all((p in r["text"]) == (r["doc_id"] == 0) for r in got for p in (tabs, han, thai))
+
+
+def test_sentences_of_other_scripts_end(spark):
+    docs = spark.createDataFrame([(i, f"第{i}篇文章从这里开始。这是一个重复的句子！那是另一个重复的句子。") for i in range(3)], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert all(("重复" in r["text"]) == (r["doc_id"] == 0) and f"第{r['doc_id']}篇" in r["text"] for r in got)
 
 
 # 3 licence scans
