@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chesslake.llm.common import read_table, scratch_path, tokenizer_path
+from chesslake.llm.common import materialize, read_table, scratch_path, tokenizer_path
 from chesslake.llm.decontamination import decontaminate
 from chesslake.llm.near_dedup import near_dedup
 from chesslake.llm.quality_rules import keep_good
@@ -34,8 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated runs of sentences; documents of which nothing is left go."""
-    short = substring_dedup(docs, grow=False)  # as the query, which OP2_SQL checks
+    """Texts without repeated runs of sentences; documents of which nothing is left go.
+
+    The shortened texts are written before they are looked at: a filter on them would be merged into the
+    rebuilding of the text and split it into sentences again and again.
+    """
+    short = materialize(substring_dedup(docs), "shortened")
     return _counted(short.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns))
 
 
