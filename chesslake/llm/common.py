@@ -7,7 +7,9 @@ is an ordinary value: joins on document keys are null-safe.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,11 +34,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (as in tests) a temporary folder is set.
+    Only where the session has none and all of it runs in one process (as in tests) a temporary folder is set; on a
+    cluster executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chesslake-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -46,14 +51,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written inside the calls of tidied functions that have not ended.
+_written: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(name: str):
+    """For functions that return a DataFrame: it is written, and what was written on the way to it goes."""
+
+    def decorate(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(fn)
+        def run(*args, **kwargs) -> DataFrame:
+            _written.append([])
+            try:
+                out = fn(*args, **kwargs)
+            finally:
+                made = _written.pop()
+            out = materialize(out, name)
+            for path in made:
+                remove_path(out.sparkSession, path)
+            return out
+
+        return run
+
+    return decorate
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -109,7 +141,8 @@ def map_texts(
                         )
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(text_column(df).alias("__text"), *keep).mapInArrow(run, schema)
+    # columns go by place, so their names can't clash
+    return df.select(text_column(df).alias("t"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
 
 
 def _bounded(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -158,13 +158,13 @@ def _scanner(load, own: tuple[str, ...], again: bool, clean: bool):
 def without_words(text: bytes | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without these runs of words; what stands between two words of a run goes too."""
     if text is None or not spans:
-        return None if text is None else text.decode()
+        return None if text is None else text.decode("utf-8", "replace")
     places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_PLAIN_WORDS))]
     kept, at = [], 0
     for start, end in spans:
         kept.append(text[at : places[start][0]])
         at = places[end - 1][1]
-    return b"".join([*kept, text[at:]]).decode()
+    return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
 def n_hit() -> F.Column:

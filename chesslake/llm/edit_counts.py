@@ -213,7 +213,7 @@ def tree_counts(rows: DataFrame, vocabulary: str) -> DataFrame:
         def work(texts: list, batch: pa.RecordBatch) -> dict:
             out: dict = {f.name: [] for f in _SCHEMA}
             for raw, edits in zip(texts, batch.column(2).to_pylist()):
-                tree = TokenTree(raw.decode() if raw else "", count)
+                tree = TokenTree(raw.decode("utf-8", "replace") if raw else "", count)
                 before, pieces = tree.n_tokens, tree.recounted
                 for e in edits or ():
                     tree.edit(e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "")

@@ -24,9 +24,13 @@ at least, so one of the others and one more, taken rarest first, is among those
 lacks is the most frequent and comes last. This finds the components of all candidate
 pairs without writing out the pairs inside a group.
 
+A pair of documents both of whose bags are known is compared exactly. With five words and 0.8, a copy of which
+more than about one word in 45 was changed at random is below the threshold and is no near-duplicate by this definition.
+
 Defined cases: null and wordless texts are classes of their own, but for rows with the
-same doc_id and text; texts of one to four words are one shingle; rows of the
-same doc_id and text are one document.
+same doc_id and text; texts of one to four words are one shingle; long texts are taken whole; rows of the
+same doc_id and text are one document; equal texts with different ids are one class; an empty table gives no
+rows. Columns of `docs` may have any names.
 """
 
 from __future__ import annotations
@@ -37,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, map_texts, materialize, one_thread, read_table, text_column
+from .common import long_field, map_texts, materialize, one_thread, read_table, text_column, tidied
 from .words import mix, sequence_hashes, shingle_hashes, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
+#: Products of the threshold are floating-point numbers; overlaps are whole, so this never lets a smaller one pass.
+SLACK = 1e-9
 
 
 def bags(shingles: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +151,7 @@ def _compare(a: bytes, b: bytes, threshold: float, memo: dict) -> tuple[int, int
     more = np.repeat(np.arange(len(shared)), right[1] - shared)
     which = np.arange(len(more)) - np.concatenate(([0], np.cumsum(right[1] - shared)))[more] + shared[more]
     beyond = mix(right[0][more] + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-    similar = overlap >= threshold * (int(left[1].sum()) + size - overlap)
+    similar = overlap >= threshold * (int(left[1].sum()) + size - overlap) - SLACK
     return overlap, size, similar, beyond
 
 
@@ -185,13 +191,18 @@ def _open_pairs(shared: DataFrame, stars: DataFrame, labels: DataFrame, threshol
     met = named.where("a <> b").join(mixed, "key").select("key", "a", "b", "component")
     met = materialize(met.join(stars.select("a", "b", "overlap", "size"), ["a", "b"]), "met")
 
-    def across(left: DataFrame, keys: list[str], more=None) -> DataFrame:
-        x, y = left, left.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("b", "component", "overlap", "size")))
-        pairs = x.join(y, keys).where("b < b_y AND component <> component_y")
-        return (pairs if more is None else pairs.where(more)).select(F.col("b").alias("a"), F.col("b_y").alias("b"))
-
-    enough = F.least("overlap", "overlap_y") >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size_y"))
-    by_size = across(met, ["key"], enough)
+    def across(left: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of different components that share a key: one of the two is not in the key's largest component."""
+        sizes = left.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy(*keys).agg(F.max(F.struct("n", "component")).alias("most")).select(*keys, F.col("most.component").alias("largest"))
+        few = left.join(largest, keys).where("component <> largest").drop("largest")
+        every = left.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("b", "component", "overlap", "size")))
+        enough = F.least("overlap", "overlap_y") * (1 + threshold) >= threshold * (F.col("size") + F.col("size_y")) - SLACK
+        pairs = few.join(every, keys).where("component <> component_y").where(enough)
+        return pairs.select(F.least("b", "b_y").alias("a"), F.greatest("b", "b_y").alias("b"))
+
+    # sizes of a similar pair differ by the threshold at most, so each has a share of `threshold` in common with the centre
+    by_size = across(met.where(F.col("overlap") >= threshold * F.col("size") - SLACK), ["key"])
     once = met.select("a", "b", "component", "overlap", "size").distinct()
     once = once.join(once.groupBy("a").agg(F.min("size").alias("least")), "a")
     each = once.join(stars.select("a", "b", "beyond"), ["a", "b"]).select("a", "b", "component", "overlap", "size", "least", F.explode("beyond").alias("shingle"))
@@ -206,11 +217,12 @@ def _open_pairs(shared: DataFrame, stars: DataFrame, labels: DataFrame, threshol
     first = each.join(known, ["a", "shingle"]).withColumns({"place": rarest, "several": several}).where((F.col("place") <= prefix) & F.expr("low <> high"))
     # what two nodes share beyond the centre, others of the star have too: `several` bounds it
     first = first.withColumn("overlap", F.col("overlap") + F.col("several")).select("a", "b", "component", "overlap", "size", "shingle")
-    by_shingle = across(materialize(first, "first"), ["a", "shingle"], enough)
+    by_shingle = across(materialize(first, "first"), ["a", "shingle"])
     return by_size.union(by_shingle).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+@tidied("components")
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node it reaches) of every node that has an edge.
 
     Each round takes the smallest label among the neighbours and then the label's own label, so
@@ -228,6 +240,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+@tidied("classes")
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of `docs`: doc_id, text_hash, class_id, representative.
 
@@ -241,8 +254,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = materialize(keys.join(sizes, "key"), "shared")
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     shared = materialize(shared.join(company, "node").select("key", "node", "company"), "company")
-    centres = shared.groupBy("key").agg(F.max("company").alias("company"))
-    centres = shared.join(centres, ["key", "company"]).groupBy("key").agg(F.min("node").alias("a"))
+    centres = shared.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("least"), "node")).alias("centre")).select("key", F.col("centre.node").alias("a"))
     shared = materialize(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "buckets")
     pairs = materialize(shared.where("a <> b").select("a", "b").distinct(), "pairs")
 
@@ -273,13 +285,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one document of each class: its representative, one row of it."""
-    kept = near_classes(docs, threshold).where("representative").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialize(kept, "kept")
-    found = docs.withColumn("__text_hash", text_hash(docs)).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")))
-    once = found.where("__n = 1").select(*docs.columns)
-    if kept.where("__n > 1").isEmpty():
+    kept = near_classes(docs, threshold).where("representative").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("id"), text_hash(docs).alias("hash"))
+    found = own.join(kept, own["id"].eqNullSafe(kept["doc_id"]) & (own["hash"] == kept["text_hash"]))
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    once = found.where("n = 1").select(*names)
+    if kept.where("n > 1").isEmpty():
         return once
-    return once.unionByName(found.where("__n > 1").dropDuplicates(["__d", "__h"]).select(*docs.columns))
+    return once.unionByName(found.where("n > 1").dropDuplicates(["id", "hash"]).select(*names))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_column
+from .common import materialize, read_table, text_column, tidied
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -194,6 +194,7 @@ def _nearest(met: DataFrame) -> DataFrame:
     return half.groupBy("group", "start").agg(F.first("before_det").alias("before_det"), share, *(F.sum(c).alias(c) for c in _SUMS))
 
 
+@tidied("mcd")
 def mcd(fit: DataFrame) -> DataFrame:
     """The MCD estimate of every group of `fit` (columns group, x0 to x6): group, share, n (of H), m*, c* (of H, as it is), w*, log_det."""
     whole = _factored(_moments(fit.groupBy("group").agg(*_sums()), ["group"])).select("group", F.lit(0).alias("start"), *_M, *_W, F.lit(math.inf).alias("log_det"))
@@ -210,7 +211,7 @@ def mcd(fit: DataFrame) -> DataFrame:
             break
     every = reduce(DataFrame.unionByName, steps)
     best = every.groupBy("group").agg(F.min_by(F.struct("share", "n", *_M, *_C, *_W, "log_det"), F.struct("log_det", "start")).alias("best"))
-    return materialize(best.select("group", "best.*"), "mcd")
+    return best.select("group", "best.*")
 
 
 def reweighted(fit: DataFrame, raw: DataFrame) -> DataFrame:
@@ -221,6 +222,7 @@ def reweighted(fit: DataFrame, raw: DataFrame) -> DataFrame:
     return _moments(near.groupBy("group").agg(*_sums()), ["group"])
 
 
+@tidied("estimates")
 def estimates(fit: DataFrame, groups: DataFrame) -> DataFrame:
     """group, m* and w* of every `fine` group, pulled towards that of its `coarse` one. `fit` has the rows of both."""
     found = materialize(reweighted(fit, mcd(fit)), "estimates")
@@ -229,7 +231,7 @@ def estimates(fit: DataFrame, groups: DataFrame) -> DataFrame:
     own = found.withColumnRenamed("group", "fine").join(groups.select("fine", "coarse"), "fine")
     both = own.join(F.broadcast(wider) if few else wider, "coarse")
     pulled = both.select(F.col("fine").alias("group"), *(((F.col("n") * F.col(c) + PRIOR * F.col(f"{c}_")) / (F.col("n") + PRIOR)).alias(c) for c in (*_M, *_C)))
-    return materialize(_factored(pulled).select("group", *_M, *_W), "estimates")
+    return _factored(pulled).select("group", *_M, *_W)
 
 
 #: Up to so many groups their estimates are broadcast (a few hundred bytes each); above, the join shuffles.
@@ -264,16 +266,17 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the quality rules keep.
+    """The rows of `docs` that the quality rules keep, with its columns, whatever their names.
 
     Verdicts depend on language, source and text alone, so they are joined back by those.
     """
-    key = [F.col("lang"), F.col("source"), F.xxhash64(text_column(docs)), F.xxhash64(text_column(docs), F.lit(1))]
-    names = ["__k0", "__k1", "__k2", "__k3"]
-    keyed = docs.withColumns(dict(zip(names, key)))
-    good = quality(keyed.select("lang", "source", "text", "__k2", "__k3")).where("kept").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("__k2").alias("a"), F.col("__k3").alias("b")).distinct()
-    on = keyed["__k0"].eqNullSafe(good["l"]) & keyed["__k1"].eqNullSafe(good["s"]) & (keyed["__k2"] == good["a"]) & (keyed["__k3"] == good["b"])
-    return keyed.join(good, on, "left_semi").select(*docs.columns)
+    text = text_column(docs)
+    keys = {"__k0": F.col("lang"), "__k1": F.col("source"), "__k2": F.xxhash64(text), "__k3": F.xxhash64(text, F.lit(1))}
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), *(v.alias(k) for k, v in keys.items()))
+    judged = quality(docs.select("lang", "source", "text", keys["__k2"].alias("__k2"), keys["__k3"].alias("__k3")))
+    good = judged.where("kept").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("__k2").alias("a"), F.col("__k3").alias("b")).distinct()
+    on = own["__k0"].eqNullSafe(good["l"]) & own["__k1"].eqNullSafe(good["s"]) & (own["__k2"] == good["a"]) & (own["__k3"] == good["b"])
+    return own.join(good, on, "left_semi").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ def load_model(path: str, kind: str = "bpe") -> PieceModel:
 
 
 def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep` with n_ids, ids_crc32, same (decoding gives the text again) and ids."""
+    """The columns of `keep` with n_ids, ids_crc32, same (decoding gives the text again) and ids; these replace columns so named."""
+    keep = tuple(c for c in keep if c not in ("n_ids", "ids_crc32", "same", "ids"))
 
     def start():
         model = load_model(model_path, kind)
@@ -182,7 +183,7 @@ def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tupl
             out: dict = {c: [] for c in ("n_ids", "ids_crc32", "same")}
             data, offsets = [], [0]
             for raw in texts:
-                text = "" if raw is None else raw.decode()
+                text = "" if raw is None else raw.decode("utf-8", "replace")
                 ids = model.encode(text)
                 data.append(ids)
                 offsets.append(offsets[-1] + len(ids) // 4)

@@ -639,6 +639,16 @@ def test_a_large_group_of_near_copies(spark):
     assert got == expected
 
 
+def test_pairs_at_the_threshold_that_meet_through_a_centre(spark):
+    """Bags of 31 and 32 shingles that share 28 lie inside a long text: similarity 0.8 exactly, seen only beside the centre."""
+    w = [f"u{i}" for i in range(80)]
+    a, b = w[0:35], w[3:39]
+    texts = [(1, " ".join(a)), (2, " ".join(b)), *((10 + i, " ".join([*w[:60], f"x{i}", *w[60:]])) for i in range(6))]
+    assert bag(texts[0][1]).total() == 31 and (bag(texts[0][1]) & bag(texts[1][1])).total() == 28
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) and got[1] == got[2] != got[10]
+
+
 def test_near_edge_cases(spark, hostile, nothing):
     rows = near_dedup.near_classes(hostile).collect()
     assert len(rows) == hostile.count()
