@@ -6,13 +6,15 @@ of fewer) the words of that window are hit. `decontaminate` removes hit spans, a
 drops documents of which too large a part is hit.
 
 The items are a small table next to the corpus, and this is checked: automata are
-built for blocks of items of at most `BLOCK_WORDS` words, and with more items than
-that the documents stream through one block after the other, so that a task never
-holds more than one block. No shuffle is needed.
+built for blocks of items of at most `BLOCK_WORDS` words (a longer item is cut into parts that share all but one word of
+a window). With more items than that the documents stream through one block after the other: what a pass found is
+written before the next block is built and the block's broadcast is destroyed, so a task never holds more than one block, nor
+the driver more than two. No shuffle is needed.
 
 Defined cases: null texts and items have no words; an item whose item_id is null hits
 words but is not named; repeated items count once per item_id; an empty benchmark
-leaves every document clean; every row of `docs` gives one row, repeats included.
+leaves every document clean; texts of any length are taken whole; every row of `docs` gives one row, repeats included;
+an empty table gives none. Columns passed on may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Matcher
-from .common import _PLAIN_WORDS, long_field, map_texts, plain_words, read_table, text_column
+from .common import _PLAIN_WORDS, long_field, map_texts, materialize, plain_words, read_table, text_column
 
 WINDOW = 10
 #: An automaton of a block has at most twice as many states, a few hundred MB.
@@ -84,17 +86,24 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
     rows = benchmark.select(F.col("item_id").cast("string"), text_column(benchmark)).distinct()
     for name, text in rows.toLocalIterator():
         words = plain_words(text.encode() if text is not None else None)
-        if not words:
-            continue
-        if items and size + len(words) > block_words:
-            yield ItemBlock(items, window)
-            items, size, made = [], 0, True
-        items.append((name, words))
-        size += len(words)
+        for part in _parts(words, window, block_words):
+            if items and size + len(part) > block_words:
+                yield ItemBlock(items, window)
+                items, size, made = [], 0, True
+            items.append((name, part))
+            size += len(part)
     if items or not made:
         yield ItemBlock(items, window)
 
 
+def _parts(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """The words in parts of at most `most` (a window at least) that together have every window of them."""
+    step = max(1, most - window + 1)
+    for i in range(0, max(1, len(words) - window + 1), step):
+        if part := words[i : i + step + window - 1]:
+            yield part
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -118,13 +127,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     blocks = item_blocks(benchmark, window, block_words)
     block, number = next(blocks), 0
     while block is not None:
-        after = next(blocks, None)
-        load = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
+        after = next(blocks, None)  # the one block that the driver holds beside this
+        load = spark.sparkContext.broadcast(block)  # about BLOCK_WORDS words at most
         last = after is None
         schema = T.StructType(kept + found + ([] if last else [text]) + ([T.StructField("clean_text", T.StringType())] if last and with_clean else []))
         carry = keep + (("starts", "ends", "items") if number else ()) + (() if last and "text" not in keep else ("text",))
         own = tuple(c for c in dict.fromkeys(carry) if c in out.columns)
         out = map_texts(out, _scanner(load, own, bool(number), last and with_clean), schema, keep=own, pass_on=keep + (() if last else ("text",)))
+        if not last:
+            out = materialize(out, "pass")
+            load.destroy()
         block, number = after, number + 1
     return out
 

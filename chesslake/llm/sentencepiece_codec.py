@@ -2,17 +2,21 @@
 
 An Aho-Corasick automaton over the pieces reads a text once; at each position the
 pieces that end there come by its output links, and the Viterbi table relaxes the best way
-to reach the position. For unigram models the best way is the one with the largest sum of
-scores. For BPE models sums of scores don't give the model's own result, so the relaxation
-is exact in another way: a piece may follow the best way to its start only if the two pieces,
-joined and merged by rank, come out as those two. Exactly one piece passes at each
-position, and its way is what merging the whole prefix gives.
+to reach the position. Two rules of relaxation share the automaton and the table:
+
+* `unigram`: a way is better if the sum of its pieces' scores is larger. This is the dealt method, and what a unigram
+  model means. `best_*` of `op5_sentencepiece` are its results over the scores of the public file.
+* `bpe`: the public file is a BPE model, whose own pieces are not those of the largest sum. There a piece may follow the
+  best way to its start only if the two pieces, joined and merged by rank, come out as those two. Exactly one piece
+  passes at each position, and its way is what merging the whole prefix gives; the ids are the library's own.
 
 Texts are cut where no piece can reach across (before a blank after another character, and
-at line feeds), and what was encoded once is remembered by its worker process. Characters
-without a piece become byte pieces. Decoding joins the pieces.
+at line feeds), and what was encoded once is remembered by its worker process, up to CACHE_BYTES and for chunks of at
+most LONG_CHUNK characters. Characters without a piece become byte pieces. Decoding joins the pieces.
 
-Defined cases: a null text gives null ids; an empty text gives none; rows stay rows.
+Defined cases: a null text gives null ids, an empty text none; invalid UTF-8 counts as U+FFFD; long texts and texts
+that are one long word are encoded whole; rows stay rows, repeats included; an empty table gives none. Columns
+passed on may have any names; those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -20,27 +24,50 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import long_field, map_texts, read_table, tokenizer_path
 
-CACHE_CHUNKS = 600_000
+#: What a worker process remembers: bytes of chunks and of judged pairs (counted as 200 bytes each), and the longest chunk kept.
+CACHE_BYTES = 192 << 20
+LONG_CHUNK = 64
 _BLANK = "▁"
 #: Numbers beside those of the pieces: the start of a chunk, and characters without a piece.
 START, ALONE = (1 << 21) - 1, 1 << 20
 
 
+class _Cache(dict):
+    """Chunks to the bytes of their ids."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        self.ids, self.held = ids, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.ids(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+            self.held += 200 + 2 * len(chunk) + len(ids)
+        return ids
+
+    def trim(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
+
 class PieceModel:
     """Pieces with their scores: `encode` and `decode`.
 
     `kind` is `unigram` or `bpe`; `byte_ids` are the ids of the 256 byte pieces.
     """
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], kind: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], kind: str):
         self.pieces, self.byte_ids, self.bpe = pieces, byte_ids, kind == "bpe"
         self.text_of = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         if any(re.search(f"[^{_BLANK}]{_BLANK}|\n", p) for p in pieces):
@@ -52,13 +79,15 @@ class PieceModel:
         for p, (i, score) in pieces.items():
             self.automaton.add_word(p, (len(p), i, score))
         self.automaton.make_automaton()
+        self.scores = np.full(max([*self.text_of, 0]) + 1, min((s for _, s in pieces.values()), default=0.0) - 10.0)
+        for i, score in pieces.values():
+            self.scores[i] = score
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        self.cache: dict[str, bytes] = {}
-        self.cache_chunks = cache_chunks
+        self.cache = _Cache(self._ids)
         self.fits: dict[int, bool] = {}
 
     def _merge(self, text: str) -> list[str]:
-        """Merging by rank, the plain way: the best pair first, the leftmost of equals."""
+        """Merging by rank, the plain way: the best pair first, the leftmost of equals. The text is two pieces at most."""
         parts = list(text)
         while len(parts) > 1:
             ranked = [(-self.pieces[a + b][1], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.pieces]
@@ -70,7 +99,7 @@ class PieceModel:
 
     def _learn(self, before: int, piece: int) -> bool:
         """Whether merging leaves these two neighbours as they are; with START before, the piece."""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) * 200 > CACHE_BYTES:
             self.fits.clear()
         parts = [self.names[i] for i in (before, piece) if i != START]
         known = self.fits[before << 21 | piece] = self._merge("".join(parts)) == parts
@@ -97,6 +126,10 @@ class PieceModel:
             at -= self.sizes[piece]
         return out[::-1]
 
+    def score(self, ids: bytes) -> float:
+        """The sum of the scores of a text's pieces; a byte piece counts as what has no piece."""
+        return float(self.scores[np.frombuffer(ids, "<i4")].sum())
+
     def _best_bpe(self, chunk: str) -> list[int]:
         best = [-1] * (len(chunk) + 1)
         best[0] = START
@@ -128,7 +161,7 @@ class PieceModel:
 
     def _ids(self, chunk: str) -> bytes:
         ids = array("i")
-        for piece in self.best(chunk):
+        for piece in self.best(chunk.replace(" ", _BLANK)):
             if piece < ALONE:
                 ids.append(piece)
             else:
@@ -139,15 +172,8 @@ class PieceModel:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if len(self.cache) > self.cache_chunks:
-            self.cache.clear()
-        cache, out = self.cache, []
-        for chunk in _CHUNKS.findall(" " + text.replace(_BLANK, " ")):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = cache[chunk] = self._ids(chunk.replace(" ", _BLANK))
-            out.append(ids)
-        return b"".join(out)
+        self.cache.trim()
+        return b"".join(map(self.cache.__getitem__, _CHUNKS.findall(" " + text.replace(_BLANK, " "))))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank put before every text goes."""
@@ -157,19 +183,19 @@ class PieceModel:
 
 
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
-_models: dict[str, PieceModel] = {}
+_models: dict[tuple[str, str], PieceModel] = {}
 
 
 def load_model(path: str, kind: str = "bpe") -> PieceModel:
     """The model of a file, once for each worker process. The file's library only reads the vocabulary."""
-    if path not in _models:
+    if (path, kind) not in _models:
         import sentencepiece
 
         file = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(file.vocab_size()) if not (file.is_control(i) or file.is_unknown(i) or file.is_unused(i) or file.is_byte(i))]
         pieces = {file.id_to_piece(i): (i, file.get_score(i)) for i in plain}
-        _models[path] = PieceModel(pieces, [file.piece_to_id(f"<0x{b:02X}>") for b in range(256)], kind)
-    return _models[path]
+        _models[path, kind] = PieceModel(pieces, [file.piece_to_id(f"<0x{b:02X}>") for b in range(256)], kind)
+    return _models[path, kind]
 
 
 def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -213,5 +239,33 @@ def decode_ids(rows: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[
     return rows.select("ids", *keep).mapInArrow(run, schema)
 
 
+def best_scores(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep` with, for the model's own pieces, n_ids, ids_crc32, same and ids_score, and for those of the
+    largest sum of scores best_n, best_crc32, best_same and best_score. Both come from one pass over the texts."""
+    names = ("n_ids", "ids_crc32", "same", "ids_score", "best_n", "best_crc32", "best_same", "best_score")
+    kinds = (T.LongType(), T.LongType(), T.BooleanType(), T.DoubleType())
+    keep = tuple(c for c in keep if c not in names)
+
+    def start():
+        models = load_model(model_path, "bpe"), load_model(model_path, "unigram")
+
+        def work(texts: list, rows: pa.RecordBatch) -> dict:
+            out: dict = {c: [] for c in names}
+            for raw in texts:
+                text = "" if raw is None else raw.decode("utf-8", "replace")
+                found = []
+                for model in models:
+                    ids = model.encode(text)
+                    found += [len(ids) // 4, zlib.crc32(ids), model.decode(ids) == text, model.score(ids)]
+                for name, value in zip(names, found):
+                    out[name].append(value)
+            return out
+
+        return work
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, kinds[i % 4]) for i, c in enumerate(names))])
+    return map_texts(docs, start, schema, keep)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids_crc32", "same")
+    return best_scores(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))

@@ -287,7 +287,50 @@ def test_license_chains_over_edits():
     text = license_scan.TEMPLATES["mit"][2].replace("without restriction", "with small restrictions").replace("copy, modify", "copy, change, modify")
     spans = scanner.spans(common.plain_words(("Intro words here. " + text + " Outro words.").encode()))
     best = max((s for s in spans if s[2] == "mit"), key=lambda s: s[3])
-    assert best[3] > 0.85 and best[0] == 3
+    assert best[3] > 0.95 and best[:2] == (3, 3 + len(plain(text)))
+
+
+def test_chains_match_brute_force():
+    """The words covered by the best chain of random matches, by trying every chain."""
+    rng = random.Random(6)
+    gap = license_scan.MAX_GAP
+    for _ in range(300):
+        own = list({(a := rng.randint(0, 60), a + rng.randint(4, 12), rng.randint(0, 50)) for _ in range(rng.randint(1, 9))})
+
+        def longest(k):
+            start, end, at = own[k]
+            best = end - start
+            for i, (a, b, c) in enumerate(own):
+                if (b, c - a, a) < (end, at - start, start):
+                    shared = max(0, b - start, c + b - a - at)
+                    if shared < end - start and start + shared - b <= gap and at + shared - (c + b - a) <= gap:
+                        best = max(best, longest(i) + end - start - shared)
+            return best
+
+        assert license_scan._best_chains(own)[0][2] == max(map(longest, range(len(own))))
+
+
+def test_license_labels_of_whole_and_edited_texts(spark, tmp_path):
+    """Every template is found in itself and, but for short ones, with a word in ten changed; prose has none."""
+    rng = random.Random(2)
+    texts, expected = [], []
+    for label, own in license_scan.TEMPLATES.items():
+        for t in own:
+            words = t.split()
+            texts.append(f"Some header. {t} Some footer.")
+            expected.append(label)
+            if len(words) > 60:
+                texts.append(" ".join("changed" if k % 10 == 5 else w for k, w in enumerate(words)))
+                expected.append(label)
+    texts.append(" ".join(prose(rng, 3000)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    assert all(label in got[k]["labels"].split(",") and got[k]["n_spans"] >= 1 for k, label in enumerate(expected))
+    assert (got[len(expected)]["labels"], got[len(expected)]["score"]) == ("", 0.0)
+    (tmp_path / "own-1").write_text(" ".join(f"term{i}" for i in range(50)))
+    more = license_scan.templates_from(spark, str(tmp_path))
+    found = license_scan.scan_licenses(spark.createDataFrame([(1, more["own-1"][0])], "doc_id long, text string"), templates=more).first()
+    assert found["labels"] == "own-1" and found["score"] == 1.0
 
 
 def test_license_edge_cases(hostile, nothing):
@@ -407,6 +450,7 @@ def test_sentencepiece_random_and_unigram():
         assert list(array("i", model.encode(text))) == library.encode(text)
     pieces = {p: (i, s) for i, (p, s) in enumerate({"▁": -2.0, "a": -3.0, "b": -3.0, "ab": -4.0, "▁a": -3.5, "ba": -3.2, "bab": -8.0, "▁ab": -7.0}.items())}
     unigram = sentencepiece_codec.PieceModel(pieces, list(range(100, 356)), "unigram")
+    assert unigram.score(unigram.encode("ab")) == -6.0
 
     def best(text):
         return max([pieces[text[:k]][1] + best(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces], default=-1e9) if text else 0.0
@@ -415,6 +459,31 @@ def test_sentencepiece_random_and_unigram():
         assert abs(sum(pieces[unigram.names[p]][1] for p in unigram.best(text)) - best(text)) < 1e-9
 
 
+def test_best_scores_match_brute_force(spark):
+    """The largest sum of scores over all ways to cut a text into pieces, for words of the public file."""
+    import sentencepiece
+
+    path = common.tokenizer_path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.load_model(path, "unigram")
+
+    def best(text):
+        table = [0.0] + [-np.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(end):
+                part = text[start:end]
+                score = model.pieces[part][1] if part in model.pieces else model.unknown if end - start == 1 else -np.inf
+                table[end] = max(table[end], table[start] + score)
+        return table[-1]
+
+    docs = spark.createDataFrame([(1, "the quick brown foxes jump"), (2, "naïve 你好 and 12345  blanks\nlines"), (3, ""), (4, None)], "doc_id long, text string")
+    for r in sentencepiece_codec.best_scores(docs, path, keep=("doc_id", "text")).collect():
+        text = ("▁" + r["text"].replace(" ", "▁")) if r["text"] else ""
+        known = [x for x in model.best(text) if x >= sentencepiece_codec.ALONE]
+        assert abs(sum(model.pieces[model.names[x]][1] if x < sentencepiece_codec.ALONE else model.unknown for x in model.best(text)) - best(text)) < 1e-6
+        assert r["best_same"] and r["same"] and r["n_ids"] == len(library.encode(r["text"] or ""))
+        assert r["best_score"] >= r["ids_score"] - 1e-6 and (known or abs(r["best_score"] - best(text)) < 1e-6)
+
+
 def test_sentencepiece_edge_cases(hostile, nothing):
     path = common.tokenizer_path("piece_bpe_32k.model")
     rows = sentencepiece_codec.encode_texts(hostile, path, keep=tuple(hostile.columns)).collect()
@@ -472,6 +541,7 @@ def test_short_items_and_blocks(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(words[3:14]) + " y"), (2, "a tiny item, b"), (3, "tiny other item"), (4, None), (5, "null id"), (5, "null id")], "doc_id long, text string")
     whole = sorted(map(str, decontamination.scan(docs, items).collect()))
     assert whole == sorted(map(str, decontamination.scan(docs, items, block_words=10).collect()))
+    assert whole == sorted(map(str, decontamination.scan(docs, items, block_words=12).collect()))
     got = {r["doc_id"]: r for r in decontamination.scan(docs, items).collect()}
     assert got[1]["items"] == ["1"] and got[1]["starts"] == [1] and got[1]["ends"] == [12]
     assert got[2]["items"] == ["2"] and got[3]["items"] == [] and got[4]["n_words"] == 0
