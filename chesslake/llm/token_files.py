@@ -7,20 +7,23 @@ the public seekable format. A reader fetches the tail, then decompresses only th
 of the documents that it wants, and verifies each against its checksum (the low 32
 bits of XXH64).
 
-Documents are dealt out by ranges of doc_id and written in ascending order, one file
-per partition; files are written under a temporary name and then renamed, so a task
-that is run again, or twice at once, leaves one whole file. Only one row per file
-comes back to the driver.
+Documents are dealt out by ranges of doc_id (and hash of the text, so that rows of one doc_id can lie in several
+files) and written in ascending order, one file per partition; there are as many partitions as
+files of FILE_BYTES of text need. Every attempt of a task writes a file of its own name and the rows that come back, one per
+file, tell which ones count; `write_index` writes them beside the files and removes what failed attempts left.
 
 Encoding is cached by pre-token: no merge of the vocabulary crosses one, so the ids of a text
-are those of its pieces in order (see `PieceEncoder`).
+are those of its pieces in order (see `PieceEncoder`). Whether the tokenizer's own normaliser and pre-tokeniser are the
+ones that this rests on is looked up in its file; if not, every text is encoded whole.
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids come first;
-repeated rows are written as often as they come; an empty table gives no files.
+repeated rows are written as often as they come; texts of any length are encoded whole; an empty table gives no files. Columns
+beside doc_id and text are left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -40,8 +43,11 @@ from pyspark.sql import types as T
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
-#: Pieces that a worker process remembers, about 200 bytes each.
-CACHE_PIECES = 1_000_000
+#: Bytes of text in a file, about.
+FILE_BYTES = 128 << 20
+#: Bytes of pieces that a worker process remembers, and the longest piece kept.
+CACHE_BYTES = 256 << 20
+LONG_PIECE = 64
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -55,6 +61,22 @@ _BLANKS = "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 #: Texts with these are left to the library whole: other scripts, a letter whose lower case is two, special tokens.
 _OTHER = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
+# The normaliser and pre-tokeniser for which the pattern above holds.
+_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def known_pieces(tokenizer) -> bool:
+    """Whether a tokenizer cuts texts into the pieces of the pattern above and marks their last tokens."""
+    own = json.loads(tokenizer.to_str())
+    normaliser, cuts, model = own["normalizer"] or {}, (own["pre_tokenizer"] or {}).get("pretokenizers", []), own["model"]
+    if normaliser.get("normalizers") != _NORMALISERS or len(cuts) != 2 or model.get("dropout") or model.get("end_of_word_suffix") != "</w>":
+        return False
+    split, bytes_ = cuts
+    return (
+        (split["type"], split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": _SPLIT}, "Removed", True)
+        and (bytes_["type"], bytes_.get("add_prefix_space"), bytes_.get("use_regex")) == ("ByteLevel", False, False)
+    )
 
 
 class PieceEncoder:
@@ -65,7 +87,7 @@ class PieceEncoder:
     blanks between; every piece ends with a token that ends a word. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, end_id: int = END_ID):
         one_thread()
         from tokenizers import Tokenizer
 
@@ -75,7 +97,8 @@ class PieceEncoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = struct.pack("<I", end_id)
         self.cache: dict[str, bytes] = {}
-        self.cache_pieces = cache_pieces
+        self.held = 0
+        self.by_piece = known_pieces(self.tokenizer)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -92,13 +115,21 @@ class PieceEncoder:
             self.cache.update(zip(part, (data[a:b] for a, b in zip([0, *cuts], cuts))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _OTHER.search(t) else _PIECES.findall(t.lower()) if t else [] for t in texts]
-        if len(self.cache) > self.cache_pieces:
+        split = [None if t and (not self.by_piece or _OTHER.search(t)) else _PIECES.findall(t.lower()) if t else [] for t in texts]
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         cache = self.cache
-        self._learn([p for p in {p for pieces in split if pieces for p in pieces} if p not in cache])
-        get = self.cache.__getitem__
-        return [(self._whole(t) if pieces is None else b"".join(map(get, pieces))) + self.end for t, pieces in zip(texts, split)]
+        new = [p for p in {p for pieces in split if pieces for p in pieces} if p not in cache]
+        self._learn(new)
+        get = cache.__getitem__
+        out = [(self._whole(t) if pieces is None else b"".join(map(get, pieces))) + self.end for t, pieces in zip(texts, split)]
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                del cache[piece]
+            else:
+                self.held += 200 + len(piece) + len(cache[piece])
+        return out
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
@@ -210,9 +241,9 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Write doc_id and text of `docs` as files `part-NNNNN.tokens.zst` under `uri`.
+    """Write doc_id and text of `docs` as files `part-NNNNN-*.tokens.zst` under `uri`.
 
-    Gives one row per file: part, file, n_docs, n_ids, in the order of doc_id.
+    Gives one row per file: part, file, n_docs, n_ids, in the order of doc_id. A file counts if a row names it.
     """
     schema = "part int, file string, n_docs long, n_ids long"
 
@@ -227,9 +258,8 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
             if writer is None:
                 store, folder = open_folder(uri)
                 store.create_dir(folder, recursive=True)
-                name = f"part-{part:05d}.tokens.zst"
-                temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                out = store.open_output_stream(temporary)
+                name = f"part-{part:05d}-{uuid.uuid4().hex}.tokens.zst"
+                out = store.open_output_stream(f"{folder}/{name}", compression=None)
                 writer, encode = FrameWriter(out, frame_bytes), encoder(tokenizer, end_id).encode
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
@@ -239,15 +269,34 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
         if writer is not None:
             writer.close()
             out.close()
-            store.move(temporary, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.docs)]), pa.array([total])], names=["part", "file", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text"))
     text_key = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), text_key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), text_key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key)
     return ordered.mapInArrow(write, schema)
 
 
+def write_index(parts: DataFrame, uri: str) -> DataFrame:
+    """Write the files (the lazy result of `write_files`) and `_index` beside them: file, before (ids of the files before it), n_docs, n_ids.
+
+    Files that no row names, of attempts that failed, go. One row per file passes through the driver.
+    """
+    spark, before, rows = parts.sparkSession, 0, []
+    for r in sorted(parts.collect()):
+        rows.append((r["file"], before, r["n_docs"], r["n_ids"]))
+        before += r["n_ids"]
+    store, folder = open_folder(uri)
+    for info in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.endswith(".tokens.zst") and info.base_name not in {file for file, *_ in rows}:
+            store.delete_file(info.path)
+    index = spark.createDataFrame(rows, "file string, before long, n_docs long, n_ids long")
+    index.repartition(max(1, len(rows))).write.parquet(f"{uri}/_index")
+    return spark.read.schema(index.schema).parquet(f"{uri}/_index")
+
+
 def read_files(files: DataFrame, uri: str) -> DataFrame:
     """Every document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, ids."""
     schema = T.StructType([long_field("doc_id"), long_field("start"), long_field("n_tokens"), long_field("ids_crc32")])
@@ -276,11 +325,5 @@ def read_files(files: DataFrame, uri: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch_path(spark, "token-files")
-    parts = write_files(read_table(spark, sf_dir, "documents"), uri, tokenizer_path("word_bpe_49k.json"))
-    rows = sorted(parts.collect())  # one row per file
-    before, files = 0, []
-    for row in rows:
-        files.append((row["file"], before))
-        before += row["n_ids"]
-    table = spark.createDataFrame(files, "file string, before long").repartition(max(1, len(files)))
-    return read_files(table, uri)
+    files = write_index(write_files(read_table(spark, sf_dir, "documents"), uri, tokenizer_path("word_bpe_49k.json")), uri)
+    return read_files(files.repartition(max(1, files.count())), uri)

@@ -390,6 +390,19 @@ def test_pieces_are_the_library_s():
         assert got == np.array([*ids, 1], dtype="<u4").tobytes()
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer with another normaliser is told from its file, and its ids are the library's too."""
+    import json
+
+    own = json.load(open(common.tokenizer_path("word_bpe_49k.json")))
+    own["normalizer"] = {"type": "Sequence", "normalizers": own["normalizer"]["normalizers"][:2]}
+    (tmp_path / "other.json").write_text(json.dumps(own))
+    encoder = token_files.PieceEncoder(str(tmp_path / "other.json"))
+    assert not encoder.by_piece and token_files.PieceEncoder(common.tokenizer_path("word_bpe_49k.json")).by_piece
+    for text in ("Some Words THERE", "naïve"):
+        assert encoder.encode([text])[0][:-4] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_frames_are_independent_and_checked(tmp_path):
     path = tmp_path / "x.zst"
     rng = np.random.default_rng(1)
@@ -422,6 +435,14 @@ def test_token_files_edge_cases(spark, hostile, nothing):
     folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     parts = token_files.write_files(hostile, folder, common.tokenizer_path("word_bpe_49k.json")).collect()
     assert sum(p["n_docs"] for p in parts) == hostile.count()
+    again = folder + "/again"
+    files = token_files.write_index(token_files.write_files(hostile, again, common.tokenizer_path("word_bpe_49k.json")), again)
+    got = token_files.read_files(files, again).orderBy("start").collect()
+    texts = hostile.orderBy(hostile["doc_id"].asc_nulls_first()).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in texts] and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (4, 5)} == {1}
+    none = folder + "/none"
+    assert token_files.read_files(token_files.write_index(token_files.write_files(nothing, none, common.tokenizer_path("word_bpe_49k.json")), none), none).count() == 0
     assert token_files.write_files(nothing, folder + "/e", common.tokenizer_path("word_bpe_49k.json")).collect() == []
 
 
