@@ -1,17 +1,20 @@
 """Operator 6: sharding by fixed virtual slots.
 
 Every record is hashed into one of `n_slots` virtual slots; bytes are summed per
-slot, and a versioned map from slots to shards decides where a slot lives. A
+slot, and a stored, versioned map from slots to shards decides where a slot lives. A
 rebalance never rehashes records, it edits the map: version 1 deals slots round
-robin, each later version moves or swaps slots between the fullest and the emptiest
+robin; each later version moves or swaps slots between the fullest and the emptiest
 shard until their bytes are nearly equal. The map has `n_slots` rows whatever the
-input is, so it is edited on the driver and broadcast.
+input is, so it is edited on the driver; every version is a folder of its own, written once (a second
+editor of the same version fails) and read back by whoever needs it, and older versions stay.
 
-Law: `bytes` (the shards' sizes are nearly equal).
+Law: `bytes` (the shards' sizes are nearly equal). The slot depends on doc_id and text: rows of one doc_id spread, and equal
+texts with different ids need not meet in a shard.
 
 Defined cases: a null text has size 1 and the CRC of an empty text; a null doc_id is
 hashed like a value; repeated rows go to the same slot and take positions of their
-own; an empty table gives no rows and the round-robin map.
+own; a text of any length counts whole; an empty table gives no rows and the round-robin map. `write_shards` keeps all
+columns of `docs` but those named shard, virtual_slot and version, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_column
+from .common import read_table, scratch_path, text_column
 
 N_SLOTS = 4096
 N_SHARDS = 16
@@ -97,54 +100,88 @@ def _near(own: list[tuple[int, int]], size: float) -> list:
     return [None, *own[max(0, at - 1) : at + 1]]
 
 
-def slot_map(spark: SparkSession, sizes: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> DataFrame:
-    """The stored map: version, virtual_slot, shard, and `first`, the slot's first position in its shard.
+_MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
-    `sizes` has n_slots rows at most, a bound set by the parameter.
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A version of the map stored at `path` (the newest by default); None if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return None
+    found = {int(s.getPath().getName().split("=")[1]) for s in store.listStatus(root) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))}
+    version = version or max(found, default=None)
+    return spark.read.schema(_MAP).parquet(f"{path}/version={version}") if version in found else None
+
+
+def add_batch(spark: SparkSession, path: str, sizes: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> DataFrame:
+    """Add a batch's rows and bytes per slot to the map stored at `path`, rebalance it, store it as the next version.
+
+    The first batch makes version 1 (round robin) too. `sizes` and the map have n_slots rows at most, a bound set by the
+    parameter.
     """
-    rows = {r["virtual_slot"]: (r["n_rows"], r["n_bytes"]) for r in sizes.collect()}
-    version, shard_of = 1, initial_map(n_slots, n_shards)
-    edited = rebalance(shard_of, {k: b for k, (_, b) in rows.items()}, n_shards)
-    if edited != shard_of:
-        version, shard_of = 2, edited
-    filled = [0] * n_shards
-    out = []
-    for slot, shard in enumerate(shard_of):
-        out.append((version, slot, shard, filled[shard]))
-        filled[shard] += rows.get(slot, (0, 0))[0]
-    return spark.createDataFrame(out, "version int, virtual_slot int, shard int, first long")
+    now = read_map(spark, path)
+    if now is None:
+        store_map(spark, path, [(1, slot, shard, 0, 0) for slot, shard in enumerate(initial_map(n_slots, n_shards))])
+        now = read_map(spark, path)
+    rows = sorted(now.collect(), key=lambda r: r["virtual_slot"])
+    new = {r["virtual_slot"]: (r["n_rows"], r["n_bytes"]) for r in sizes.collect()}
+    totals = [tuple(a + b for a, b in zip((r["n_rows"], r["n_bytes"]), new.get(r["virtual_slot"], (0, 0)))) for r in rows]
+    edited = rebalance([r["shard"] for r in rows], {k: b for k, (_, b) in enumerate(totals)}, n_shards)
+    store_map(spark, path, [(rows[0]["version"] + 1, slot, shard, *totals[slot]) for slot, shard in enumerate(edited)])
+    return read_map(spark, path)
+
 
+def store_map(spark: SparkSession, path: str, rows: list[tuple[int, int, int, int, int]]) -> None:
+    spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={rows[0][0]}")
 
-def shard(docs: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Every record with its shard and its position there, and the map that decided.
 
-    Positions are numbered within a virtual slot, and the map holds where each slot
+def shard(docs: DataFrame, path: str, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """Every record with its shard and its position there, and the version of the map at `path` that decided.
+
+    Positions are numbered within a virtual slot, and the map tells where each slot
     begins, so no task ever sees more than a slot.
     """
+    spark = docs.sparkSession
     slotted = with_slots(docs, n_slots)
-    table = slot_map(docs.sparkSession, slot_sizes(slotted), n_slots, n_shards)
+    table = add_batch(spark, path, slot_sizes(slotted), n_slots, n_shards)
+    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)  # n_slots rows
+    placed_slots = table.select("version", "virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     placed = (
         slotted.withColumn("place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(table), "virtual_slot")  # n_slots rows, a bound set by the parameter
+        .join(F.broadcast(placed_slots), "virtual_slot")  # n_slots rows, a bound set by the parameter
         .withColumn("slot", F.col("first") + F.col("place"))
         .drop("first", "place")
     )
     return placed, table
 
 
-def write_shards(docs: DataFrame, path: str, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> None:
-    """Write `docs` to one folder per shard, and the map to `_map/version=N` beside them."""
-    slotted = docs.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.coalesce(text_column(docs), F.lit("")).cast("binary"))), F.lit(n_slots)).cast("int"))
-    table = slot_map(docs.sparkSession, slot_sizes(with_slots(docs, n_slots)), n_slots, n_shards)
-    table.drop("first").write.partitionBy("version").parquet(f"{path}/_map")
-    slotted.join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot").repartition(
+def write_shards(docs: DataFrame, path: str, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> int:
+    """Add a batch of `docs` to the shards at `path`; gives the version of the map that it was written by.
+
+    Rows go to `data/version=V/shard=S`, the map to `_map/version=V`. What earlier versions wrote stays where it is;
+    `moved` tells the slots to move if it is to follow.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.coalesce(text_column(docs), F.lit("")).cast("binary"))), F.lit(n_slots)).cast("int")
+    slotted = docs.drop("shard", "version").withColumn("virtual_slot", slot)
+    table = add_batch(docs.sparkSession, f"{path}/_map", slot_sizes(with_slots(docs, n_slots)), n_slots, n_shards)
+    version = table.first()["version"]
+    slotted.join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot").repartition(  # n_slots rows
         F.col("shard"), F.col("virtual_slot") % 64
-    ).write.partitionBy("shard").parquet(f"{path}/data")
+    ).write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/data/version={version}")
+    return version
+
+
+def moved(spark: SparkSession, path: str, old: int, new: int) -> DataFrame:
+    """virtual_slot, from_shard, to_shard and n_bytes of the slots that two versions of the map at `path` place differently."""
+    a, b = (read_map(spark, path, v) for v in (old, new))
+    both = a.select("virtual_slot", F.col("shard").alias("from_shard")).join(b.select("virtual_slot", F.col("shard").alias("to_shard"), "n_bytes"), "virtual_slot")
+    return both.where("from_shard <> to_shard")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = shard(read_table(spark, sf_dir, "documents"))
+    placed, _ = shard(read_table(spark, sf_dir, "documents"), scratch_path(spark, "slot-map"))
     return placed.select(
         "doc_id",
         "size",
