@@ -706,6 +706,64 @@ def test_toxicity_held_out_accuracy_with_enough_labels(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.03
 
 
+def small_model():
+    model = toxicity.Model(3)
+    for name in ("e", "v", "c"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.w, model.b = [x.astype(np.float64) for x in model.w], [np.full_like(x, 0.02, dtype=np.float64) for x in model.b]
+    return model
+
+
+def naive_logit(model, rows):
+    """The network word by word, filter by filter: windows that hang over the end take what is there."""
+    x = [sum(model.e[b] for b in word) for word in rows]
+    out = model.c[0]
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            values = [model.b[k][f] + sum(float(x[i + s] @ model.w[k][s * toxicity.DIM : (s + 1) * toxicity.DIM, f]) for s in range(width) if i + s < len(x)) for i in range(len(x))]
+            out += model.v[k * toxicity.FILTERS + f] * max(0.0, max(values, default=0.0))
+    return out
+
+
+def test_forward_pass_matches_a_loop():
+    model, texts = small_model(), [b"one two three four five", b"solo", b"", "más ñandú así y así".encode(), b"w " * 30]
+    buckets, counts, _ = toxicity.features(texts)
+    ends = np.cumsum(counts)
+    expected = [naive_logit(model, buckets[e - n : e]) for e, n in zip(ends, counts)]
+    assert np.allclose(model.logits(buckets, counts), expected, atol=1e-5)
+
+
+def test_gradients_match_differences():
+    model, texts, y = small_model(), [b"one two three two one", b"four", b"five six seven eight nine ten"], np.array([1.0, 0.0, 1.0])
+    buckets, counts, _ = toxicity.features(texts)
+    ends = np.cumsum(counts)
+
+    def loss():
+        z = np.array([naive_logit(model, buckets[e - n : e]) for e, n in zip(ends, counts)])
+        return float(np.mean(np.log1p(np.exp(-z)) + (1 - y) * z))
+
+    grads, touched, ge = toxicity.gradients(model, buckets, counts, y)
+    rng = np.random.default_rng(0)
+    params = [*model.w, *model.b, model.v, model.c]
+    places = [(p.reshape(-1), g.reshape(-1), i) for p, g in zip(params, grads) for i in rng.choice(p.size, min(4, p.size), replace=False)]
+    places += [(model.e[t], ge[k], i) for k, t in enumerate(touched[:6]) for i in (0, 5)]
+    for values, slope, i in places:
+        kept, h = values[i], 1e-6
+        values[i] = kept + h
+        up = loss()
+        values[i] = kept - h
+        down = loss()
+        values[i] = kept
+        assert abs((up - down) / (2 * h) - slope[i]) < 1e-6
+
+
+def test_languages_are_told():
+    texts = {"en": "the cat is on the roof of a house and it was there", "es": "el gato no es de los vecinos y se va por las calles", "de": "der Hund ist nicht im Haus und die Katze auf dem Dach",
+             "fr": "le chat est dans la maison et les chiens ne sont pas sur le toit", "it": "il gatto che non sono della casa per gli amici", "cyrillic": "кошка сидит на крыше", "han": "猫在屋顶上", "other": "zzz qqq"}
+    _, _, got = toxicity.features([t.encode() for t in texts.values()])
+    assert [toxicity.LANGUAGES[k] for k in got] == list(texts)
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = toxicity.Model()
     texts = [b"one two three", None, b"", b"solo", "Ñandú más así".encode(), b"w " * 3000]
