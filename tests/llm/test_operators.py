@@ -898,6 +898,19 @@ def test_pipeline_against_brute_force(spark):
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf).columns == docs.columns
 
 
+def test_stages_take_hostile_tables(spark, hostile):
+    """Every stage by itself, and all in turn: columns stay, clean rows stay, repeats of one document become one row."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, hostile, "/root/testdata/sf0.001")
+        assert name == "sentencepiece" or out.columns == hostile.columns
+        assert {7, 11, 13} <= {r["doc_id"] for r in out.select("doc_id").collect()} or name == "quality rules"
+    docs = hostile
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert set(ids) >= {11, 15} and len(ids) == len(set(ids)) and sum(i in (None, 1, 2, 3, 14) for i in ids) == 1
+
+
 def test_stages_take_empty_tables(spark, nothing):
     docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
