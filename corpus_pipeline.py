@@ -3,6 +3,11 @@
 Every stage gets the documents that its predecessor kept, as written to Parquet, and its decisions
 take effect: rejected documents and further copies go, repeated sentences and benchmark
 passages leave the texts (n_chars follows), and the last stage adds the token ids.
+
+Defined cases, in every stage: null and blank texts fail the quality rules, and stay what they are in the other stages; null
+ids, languages and sources are values; rows that agree in doc_id and text are one document (the second stage keeps one
+row of it); texts of any length are taken whole; an empty table stays empty; further columns, whatever their names, are
+passed on by all but n_ids, ids_crc32, same and ids, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -39,8 +44,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The shortened texts are written before they are looked at: a filter on them would be merged into the
     rebuilding of the text and split it into sentences again and again.
     """
-    short = materialize(substring_dedup(docs), "shortened")
-    return _counted(short.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns))
+    own = {c: f"own {c}" for c in ("n_sentences", "n_removed") if c in docs.columns}
+    short = materialize(substring_dedup(docs.withColumnsRenamed(own)), "shortened").where("n_removed = 0 OR trim(text) <> ''")
+    return _counted(short.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
