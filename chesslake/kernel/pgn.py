@@ -7,8 +7,9 @@ byte offsets, and the first error.
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 MAX_GAME_BYTES = 16 << 20
@@ -41,39 +42,77 @@ class Frame:
     offset: int
     raw: bytes
     error: str | None = None
+    line: int = 0  # line ends before it
 
 
-def frame(data: bytes, max_bytes: int = MAX_GAME_BYTES) -> Iterator[Frame]:
-    """The games of a source in order; the last may be an error frame with what is left.
+#: A game without comments, variations, glyphs and escapes: tag pairs, moves, outcome.
+_PLAIN_GAME = (
+    rb"[" + _SPACE + rb"]*((?:\[[A-Za-z0-9_]+[ \t]+\"[^\"\\\r\n]*\"\][" + _SPACE + rb"]*)*)"
+    rb"((?:(?:[1-9][0-9]{0,8}\.[ ]*)?[a-hKQRBNO][^" + _SPACE + rb"{};()$!?\[\].%]*[ \n]+)*)(1/2-1/2|1-0|0-1|\*)"
+)
+_PLAIN = re.compile(_PLAIN_GAME + rb"[" + _SPACE + rb"]*\Z")
+_PLAIN_START = re.compile(_PLAIN_GAME + rb"(?=[" + _SPACE + rb"])")
+
+
+def _game_end(data: bytes, start: int, last: bool) -> int | None:
+    """Where the game that begins at `start` ends; None if the data does not tell. `last`: nothing follows the data."""
+    plain = _PLAIN_START.match(data, start)
+    if plain:
+        return plain.end()
+    depth = 0
+    view = memoryview(data)[start:]  # lookbehinds see the byte before a game only as its start
+    for m in _FRAME.finditer(view):
+        kind = m.lastgroup
+        if m.end() == len(view) and not last:  # what follows may be part of it
+            return None
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth = max(0, depth - 1)
+        elif kind == "end" and depth == 0:
+            return start + m.end()
+    return None
+
+
+def frame_stream(read: Callable[[int], bytes], max_bytes: int = MAX_GAME_BYTES, chunk: int = 1 << 18) -> Iterator[Frame]:
+    """The games of a stream in order; the last may be an error frame with what is left.
 
-    A game keeps the blanks before it. What follows an error is not read.
+    `read` gives up to so many bytes, none at the end. A game keeps the blanks before it. What follows an error is not
+    read. No more is held than a game and a chunk or two.
     """
-    start = number = 0
-    while start < len(data):
-        depth, end = 0, None
-        # lookbehinds see the byte before a frame only as its start
-        view = memoryview(data)[start:]
-        for m in _FRAME.finditer(view):
-            kind = m.lastgroup
-            if kind == "open":
-                depth += 1
-            elif kind == "close":
-                depth = max(0, depth - 1)
-            elif kind == "end" and depth == 0:
-                end = start + m.end()
-                break
-            if m.end() > max_bytes:
-                break
-        if end is None:
-            rest = data[start:]
-            if rest.strip(b"\t\n\x0c\r "):
-                yield Frame(number, start, rest[: max_bytes + 1], "game_too_large" if len(rest) > max_bytes else "missing_outcome")
-            return
-        if end - start > max_bytes:
-            yield Frame(number, start, b"", "game_too_large")
+    data, at, base, number, line, last = b"", 0, 0, 0, 0, False
+    while True:
+        end = _game_end(data, at, last) if at < len(data) else None
+        if end is None and not last and len(data) - at <= max_bytes:
+            more = read(max(chunk, len(data) - at))
+            last = not more
+            data, base, at = data[at:] + more, base + at, 0
+            continue
+        if end is None or end - at > max_bytes:
+            rest = data[at:]
+            if len(rest) > max_bytes:
+                yield Frame(number, base + at, b"" if end is not None else rest[: max_bytes + 1], "game_too_large", line)
+            elif rest.strip(b"\t\n\x0c\r "):
+                yield Frame(number, base + at, rest, "missing_outcome", line)
             return
-        yield Frame(number, start, data[start:end])
-        start, number = end, number + 1
+        raw = data[at:end]
+        yield Frame(number, base + at, raw, None, line)
+        at, number, line = end, number + 1, line + raw.count(b"\n")
+
+
+def frame(data: bytes, max_bytes: int = MAX_GAME_BYTES) -> Iterator[Frame]:
+    """The games of a source that is held whole."""
+    return frame_stream(io.BytesIO(data).read, max_bytes, max(1, len(data)))
+
+
+#: The end of a game by its looks: an outcome, blank lines, and a tag pair at the beginning of a line.
+_BOUNDARY = re.compile(rb"[" + _SPACE + rb"](?:1/2-1/2|1-0|0-1|\*)(?=[ \t\r]*\n\s*\[[A-Za-z0-9_]+[ \t]+\")")
+
+
+def likely_boundary(data: bytes) -> int | None:
+    """Where in some part of a source a game probably ends and another begins, if it shows."""
+    m = _BOUNDARY.search(data)
+    return m and m.end()
 
 
 @dataclass
@@ -190,8 +229,32 @@ def tag_value(raw: bytes) -> bytes:
     return re.sub(rb"\\(.)", rb"\1", raw, flags=re.DOTALL)
 
 
+_PLAIN_TAG = re.compile(rb'\[([A-Za-z0-9_]+)[ \t]+"([^"]*)"')
+_PLAIN_MOVE = re.compile(rb"(?<![^ \n.])[a-hKQRBNO][^ \n]*")
+
+
 def parse_game(raw: bytes, strict: bool = True) -> dict:
-    """One framed game: first-wins tags, mainline moves, outcome and the first error."""
+    """One framed game: first-wins tags, mainline moves, outcome and the first error.
+
+    Games without comments, variations, glyphs and escapes, which most are, are told by one expression; all others go
+    through `events`.
+    """
+    m = _PLAIN.match(raw)
+    if m:
+        pairs = _PLAIN_TAG.findall(m[1])
+        tags = {name.decode(): value for name, value in reversed(pairs)}
+        moves = [x.decode("utf-8", "replace") for x in _PLAIN_MOVE.findall(m[2])]
+        counts = {"game_start": 1, "movetext_start": 1, "outcome": 1, "game_end": 1}
+        numbers = m[2].count(b".")
+        for kind, n in (("tag", len(pairs)), ("move_number", numbers), ("san", len(moves))):
+            if n:
+                counts[kind] = n
+        return {"tags": tags, "raw_tags": tags, "moves": moves, "outcome": OUTCOMES[m[3]], "error": None, "counts": counts}
+    return _parse_events(raw, strict)
+
+
+def _parse_events(raw: bytes, strict: bool) -> dict:
+    """As `parse_game`, event by event."""
     tags: dict[str, bytes] = {}
     raw_tags: dict[str, bytes] = {}
     moves: list[str] = []

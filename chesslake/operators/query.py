@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.pgn import position_key
+from ..sources.pgn import first_plies, position_key
 
 
 @dataclass(frozen=True)
@@ -74,11 +74,13 @@ class GameQuery:
     def run(self, games: DataFrame, positions: DataFrame | None = None) -> DataFrame:
         """The games that match, with first_ply where a position was asked for.
 
-        Positions come from a table of them, or without one from the `steps` of replayed games.
+        Positions come from a table of them, or without one from the `steps` of replayed games or the `moves` of parsed ones.
         """
         found = games.where(self.condition())
         if self.position is None:
             return found
+        if positions is None and "steps" not in games.columns:
+            return first_plies(found, position_key(self.position)).where("first_ply IS NOT NULL")
         if positions is None:
             keys = F.transform("steps", lambda s: s["position_key"])
             return found.withColumn("first_ply", (F.array_position(keys, F.lit(position_key(self.position))) - 1).cast("int")).where("first_ply >= 0")

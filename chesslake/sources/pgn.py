@@ -1,19 +1,19 @@
 """PGN sources and sinks.
 
-Files are read with Spark's binary source (plain or Zstandard), cut into games inside the tasks, and
-parsed game by game; a fault in a game is a row's `error`, never an exception. Positions come from
+Files are listed on the driver and streamed by the tasks, plain or Zstandard, in blocks: a task holds a game and a
+block or two, whatever the file's size. Large plain files are read in byte ranges that begin where a game does. Games are
+parsed one by one; a fault in a game is a row's `error`, never an exception. Positions come from
 replaying each game's moves in the same pass, without a shuffle.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +21,19 @@ from ..functions import columns as C
 from ..kernel import board as B
 from ..kernel import pgn as P
 
-FRAMES = "source string, source_game long, byte_offset long, raw binary, error string"
+FRAMES = "source string, source_game long, byte_offset long, raw binary, error string, first_line long"
+#: Plain files are read in ranges of about so many bytes.
+RANGE_BYTES = 64 << 20
 EVENTS = "source string, source_game long, seq int, kind string, start long, `end` long, text binary, number long, dots int, depth int, error string"
 _ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.LongType())])
 PARSED = T.StructType(
     [
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
         T.StructField("raw_date", T.StringType()),
+        T.StructField("raw_date_tag", T.StringType()),
+        T.StructField("raw_utc_date", T.StringType()),
         T.StructField("moves", T.ArrayType(T.StringType())),
+        T.StructField("plies", T.IntegerType()),
         T.StructField("outcome", T.IntegerType()),
         T.StructField("error", _ERROR),
         T.StructField("counts", T.MapType(T.StringType(), T.LongType())),
@@ -53,49 +58,185 @@ def _with(rows: DataFrame, raw: str, fn, schema: T.StructType) -> DataFrame:
     return rows.mapInArrow(run, full)
 
 
-def read_frames(spark: SparkSession, *paths: str) -> DataFrame:
-    """The games of files and folders: `.pgn` and `.pgn.zst` below a folder, any named file.
+def discover(spark: SparkSession, *paths: str) -> list[tuple[str, int]]:
+    """(file, bytes) in the order of the arguments: a folder's `.pgn` and `.pgn.zst` files in the order of their paths, and any named file.
 
-    A game is a row; the last row of a source has `error` if its text does not end with an outcome.
+    A folder without any is an error, as is a path that is not there.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][gG][nN]*").load(list(paths))
-    named = F.lower("path").rlike(r"\.pgn(\.zst)?\z")
+    hadoop, found = spark._jvm.org.apache.hadoop.fs.Path, []
+    for path in paths:
+        root = hadoop(path)
+        store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(root):
+            raise FileNotFoundError(path)
+        if store.getFileStatus(root).isFile():
+            status = store.getFileStatus(root)
+            found.append((status.getPath().toString(), status.getLen()))
+            continue
+        listing, own = store.listFiles(root, True), []
+        while listing.hasNext():
+            status = listing.next()
+            if status.getPath().getName().lower().endswith((".pgn", ".pgn.zst")):
+                own.append((status.getPath().toString(), status.getLen()))
+        if not own:
+            raise FileNotFoundError(f"no PGN files in {path}")
+        found += sorted(own)
+    return found
+
+
+class _Reader:
+    """The decompressed bytes of a file from a place on, in blocks."""
+
+    def __init__(self, uri: str, start: int = 0, stop: int | None = None):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+        self.file = store.open_input_file(path)
+        self.file.seek(start)
+        self.left = None if stop is None else stop - start
+        self.inflated = None
+        if uri.lower().endswith(".zst"):
+            import zstandard
+
+            self.inflated = zstandard.ZstdDecompressor().stream_reader(self.file, read_across_frames=True)
+
+    def read(self, size: int) -> bytes:
+        if self.inflated is not None:
+            return self.inflated.read(size)
+        if self.left is not None:
+            size = min(size, self.left)
+            self.left -= size
+        return self.file.read(size)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _boundary(uri: str, cut: int, length: int) -> int:
+    """The first place from `cut` on where a game probably begins; the file's end if none shows within a game's greatest size."""
+    if cut <= 0 or cut >= length:
+        return min(max(cut, 0), length)
+    reader, data = _Reader(uri, cut, length), b""
+    try:
+        while len(data) <= P.MAX_GAME_BYTES:
+            more = reader.read(1 << 16)
+            data += more
+            at = P.likely_boundary(data)
+            if at is not None:
+                return cut + at
+            if not more:
+                break
+    finally:
+        reader.close()
+    return length
+
+
+def _framed(uri: str, start: int, stop: int | None) -> Iterator[P.Frame]:
+    reader = _Reader(uri, start, stop)
+    try:
+        for f in P.frame_stream(reader.read):
+            f.offset += start
+            yield f
+    finally:
+        reader.close()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
+def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """position (of the file), source, part, start, stop, games_before and lines_before of the ranges to read.
+
+    Zstandard files and small ones are one range. A range begins where a game probably does; that it does is checked by
+    framing: a range must end in a whole game, else its file is read as one range. Framing counts its games and lines too, so
+    that games are numbered through the file. Only files of several ranges are framed for this.
+    """
+    rows = []
+    for i, (file, n) in enumerate(files):
+        parts = 1 if file.lower().endswith(".zst") else max(1, -(-n // range_bytes))
+        rows += [(i, file, k, k * range_bytes, n if k == parts - 1 else (k + 1) * range_bytes, n) for k in range(parts)]
+    cuts = spark.createDataFrame(rows, "position int, source string, part int, low long, high long, length long")
+    several = len(rows) > len(files)
+    if not several:
+        return cuts.select("position", "source", "part", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), F.lit(0).cast("long").alias("games_before"), F.lit(0).cast("long").alias("lines_before"))
+
+    def look(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if path.lower().endswith(".zst"):
-                    content = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
-                yield from _frame_batches(path, content)
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for position, source, part, low, high, length in zip(*columns):
+                whole = low == 0 and high == length
+                start, stop = (0, length) if whole else (_boundary(source, low, length), _boundary(source, high, length))
+                games = lines = 0
+                good = True
+                if not whole and start < stop:
+                    for f in _framed(source, start, stop):
+                        games += f.error is None
+                        lines += f.raw.count(b"\n")
+                        good &= f.error is None or stop == length
+                out.append((position, source, part, start, stop, games, lines, good))
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["position", "source", "part", "start", "stop", "games", "lines", "good"])
+
+    looked = cuts.repartition(len(rows)).mapInArrow(look, "position int, source string, part int, start long, stop long, games long, lines long, good boolean")
+    # a row per range: framing is not repeated for it
+    looked = spark.createDataFrame(looked.collect(), looked.schema)
+    own = Window.partitionBy("position")
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    checked = looked.withColumns({"fits": F.min("good").over(own), "games_before": F.coalesce(F.sum("games").over(before), F.lit(0)), "lines_before": F.coalesce(F.sum("lines").over(before), F.lit(0))})
+    kept = checked.where("(fits AND start < stop) OR part = 0")
+    none = lambda c: F.when(F.col("fits"), F.col(c)).otherwise(F.lit(0)).cast("long")
+    return kept.select("position", "source", "part", none("start").alias("start"), F.when(F.col("fits"), F.col("stop")).alias("stop"), none("games_before").alias("games_before"), none("lines_before").alias("lines_before"))
+
+
+def read_frames(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The games of files and folders, plain or Zstandard: source, source_game, byte_offset, raw, error, first_line.
+
+    A game is a row; the last row of a source has `error` if its text does not end with an outcome. Places are those in the
+    decompressed text, `first_line` counts the line ends before the game.
+    """
+    ranges = plan_ranges(spark, discover(spark, *paths), range_bytes)
 
-    return files.where(named).select("path", "content").mapInArrow(cut, FRAMES)
+    def cut(batches):
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for source, start, stop, games, lines in zip(*columns):
+                yield from _batches(source, _framed(source, start, stop), games, lines)
 
+    n = max(1, ranges.count())
+    return ranges.select("source", "start", "stop", "games_before", "lines_before").repartition(n).mapInArrow(cut, FRAMES)
 
-def _frame_batches(source: str, content: bytes, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    held = []
-    for f in P.frame(content):
-        held.append((source, f.number, f.offset, f.raw, f.error))
-        if len(held) == rows:
+
+def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
+    """Games of the driver's standard input (or another binary stream), framed as they come; its source is named stdin."""
+    import sys
+
+    stream = stream or sys.stdin.buffer
+    rows = [("stdin", f.number, f.offset, f.raw, f.error, f.line) for f in P.frame_stream(stream.read)]
+    return spark.createDataFrame(rows, FRAMES)
+
+
+def _batches(source: str, frames: Iterator[P.Frame], games: int = 0, lines: int = 0, most: int = 2000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for f in frames:
+        held.append((source, games + f.number, f.offset, f.raw, f.error, lines + f.line))
+        size += len(f.raw)
+        if len(held) == most or size > most_bytes:
             yield _batch(held)
-            held = []
+            held, size = [], 0
     if held:
         yield _batch(held)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["source", "source_game", "byte_offset", "raw", "error"])
+    types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["source", "source_game", "byte_offset", "raw", "error", "first_line"])
 
 
 def frames_of_texts(texts: DataFrame) -> DataFrame:
-    """Games of a relation of whole sources (source string, content binary)."""
+    """Games of a relation of whole texts (source string, content binary): each text is framed by itself."""
 
     def cut(batches):
         for batch in batches:
             for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from _frame_batches(source, content or b"")
+                yield from _batches(source, P.frame(content or b""))
 
     return texts.select("source", "content").mapInArrow(cut, FRAMES)
 
@@ -105,15 +246,27 @@ def _parse(strict: bool):
         g = P.parse_game(raw or b"", strict)
         tags = {k: v.decode("utf-8", "replace") for k, v in g["tags"].items()}
         date = g["raw_tags"].get("Date", g["raw_tags"].get("UTCDate"))
-        return {"tags": tags, "raw_date": None if date is None else date.decode("utf-8", "replace"), "moves": g["moves"], "outcome": g["outcome"], "error": g["error"], "counts": g["counts"]}
+        return {
+            "tags": tags, "raw_date": None if date is None else date.decode("utf-8", "replace"), "raw_date_tag": _text(g["raw_tags"].get("Date")), "raw_utc_date": _text(g["raw_tags"].get("UTCDate")),
+            "moves": g["moves"], "plies": len(g["moves"]), "outcome": g["outcome"], "error": g["error"], "counts": g["counts"],
+        }
 
     return parse
 
 
-def parse_games(frames: DataFrame, raw: str = "raw", strict: bool = True) -> DataFrame:
-    """Adds tags (the first of a name wins), raw_date, moves, outcome, error and event counts."""
+def _text(raw: bytes | None) -> str | None:
+    return None if raw is None else raw.decode("utf-8", "replace")
+
+
+def parse_games(frames: DataFrame, raw: str = "raw", strict: bool = True, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds tags (the first of a name wins), raw_date, raw_date_tag, raw_utc_date, moves, plies, outcome, error and event counts.
+
+    With `fields` only those of them, and of `frames` no column that is not needed: what a query does not ask for is
+    neither sent to Python nor back.
+    """
     frames = frames.withColumnRenamed("error", "frame_error") if "error" in frames.columns else frames
-    return _with(frames, raw, _parse(strict), PARSED)
+    wanted = PARSED if fields is None else T.StructType([f for f in PARSED.fields if f.name in fields])
+    return _with(frames, raw, _parse(strict), wanted)
 
 
 def game_rows(parsed: DataFrame) -> DataFrame:
@@ -125,7 +278,7 @@ def game_rows(parsed: DataFrame) -> DataFrame:
             "date_text": C.effective_date(tag("Date"), tag("UTCDate")), "time_control": tag("TimeControl"),
             "white_elo": C.parse_u32(tag("WhiteElo")), "black_elo": C.parse_u32(tag("BlackElo")),
             "fen": tag("FEN"), "variant": tag("Variant"),
-            "result": F.coalesce("outcome", F.lit(0)), "mainline_plies": F.size("moves").cast("bigint"), "pgn_bytes": F.length("raw").cast("bigint") if "raw" in parsed.columns else F.length("pgn").cast("bigint"),
+            "result": F.coalesce("outcome", F.lit(0)), "mainline_plies": F.col("plies").cast("bigint"), "pgn_bytes": F.length("raw").cast("bigint") if "raw" in parsed.columns else F.length("pgn").cast("bigint"),
         }
     ).withColumns({"white_key": C.ascii_fold(F.col("white")), "black_key": C.ascii_fold(F.col("black")), "played_on": C.parse_date(F.col("date_text"))})
 
@@ -222,6 +375,22 @@ def replay(rows: DataFrame) -> DataFrame:
     return _with(named, "__line", replay_line, _REPLAY).drop("__line")
 
 
+def first_plies(rows: DataFrame, key: bytes) -> DataFrame:
+    """Adds `first_ply` to games with fen, variant and moves: the first ply at which the mainline has the position of the key, else null.
+
+    Only the ply comes back from Python, none of the positions.
+    """
+    standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
+    named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
+    schema = T.StructType([T.StructField("first_ply", T.IntegerType())])
+    return _with(named, "__line", lambda line: {"first_ply": None if line is None else _first_ply(line, key)}, schema).drop("__line")
+
+
+@lru_cache(_OPENINGS)
+def _first_ply(line: str, key: bytes) -> int | None:
+    return next((s["ply"] for s in replay_line(line)["steps"] if s["position_key"] == key), None)
+
+
 def position_rows(replayed: DataFrame) -> DataFrame:
     """position_key, game_id, ply of every position that a game's mainline visits."""
     return replayed.select("game_id", F.explode("steps").alias("s")).select("s.position_key", "game_id", "s.ply")

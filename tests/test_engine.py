@@ -65,6 +65,38 @@ def test_files_become_games(spark, folder):
     assert rows["bob", "Carol"]["played_on"] == 20210304 and rows["bob", "Carol"]["black_elo"] is None and rows["bob", "Carol"]["white_key"] == "bob"
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path):
+    """Ranges give the games, places and lines of the file read whole; a file whose comments look like games is read whole."""
+    import random
+
+    rng = random.Random(4)
+    game = lambda i: f'[Event "E{i}"]\n[White "w{rng.randint(0, 9)}"]\n\n1. e4 {{note {i}}} e5 2. Nf3 {"1-0" if i % 2 else "*"}\n\n'
+    plain = "".join(game(i) for i in range(500)).encode()
+    (tmp_path / "plain.pgn").write_bytes(plain)
+    (tmp_path / "tricky.pgn").write_bytes(b'[Event "A"]\n\n1. e4 {' + b'x\n1-0\n\n[Event "no game"]\n\n' * 200 + b'} e5 1-0\n\n' + plain[:3000])
+    (tmp_path / "same.pgn.zst").write_bytes(zstandard.compress(plain))
+    key = lambda rows: sorted((r["source"].rsplit("/", 1)[1], r["source_game"], r["byte_offset"], bytes(r["raw"]), r["error"], r["first_line"]) for r in rows)
+    whole = key(pgn.read_frames(spark, str(tmp_path)).collect())
+    assert whole == key(pgn.read_frames(spark, str(tmp_path), range_bytes=1000).collect())
+    plan = pgn.plan_ranges(spark, pgn.discover(spark, str(tmp_path)), 1000).collect()
+    assert sum(r["source"].endswith("plain.pgn") for r in plan) > 20 and sum(r["source"].endswith("tricky.pgn") for r in plan) == 1
+    assert [r[4:] for r in whole if r[0] == "plain.pgn"][499] == (None, plain[: plain.rindex(b"[Event")].count(b"\n") - 2)
+    assert [r[1:3] for r in whole if r[0] == "plain.pgn"] == [r[1:3] for r in whole if r[0] == "same.pgn.zst"]
+    (tmp_path / "empty").mkdir()
+    for missing in ("empty", "nowhere"):
+        with pytest.raises(FileNotFoundError):
+            pgn.read_frames(spark, str(tmp_path / missing))
+    b, a = str(tmp_path / "tricky.pgn"), str(tmp_path / "plain.pgn")
+    assert [f.rsplit("/", 1)[1] for f, _ in pgn.discover(spark, b, a)] == ["tricky.pgn", "plain.pgn"]
+
+
+def test_standard_input(spark):
+    import io
+
+    rows = pgn.read_stdin(spark, io.BytesIO(TWO)).collect()
+    assert [(r["source"], r["source_game"], r["error"]) for r in rows] == [("stdin", 0, None), ("stdin", 1, None)]
+
+
 def test_queries_on_files(spark, folder, tmp_path):
     games = loaded(spark, folder).where("source LIKE '%a.pgn'")
     assert GameQuery(player="BOB").run(games).count() == 2
@@ -72,6 +104,8 @@ def test_queries_on_files(spark, folder, tmp_path):
     replayed = pgn.replay(games)
     found = GameQuery(position="rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2").run(replayed, pgn.position_rows(replayed))
     assert [r["first_ply"] for r in found.collect()] == [2]
+    fen = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
+    assert [r["first_ply"] for r in GameQuery(position=fen).run(games).collect()] == [2] == [r["first_ply"] for r in GameQuery(position=fen).run(replayed).collect()]
     assert summary(games, GameQuery(player="carol").run(games)).first()["matches"] == 1
     errors = loaded(spark, folder).where("frame_error IS NOT NULL")
     assert count_unless_failed(games, errors).first()["matches"] is None
