@@ -106,7 +106,7 @@ def id_filename(game_id: Column) -> Column:
 
 def player_result(result: Column, white_key: Column, black_key: Column, player: str) -> Column:
     """win, draw, loss, unfinished or unclassified of a player; White is looked at first."""
-    p = F.lit(player.lower() if player.isascii() else player)
+    p = ascii_fold(F.lit(player))
     side = F.when(white_key == p, 1).when(black_key == p, 2)
     return F.when(side.isNull(), "unclassified").when(result == 0, "unfinished").when(result == 3, "draw").when(result == side, "win").otherwise("loss")
 
@@ -155,8 +155,100 @@ def move_text(numbered_sans: Column) -> Column:
     return F.array_join(F.transform(numbered_sans, lambda s, i: F.when(i % 2 == 0, F.concat((i / 2 + 1).cast("int").cast("string"), F.lit(". "), s)).otherwise(s)), " ")
 
 
-def score_text(kind: Column, value: Column) -> Column:
-    """Pawns to two decimals, or mate for or against."""
-    return F.when(kind == "centipawns", F.format_string("%+.2f", value / 100)).when(kind == "mate_for", F.concat(F.lit("mate in "), value.cast("string"))).when(
-        kind == "mate_against", F.concat(F.lit("mated in "), value.cast("string"))
+def score_text(kind: Column, value: Column, bound: Column | None = None) -> Column:
+    """Pawns to two decimals, or mate for or against you; bounds say at least or at most."""
+    prefix = F.lit("") if bound is None else F.when(bound == "lower", "at least ").when(bound == "upper", "at most ").otherwise("")
+    mate = F.concat(F.lit("mate "), F.when(kind == "mate_for", "for").otherwise("against"), F.lit(" you"), F.when(value != 0, F.concat(F.lit(" in "), value.cast("string"))).otherwise(""))
+    return F.concat(prefix, F.when(kind == "centipawns", F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.2f pawns", value / 100))).otherwise(mate))
+
+
+def loss_text(kind: Column, least: Column, exact: Column) -> Column:
+    cp = F.concat(F.when(exact, "").otherwise("at least "), F.format_string("%.2f pawns of evaluation lost", least / 100))
+    return F.when(kind == "centipawns", cp).when(kind == "allowed_mate", "allowed a forced mate").otherwise("lost a forced mate")
+
+
+def choice(c: Column, table: dict[str, str]) -> Column:
+    """The text that a fixed table has for a value, else an empty one."""
+    out = F.lit("")
+    for value, text in reversed(table.items()):
+        out = F.when(c == value, text).otherwise(out)
+    return out
+
+
+# Labels of queue states, and feedback on attempts.
+QUEUE_LABELS = {
+    "unseen": "NOT ANALYZED", "analyzing": "ANALYZING", "ready": "READY TO PRACTICE", "skipped": "SKIPPED", "attempted": "ATTEMPTED", "completed": "COMPLETED ✓", "deferred": "FOR LATER",
+    "unsupported": "UNSUPPORTED", "failed": "FAILED",
+}
+FEEDBACK = {
+    "strong": "Strong move — within the accepted tolerance.", "try_again": "Try again — a stronger continuation is available.",
+    "inconclusive": "The engine evidence is inconclusive at this budget. Try another move or reveal the answer.", "illegal": "That move is not legal.",
+}
+
+
+def queue_state(status: Column, disposition: Column, solution: Column, revealed: Column, attempts: Column) -> Column:
+    """What a game of the review queue is: its practice decides where there is one (disposition not null), else its analysis."""
+    tried = revealed | (solution != "unsolved") | (attempts > 0)
+    return (
+        F.when(disposition == "completed", "completed").when(disposition == "again_later", "deferred").when(disposition == "skipped", "skipped")
+        .when(disposition.isNotNull() & tried, "attempted").when(disposition.isNotNull(), "ready").otherwise(status)
+    )
+
+
+def recommendation_label(points: Column, begun: Column, all_ready: Column, losses: Column) -> Column:
+    """What to do next with a player's lost games: practise, look at or go on with the diagnosis, or begin it."""
+    many = lambda n, one, more: F.when(n == 1, one).otherwise(more)
+    return (
+        F.when(points > 0, F.concat(F.lit("Practice "), points.cast("string"), F.lit(" "), many(points, "position", "positions"), F.lit(" →")))
+        .when(begun & all_ready, "View diagnosis summary →").when(begun, "Continue diagnosis →")
+        .otherwise(F.concat(F.lit("Diagnose "), losses.cast("string"), F.lit(" "), many(losses, "loss", "losses"), F.lit(" →")))
+    )
+
+
+def fen_squares(fen: Column) -> Column:
+    """The 64 squares of a FEN's placement from a8 to h1, as structs of name and piece (empty where there is none); none for another shape."""
+    rows = F.split(F.split(fen, " ")[0], "/")
+    wide = rows
+    for n in range(1, 9):
+        wide = F.transform(wide, lambda r, n=n: F.replace(r, F.lit(str(n)), F.lit("." * n)))
+    cells = F.array_join(wide, "")
+    shaped = (F.size(rows) == 8) & F.forall(wide, lambda r: F.length(r) == 8)
+    square = lambda i: F.struct(F.concat(F.char(F.lit(97) + i % 8), (8 - F.floor(i / 8)).cast("string")).alias("name"), F.replace(cells.substr(i + 1, F.lit(1)), F.lit("."), F.lit("")).alias("piece"))
+    empty = F.array().cast("array<struct<name:string,piece:string>>")
+    return F.when(shaped, F.transform(F.sequence(F.lit(0), F.lit(63)), square)).otherwise(empty)
+
+
+_UCI = r"\A[a-h][1-8][a-h][1-8][qrbn]?\z"
+
+
+def describe_move(fen: Column, uci: Column) -> Column:
+    """`pawn from e2 to e4`, with castling, what is taken and what a pawn becomes; empty for what is no move."""
+    names = F.create_map(*(F.lit(x) for pair in (("p", "pawn"), ("n", "knight"), ("b", "bishop"), ("r", "rook"), ("q", "queen"), ("k", "king")) for x in pair))
+    piece = lambda name: F.lower(F.try_element_at(F.map_from_entries(fen_squares(fen)), name))
+    start, end, promoted = F.substring(uci, 1, 2), F.substring(uci, 3, 2), F.substring(uci, 5, 1)
+    moved, taken = piece(start), F.nullif(piece(end), F.lit(""))
+    castles = (moved == "k") & (F.abs(F.ascii(start) - F.ascii(end)) == 2)
+    parts = (
+        F.coalesce(F.try_element_at(names, moved), F.lit("piece")), F.lit(" from "), start, F.lit(" to "), end, F.when(castles, " (castling)").otherwise(""),
+        F.coalesce(F.concat(F.lit(", capturing a "), F.try_element_at(names, taken)), F.lit("")), F.coalesce(F.concat(F.lit(", promote to "), F.try_element_at(names, promoted)), F.lit("")),
     )
+    return F.when(F.coalesce(uci.rlike(_UCI), F.lit(False)), F.concat(*parts)).otherwise("")
+
+
+def move_arrow(uci: Column, black: bool = False) -> Column:
+    """x1, y1, x2, y2 of a move's arrow on a board of 800 by 800, seen from a side; null for what is no move."""
+    file = lambda k: F.ascii(uci.substr(k, 1)) - 97
+    rank = lambda k: F.ascii(uci.substr(k, 1)) - 49
+    x = lambda k: 750 - file(k) * 100 if black else 50 + file(k) * 100
+    y = lambda k: 50 + rank(k) * 100 if black else 750 - rank(k) * 100
+    return F.when(uci.rlike(_UCI), F.struct(x(1).alias("x1"), y(2).alias("y1"), x(3).alias("x2"), y(4).alias("y2")))
+
+
+def throughput(size: Column, seconds: Column) -> Column:
+    """MiB a second; 0 where no time has passed."""
+    return F.when(seconds > 0, size / 1048576 / seconds).otherwise(0.0)
+
+
+def compression_ratio(packed: Column, plain: Column) -> Column:
+    """Packed bytes as a share of the plain ones; 0 where there are none."""
+    return F.when(plain > 0, packed / plain).otherwise(0.0)

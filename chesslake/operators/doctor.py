@@ -92,29 +92,37 @@ def validate(raw: bytes, semantic: bool = True) -> dict:
 
 
 def locate(raw: bytes, offset: int) -> tuple[int, int, str]:
-    """Lines before the byte, its column from 1, and its line cut to a readable length around it."""
-    start = max(raw.rfind(b"\n", 0, offset), raw.rfind(b"\r", 0, offset)) + 1
-    end = re.compile(rb"[\r\n]|\Z").search(raw, offset).start()
-    low = max(start, offset - EXCERPT // 2)
-    high = min(end, low + EXCERPT)
-    text = _show(raw[low:high])
-    return raw.count(b"\n", 0, offset), offset - start + 1, ("…" if low > start else "") + text + ("…" if high < end else "")
+    """Line ends before the byte, its column from 1, and its line, of which EXCERPT bytes around it where it is longer.
+
+    Lines end at line feeds; a carriage return is a character of its line but no part of an excerpt's end.
+    """
+    start = raw.rfind(b"\n", 0, offset) + 1
+    end = raw.find(b"\n", offset)
+    end = len(raw) if end < 0 else end
+    low, high = start, end
+    if end - start > EXCERPT:
+        low = min(max(offset - EXCERPT // 2, start), end - EXCERPT)
+        high = low + EXCERPT
+    text = ("…" if low > start else "") + _show(raw[low:high]) + ("…" if high < end else "")
+    return raw.count(b"\n", 0, offset), offset - start + 1, text.removesuffix("\r")
 
 
 def diagnose(frames: DataFrame, semantic: bool = True) -> DataFrame:
     """One row per game: moves, and where there is a fault its category, ply, byte in the source and place in lines.
 
-    Games are numbered from 1; lines are counted over the games before, so `line` holds for the whole source.
+    Games are numbered from 1. `line` holds for the whole source where the frames tell the line ends before each game
+    (`first_line`), as `read_frames` does; else it is the game's own.
     """
 
     def run(batches):
         for batch in batches:
             rows = []
-            for source, number, base, raw, error in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for source, number, base, raw, error, lines in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 raw = raw or b""
                 got = validate(raw, semantic)
                 fault = got["fault"] or ((("limit" if error == "game_too_large" else "syntax"), len(raw), None, None, error) if error else None)
                 place = locate(raw, fault[1]) if fault else (None, None, None)
+                place = place if place[0] is None else (lines + place[0] + 1, *place[1:])
                 category, offset, ply, context, message = fault or (None,) * 5
                 rows.append((source, number + 1, base, got["moves"], category, ply, None if offset is None else base + offset, context, message, list(got["headers"].items()), *place))
             if rows:
@@ -122,10 +130,28 @@ def diagnose(frames: DataFrame, semantic: bool = True) -> DataFrame:
                 names = ["source", "game", "byte_offset", "moves", "category", "ply", "byte", "context", "message", "headers", "line", "column", "excerpt"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    checked = frames.select("source", "source_game", "byte_offset", "raw", "error").mapInArrow(run, DIAGNOSTICS)
-    feeds = frames.select("source", (F.col("source_game") + 1).alias("game"), (F.length("raw") - F.length(F.replace(F.col("raw").cast("string"), F.lit("\n"), F.lit("")).cast("binary"))).alias("feeds"))
-    before = F.coalesce(F.sum("feeds").over(Window.partitionBy("source").orderBy("game").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return checked.join(feeds.select("source", "game", before.alias("feeds_before")), ["source", "game"]).withColumn("line", F.col("line") + F.col("feeds_before") + 1).drop("feeds_before")
+    before = F.col("first_line") if "first_line" in frames.columns else F.lit(0).cast("long")
+    return frames.select("source", "source_game", "byte_offset", "raw", "error", before.alias("first_line")).mapInArrow(run, DIAGNOSTICS)
+
+
+def inputs(failed: DataFrame) -> DataFrame:
+    """Diagnostics of sources (source, message) that could not be read: the category `input`, without a game."""
+    empty = lambda kind: F.lit(None).cast(kind)
+    own = {"source": F.col("source"), "moves": F.lit(0).cast("long"), "category": F.lit("input"), "message": F.col("message")}
+    fields = [f.strip().rsplit(" ", 1) for f in DIAGNOSTICS.replace("map<string,string>", "map").split(",")]
+    return failed.select(*(own[n].alias(n) if n in own else empty("map<string,string>" if t == "map" else t).alias(n) for n, t in ((f[0].strip("`"), f[1]) for f in fields)))
+
+
+def first_faults(diagnostics: DataFrame) -> DataFrame:
+    """The first fault of each source, which a scan that stops there gives."""
+    found = diagnostics.where("category IS NOT NULL")
+    return found.groupBy("source").agg(F.min_by(F.struct(*(c for c in found.columns if c != "source")), F.coalesce("game", F.lit(0))).alias("f")).select("source", "f.*")
+
+
+def exit_status(diagnostics: DataFrame) -> DataFrame:
+    """source and status: 0 valid, 1 invalid, 2 for what could not be read."""
+    worst = F.max(F.when(F.col("category") == "input", 2).when(F.col("category").isNotNull(), 1).otherwise(0))
+    return diagnostics.groupBy("source").agg(worst.alias("status"))
 
 
 def limited(diagnostics: DataFrame, most: int = 1) -> DataFrame:

@@ -73,79 +73,131 @@ def diagnose(decisions: DataFrame) -> DataFrame:
 
 
 def review_summary(records: DataFrame) -> DataFrame:
-    """One row over reviewed games with move_number, loss_kind, loss, exact, inconclusive_moves, solution and disposition."""
+    """One row over reviewed games with move_number, loss_kind, loss, exact, inconclusive_moves, solution, revealed and disposition."""
     turned = F.col("loss_kind").isNotNull()
     cp = F.when(F.col("loss_kind") == "centipawns", F.col("loss"))
+    done = F.col("disposition") == "completed"
     return records.agg(
         F.count(F.lit(1)).alias("games_analyzed"), F.count_if(turned).alias("turning_points"), F.count_if(~turned).alias("no_clear_turning_point"),
         F.sum("inconclusive_moves").alias("inconclusive_moves"), F.min(F.when(turned, F.col("move_number"))).alias("first_move"), F.max(F.when(turned, F.col("move_number"))).alias("last_move"),
         F.count(cp).alias("losses"), F.avg(cp).alias("mean_cp"), F.percentile(cp, F.lit(0.5)).alias("median_cp"), F.coalesce(F.bool_or(~F.col("exact") & cp.isNotNull()), F.lit(False)).alias("minimum_only"),
         F.count_if(F.col("loss_kind") == "allowed_mate").alias("allowed_mates"), F.count_if(F.col("loss_kind") == "lost_forced_mate").alias("lost_forced_mates"),
-        F.count_if(F.col("solution") == "without_reveal").alias("solved_without_reveal"), F.count_if(F.col("disposition") == "skipped").alias("skipped"),
+        F.count_if(F.col("solution") == "without_reveal").alias("solved_without_reveal"), F.count_if(F.col("solution") == "after_hint").alias("solved_after_hint"),
+        F.count_if(F.col("revealed") & done & (F.col("solution") != "without_reveal")).alias("completed_after_reveal"),
+        F.count_if(F.col("disposition") == "again_later").alias("practice_again_later"), F.count_if(F.col("disposition") == "skipped").alias("skipped"),
     )
 
 
 def repeated_positions(points: DataFrame) -> DataFrame:
-    """Positions that several games turned at, and moves that several of those games chose."""
-    moves = points.groupBy("position", "played_uci").agg(F.count(F.lit(1)).alias("n"))
+    """Positions that several games turned at, and moves that several of those games chose, each with its games and first notation.
+
+    `points` has position, game_id, played_uci and played_san; the first notation is that of the least game_id.
+    """
+    moves = points.groupBy("position", "played_uci").agg(F.count(F.lit(1)).alias("n"), F.min_by("played_san", "game_id").alias("san"))
     return (
-        moves.groupBy("position").agg(F.sum("n").alias("games"), F.sort_array(F.filter(F.collect_list(F.struct("played_uci", "n")), lambda x: x["n"] > 1)).alias("repeated"))
-        .where("games > 1").select("position", "games", F.array_join(F.transform("repeated", lambda x: F.concat(x["played_uci"], F.lit(":"), x["n"].cast("string"))), ",").alias("repeated_choices"))
+        moves.groupBy("position").agg(F.sum("n").alias("games"), F.sort_array(F.filter(F.collect_list(F.struct("played_uci", "san", "n")), lambda x: x["n"] > 1)).alias("repeated"))
+        .where("games > 1").select("position", "games", F.array_join(F.transform("repeated", lambda x: F.concat(x["played_uci"], F.lit("="), x["san"], F.lit(":"), x["n"].cast("string"))), ",").alias("repeated_choices"))
     )
 
 
 def lesson_ranking(points: DataFrame) -> DataFrame:
-    """Points by recurrence, consequence, confidence and recency; active ones first, else those for later, else the unskipped."""
+    """Points by recurrence, consequence, confidence and recency; active ones first, else those for later, else the unskipped.
+
+    Active is what is not solved, not revealed and not put away.
+    """
     same = Window.partitionBy("position", "played_uci")
     cp = F.col("loss_kind") == "centipawns"
     consequence = F.when(cp, F.least(F.col("loss"), F.lit(1000)) / 100).otherwise(12)
     confidence = F.when(~cp | F.col("exact"), 1).otherwise(0)
-    tier = F.when((F.col("disposition") == "active") & (F.col("solution") == "unsolved"), 0).when(F.col("disposition") == "again_later", 1).when(F.col("disposition") != "skipped", 2)
+    active = (F.col("disposition") == "active") & (F.col("solution") == "unsolved") & ~F.col("revealed")
+    tier = F.when(active, 0).when(F.col("disposition") == "again_later", 1).when(F.col("disposition") != "skipped", 2)
     rows = points.withColumn("score", F.count(F.lit(1)).over(same) * 4 + consequence + confidence - F.col("recency") * 0.25).withColumn("tier", tier).where("tier IS NOT NULL")
     best = rows.agg(F.min("tier").alias("t"))
-    # a tier of finished lessons holds those of all tiers but the skipped
-    return rows.join(F.broadcast(best), F.col("tier") <= F.when(F.col("t") == 2, 2).otherwise(F.col("t"))).select("game_id", "score", "tier")
+    # if all are finished, those of every tier but the skipped stand
+    return rows.join(F.broadcast(best), F.col("tier") == F.col("t")).select("game_id", "score", "tier")  # one row
+
+
+_MOST_EVIDENCE, _MOST_PV, _MOST_LINE = 128, 32, 65_536
+_MOVE = r"\A[a-h][1-8][a-h][1-8][qrbn]?\z"
 
 
 def uci_info(lines: DataFrame) -> DataFrame:
-    """Engine log lines (search, seq, line) to evaluations: principal variations with a score only."""
-    text = F.col("line")
-    part = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    rows = lines.where(text.rlike(r"\Ainfo\s.*\bscore (cp|mate) -?[0-9]+.*\bpv ")).where(~text.rlike(r"\bmultipv ([02-9]|1[0-9])"))
-    value = part(r"\bscore (?:cp|mate) (-?[0-9]+)").cast("int")
-    mate = text.rlike(r"\bscore mate ")
+    """Engine log lines (search, seq, line) to evaluations: search, seq, depth, kind, value, bound, pv and error.
+
+    Secondary variations, lines without a score and `info string` give nothing; a line that breaks the protocol gives a row
+    with what is wrong.
+    """
+    rows = lines.withColumn("w", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
+    after = lambda name, k: F.when(F.array_contains("w", name), F.get("w", F.array_position("w", F.lit(name)).cast("int") - 1 + k))
+    multi = after("multipv", 1)
+    has = lambda name: F.array_contains("w", name)
+    told = (F.get("w", F.lit(0)) == "info") & ~F.coalesce(F.get("w", F.lit(1)) == "string", F.lit(False)) & (~has("multipv") | F.coalesce(multi == "1", F.lit(False))) & has("score")
+    number = lambda c, least: F.when(c.rlike(r"\A[+-]?[0-9]{1,10}\z"), c.cast("bigint")).cast("bigint")
+    value = number(after("score", 2), 0)
+    value = F.when((value > -2147483648) & (value <= 2147483647), value.cast("int"))
+    kind, depth = after("score", 1), F.when(after("depth", 1).rlike(r"\A\+?[0-9]{1,10}\z"), after("depth", 1).cast("bigint"))
+    pv = F.when(has("pv"), F.slice("w", F.array_position("w", F.lit("pv")).cast("int") + 1, F.lit(_MOST_PV))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"long": F.octet_length("line") > _MOST_LINE, "told": told}).where("long OR told")
+    error = (
+        F.when(F.col("long"), "oversized line").when(value.isNull(), "invalid score").when(~F.coalesce(kind.isin("cp", "mate"), F.lit(False)), "invalid score type")
+        .when(has("lowerbound") & has("upperbound"), "conflicting score bounds").when(has("depth") & depth.isNull(), "invalid depth")
+        .when(F.exists(pv, lambda m: ~m.rlike(_MOVE)), "invalid variation")
+    )
+    mate = kind == "mate"
     return rows.select(
-        "search", "seq", part(r"\bdepth ([0-9]+)").cast("int").alias("depth"),
-        F.when(~mate, "centipawns").when(value > 0, "mate_for").otherwise("mate_against").alias("kind"), F.when(mate, F.abs(value)).otherwise(value).alias("value"),
-        F.when(text.contains(" lowerbound"), "lower").when(text.contains(" upperbound"), "upper").otherwise("exact").alias("bound"), F.slice(F.split(part(r"\bpv (.*)\z"), r"\s+"), 1, 32).alias("pv"),
+        "search", "seq", depth.cast("int").alias("depth"), F.when(~mate, "centipawns").when(value > 0, "mate_for").otherwise("mate_against").alias("kind"), F.when(mate, F.abs(value)).otherwise(value).alias("value"),
+        F.when(has("lowerbound"), "lower").when(has("upperbound"), "upper").otherwise("exact").alias("bound"), pv.alias("pv"), error.alias("error"),
     )
 
 
 def best_evidence(lines: DataFrame) -> DataFrame:
-    """For each search the evidence of its best move: the latest line that begins with it, and if that is only
-    a bound, the exact line with the same move one iteration before."""
-    best = lines.where(F.col("line").startswith("bestmove ")).groupBy("search").agg(F.max_by(F.regexp_extract("line", r"\Abestmove (\S+)", 1), "seq").alias("best"))
-    info = uci_info(lines).join(best, "search").where(F.col("pv")[0] == F.col("best"))
-    last = info.groupBy("search").agg(F.max_by(F.struct("seq", "depth", "kind", "value", "bound", "pv"), "seq").alias("last"))
-    exact = info.join(last, "search").where((F.col("bound") == "exact") & (F.col("depth") + 1 == F.col("last.depth")))
-    before = exact.groupBy("search").agg(F.max_by(F.struct("seq", "depth", "kind", "value", "bound", "pv"), "seq").alias("before"))
-    chosen = F.when((F.col("last.bound") != "exact") & F.col("before").isNotNull(), F.col("before")).otherwise(F.col("last"))
-    return last.join(before, "search", "left").join(best, "search").select("search", "best", chosen.alias("e")).select("search", "best", "e.*")
-
-
-def practice_state(attempts: DataFrame, most: int = 100) -> DataFrame:
-    """Practice per game from its actions in order (game_id, seq, action, verdict).
-
-    Attempts are kept up to `most` but all are counted; the first strong attempt settles the solution by what had been shown
-    before; the last disposition action counts.
+    """search, best, seq, depth, kind, value, bound, pv, score_source and error of each search that ended with a best move.
+
+    The evidence is the latest line that begins with the best move (without a move for a finished game). If that is only
+    a bound, the latest exact line stands in, if it has the same move and is of the iteration before. Of a search's lines the last 128 count.
     """
-    first = lambda c: F.min(F.when(c, F.col("seq")))
-    a = F.col("action")
-    last = F.max_by(F.when(a.isin("skip", "again_later", "complete"), a), F.when(a.isin("skip", "again_later", "complete"), F.col("seq")))
-    rows = attempts.groupBy("game_id").agg(
-        F.count_if(a == "attempt").alias("total_attempts"), first((a == "attempt") & (F.col("verdict") == "strong")).alias("solved"),
-        first(a == "hint").alias("hint"), first(a == "reveal").alias("reveal"), last.alias("last"),
+    best = lines.where(F.col("line").startswith("bestmove ")).groupBy("search").agg(F.min_by("line", "seq").alias("line"), F.min("seq").alias("ended"))
+    word = F.get(F.split(F.trim(F.regexp_replace(F.col("line").substr(F.lit(10), F.length("line")), r"\s+", " ")), " "), F.lit(0))
+    best = best.select("search", "ended", F.when(~word.isin("(none)", "0000"), word).alias("best"), F.when(~word.isin("(none)", "0000") & ~word.rlike(_MOVE), "invalid bestmove").alias("bad"))
+    info = uci_info(lines).join(best, "search").where("seq < ended")
+    info = info.withColumn("k", F.row_number().over(Window.partitionBy("search").orderBy(F.desc("seq")))).where(F.col("k") <= _MOST_EVIDENCE)
+    fields = F.struct("seq", "depth", "kind", "value", "bound", "pv")
+    own = F.get("pv", F.lit(0)).eqNullSafe(F.col("best"))
+    found = info.groupBy("search").agg(
+        F.max_by(F.when(own, fields), F.when(own, F.col("seq"))).alias("last"), F.max_by(F.when(F.col("bound") == "exact", fields), F.when(F.col("bound") == "exact", F.col("seq"))).alias("exact"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("broken"),
     )
-    solution = F.when(F.col("solved").isNull(), "unsolved").when(F.col("reveal") < F.col("solved"), "after_reveal").when(F.col("hint") < F.col("solved"), "after_hint").otherwise("without_reveal")
-    disposition = F.when(F.col("last") == "skip", "skipped").when(F.col("last") == "complete", "completed").otherwise(F.coalesce("last", F.lit("active")))
-    return rows.select("game_id", "total_attempts", F.least("total_attempts", F.lit(most)).alias("kept_attempts"), solution.alias("solution"), F.col("reveal").isNotNull().alias("revealed"), disposition.alias("disposition"))
+    rows = best.join(found, "search", "left")
+    stands_in = (F.col("last.bound") != "exact") & F.get("exact.pv", F.lit(0)).eqNullSafe(F.col("best")) & (F.col("exact.depth") + 1 == F.col("last.depth"))
+    stands_in = F.coalesce(stands_in, F.lit(False))
+    chosen = F.when(stands_in, F.col("exact")).otherwise(F.col("last"))
+    error = F.coalesce("broken", "bad", F.when(F.col("last").isNull(), "missing score for bestmove"))
+    return rows.select("search", "best", chosen.alias("e"), F.when(stands_in, "previous_completed_iteration").otherwise("latest_report").alias("score_source"), error.alias("error")).select("search", "best", "e.*", "score_source", "error")
+
+
+_STATE = "struct<total:bigint,kept:int,solution:string,revealed:boolean,disposition:string>"
+
+
+def practice_state(actions: DataFrame, most: int = 100) -> DataFrame:
+    """Practice per exercise from its actions in order (game_id, seq, action, verdict), folded one by one.
+
+    `attempt` counts (all of them, `most` are kept); the first strong one settles the solution, after_hint if the answer had been
+    revealed and else without_reveal; a strong attempt completes the exercise, any other makes it active. `reveal` and `done`
+    complete it, `later` puts it off, `skip` skips it, `replay` makes it active again.
+    """
+    def step(s: Column, x: Column) -> Column:
+        a, strong = x["action"], F.coalesce(x["verdict"] == "strong", F.lit(False))
+        attempt = a == "attempt"
+        solution = F.when(attempt & strong & (s["solution"] == "unsolved"), F.when(s["revealed"], "after_hint").otherwise("without_reveal")).otherwise(s["solution"])
+        disposition = (
+            F.when(attempt, F.when(strong, "completed").otherwise("active")).when(a.isin("reveal", "done"), "completed").when(a == "later", "again_later").when(a == "skip", "skipped")
+            .when(a == "replay", "active").otherwise(s["disposition"])
+        )
+        return F.struct(
+            (s["total"] + attempt.cast("bigint")).alias("total"), F.least(s["kept"] + attempt.cast("int"), F.lit(most)).alias("kept"), solution.alias("solution"),
+            (s["revealed"] | (a == "reveal")).alias("revealed"), disposition.alias("disposition"),
+        ).cast(_STATE)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("kept"), F.lit("unsolved").alias("solution"), F.lit(False).alias("revealed"), F.lit("active").alias("disposition")).cast(_STATE)
+    ordered = actions.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action", "verdict"))).alias("a"))
+    state = ordered.select("game_id", F.aggregate("a", start, step).alias("s"))
+    return state.select("game_id", F.col("s.total").alias("total_attempts"), F.col("s.kept").alias("kept_attempts"), "s.solution", "s.revealed", "s.disposition")

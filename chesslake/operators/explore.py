@@ -75,10 +75,11 @@ def visits(positions: DataFrame, games: DataFrame, low: int, high: int, player:
     return first.join(scoped(games, player), "game_id").withColumn("outcome", _outcome(player))
 
 
-def common_positions(visited: DataFrame, repeated_only: bool = False, top: int = TOP_POSITIONS) -> DataFrame:
-    """The positions that most games reach, with results."""
+def common_positions(visited: DataFrame, repeated_only: bool = False, top: int | None = TOP_POSITIONS) -> DataFrame:
+    """The positions that most games reach, with results; all of them without `top`."""
     totals = visited.groupBy("position_key").agg(F.count(F.lit(1)).alias("games"), *_tally(F.col("outcome")))
-    return (totals.where("games > 1") if repeated_only else totals).orderBy(F.desc("games"), "position_key").limit(top)
+    chosen = totals.where("games > 1") if repeated_only else totals
+    return chosen if top is None else chosen.orderBy(F.desc("games"), "position_key").limit(top)
 
 
 def samples(visited: DataFrame, player: str | None = None) -> DataFrame:

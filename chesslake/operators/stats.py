@@ -38,13 +38,26 @@ def headers(games: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def dates(games: DataFrame) -> DataFrame:
-    day = C.parse_date(F.col("date_text"), dashes=False)
-    return games.select("date_text", day.alias("day")).agg(
-        F.count("day").alias("complete"), F.count_if(F.col("date_text").isNotNull() & F.col("day").isNull()).alias("incomplete_or_invalid"),
-        F.count_if(F.col("date_text").isNull()).alias("missing"), F.min("day").alias("earliest"), F.max("day").alias("latest"),
+    """Days of the games, from the raw value of Date or, where that is absent, UTCDate; only dotted dates count.
+
+    Raw values stand in `raw_date_tag` and `raw_utc_date`, or both in `raw_date`; a library without them has `date_text`.
+    """
+    c = games.columns
+    raw = F.coalesce("raw_date_tag", "raw_utc_date") if "raw_date_tag" in c else F.col("raw_date" if "raw_date" in c else "date_text")
+    day = C.parse_date(raw, dashes=False)
+    return games.select(raw.alias("raw"), day.alias("day")).agg(
+        F.count("day").alias("complete"), F.count_if(F.col("raw").isNotNull() & F.col("day").isNull()).alias("incomplete_or_invalid"),
+        F.count_if(F.col("raw").isNull()).alias("missing"), F.min("day").alias("earliest"), F.max("day").alias("latest"),
     )
 
 
+def merged(reports: DataFrame, *by: str) -> DataFrame:
+    """Core reports of parts (sources, days) as the report of their whole: counters add up, averages are weighted anew."""
+    added = ["games", "plies", "white_wins", "black_wins", "draws", "unfinished"]
+    out = reports.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added), F.min("min_plies").alias("min_plies"), F.max("max_plies").alias("max_plies"))
+    return out.select(*by, *added, "min_plies", F.when(F.col("games") > 0, F.col("plies") / F.col("games")).otherwise(0.0).alias("avg_plies"), "max_plies")
+
+
 def _ratings(games: DataFrame) -> DataFrame:
     both = games.select(F.explode(F.array("white_elo_text", "black_elo_text")).alias("text"))
     return both.withColumn("rating", C.parse_u32(F.col("text")))

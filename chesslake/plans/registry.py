@@ -48,12 +48,18 @@ def replayed(spark: SparkSession, d: str) -> DataFrame:
 # Sources, framing, parsing
 
 
+_CHUNK = 500
+
+
 @query("scan_games", "SELECT source, count(*) AS games, CAST(max(source_game) AS BIGINT) AS last_game FROM g GROUP BY source")
 def scan_games(s, d):
-    """Every source as one text in the order of its games, cut into games again."""
+    """Sources as texts of bounded size in the order of their games, cut into games again and numbered through the source."""
     order = F.array_sort(F.collect_list(F.struct("source_game", "pgn")))
-    texts = with_pgn(raw_games(s, d)).groupBy("source").agg(F.array_join(F.transform(order, lambda x: x["pgn"].cast("string")), "").cast("binary").alias("content"))
-    return pgn.frames_of_texts(texts).where("error IS NULL").groupBy("source").agg(F.count(F.lit(1)).alias("games"), (F.max("source_game") + 1).alias("last_game"))
+    chunk = F.floor((F.col("source_game") - 1) / _CHUNK)
+    texts = with_pgn(raw_games(s, d)).groupBy("source", chunk.alias("chunk")).agg(F.array_join(F.transform(order, lambda x: x["pgn"].cast("string")), "").cast("binary").alias("content"))
+    named = texts.select(F.concat_ws("#", "source", "chunk").alias("source"), "content")
+    games = pgn.frames_of_texts(named).where("error IS NULL").select(F.substring_index("source", "#", 1).alias("source"), (F.substring_index("source", "#", -1).cast("long") * _CHUNK + F.col("source_game")).alias("source_game"))
+    return games.groupBy("source").agg(F.count(F.lit(1)).alias("games"), (F.max("source_game") + 1).alias("last_game"))
 
 
 @query("pgn_roundtrip_metadata", "SELECT game_id, white, black, date_text, white_elo, black_elo, time_control, result, mainline_plies, played_on FROM g")
@@ -83,12 +89,16 @@ def pgn_lenient(s, d):
     return pgn.parse_games(cut, "pgn", strict=False).select("game_id", F.size("moves").alias("plies_read"))
 
 
-@query("hostile_input", "SELECT CAST(count(*) AS BIGINT) AS texts, CAST(count(*) AS BIGINT) AS with_error_or_games FROM documents WHERE text IS NOT NULL", plain=False)
+@query("hostile_input", """SELECT count(*) AS texts, count(*) FILTER (kind = 'error') AS with_error, count(*) FILTER (kind <> 'error') AS with_outcome,
+  CAST(coalesce(sum(CASE WHEN kind <> 'error' THEN moves END), 0) AS BIGINT) AS moves FROM (
+    SELECT CASE WHEN regexp_full_match(text, '[ \\t\\n\\f\\r]*') THEN 'empty' WHEN regexp_full_match(text, '[a-zA-Z0-9.,''à-ÿÀ-Ý= "_-]*', 's') THEN 'words' ELSE 'other' END AS shape,
+      len(regexp_extract_all(text, '[^ \\t\\n\\f\\r]+')) AS moves, 'error' AS kind FROM documents WHERE text IS NOT NULL)""", plain=True)
 def hostile_input(s, d):
-    """Text that is no PGN gives errors or games, never an exception."""
+    """Text that is no PGN gives an error or games, never an exception, and never both nor neither."""
     texts = s.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select(F.col("text").cast("binary").alias("raw"))
-    got = pgn.parse_games(texts)
-    return got.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("error").isNotNull() | F.col("outcome").isNotNull() | (F.size("counts") >= 0)).alias("with_error_or_games"))
+    got = pgn.parse_games(texts, fields=("plies", "outcome", "error"))
+    bad, good = F.col("error").isNotNull(), F.col("error").isNull() & F.col("outcome").isNotNull()
+    return got.agg(F.count(F.lit(1)).alias("texts"), F.count_if(bad).alias("with_error"), F.count_if(good).alias("with_outcome"), F.coalesce(F.sum(F.when(good, F.col("plies"))), F.lit(0)).alias("moves"))
 
 
 # Scalar functions
@@ -209,7 +219,10 @@ _ITALIAN = "r1bqkbnr/pppp1ppp/2n5/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R w KQkq - 4 3"
 
 @query("query_position", oracle("SELECT game_id, 4 AS first_ply FROM g WHERE line_id IN (0, 6, 11)"), plain=True)
 def query_position(s, d):
-    return GameQuery(position=_ITALIAN).run(replayed(s, d)).select("game_id", "first_ply")
+    rows = pgn.parse_games(with_pgn(raw_games(s, d)).select("game_id", "pgn"), "pgn", fields=("tags", "moves"))
+    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    found = GameQuery(position=_ITALIAN).run(rows.select("game_id", tag("FEN").alias("fen"), tag("Variant").alias("variant"), "moves"))
+    return found.select("game_id", "first_ply")
 
 
 @query("query_position_player", oracle(f"SELECT game_id, 4 AS first_ply FROM g WHERE line_id IN (0, 6, 11) AND {_OWN}"), plain=True)
@@ -235,21 +248,28 @@ _OUTCOME = f"CASE WHEN {_WHITE} THEN result ELSE CASE result WHEN 1 THEN 2 WHEN
 
 @query("explore_openings", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name"), plain=True)
 def explore_openings(s, d):
-    """Every opening with its results; `explore.common_positions` ranks them."""
+    """Every opening with its results, without a limit; `explore_top_openings` ranks them."""
     visited, names = _explore(s, d, 4, 4)
-    return explore.common_positions(visited, top=1000).join(names, "position_key").drop("position_key")
+    return explore.common_positions(visited, top=None).join(names, "position_key").drop("position_key")
+
+
+@query("explore_top_openings", _positions_sql(f"SELECT /*visits*/ games, {_TALLY.replace('sum(', 'max(').replace('CASE WHEN o = 1 THEN 1 ELSE 0 END', 'wins').replace('CASE WHEN o = 3 THEN 1 ELSE 0 END', 'draws').replace('CASE WHEN o = 2 THEN 1 ELSE 0 END', 'losses').replace('CASE WHEN o = 0 THEN 1 ELSE 0 END', 'unfinished')} FROM (SELECT name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name ORDER BY games DESC LIMIT 6) GROUP BY name, games"), plain=True)
+def explore_top_openings(s, d):
+    """The six openings that most games reach; equal counts go by key, which the other engine has not, so names are left out."""
+    visited, _ = _explore(s, d, 4, 4)
+    return explore.common_positions(visited).drop("position_key")
 
 
 @query("explore_openings_scoped", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, {_OUTCOME} AS o FROM v WHERE ply = 4 AND {_OWN}) GROUP BY name"), plain=True)
 def explore_openings_scoped(s, d):
     visited, names = _explore(s, d, 4, 4, PLAYER)
-    return explore.common_positions(visited, top=1000).join(names, "position_key").drop("position_key")
+    return explore.common_positions(visited, top=None).join(names, "position_key").drop("position_key")
 
 
 @query("explore_recurring", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply BETWEEN 8 AND 40) GROUP BY name HAVING count(*) > 1"), plain=True)
 def explore_recurring(s, d):
     visited, names = _explore(s, d, 8, 40)
-    return explore.common_positions(visited, repeated_only=True, top=1000).join(names, "position_key").drop("position_key")
+    return explore.common_positions(visited, repeated_only=True, top=None).join(names, "position_key").drop("position_key")
 
 
 @query(
@@ -316,7 +336,20 @@ _CORE = "count(*) AS games, CAST(sum(mainline_plies) AS BIGINT) AS plies, count(
 
 @query("stats_core", f"SELECT {_CORE} FROM g")
 def stats_core(s, d):
-    return stats.core(parsed(s, d)).withColumn("avg_plies", F.round("avg_plies", 9))
+    rows = pgn.parse_games(with_pgn(raw_games(s, d)).select("pgn"), "pgn", fields=("plies", "outcome"))
+    return stats.core(rows.select(F.col("plies").cast("long").alias("mainline_plies"), F.coalesce("outcome", F.lit(0)).alias("result"))).withColumn("avg_plies", F.round("avg_plies", 9))
+
+
+@query("stats_merged", f"SELECT {_CORE} FROM g")
+def stats_merged(s, d):
+    """The reports of the sources put together are the report of the whole."""
+    return stats.merged(stats.core(games(s, d), "source")).withColumn("avg_plies", F.round("avg_plies", 9))
+
+
+@query("db_bytes", "SELECT source, count(*) AS games, CAST(sum(strlen(movetext)) AS BIGINT) AS bytes FROM g GROUP BY source")
+def db_bytes(s, d):
+    """Bytes per source, of the movetexts."""
+    return raw_games(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("games"), F.sum(F.octet_length("movetext").cast("long")).alias("bytes"))
 
 
 @query("stats_by_source", f"SELECT source, {_CORE} FROM g GROUP BY source")
@@ -339,7 +372,9 @@ def stats_headers(s, d):
 
 @query("stats_dates", "SELECT count(played_on) AS complete, count(*) FILTER (date_text IS NOT NULL AND played_on IS NULL) AS incomplete_or_invalid, count(*) FILTER (date_text IS NULL) AS missing, min(played_on) AS earliest, max(played_on) AS latest FROM g")
 def stats_dates(s, d):
-    return stats.dates(games(s, d))
+    """Dates as the games' texts have them: the raw values of their tags."""
+    rows = pgn.parse_games(with_pgn(raw_games(s, d)).select("pgn"), "pgn", fields=("raw_date_tag", "raw_utc_date"))
+    return stats.dates(rows)
 
 
 _BOTH = "(SELECT white_elo_text AS text, white_elo AS r FROM g UNION ALL SELECT black_elo_text, black_elo FROM g)"
@@ -420,10 +455,22 @@ def _faults(s, d) -> DataFrame:
     return rows.select("source", (F.col("source_game") - 1).alias("source_game"), F.lit(0).cast("bigint").alias("byte_offset"), planted.cast("binary").alias("raw"), F.lit(None).cast("string").alias("error"))
 
 
-@query("doctor_categories")
+_CATEGORY = """CASE game_id % 12 WHEN 1 THEN 'inconsistent_result' WHEN 2 THEN 'inconsistent_setup' WHEN 3 THEN 'invalid_fen' WHEN 4 THEN 'illegal_move' WHEN 5 THEN CASE WHEN plies > 0 THEN 'incorrect_move_number' END
+  WHEN 6 THEN 'syntax' WHEN 7 THEN 'invalid_san' END"""
+
+
+@query("doctor_categories", f"SELECT category, count(*) AS games, CAST(sum(moves) AS BIGINT) AS moves FROM (SELECT {_CATEGORY} AS category, CASE WHEN ({_CATEGORY}) IS NULL THEN plies + CASE WHEN line_id = 10 THEN 2 ELSE 0 END WHEN game_id % 12 = 1 THEN 0 ELSE 0 END AS moves FROM g) GROUP BY category")
 def doctor_categories(s, d):
+    """Faults of every kind, one a game at most, and the moves before them."""
+    found = doctor.diagnose(_faults(s, d))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("games"), F.sum("moves").alias("moves"))
+
+
+@query("doctor_first_faults", f"SELECT source, source_game AS game, {_CATEGORY} AS category, CAST(1 AS INTEGER) AS status FROM g WHERE ({_CATEGORY}) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY source_game) = 1")
+def doctor_first_faults(s, d):
+    """What a scan gives that stops at each source's first fault, with the source's exit status."""
     found = doctor.diagnose(_faults(s, d))
-    return found.groupBy("category").agg(F.count(F.lit(1)).alias("games"))
+    return doctor.first_faults(found).join(doctor.exit_status(found), "source").select("source", "game", "category", "status")
 
 
 @query("doctor_totals", "SELECT source, count(*) AS games, CAST(sum(plies + CASE WHEN line_id = 10 THEN 2 ELSE 0 END) AS BIGINT) AS moves, CAST(0 AS BIGINT) AS faults FROM g GROUP BY source")
@@ -451,10 +498,10 @@ def doctor_limit(s, d):
 # Database
 
 
-@query("db_info", f"SELECT count(*) AS games, CAST(sum(mainline_plies) AS BIGINT) AS plies, min(played_on) AS earliest, max(played_on) AS latest, count(*) FILTER (result = 1) AS white_wins, count(*) FILTER (result = 2) AS black_wins, count(*) FILTER (result = 3) AS draws, count(*) FILTER (result = 0) AS unfinished, count(DISTINCT source) AS sources, count(DISTINCT source) AS fingerprinted FROM g")
+@query("db_info", f"SELECT count(*) AS games, CAST(sum(mainline_plies) AS BIGINT) AS plies, min(played_on) AS earliest, max(played_on) AS latest, count(*) FILTER (result = 1) AS white_wins, count(*) FILTER (result = 2) AS black_wins, count(*) FILTER (result = 3) AS draws, count(*) FILTER (result = 0) AS unfinished, count(DISTINCT source) AS sources, count(DISTINCT source) AS fingerprinted, CAST(sum(plies + 1) AS BIGINT) AS positions FROM g")
 def db_info(s, d):
     rows = with_pgn(games(s, d))
-    return store.info(rows, store.fingerprints(rows))
+    return store.info(rows, store.fingerprints(rows), pgn.position_rows(replayed(s, d)))
 
 
 _PGN = """concat('[Event "Adapter"]', chr(10), coalesce(concat('[White "', white, '"]', chr(10)), ''), coalesce(concat('[Black "', black, '"]', chr(10)), ''), coalesce(concat('[Date "', date_text, '"]', chr(10)), ''),
@@ -465,7 +512,10 @@ for _t, _c in (("Black", "black"), ("Date", "date_text"), ("WhiteElo", "white_el
     _PGN = _PGN.replace(f"concat('[{_t} \"', {_c}, '\"]', chr(10))", f"'[{_t} \"' || {_c} || '\"]' || chr(10)")
 
 
-@query("db_fingerprint", f"SELECT source, sha256(string_agg(sha256({_PGN}), '' ORDER BY source_game)) AS fingerprint, count(*) AS games, CAST(sum(strlen({_PGN})) AS BIGINT) AS bytes FROM g GROUP BY source")
+_BLOCKED = f"(SELECT source, (source_game - 1) // {store.BLOCK} AS block, sha256(string_agg(sha256({_PGN}), '' ORDER BY source_game)) AS digest, count(*) AS n, sum(strlen({_PGN})) AS b FROM g GROUP BY ALL)"
+
+
+@query("db_fingerprint", f"SELECT source, sha256(string_agg(digest, '' ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS games, CAST(sum(b) AS BIGINT) AS bytes FROM {_BLOCKED} GROUP BY source")
 def db_fingerprint(s, d):
     return store.fingerprints(with_pgn(raw_games(s, d)))
 
@@ -485,12 +535,27 @@ def db_semi_delete(s, d):
     return store.without_source(pgn.position_rows(games_), games_, gone).agg(F.count(F.lit(1)).alias("positions"))
 
 
+@query("db_damaged_games", "SELECT CASE game_id % 1000 WHEN 1 THEN 'size_invalid' WHEN 2 THEN 'size_differs' ELSE 'pgn_invalid' END AS issue, source || ' game ' || source_game AS what FROM g WHERE game_id % 1000 IN (1, 2, 3)")
+def db_damaged_games(s, d):
+    """Stored games whose recorded size is none, whose text has another, or is no game."""
+    rows, k = with_pgn(raw_games(s, d)), F.col("game_id") % 1000
+    text = F.when(k == 3, F.concat(F.lit(")"), F.col("pgn").cast("string")).cast("binary")).otherwise(F.col("pgn"))
+    size = F.when(k == 1, F.lit(-1)).when(k == 2, F.length("pgn") + 1).otherwise(F.length(text))
+    return store.damaged_games(rows.select("source", "source_game", text.alias("pgn"), size.alias("pgn_bytes")))
+
+
+@query("db_export", f"SELECT game_id, {_PGN} AS text FROM g WHERE {_OWN}")
+def db_export(s, d):
+    """The texts that the export of a player's games writes."""
+    return store.exported_text(GameQuery(player=PLAYER).run(with_pgn(games(s, d))))
+
+
 @query("db_integrity", "SELECT issue, what FROM (SELECT 'position_without_game' AS issue, CAST(game_id AS VARCHAR) AS what FROM g WHERE game_id % 5000 = 11 UNION ALL SELECT 'fingerprint', source FROM g WHERE game_id % 5000 = 11 GROUP BY source) ORDER BY 1, 2 LIMIT 10")
 def db_integrity(s, d):
     rows = with_pgn(raw_games(s, d))
     whole = store.fingerprints(rows)
     left = rows.where("game_id % 5000 <> 11")
-    return store.integrity_issues(left, rows.select("game_id"), whole)
+    return store.integrity_issues(left, rows.select("game_id"), whole, texts=False)
 
 
 # Sync over the table `events`: ids arrive again and again, contents change now and then
@@ -576,40 +641,68 @@ def evidence_flip(s, d):
     return evaluations(s, d).select("id", k.alias("kind"), v.alias("value"), b.alias("bound"))
 
 
-@query("repeated_positions", f"WITH {_ASSESSED} SELECT position, CAST(sum(n) AS BIGINT) AS games, coalesce(string_agg(concat(played_uci, ':', CAST(n AS VARCHAR)), ',' ORDER BY played_uci) FILTER (n > 1), '') AS repeated_choices FROM (SELECT CAST(id % 997 AS VARCHAR) AS position, played_uci, count(*) AS n FROM assessed WHERE verdict = 'turning_point' GROUP BY ALL) GROUP BY position HAVING sum(n) > 1", plain=True)
+@query("repeated_positions", f"WITH {_ASSESSED} SELECT position, CAST(sum(n) AS BIGINT) AS games, coalesce(string_agg(concat(played_uci, '=', san, ':', CAST(n AS VARCHAR)), ',' ORDER BY played_uci) FILTER (n > 1), '') AS repeated_choices FROM (SELECT CAST(id % 997 AS VARCHAR) AS position, played_uci, count(*) AS n, concat('S', CAST(min(id) AS VARCHAR)) AS san FROM assessed WHERE verdict = 'turning_point' GROUP BY ALL) GROUP BY position HAVING sum(n) > 1", plain=True)
 def repeated_positions(s, d):
-    points = _assessed(s, d).where("verdict = 'turning_point'").select((F.col("id") % 997).cast("string").alias("position"), "played_uci")
+    points = _assessed(s, d).where("verdict = 'turning_point'").select((F.col("id") % 997).cast("string").alias("position"), F.col("id").alias("game_id"), "played_uci", F.concat(F.lit("S"), F.col("id").cast("string")).alias("played_san"))
     return evidence.repeated_positions(points)
 
 
-@query("review_summary", f"WITH {_ASSESSED}, t AS (SELECT *, CASE WHEN verdict = 'turning_point' AND bk = 'centipawns' AND ak = 'centipawns' THEN bv - av END AS cp FROM assessed) SELECT count(*) AS games_analyzed, count(*) FILTER (verdict = 'turning_point') AS turning_points, count(cp) AS losses, round(avg(cp), 6) AS mean_cp, CAST(median(cp) AS DOUBLE) AS median_cp, count(*) FILTER (verdict = 'turning_point' AND ak = 'mate_against' AND ab = 'exact') AS allowed_mates FROM t", plain=True)
+_SOLUTION = "CASE id % 3 WHEN 0 THEN 'unsolved' WHEN 1 THEN 'without_reveal' ELSE 'after_hint' END"
+_DISPOSITION = "CASE id % 5 WHEN 2 THEN 'active' WHEN 1 THEN 'completed' WHEN 0 THEN 'again_later' WHEN 3 THEN 'skipped' ELSE 'active' END"
+
+
+@query(
+    "review_summary",
+    f"""WITH {_ASSESSED}, t AS (SELECT *, verdict = 'turning_point' AS turned, CASE WHEN verdict = 'turning_point' AND bk = 'centipawns' AND ak = 'centipawns' THEN bv - av END AS cp, {_SOLUTION} AS solution, {_DISPOSITION} AS disposition, id % 2 = 0 AS revealed FROM assessed)
+    SELECT count(*) AS games_analyzed, count(*) FILTER (turned) AS turning_points, count(*) FILTER (NOT turned) AS no_clear_turning_point, CAST(sum(id % 4) AS BIGINT) AS inconclusive_moves, min(ply) FILTER (turned) AS first_move, max(ply) FILTER (turned) AS last_move,
+      count(cp) AS losses, round(avg(cp), 6) AS mean_cp, CAST(median(cp) AS DOUBLE) AS median_cp, coalesce(bool_or(cp IS NOT NULL AND NOT (bb = 'exact' AND ab = 'exact')), false) AS minimum_only,
+      count(*) FILTER (turned AND ak = 'mate_against' AND ab = 'exact') AS allowed_mates, count(*) FILTER (turned AND bk = 'mate_for' AND ak = 'centipawns') AS lost_forced_mates,
+      count(*) FILTER (solution = 'without_reveal') AS solved_without_reveal, count(*) FILTER (solution = 'after_hint') AS solved_after_hint, count(*) FILTER (revealed AND disposition = 'completed' AND solution <> 'without_reveal') AS completed_after_reveal,
+      count(*) FILTER (disposition = 'again_later') AS practice_again_later, count(*) FILTER (disposition = 'skipped') AS skipped FROM t""",
+    plain=True,
+)
 def review_summary(s, d):
-    rows = _assessed(s, d).select(F.col("ply").alias("move_number"), "loss_kind", "loss", ((F.col("bb") == "exact") & (F.col("ab") == "exact")).alias("exact"), F.lit(0).alias("inconclusive_moves"), F.lit("unsolved").alias("solution"), F.lit("active").alias("disposition"))
-    return evidence.review_summary(rows).select("games_analyzed", "turning_points", "losses", F.round("mean_cp", 6).alias("mean_cp"), "median_cp", "allowed_mates")
+    rows = _assessed(s, d).select(
+        F.col("ply").alias("move_number"), "loss_kind", "loss", ((F.col("bb") == "exact") & (F.col("ab") == "exact")).alias("exact"), (F.col("id") % 4).alias("inconclusive_moves"), F.expr(_SOLUTION).alias("solution"),
+        F.expr(_DISPOSITION).alias("disposition"), (F.col("id") % 2 == 0).alias("revealed"),
+    )
+    return evidence.review_summary(rows).withColumn("mean_cp", F.round("mean_cp", 6))
 
 
-@query("lesson_ranking", f"WITH {_ASSESSED}, p AS (SELECT *, id % 997 AS position, CASE WHEN bk = 'centipawns' AND ak = 'centipawns' THEN 1 ELSE 0 END AS cp FROM assessed WHERE verdict = 'turning_point') SELECT id AS game_id, round(count(*) OVER (PARTITION BY position, played_uci) * 4 + CASE WHEN cp = 1 THEN least(bv - av, 1000) / 100.0 ELSE 12 END + CASE WHEN cp = 0 OR (bb = 'exact' AND ab = 'exact') THEN 1 ELSE 0 END - (id % 6) * 0.25, 6) AS score FROM p", plain=True)
+@query(
+    "lesson_ranking",
+    f"""WITH {_ASSESSED}, p AS (SELECT *, id % 997 AS position, CASE WHEN bk = 'centipawns' AND ak = 'centipawns' THEN 1 ELSE 0 END AS cp FROM assessed WHERE verdict = 'turning_point'),
+    scored AS (SELECT id, round(count(*) OVER (PARTITION BY position, played_uci) * 4 + CASE WHEN cp = 1 THEN least(bv - av, 1000) / 100.0 ELSE 12 END + CASE WHEN cp = 0 OR (bb = 'exact' AND ab = 'exact') THEN 1 ELSE 0 END - (id % 6) * 0.25, 6) AS score FROM p)
+    SELECT id AS game_id, score FROM scored WHERE ({_SOLUTION}) = 'unsolved' AND ({_DISPOSITION}) = 'active' AND id % 2 <> 0""",
+    plain=True,
+)
 def lesson_ranking(s, d):
-    points = _assessed(s, d).where("verdict = 'turning_point'").select(F.col("id").alias("game_id"), (F.col("id") % 997).alias("position"), "played_uci", "loss_kind", "loss", ((F.col("bb") == "exact") & (F.col("ab") == "exact")).alias("exact"), (F.col("id") % 6).alias("recency"), F.lit("active").alias("disposition"), F.lit("unsolved").alias("solution"))
+    """The active lessons' scores; revealed ones are not active."""
+    points = _assessed(s, d).where("verdict = 'turning_point'").select(
+        F.col("id").alias("game_id"), (F.col("id") % 997).alias("position"), "played_uci", "loss_kind", "loss", ((F.col("bb") == "exact") & (F.col("ab") == "exact")).alias("exact"), (F.col("id") % 6).alias("recency"),
+        F.expr(_DISPOSITION).alias("disposition"), F.expr(_SOLUTION).alias("solution"), (F.col("id") % 2 == 0).alias("revealed"),
+    )
     return evidence.lesson_ranking(points).select("game_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 @query("focus_opening", _positions_sql(f"SELECT /*visits*/ name AS line, wins, draws, losses FROM (SELECT name, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name) WHERE wins + draws + losses >= 4 AND losses > 0 ORDER BY (2 * wins + draws) / CAST(wins + draws + losses AS DOUBLE), losses DESC, wins + draws + losses DESC, name LIMIT 1"), plain=True)
 def focus_opening(s, d):
     visited, names = _explore(s, d, 4, 4)
-    openings = explore.common_positions(visited, top=1000).join(names, "position_key").withColumnRenamed("name", "line")
+    openings = explore.common_positions(visited, top=None).join(names, "position_key").withColumnRenamed("name", "line")
     return explore.focus_opening(openings).select("line", "wins", "draws", "losses")
 
 
-_PRACTICE = "SELECT user_id AS game_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'attempt' WHEN 'view' THEN 'hint' WHEN 'purchase' THEN 'reveal' WHEN 'signup' THEN 'again_later' ELSE 'complete' END AS action, CASE WHEN value > 60 THEN 'strong' ELSE 'try_again' END AS verdict FROM {events}"
+_PRACTICE = "SELECT user_id AS game_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'attempt' WHEN 'view' THEN 'replay' WHEN 'purchase' THEN 'reveal' WHEN 'signup' THEN 'later' WHEN 'error' THEN 'skip' ELSE 'done' END AS action, CASE WHEN value > 60 THEN 'strong' ELSE 'try_again' END AS verdict FROM {events}"
 
 
 @query(
     "practice_state",
-    f"""WITH a AS ({_PRACTICE.format(events='events')}), t AS (SELECT game_id, count(*) FILTER (action = 'attempt') AS total_attempts, min(seq) FILTER (action = 'attempt' AND verdict = 'strong') AS solved, min(seq) FILTER (action = 'hint') AS hint, min(seq) FILTER (action = 'reveal') AS reveal,
-      arg_max(action, seq) FILTER (action IN ('again_later', 'complete')) AS last FROM a GROUP BY game_id)
-    SELECT game_id, total_attempts, least(total_attempts, 100) AS kept_attempts, CASE WHEN solved IS NULL THEN 'unsolved' WHEN reveal < solved THEN 'after_reveal' WHEN hint < solved THEN 'after_hint' ELSE 'without_reveal' END AS solution, reveal IS NOT NULL AS revealed,
-      CASE last WHEN 'complete' THEN 'completed' ELSE coalesce(last, 'active') END AS disposition FROM t""",
+    f"""WITH a AS ({_PRACTICE.format(events='events')}), solved AS (SELECT game_id, min(seq) AS solved FROM a WHERE action = 'attempt' AND verdict = 'strong' GROUP BY game_id), shown AS (SELECT game_id, min(seq) AS shown FROM a WHERE action = 'reveal' GROUP BY game_id),
+    last AS (SELECT game_id, CASE WHEN action = 'attempt' THEN CASE verdict WHEN 'strong' THEN 'completed' ELSE 'active' END WHEN action IN ('reveal', 'done') THEN 'completed' WHEN action = 'later' THEN 'again_later' WHEN action = 'skip' THEN 'skipped' ELSE 'active' END AS disposition
+      FROM a QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY seq DESC) = 1),
+    n AS (SELECT game_id, count(*) FILTER (action = 'attempt') AS total_attempts FROM a GROUP BY game_id)
+    SELECT n.game_id, total_attempts, CAST(least(total_attempts, 100) AS INTEGER) AS kept_attempts, CASE WHEN solved IS NULL THEN 'unsolved' WHEN shown < solved THEN 'after_hint' ELSE 'without_reveal' END AS solution, shown IS NOT NULL AS revealed, disposition
+    FROM n JOIN last USING (game_id) LEFT JOIN solved USING (game_id) LEFT JOIN shown USING (game_id)""",
     plain=True,
 )
 def practice_state(s, d):
@@ -705,35 +798,35 @@ def partition_plan(s, d):
 @query("db_source_lookup", "SELECT substr(source, 1, 1) AS prefix, count(DISTINCT source) AS sources, count(DISTINCT source) > 1 AS ambiguous FROM g GROUP BY 1")
 def db_source_lookup(s, d):
     """Sources by a name that may stand for several."""
-    found = raw_games(s, d).select("source").distinct().groupBy(F.substring("source", 1, 1).alias("prefix")).agg(F.count(F.lit(1)).alias("sources"))
-    return found.withColumn("ambiguous", F.col("sources") > 1)
+    return store.ambiguous_names(raw_games(s, d), F.substring("source", 1, 1))
 
 
-_LOG = "SELECT o_custkey AS search, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 9 THEN concat('bestmove m', CAST(o_orderkey % 3 AS STRING)) ELSE concat('info depth ', CAST(o_orderkey % 20 AS STRING), ' multipv 1 score ', CASE WHEN o_orderkey % 7 = 0 THEN concat('mate ', CAST(o_orderkey % 9 - 4 AS STRING)) ELSE concat('cp ', CAST(o_orderkey % 400 - 200 AS STRING)) END, CASE WHEN o_orderkey % 4 = 0 THEN ' lowerbound' ELSE '' END, ' nodes 5 pv m', CAST(o_orderkey % 3 AS STRING), ' e7e5') END AS line FROM {orders}"
+_LOG = """SELECT o_custkey AS search, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 9 THEN concat('bestmove ', CASE o_orderkey % 3 WHEN 0 THEN 'e2e4' WHEN 1 THEN 'd2d4' ELSE 'a7a8q' END, ' ponder e7e5') WHEN o_orderkey % 23 = 0 THEN 'info string score cp 5 pv e2e4'
+  WHEN o_orderkey % 29 = 0 THEN 'info depth 3 multipv 2 score cp 90 pv d2d4' ELSE concat('info  depth ', CAST(o_orderkey % 20 AS STRING), ' multipv 1 score ', CASE WHEN o_orderkey % 7 = 0 THEN concat('mate ', CAST(o_orderkey % 9 - 4 AS STRING)) ELSE concat('cp ', CAST(o_orderkey % 400 - 200 AS STRING)) END,
+  CASE WHEN o_orderkey % 4 = 0 THEN ' lowerbound' ELSE '' END, CASE WHEN o_orderkey % 44 = 0 THEN ' upperbound' ELSE '' END, ' nodes 5 pv ', CASE WHEN o_orderkey % 31 = 0 THEN 'zzzz' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'e2e4' WHEN 1 THEN 'd2d4' ELSE 'a7a8q' END END, ' e7e5') END AS line FROM {orders}"""
+_INFO = """info AS (SELECT o_custkey AS search, o_orderkey AS seq, CAST(o_orderkey % 20 AS INTEGER) AS depth, CASE WHEN o_orderkey % 7 <> 0 THEN 'centipawns' WHEN o_orderkey % 9 - 4 > 0 THEN 'mate_for' ELSE 'mate_against' END AS kind,
+  CAST(CASE WHEN o_orderkey % 7 = 0 THEN abs(o_orderkey % 9 - 4) ELSE o_orderkey % 400 - 200 END AS INTEGER) AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'lower' ELSE 'exact' END AS bound,
+  CASE WHEN o_orderkey % 31 = 0 THEN 'zzzz' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'e2e4' WHEN 1 THEN 'd2d4' ELSE 'a7a8q' END END AS move, CASE WHEN o_orderkey % 44 = 0 THEN 'conflicting score bounds' WHEN o_orderkey % 31 = 0 THEN 'invalid variation' END AS error
+  FROM orders WHERE o_orderkey % 10 <> 9 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0)"""
 
 
-@query(
-    "uci_parse",
-    """SELECT o_custkey AS search, o_orderkey AS seq, CAST(o_orderkey % 20 AS INTEGER) AS depth, CASE WHEN o_orderkey % 7 <> 0 THEN 'centipawns' WHEN o_orderkey % 9 - 4 > 0 THEN 'mate_for' ELSE 'mate_against' END AS kind,
-      CAST(CASE WHEN o_orderkey % 7 = 0 THEN abs(o_orderkey % 9 - 4) ELSE o_orderkey % 400 - 200 END AS INTEGER) AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'lower' ELSE 'exact' END AS bound, concat('m', o_orderkey % 3, ' e7e5') AS moves FROM orders WHERE o_orderkey % 10 <> 9""",
-    plain=True,
-)
+@query("uci_parse", f"WITH {_INFO} SELECT search, seq, depth, kind, value, bound, concat(move, ' e7e5') AS moves, error FROM info", plain=True)
 def uci_parse(s, d):
     log = s.sql(_LOG, orders=s.read.parquet(f"{d}/orders.parquet"))
-    return evidence.uci_info(log).select("search", "seq", "depth", "kind", "value", "bound", F.array_join("pv", " ").alias("moves"))
+    return evidence.uci_info(log).select("search", "seq", "depth", "kind", "value", "bound", F.array_join("pv", " ").alias("moves"), "error")
 
 
 @query(
     "uci_evidence",
-    """WITH info AS (SELECT o_custkey AS search, o_orderkey AS seq, o_orderkey % 20 AS depth, o_orderkey % 4 = 0 AS bounded, concat('m', o_orderkey % 3) AS first FROM orders WHERE o_orderkey % 10 <> 9),
-    best AS (SELECT o_custkey AS search, arg_max(concat('m', o_orderkey % 3), o_orderkey) AS best FROM orders WHERE o_orderkey % 10 = 9 GROUP BY 1),
-    own AS (SELECT info.* FROM info JOIN best USING (search) WHERE first = best), last AS (SELECT search, max(seq) AS seq FROM own GROUP BY search),
-    l AS (SELECT own.* FROM own JOIN last USING (search, seq)), prior AS (SELECT own.search, max(own.seq) AS seq FROM own JOIN l ON own.search = l.search AND NOT own.bounded AND own.depth + 1 = l.depth GROUP BY 1)
-    SELECT l.search, CASE WHEN l.bounded AND prior.seq IS NOT NULL THEN prior.seq ELSE l.seq END AS seq FROM l LEFT JOIN prior USING (search)""",
+    f"""WITH {_INFO}, best AS (SELECT o_custkey AS search, o_orderkey AS ended, CASE o_orderkey % 3 WHEN 0 THEN 'e2e4' WHEN 1 THEN 'd2d4' ELSE 'a7a8q' END AS best FROM orders WHERE o_orderkey % 10 = 9 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+    own AS (SELECT info.*, best FROM info JOIN best USING (search) WHERE seq < ended), latest AS (SELECT * FROM own WHERE move = best QUALIFY row_number() OVER (PARTITION BY search ORDER BY seq DESC) = 1),
+    exact AS (SELECT * FROM own WHERE bound = 'exact' QUALIFY row_number() OVER (PARTITION BY search ORDER BY seq DESC) = 1), broken AS (SELECT search, arg_min(error, seq) AS error FROM own WHERE error IS NOT NULL GROUP BY search)
+    SELECT best.search, best.best, CASE WHEN latest.bound <> 'exact' AND exact.move = best.best AND exact.depth + 1 = latest.depth THEN exact.seq ELSE latest.seq END AS seq, coalesce(broken.error, CASE WHEN latest.seq IS NULL THEN 'missing score for bestmove' END) AS error
+    FROM best LEFT JOIN latest USING (search) LEFT JOIN exact USING (search) LEFT JOIN broken USING (search)""",
     plain=True,
 )
 def uci_evidence(s, d):
-    return evidence.best_evidence(s.sql(_LOG, orders=s.read.parquet(f"{d}/orders.parquet"))).select("search", "seq")
+    return evidence.best_evidence(s.sql(_LOG, orders=s.read.parquet(f"{d}/orders.parquet"))).select("search", "best", "seq", "error")
 
 
 @query("player_decisions", _positions_sql(f"SELECT /*visits*/ v.game_id, CAST(count(*) AS BIGINT) AS decisions FROM v WHERE ply > 2 AND {_OWN} AND (ply % 2 = 1) = ({_W}) GROUP BY v.game_id"), plain=True)

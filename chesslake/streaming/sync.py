@@ -1,12 +1,15 @@
 """Arrivals of games by id: idempotent upserts, cursors, and the streaming job around them.
 
 The rules are one DataFrame plan, `actions`, used over a whole log of arrivals or per micro-batch. The
-stream keeps the games as a table in versions: a batch writes the next version, and the version number that the
-batch publishes makes a repeated batch harmless.
+stream keeps the games as a table in versions: a batch writes the next version under the name of its query and batch, which
+makes a repeated batch harmless.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +41,15 @@ def latest(arrivals: DataFrame) -> DataFrame:
 
 
 def plan(cursor_ms: int | None, initial_since: int | None, since: int | None, now_ms: int) -> dict:
-    """What to ask for: everything at first, from shortly before the cursor later."""
+    """What to ask for: everything from the stored first day (yyyymmdd) on while there is no cursor, then from shortly before the cursor.
+
+    Until a first sync has ended, another first day than the stored one is refused; afterwards it has no say.
+    """
     if cursor_ms is None:
-        return {"kind": "initial", "since": since, "until": now_ms}
-    if since is not None and since != initial_since:
-        raise ValueError("since conflicts with the first sync")
-    return {"kind": "incremental", "since": min(max(cursor_ms - OVERLAP_MS, 0), now_ms), "until": now_ms}
+        if since is not None and since != initial_since:
+            raise ValueError("the first sync was begun with another since")
+        return {"kind": "initial", "since": initial_since, "until": now_ms}
+    return {"kind": "incremental", "since_ms": min(max(cursor_ms - OVERLAP_MS, 0), now_ms), "until": now_ms}
 
 
 def is_due(last_ms: int | None, now_ms: int) -> bool:
@@ -52,33 +58,72 @@ def is_due(last_ms: int | None, now_ms: int) -> bool:
 
 
 class GameTable:
-    """The games of a sync as Parquet folders `version=N`; the highest complete one is current."""
+    """The games of a sync as Parquet folders `version=N`; the highest complete one is current.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = hadoop
-        self._store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    Versions are numbered by the table. A version's folder name carries the query and batch that made it, so a batch that
+    runs again, after a failure or with the same checkpoint, finds its version done, and a new checkpoint goes on behind the newest. Rows lie in
+    `buckets` by a hash of the id; a batch writes the buckets that it touches and the others are read from the versions that hold them.
+    """
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> dict[int, tuple[str, str]]:
+        """Complete versions: number to (folder, batch)."""
         if not self._store.exists(self._path(self.path)):
-            return -1
-        found = [s.getPath().getName() for s in self._store.listStatus(self._path(self.path))]
-        done = [int(n[8:]) for n in found if n.startswith("version=") and self._store.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=-1)
+            return {}
+        names = [s.getPath().getName() for s in self._store.listStatus(self._path(self.path))]
+        done = [n for n in names if n.startswith("version=") and self._store.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
+        return {int(n[8:].split(".", 1)[0]): (n, n[8:].split(".", 1)[1]) for n in done}
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        at = self.version() if version is None else version
-        return None if at < 0 else self.spark.read.parquet(f"{self.path}/version={at}")
+    def version(self) -> int:
+        return max(self._versions(), default=-1)
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: fold a batch into the version before its own. A batch that runs again writes the same."""
-        old = self.read(max((v for v in range(batch_id - 1, -1, -1) if self._store.exists(self._path(f"{self.path}/version={v}/_SUCCESS"))), default=-1))
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The games as of a version, the newest by default: every bucket from the last version that wrote it."""
+        found = {v: name for v, (name, _) in self._versions().items() if version is None or v <= version}
+        if not found:
+            return None
+        rows = self.spark.read.schema("remote_id string, content string, unfinished boolean, seq long, bucket int, version int, bucket_rows boolean").parquet(*(f"{self.path}/{name}" for name in found.values()))
+        newest = rows.where("NOT bucket_rows").groupBy("bucket").agg(F.max("version").alias("newest"))
+        held = rows.where("bucket_rows").join(F.broadcast(newest), "bucket")  # as many rows as buckets
+        return held.where("version = newest").select("remote_id", "content", "unfinished", "seq")
+
+    def upsert(self, batch: DataFrame, batch_id: int, query: str = "batch") -> None:
+        """For foreachBatch: fold a batch into the newest version. The latest arrival of an id counts, in a batch and against the table."""
+        label, done = f"{query}-{batch_id}", self._versions()
+        if any(name == label for _, name in done.values()):
+            return
+        bucket = F.pmod(F.xxhash64("remote_id"), F.lit(self.buckets)).cast("int")
         new = batch.groupBy("remote_id").agg(F.max_by(F.struct("content", "unfinished", "seq"), "seq").alias("g")).select("remote_id", "g.*")
-        merged = new if old is None else old.join(new, "remote_id", "left_anti").unionByName(new)
-        merged.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        touched = new.select(bucket.alias("bucket")).distinct()
+        old = self.read()
+        if old is not None:
+            kept = old.withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")  # as many rows as buckets
+            new = kept.join(new, "remote_id", "left_anti").unionByName(new)
+        at = max(done, default=-1) + 1
+        rows = new.select("*", bucket.alias("bucket"), F.lit(at).alias("version"), F.lit(True).alias("bucket_rows"))
+        marks = touched.select(*(F.lit(None).cast(t).alias(c) for c, t in (("remote_id", "string"), ("content", "string"), ("unfinished", "boolean"), ("seq", "long"))), "bucket", F.lit(at).alias("version"), F.lit(False).alias("bucket_rows"))
+        rows.unionByName(marks).write.mode("overwrite").parquet(f"{self.path}/version={at}.{label}")
 
 
 def start(arrivals: DataFrame, table: GameTable, checkpoint: str):
     """The streaming query; its checkpoint commits the cursor after each batch's version is whole."""
-    return arrivals.writeStream.foreachBatch(table.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    name = hashlib.sha256(f"{checkpoint}/{_checkpoint_id(table, checkpoint)}".encode()).hexdigest()[:12]
+    return arrivals.writeStream.foreachBatch(lambda batch, batch_id: table.upsert(batch, batch_id, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _checkpoint_id(table: GameTable, checkpoint: str) -> str:
+    """A name that a checkpoint keeps for life: a folder that is removed and made again gets another."""
+    at = table._path(f"{checkpoint.rstrip('/')}/_games_id")
+    store = at.getFileSystem(table.spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        out = store.create(at, False)
+        out.writeUTF(uuid.uuid4().hex)
+        out.close()
+    file = store.open(at)
+    name = file.readUTF()
+    file.close()
+    return name

@@ -6,7 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from chesslake.functions import columns as C
-from chesslake.operators import doctor, evidence, explore, library, stats
+from chesslake.operators import doctor, evidence, explore, library, stats, store
 from chesslake.operators.query import GameQuery, count_unless_failed, match_records, summary
 from chesslake.operators.store import Database
 from chesslake.sources import pgn
@@ -151,13 +151,29 @@ def test_doctor_finds_each_fault(spark):
         (good, None), (b'[Result "2-0"]\n1. e4 1-0', "inconsistent_result"), (b'[Result "0-1"]\n1. e4 1-0', "inconsistent_result"), (b'[SetUp "1"]\n1. e4 *', "inconsistent_setup"), (b'[FEN "8/8"]\n1. e4 *', "invalid_fen"),
         (b"1. Ke5 *", "illegal_move"), (b"2. e4 *", "incorrect_move_number"), (b"1. e4 1. e5 *", "incorrect_move_number"), (b"1. e4 e5 (1. c5) *", "incorrect_move_number"), (b"1. zz9 *", "invalid_san"), (b"1. e4+ *", "invalid_check_suffix"), (b"1. e4 ) *", "syntax"),
     ]
-    frames = spark.createDataFrame([("s", i, 100 * i, bytearray(raw), None) for i, (raw, _) in enumerate(cases)], "source string, source_game long, byte_offset long, raw binary, error string")
+    lines = [sum(raw.count(b"\n") for raw, _ in cases[:i]) for i in range(len(cases))]
+    frames = spark.createDataFrame([("s", i, 100 * i, bytearray(raw), None, lines[i]) for i, (raw, _) in enumerate(cases)], "source string, source_game long, byte_offset long, raw binary, error string, first_line long")
     got = {r["game"] - 1: r for r in doctor.diagnose(frames).collect()}
     assert [got[i]["category"] for i in range(len(cases))] == [c for _, c in cases]
     assert got[0]["moves"] == 5 and got[5]["byte"] == 503 and (got[5]["line"], got[5]["column"], got[5]["excerpt"]) == (6, 4, "1. Ke5 *")
     assert doctor.validate(cases[5][0], semantic=False) == {"moves": 1, "fault": None, "headers": {}}
     assert [r["game"] for r in doctor.limited(doctor.diagnose(frames), 2).orderBy("place").collect()] == [2, 3]
     assert doctor.totals(doctor.diagnose(frames)).first()["faults"] == len(cases) - 1
+    assert [(r["game"], r["category"]) for r in doctor.first_faults(doctor.diagnose(frames)).collect()] == [(2, "inconsistent_result")]
+    lost = doctor.inputs(spark.createDataFrame([("t", "no such file")], "source string, message string"))
+    both = doctor.diagnose(frames).unionByName(lost)
+    assert {(r["source"], r["status"]) for r in doctor.exit_status(both).collect()} == {("s", 1), ("t", 2)}
+    assert doctor.first_faults(both).where("source = 't'").first()["message"] == "no such file"
+
+
+def test_faults_are_located_in_lines():
+    """Lines end at line feeds; a long line's excerpt is as long near its end as anywhere."""
+    assert doctor.locate(b"ab\rcd\r\nef", 4) == (0, 5, "ab\rcd") and doctor.locate(b"ab\r\nef", 5) == (1, 2, "ef")
+    line = bytes(97 + i % 26 for i in range(1000))
+    for offset in (0, 50, 500, 999):
+        n, column, text = doctor.locate(b"x\n" + line + b"\ny", offset + 2)
+        assert (n, column) == (1, offset + 1) and len(text.strip("…")) == 200 and chr(line[offset]) in text
+        assert text.startswith("…") == (offset > 100) and text.endswith("…") == (offset < 899)
 
 
 def test_statistics_merge_over_sources(spark, folder):
@@ -192,40 +208,133 @@ def test_database_build_and_update(spark, tmp_path):
     assert db.games().where("source = 'b'").first()["mainline_plies"] == 2
 
 
+def test_a_database_guards_its_state(spark, tmp_path):
+    games = spark.createDataFrame([(1, "a", 1, bytearray(TWO), "x", 1, 20200101, 3)], "game_id long, source string, source_game long, pgn binary, white string, result int, played_on int, mainline_plies long")
+    positions = spark.createDataFrame([(bytes(16), 1, 0, "a")], "position_key binary, game_id long, ply int, source string")
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "notes").write_text("x")
+    with pytest.raises(ValueError, match="no game database"):
+        Database(spark, str(tmp_path / "foreign")).manifest()
+    db = Database(spark, str(tmp_path / "db"))
+    db.build(games, positions)
+    assert db.game(1) == TWO
+    with pytest.raises(LookupError):
+        db.game(2)
+    # two updates at once: the second to publish fails, and the state stays the first one's
+    db._publish(db.manifest(), "first", 2)
+    with pytest.raises(OSError, match="meanwhile"):
+        db._publish(db.manifest(), "second", 2)
+    assert db._published(2) == "first" and db.manifest().count() == 1
+    # a database of the first version: no fingerprints
+    db._publish(db.manifest().withColumns({"fingerprint": F.lit(None).cast("string"), "schema_version": F.lit(1)}), "old", 3)
+    assert db.migrate() == 4 == db.migrate() and db.manifest().first()["fingerprint"] is None
+    assert [r["action"] for r in db.update(games, positions).collect()] == ["unchanged"]
+    assert len(db.manifest().first()["fingerprint"]) == 64
+    unsteady = games.withColumn("pgn", F.concat(F.col("pgn").cast("string"), F.udf(lambda: os.urandom(8).hex()).asNondeterministic()()).cast("binary"))
+    with pytest.raises(store.SourceChanged):
+        db.update(unsteady, positions)
+    assert db.game(1) == TWO
+    damaged = games.withColumn("pgn_bytes", F.lit(5))
+    assert [r["issue"] for r in store.damaged_games(damaged).collect()] == ["size_differs"]
+    assert [r["issue"] for r in store.damaged_games(games.withColumn("pgn", F.lit(b"1. e4 )"))).collect()] == ["pgn_invalid"]
+    assert db.games().columns and store.integrity_issues(db.games(), db.positions(), db.manifest()).count() == 0
+    sources = spark.createDataFrame([("x/a.pgn",), ("y/a.pgn",), ("y/b.pgn",)], "source string")
+    assert store.find_source(sources, "b.pgn") == "y/b.pgn" and store.find_source(sources, "x/a.pgn") == "x/a.pgn"
+    for name in ("a.pgn", "c.pgn"):
+        with pytest.raises(LookupError):
+            store.find_source(sources, name)
+    store.export(db.games(), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out"), wholetext=True).first()["value"].count("1-0") == 1
+
+
+def test_fingerprints_do_not_depend_on_partitions(spark):
+    rows = spark.range(5000).select(F.lit("s").alias("source"), (F.col("id") + 1).alias("source_game"), F.col("id").cast("string").cast("binary").alias("pgn"))
+    one = store.fingerprints(rows.repartition(1)).first()
+    assert one == store.fingerprints(rows.repartition(7)).first() and one["games"] == 5000
+    assert one["fingerprint"] != store.fingerprints(rows.where("id <> 4000")).first()["fingerprint"]
+
+
 def test_streaming_sync_is_idempotent(spark, tmp_path):
     src = tmp_path / "in"
     schema = "seq long, remote_id string, content string, unfinished boolean, player_result string"
     spark.createDataFrame([(1, "a", "x", True, "win"), (2, "b", "y", False, "loss"), (3, "a", "x", True, "win")], schema).coalesce(1).write.parquet(str(src / "0"))
     table = sync.GameTable(spark, str(tmp_path / "games"))
     arrivals = lambda: spark.readStream.schema(schema).parquet(str(src) + "/*")
+    contents = lambda: {r["remote_id"]: r["content"] for r in table.read().collect()}
     sync.start(arrivals(), table, str(tmp_path / "cp")).awaitTermination()
-    assert {r["remote_id"]: r["content"] for r in table.read().collect()} == {"a": "x", "b": "y"}
+    assert contents() == {"a": "x", "b": "y"}
     more = spark.createDataFrame([(4, "a", "z", False, "win"), (5, "c", "w", False, "draw")], schema)
     got = {r["seq"]: r["action"] for r in sync.actions(more, table.read()).collect()}
     assert got == {4: "updated", 5: "created"}
     more.coalesce(1).write.parquet(str(src / "1"))
     sync.start(arrivals(), table, str(tmp_path / "cp")).awaitTermination()
-    version = table.version()
-    now = {r["remote_id"]: r["content"] for r in table.read().collect()}
+    now, version = contents(), table.version()
     assert now == {"a": "z", "b": "y", "c": "w"}
-    table.upsert(more, version)  # the same batch again
-    assert {r["remote_id"]: r["content"] for r in table.read().collect()} == now and table.version() == version
+    table.upsert(more, 9, "again")
+    table.upsert(more.limit(0), 9, "again")  # the same batch again
+    assert contents() == now and table.version() == version + 1
+    # a new checkpoint goes on behind the newest version, and nothing is lost
+    spark.createDataFrame([(6, "d", "v", False, "win")], schema).coalesce(1).write.parquet(str(src / "2"))
+    sync.start(arrivals(), table, str(tmp_path / "other")).awaitTermination()
+    assert contents() == now | {"d": "v"} and {r["remote_id"]: r["content"] for r in table.read(0).collect()} == {"a": "x", "b": "y"}
 
 
 def test_sync_plans():
-    assert sync.plan(None, None, 5, 100) == {"kind": "initial", "since": 5, "until": 100}
-    assert sync.plan(1_000_000, None, None, 2_000_000)["since"] == 700_000
+    assert sync.plan(None, 5, 5, 100) == {"kind": "initial", "since": 5, "until": 100} == sync.plan(None, 5, None, 100)
+    assert sync.plan(1_000_000, None, None, 2_000_000)["since_ms"] == 700_000 == sync.plan(1_000_000, 5, 6, 2_000_000)["since_ms"]
+    assert sync.plan(1_000, None, None, 2_000)["since_ms"] == 0 and sync.plan(9_000_000, None, None, 100)["since_ms"] == 100
     with pytest.raises(ValueError):
-        sync.plan(1, 5, 6, 10)
+        sync.plan(None, 1998, 1999, 10)
     assert sync.is_due(None, 1) and sync.is_due(10, 5) and not sync.is_due(0, 1000) and sync.is_due(0, 900_000)
 
 
+def searched(spark, *lines):
+    log = spark.createDataFrame([("s", i, line) for i, line in enumerate(lines)], "search string, seq int, line string")
+    return evidence.best_evidence(log).first()
+
+
 def test_engine_evidence(spark):
     lines = ["info depth 10 multipv 1 score cp 31 nodes 5 pv e2e4 e7e5", "info depth 11 score cp 40 lowerbound pv e2e4", "info depth 11 multipv 2 score cp 90 pv d2d4", "info string x", "bestmove e2e4 ponder e7e5"]
-    log = spark.createDataFrame([("s", i, line) for i, line in enumerate(lines)] + [("t", 0, "info depth 3 score mate -2 pv a2a3"), ("t", 1, "bestmove a2a3")], "search string, seq int, line string")
-    got = {r["search"]: r for r in evidence.best_evidence(log).collect()}
-    assert (got["s"]["value"], got["s"]["bound"], got["s"]["depth"], got["s"]["pv"]) == (31, "exact", 10, ["e2e4", "e7e5"])
-    assert (got["t"]["kind"], got["t"]["value"]) == ("mate_against", 2)
+    got = searched(spark, *lines)
+    assert (got["value"], got["bound"], got["depth"], got["pv"], got["score_source"]) == (31, "exact", 10, ["e2e4", "e7e5"], "previous_completed_iteration")
+    mate = searched(spark, "info depth 3 score mate -2 pv a2a3", "bestmove a2a3")
+    assert (mate["kind"], mate["value"], mate["error"]) == ("mate_against", 2, None)
+    # the latest exact line has another move: the bound of the best move stands, an older exact line does not
+    kept = searched(spark, "info depth 9 score cp 10 pv e2e4", "info depth 10 score cp 20 pv d2d4", "info depth 10 score cp 30 lowerbound pv e2e4", "bestmove e2e4")
+    assert (kept["seq"], kept["bound"], kept["score_source"]) == (2, "lower", "latest_report")
+    assert searched(spark, "info depth 1 score mate 0", "bestmove (none)")["best"] is None
+
+
+def test_engine_lines_that_break_the_protocol(spark):
+    cases = {
+        "info string score cp 5 pv e2e4": None, "info depth 1 score cp 5 pv zzzz": "invalid variation", "info score cp 1 lowerbound upperbound pv e2e4": "conflicting score bounds", "info score cp x": "invalid score",
+        "info score wdl 5": "invalid score type", "info depth x score cp 1": "invalid depth", "info multipv 2 score cp x": None, "info depth 3": None,
+    }
+    log = spark.createDataFrame([(line, 0, line) for line in cases], "search string, seq int, line string")
+    got = {r["search"]: r["error"] for r in evidence.uci_info(log).collect()}
+    assert got == {k: v for k, v in cases.items() if v}
+    assert searched(spark, "info depth 1 score cp 1 pv e2e4", "bestmove d2d4")["error"] == "missing score for bestmove"
+    assert searched(spark, "bestmove zz")["error"] == "invalid bestmove"
+
+
+def test_practice_is_folded_in_order(spark):
+    def practised(*actions):
+        rows = [(1, i, a.split(":")[0], a.split(":")[1] if ":" in a else None) for i, a in enumerate(actions)]
+        r = evidence.practice_state(spark.createDataFrame(rows, "game_id long, seq long, action string, verdict string")).first()
+        return r["solution"], r["revealed"], r["disposition"], r["total_attempts"]
+
+    assert practised("attempt:strong") == ("without_reveal", False, "completed", 1)
+    assert practised("attempt:strong", "attempt:try_again") == ("without_reveal", False, "active", 2)
+    assert practised("reveal", "attempt:strong") == ("after_hint", True, "completed", 1)
+    assert practised("reveal", "replay") == ("unsolved", True, "active", 0) and practised("skip", "later") == ("unsolved", False, "again_later", 0)
+    assert practised("attempt:inconclusive", "done")[2] == "completed" and practised("skip")[2] == "skipped"
+
+
+def test_lessons_that_were_revealed_are_not_active(spark):
+    rows = [(1, "p", "m", "centipawns", 200, True, 0, "active", "unsolved", True), (2, "q", "m", "centipawns", 100, True, 1, "active", "unsolved", False)]
+    points = spark.createDataFrame(rows, "game_id long, position string, played_uci string, loss_kind string, loss long, exact boolean, recency int, disposition string, solution string, revealed boolean")
+    assert [r["game_id"] for r in evidence.lesson_ranking(points).collect()] == [2]
+    assert {r["game_id"] for r in evidence.lesson_ranking(points.withColumn("revealed", F.lit(True))).collect()} == {1, 2}
 
 
 def test_registered_queries_match_their_sql(spark, sf):
