@@ -75,7 +75,8 @@ FROM raw
 
 def oracle(select: str) -> str:
     """SQL for another engine: `select` over the games relation `g`."""
-    return f"WITH raw AS ({GAMES_SQL.replace('{orders}', 'orders')}), g AS ({DERIVED_SQL}) {select}"
+    select = f", {select[5:]}" if select.startswith("WITH ") else f" {select}"
+    return f"WITH raw AS ({GAMES_SQL.replace('{orders}', 'orders')}), g AS ({DERIVED_SQL}){select}"
 
 
 def with_pgn(rows: DataFrame) -> DataFrame:

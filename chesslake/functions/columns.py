@@ -205,17 +205,21 @@ def recommendation_label(points: Column, begun: Column, all_ready: Column, losse
     )
 
 
+def _cells(fen: Column) -> tuple[Column, Column]:
+    """The 64 characters of a FEN's placement from a8 to h1, with dots for empty squares; and whether it has eight rows of eight."""
+    rows, cells = F.split(F.split(fen, " ")[0], "/"), F.split(fen, " ")[0]
+    for n in range(1, 9):
+        cells = F.replace(cells, F.lit(str(n)), F.lit("." * n))
+    shaped = (F.size(rows) == 8) & cells.rlike(r"\A[^/]{8}(/[^/]{8}){7}\z")
+    return F.replace(cells, F.lit("/"), F.lit("")), shaped
+
+
 def fen_squares(fen: Column) -> Column:
     """The 64 squares of a FEN's placement from a8 to h1, as structs of name and piece (empty where there is none); none for another shape."""
-    rows = F.split(F.split(fen, " ")[0], "/")
-    wide = rows
-    for n in range(1, 9):
-        wide = F.transform(wide, lambda r, n=n: F.replace(r, F.lit(str(n)), F.lit("." * n)))
-    cells = F.array_join(wide, "")
-    shaped = (F.size(rows) == 8) & F.forall(wide, lambda r: F.length(r) == 8)
-    square = lambda i: F.struct(F.concat(F.char(F.lit(97) + i % 8), (8 - F.floor(i / 8)).cast("string")).alias("name"), F.replace(cells.substr(i + 1, F.lit(1)), F.lit("."), F.lit("")).alias("piece"))
-    empty = F.array().cast("array<struct<name:string,piece:string>>")
-    return F.when(shaped, F.transform(F.sequence(F.lit(0), F.lit(63)), square)).otherwise(empty)
+    cells, shaped = _cells(fen)
+    square = lambda c, i: F.struct(F.concat(F.char(F.lit(97) + i % 8), (8 - F.floor(i / 8)).cast("string")).alias("name"), F.nullif(c, F.lit(".")).alias("piece"))
+    named = F.transform(F.filter(F.split(cells, ""), lambda c: c != ""), square)
+    return F.when(shaped, F.transform(named, lambda x: F.struct(x["name"].alias("name"), F.coalesce(x["piece"], F.lit("")).alias("piece")))).otherwise(F.array().cast("array<struct<name:string,piece:string>>"))
 
 
 _UCI = r"\A[a-h][1-8][a-h][1-8][qrbn]?\z"
@@ -224,7 +228,9 @@ _UCI = r"\A[a-h][1-8][a-h][1-8][qrbn]?\z"
 def describe_move(fen: Column, uci: Column) -> Column:
     """`pawn from e2 to e4`, with castling, what is taken and what a pawn becomes; empty for what is no move."""
     names = F.create_map(*(F.lit(x) for pair in (("p", "pawn"), ("n", "knight"), ("b", "bishop"), ("r", "rook"), ("q", "queen"), ("k", "king")) for x in pair))
-    piece = lambda name: F.lower(F.try_element_at(F.map_from_entries(fen_squares(fen)), name))
+    cells, shaped = _cells(fen)
+    at = lambda name: (56 - F.ascii(F.substring(name, 2, 1))) * 8 + F.ascii(name) - 96
+    piece = lambda name: F.when(shaped, F.replace(F.lower(cells.substr(at(name).cast("int"), F.lit(1))), F.lit("."), F.lit("")))
     start, end, promoted = F.substring(uci, 1, 2), F.substring(uci, 3, 2), F.substring(uci, 5, 1)
     moved, taken = piece(start), F.nullif(piece(end), F.lit(""))
     castles = (moved == "k") & (F.abs(F.ascii(start) - F.ascii(end)) == 2)
@@ -252,3 +258,12 @@ def throughput(size: Column, seconds: Column) -> Column:
 def compression_ratio(packed: Column, plain: Column) -> Column:
     """Packed bytes as a share of the plain ones; 0 where there are none."""
     return F.when(plain > 0, packed / plain).otherwise(0.0)
+
+
+def square_index(name: Column) -> Column:
+    """a1 is 0, h8 is 63; null for what names no square."""
+    return F.when(name.rlike(r"\A[a-h][1-8]\z"), (F.ascii(name.substr(2, 1)) - 49) * 8 + F.ascii(name) - 97)
+
+
+def square_name(index: Column) -> Column:
+    return F.when(index.between(0, 63), F.concat(F.char(97 + index % 8), (F.floor(index / 8) + 1).cast("string")))

@@ -43,3 +43,22 @@ def retained_then_recent(retained: DataFrame, recent: DataFrame, most: int = 6)
     fresh = recent.join(retained, "game_id", "left_anti")
     both = retained.select("game_id", F.lit(0).alias("tier"), "place").unionByName(fresh.select("game_id", F.lit(1).alias("tier"), "place"))
     return both.orderBy("tier", "place").limit(most)
+
+
+def page_with_total(games: DataFrame, by: str = "date", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page's games with `total`, the number of all games that match."""
+    total = games.agg(F.count(F.lit(1)).alias("total"))
+    return page(games, by, descending, limit, offset).crossJoin(F.broadcast(total))  # one row
+
+
+MOST_RECENT = 12
+
+
+def recent_libraries(opened: DataFrame, most: int = MOST_RECENT) -> DataFrame:
+    """The paths opened last, each once, newest first, `most` in all: place, path and the state of sync and review last told for each.
+
+    `opened` has path, seq, sync and review; a null state leaves what was told before.
+    """
+    told = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    last = opened.groupBy("path").agg(F.max("seq").alias("seq"), told("sync"), told("review")).orderBy(F.desc("seq")).limit(most)
+    return last.select(F.row_number().over(Window.orderBy(F.desc("seq"))).alias("place"), "path", "sync", "review")  # `most` rows

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..adapters import games, oracle, raw_games, with_pgn
 from ..functions import columns as C
-from ..operators import doctor, evidence, explore, library, stats, store
+from ..operators import doctor, evidence, explore, library, reports, review, stats, store
 from ..operators.query import GameQuery, match_records
 from ..sources import pgn
-from ..streaming import sync
+from ..streaming import collection, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -714,17 +714,20 @@ def moves(s, d):
     return pgn.move_rows(replayed(s, d)).select("game_id", "ply", "san")
 
 
-@query("recent_libraries", f"WITH e AS (SELECT user_id, max(event_id) AS seq FROM events GROUP BY user_id) SELECT CAST(row_number() OVER (ORDER BY seq DESC) AS INTEGER) AS place, user_id FROM (SELECT * FROM e ORDER BY seq DESC LIMIT 12)", plain=True)
+_OPENED = "SELECT CAST(user_id AS STRING) AS path, event_id AS seq, CASE WHEN event_type = 'purchase' THEN concat('s', CAST(event_id AS STRING)) END AS sync, CASE WHEN event_type = 'click' THEN concat('r', CAST(event_id AS STRING)) END AS review FROM {events}"
+
+
+@query("recent_libraries", f"WITH o AS ({_OPENED.format(events='events')}), e AS (SELECT path, max(seq) AS seq, arg_max(sync, seq) FILTER (sync IS NOT NULL) AS sync, arg_max(review, seq) FILTER (review IS NOT NULL) AS review FROM o GROUP BY path) SELECT CAST(row_number() OVER (ORDER BY seq DESC) AS INTEGER) AS place, path, sync, review FROM (SELECT * FROM e ORDER BY seq DESC LIMIT 12)", plain=True)
 def recent_libraries(s, d):
-    """The twelve paths opened last, each once."""
-    last = s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("seq")).orderBy(F.desc("seq")).limit(12)
-    return last.select(F.row_number().over(Window.orderBy(F.desc("seq"))).alias("place"), "user_id")  # twelve rows
+    """The twelve paths opened last, each once, with the states told last."""
+    return library.recent_libraries(s.sql(_OPENED, events=s.read.parquet(f"{d}/events.parquet")))
 
 
-@query("snapshot_latest", "SELECT user_id, arg_max(event_type, (event_id % 10, event_id)) AS snapshot FROM events GROUP BY user_id", plain=True)
+@query("snapshot_latest", "SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, (event_id % 10, event_id % 7, event_id)) AS snapshot FROM events GROUP BY user_id", plain=True)
 def snapshot_latest(s, d):
     """Of the answers per path the newest by (generation, revision)."""
-    return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct(F.col("event_id") % 10, "event_id")).alias("snapshot"))
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 10).alias("generation"), (F.col("event_id") % 7).alias("revision"), F.col("event_id").alias("seq"), F.col("event_type").alias("snapshot"))
+    return review.latest_snapshots(rows)
 
 
 # More of the kernel, text functions and small rules
@@ -779,7 +782,7 @@ def fn_github_escape(s, d):
 @query("lesson_sample", "SELECT count(*) AS games FROM g WHERE mainline_plies > 0 AND result IN (1, 2)")
 def lesson_sample(s, d):
     """Games that lessons can come from: decided, with moves."""
-    return games(s, d).where("mainline_plies > 0 AND result IN (1, 2)").agg(F.count(F.lit(1)).alias("games"))
+    return review.lesson_games(games(s, d)).agg(F.count(F.lit(1)).alias("games"))
 
 
 @query("query_ply_range", _positions_sql("SELECT /*visits*/ ply, CAST(count(*) AS BIGINT) AS visits FROM v WHERE ply BETWEEN 2 AND 6 GROUP BY ply"), plain=True)
@@ -791,8 +794,7 @@ def query_ply_range(s, d):
 def partition_plan(s, d):
     """Ranges of whole games of about 100,000 bytes in each source."""
     rows = with_pgn(raw_games(s, d)).select("source", "source_game", F.length("pgn").cast("bigint").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("source_game").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return rows.withColumn("part", F.floor(before / 100000)).groupBy("source", "part").agg(F.count(F.lit(1)).alias("games"), F.sum("n").alias("bytes"))
+    return pgn.balanced_parts(rows).groupBy("source", "part").agg(F.count(F.lit(1)).alias("games"), F.sum("n").alias("bytes"))
 
 
 @query("db_source_lookup", "SELECT substr(source, 1, 1) AS prefix, count(DISTINCT source) AS sources, count(DISTINCT source) > 1 AS ambiguous FROM g GROUP BY 1")
@@ -832,20 +834,303 @@ def uci_evidence(s, d):
 @query("player_decisions", _positions_sql(f"SELECT /*visits*/ v.game_id, CAST(count(*) AS BIGINT) AS decisions FROM v WHERE ply > 2 AND {_OWN} AND (ply % 2 = 1) = ({_W}) GROUP BY v.game_id"), plain=True)
 def player_decisions(s, d):
     """Moves after two shared plies that the player had to find, by game."""
-    own = explore.scoped(replayed(s, d), PLAYER).select("game_id", "white_key", F.explode("steps").alias("s"))
-    white = F.coalesce(F.col("white_key") == PLAYER, F.lit(False))
-    return own.where((F.col("s.ply") > 2) & ((F.col("s.ply") % 2 == 1) == white)).groupBy("game_id").agg(F.count(F.lit(1)).alias("decisions"))
+    own = explore.scoped(replayed(s, d), PLAYER).select("game_id", "white_key", F.explode("steps").alias("s")).select("game_id", "white_key", "s.ply")
+    return review.player_moves(own, 2, PLAYER).groupBy("game_id").agg(F.count(F.lit(1)).alias("decisions"))
+
 
+_EXERCISES = "SELECT user_id AS path, event_id AS place, event_id AS game_id, CASE event_type WHEN 'error' THEN 'completed' ELSE 'active' END AS disposition, CASE WHEN value > 40 THEN 'without_reveal' ELSE 'unsolved' END AS solution, event_id % 9 = 0 AS here FROM {events}"
 
-@query("practice_entry", "SELECT user_id, arg_min(event_id, (CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_id)) AS entry FROM events GROUP BY user_id", plain=True)
+
+@query("practice_entry", f"SELECT path, arg_min(game_id, (CASE WHEN disposition = 'active' AND solution = 'unsolved' THEN CASE WHEN here THEN 0 ELSE 1 END WHEN here THEN 2 ELSE 3 END, place)) AS entry FROM ({_EXERCISES.format(events='events')}) GROUP BY path", plain=True)
 def practice_entry(s, d):
-    """The exercise to open: the first active one, else the first for later, else the first."""
-    tier = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
-    return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.min_by("event_id", F.struct(tier, "event_id")).alias("entry"))
+    """The exercise to open: the current one if it is active and unsolved, the first such, the current one, the first."""
+    rows = s.sql(_EXERCISES, events=s.read.parquet(f"{d}/events.parquet"))
+    return review.practice_entry(rows, F.when(F.col("here"), F.col("game_id")))
+
+
+# Reports
 
 
-@query("report_json", "SELECT source, count(*) AS games, count(*) AS parsed_games FROM g GROUP BY source")
+def _reports(s, d) -> DataFrame:
+    rows = with_pgn(raw_games(s, d)).select("source", F.length("pgn").cast("long").alias("bytes"), "pgn")
+    return reports.statistics(pgn.parse_games(rows, "pgn", fields=("tags", "raw_date_tag", "raw_utc_date", "plies", "outcome")), "source")
+
+
+@query("report_json", f"SELECT source, count(*) AS games, CAST(count(*) FILTER (result = 1) AS BIGINT) AS white_wins, CAST(count(*) FILTER (mainline_plies BETWEEN 1 AND 20) AS BIGINT) AS short, round(avg(mainline_plies), 6) AS average, count(white) AS white, max(played_on) AS latest, min(least(coalesce(white_elo, 99999), coalesce(black_elo, 99999))) AS lowest, count(*) FILTER (({_TC}) = 'sudden_death') AS sudden FROM g GROUP BY source")
 def report_json(s, d):
-    """Statistics as JSON reports per source, and what the reports say."""
-    reports = stats.core(games(s, d), "source").select("source", "games", F.to_json(F.struct("games", "plies", "white_wins", "black_wins", "draws", "unfinished")).alias("report"))
-    return reports.select("source", "games", F.get_json_object("report", "$.games").cast("bigint").alias("parsed_games"))
+    """Statistics reports of the sources as JSON, and what is read out of them again."""
+    j = lambda path, kind: F.get_json_object("json", f"$.{path}").cast(kind)
+    return reports.as_json(_reports(s, d), "source").select(
+        "source", j("games", "long").alias("games"), j("results.white_wins", "long").alias("white_wins"), j("game_length.distribution.1-20", "long").alias("short"), F.round(j("game_length.average_plies", "double"), 6).alias("average"),
+        j("header_coverage.white", "long").alias("white"), F.replace(j("dates.latest", "string"), F.lit("."), F.lit("")).cast("int").alias("latest"), j("ratings.minimum", "long").alias("lowest"), j("time_controls.sudden_death", "long").alias("sudden"),
+    )
+
+
+_TEXT = f"""SELECT source, concat('stats: valid', chr(10), 'source: ', source, chr(10), 'bytes: ', sum(strlen({_PGN})), chr(10), 'games: ', count(*), chr(10), 'mainline plies: ', sum(mainline_plies), chr(10),
+  'results: ', count(*) FILTER (result = 1), ' white wins, ', count(*) FILTER (result = 2), ' black wins, ', count(*) FILTER (result = 3), ' draws, ', count(*) FILTER (result = 0), ' unfinished', chr(10),
+  'game length (plies): min ', min(mainline_plies), ', avg ', printf('%.2f', avg(mainline_plies)), ', max ', max(mainline_plies), chr(10),
+  'game-length buckets: 0=', count(*) FILTER (mainline_plies = 0), ', 1-20=', count(*) FILTER (mainline_plies > 0), ', 21-40=0, 41-60=0, 61-80=0, 81-120=0, 121-160=0, 161+=0', chr(10),
+  'header coverage: Event ', count(*), '/', count(*), ', Site 0/', count(*), ', Date ', count(date_text), '/', count(*), ', Round 0/', count(*), ', White ', count(white), '/', count(*), ', Black ', count(black), '/', count(*), ', Result 0/', count(*), chr(10),
+  'dates: ', count(played_on), ' complete (', arg_min(date_text, played_on), ' to ', arg_max(date_text, played_on), '), ', count(*) FILTER (date_text IS NOT NULL AND played_on IS NULL), ' incomplete/invalid, ', count(*) FILTER (date_text IS NULL), ' missing', chr(10)) AS text FROM g GROUP BY source"""
+
+
+@query("report_text", _TEXT)
+def report_text(s, d):
+    """Statistics reports for people, up to their dates; the lines of ratings and time controls follow from `report_json`'s figures."""
+    told = reports.source_texts(_reports(s, d), F.lit("valid"))
+    return told.select("source", F.regexp_extract("text", r"\A(?s:.*?)(?=ratings: )", 0).alias("text"))
+
+
+_ANNOTATED = f"SELECT source, source_game, {_CATEGORY} AS category, row_number() OVER (PARTITION BY source ORDER BY source_game) AS k FROM g WHERE ({_CATEGORY}) IS NOT NULL"
+
+
+@query("report_annotations", f"SELECT source, CAST(k - 1 AS INTEGER) AS k, concat('::error file=', source, ',line=1,col=1,title=Doctor%3A inconsistent result::game ', source_game, ': the Result tag is no result (2-0)') AS line FROM ({_ANNOTATED}) WHERE k <= 100 AND category = 'inconsistent_result'")
+def report_annotations(s, d):
+    """Workflow commands of the first hundred faults of each source; those of one kind, whose text is the same in every game."""
+    told = reports.doctor_reports(doctor.diagnose(_faults(s, d)))
+    return reports.doctor_annotations(told).where("line LIKE '%inconsistent result%'")
+
+
+@query("report_json_lines", f"""WITH a AS ({_ANNOTATED}), n AS (SELECT source, count(*) AS n, count(*) > 100 AS over FROM a GROUP BY source), good AS (SELECT source, count(*) FILTER (({_CATEGORY}) IS NULL) AS games FROM g GROUP BY source)
+  SELECT n.source, CAST(least(n, 100) AS BIGINT) AS diagnostics, 'invalid' AS status, games, over AS limited FROM n JOIN good USING (source)""")
+def report_json_lines(s, d):
+    """A source's JSON lines: how many diagnostics they hold, and what its summary says."""
+    lines = reports.doctor_json_lines(reports.doctor_reports(doctor.diagnose(_faults(s, d))))
+    j = lambda path: F.get_json_object("line", f"$.{path}")
+    told = lambda path: F.max(F.when(j("record") == "summary", j(path)))
+    return lines.groupBy("source").agg(F.count_if(j("record") == "diagnostic").alias("diagnostics"), told("status").alias("status"), told("games").cast("long").alias("games"), told("error_limit_reached").cast("boolean").alias("limited"))
+
+
+@query("report_summary", f"""WITH a AS ({_ANNOTATED}), n AS (SELECT source, least(count(*), 100) AS n, count(*) > 100 AS over FROM a GROUP BY source)
+  SELECT concat('Doctor: invalid - ', (SELECT count(*) FROM n), ' inputs; ', (SELECT CAST(sum(n) AS BIGINT) FROM n), ' diagnostics, ', (SELECT count(*) FROM g WHERE ({_CATEGORY}) IS NULL), ' complete games, ',
+    (SELECT CAST(sum(plies + CASE WHEN line_id = 10 THEN 2 ELSE 0 END) AS BIGINT) FROM g WHERE ({_CATEGORY}) IS NULL), ' moves', CASE WHEN (SELECT bool_or(over) FROM n) THEN '; error limit reached' ELSE '' END) AS line""")
+def report_summary(s, d):
+    """The last line over all sources."""
+    return reports.doctor_summary(reports.doctor_reports(doctor.diagnose(_faults(s, d))))
+
+
+@query("library_page_total", f"SELECT CAST(row_number() OVER (ORDER BY {_NEWEST}) AS INTEGER) AS place, game_id, total FROM (SELECT *, count(*) OVER () AS total FROM g WHERE {_OWN} ORDER BY {_NEWEST} LIMIT 50 OFFSET 20)")
+def library_page_total(s, d):
+    found = GameQuery(player=PLAYER).run(games(s, d))
+    return library.ranked(library.page_with_total(found, "date", True, 50, 20), "date").select("place", "game_id", "total")
+
+
+# Reviews
+
+_REVIEW_PLAYER = "CASE WHEN game_id % 8 = 5 THEN '' ELSE coalesce(black, white) END"
+_REVIEW_ERROR = f"""CASE WHEN ({_REVIEW_PLAYER}) IS NULL OR ({_REVIEW_PLAYER}) = '' THEN 'player_required' WHEN game_id % 8 = 2 THEN 'invalid_pgn:duplicate_tag' WHEN game_id % 8 = 1 THEN 'unsupported_variant'
+  WHEN coalesce(white_key = black_key, false) THEN 'player_missing_or_ambiguous' WHEN game_id % 8 = 3 THEN 'invalid_setup' WHEN game_id % 8 = 4 THEN 'expected_one_game' WHEN game_id % 8 = 6 THEN 'illegal_mainline:1' END"""
+
+
+def _reviews(s, d) -> DataFrame:
+    """Games with a player and planted faults, as reviews take them."""
+    rows, k, text = with_pgn(games(s, d)), F.col("game_id") % 8, F.col("pgn").cast("string")
+    planted = (
+        F.when(k == 1, F.concat(F.lit('[Variant "Chess960"]\n'), text)).when(k == 2, F.concat(F.lit('[Black "x"]\n[Black "y"]\n'), text)).when(k == 3, F.concat(F.lit('[SetUp "1"]\n'), text))
+        .when(k == 4, F.concat(text, text)).when(k == 6, F.regexp_replace(text, r"\n\n(?=(?s:.))", "\n\n1. Ke5 ")).otherwise(text)
+    )
+    return review.parse_reviews(rows.select("game_id", planted.cast("binary").alias("pgn"), F.expr(_REVIEW_PLAYER).alias("player")))
+
+
+@query("review_parse", f"SELECT game_id, e AS error, CASE WHEN e IS NULL THEN CASE WHEN black IS NOT NULL THEN 'black' ELSE 'white' END END AS color, CASE WHEN e IS NULL THEN CAST(plies AS INTEGER) END AS plies FROM (SELECT *, {_REVIEW_ERROR} AS e FROM g)")
+def review_parse(s, d):
+    return _reviews(s, d).select("game_id", "error", "color", F.when(F.col("error").isNull(), F.size("uci")).alias("plies"))
+
+
+@query("review_decisions", f"SELECT game_id, m.ply, m.san AS played_san FROM (SELECT *, {_REVIEW_ERROR} AS e FROM g) JOIN (VALUES {_MOVES}) AS m(line_id, ply, san) USING (line_id) WHERE e IS NULL AND m.ply > 2 AND (m.ply % 2 = 0) = (black IS NOT NULL)")
+def review_decisions(s, d):
+    return review.decisions(_reviews(s, d), 2).select("game_id", "ply", "played_san")
+
+
+_START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+_PVS = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'e2e4 e7e5 g1f3 b8c6 f1b5 a7a6 b5a4 g8f6' WHEN 1 THEN 'e2e5' WHEN 2 THEN '' WHEN 3 THEN 'g1f3 g8f6 f3g1 f6g8' ELSE 'e2e4 e7e4' END AS moves FROM {orders}"
+
+
+@query("legal_variations", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6' WHEN 3 THEN 'Nf3 Nf6 Ng1 Ng8' END AS sans, CASE o_orderkey % 5 WHEN 1 THEN 'illegal variation' WHEN 2 THEN 'missing move in nonterminal position' WHEN 4 THEN 'illegal variation' END AS error FROM orders", plain=True)
+def legal_variations(s, d):
+    rows = s.sql(_PVS, orders=s.read.parquet(f"{d}/orders.parquet")).select("id", F.lit(_START).alias("fen"), F.filter(F.split("moves", " "), lambda m: m != "").alias("pv"))
+    return review.legal_variations(rows).select("id", F.array_join("pv_san", " ").alias("sans"), "error")
+
+
+@query("replay_lines", "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 5 WHEN 0 THEN 7 WHEN 2 THEN 1 WHEN 3 THEN 5 END AS INTEGER) AS positions, CASE o_orderkey % 5 WHEN 0 THEN 'r1bqkbnr/1ppp1ppp/p1n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R w KQkq - 0 4' WHEN 2 THEN 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1' WHEN 3 THEN 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 4 3' END AS last FROM orders", plain=True)
+def replay_lines(s, d):
+    """Positions of lines, after six moves at most."""
+    rows = s.sql(_PVS, orders=s.read.parquet(f"{d}/orders.parquet")).select("id", F.lit(_START).alias("fen"), F.filter(F.split("moves", " "), lambda m: m != "").alias("moves"))
+    return review.replay_lines(rows).select("id", F.when(F.col("fens").isNotNull(), F.size("fens")).alias("positions"), F.try_element_at("fens", F.lit(-1)).alias("last"))
+
+
+_ATTEMPTS = "SELECT o_orderkey AS attempt_id, o_custkey AS game_id, CASE o_orderkey % 6 WHEN 0 THEN 'e2e4' WHEN 1 THEN 'd2d4' WHEN 2 THEN 'e2e5' WHEN 3 THEN 'g1f3' WHEN 4 THEN 'e2e4qq' ELSE 'a2a3' END AS uci FROM {orders}"
+_AFTER = {"e2e4": "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1", "d2d4": "rnbqkbnr/pppppppp/8/8/3P4/8/PPP1PPPP/RNBQKBNR b KQkq d3 0 1", "g1f3": "rnbqkbnr/pppppppp/8/8/8/5N2/PPPPPPPP/RNBQKB1R b KQkq - 1 1"}
+
+
+@query("verify_attempts", """SELECT o_orderkey AS attempt_id, CASE WHEN c.c_custkey % 7 = 0 OR o_orderkey % 6 = 4 THEN NULL WHEN o_orderkey % 6 = 2 THEN 'illegal' WHEN o_orderkey % 6 = 5 THEN NULL
+    WHEN o_orderkey % 6 = 0 THEN CASE WHEN c.c_custkey % 3 = 2 THEN 'inconclusive' ELSE 'strong' END WHEN c.c_custkey % 3 = 2 THEN 'inconclusive' WHEN o_orderkey % 6 = 1 THEN CASE c.c_custkey % 3 WHEN 0 THEN 'strong' ELSE 'try_again' END ELSE 'try_again' END AS verdict,
+  CASE WHEN o_orderkey % 6 = 4 THEN 'invalid move text' WHEN c.c_custkey % 7 = 0 THEN 'no exercise' WHEN o_orderkey % 6 = 5 THEN 'missing evidence' END AS error FROM orders JOIN customer c ON o_custkey = c_custkey""", plain=True)
+def verify_attempts(s, d):
+    """Attempts at the customers' exercises, with evaluations by the engine of each."""
+    attempts = s.sql(_ATTEMPTS, orders=s.read.parquet(f"{d}/orders.parquet"))
+    customers = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("game_id"), F.concat(F.lit("engine"), (F.col("c_custkey") % 3).cast("string")).alias("engine"), F.lit(100).alias("nodes"))
+    exercises = customers.where("game_id % 7 <> 0").select("*", F.lit(_START).alias("position_fen"), F.lit("e2e4").alias("best_uci"))
+    best = {"e2e4": (50, 50), "d2d4": (30, -40), "g1f3": (-60, -60)}
+    each = F.explode(F.array(*(F.struct(F.lit(_AFTER[m]).alias("fen"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, (a, b) in best.items())))
+    rows = customers.select("engine", "nodes", each.alias("e")).distinct()
+    mate = F.col("engine") == "engine2"
+    analyses = rows.select(F.col("e.fen").alias("fen"), "engine", "nodes", F.when(mate, "mate_against").otherwise("centipawns").alias("kind"), F.when(F.col("engine") == "engine0", F.col("e.a")).otherwise(F.col("e.b")).alias("value"), F.lit("exact").alias("bound"))
+    return review.verify_attempts(attempts, exercises, analyses)
+
+
+_OPENINGS = "SELECT c_custkey, concat(' P', CAST(c_custkey AS STRING), ' ') AS player, CAST(c_custkey % 9 AS INT) AS ply, c_mktsegment AS line, c_custkey % 4 + 1 AS losses, c_custkey AS k FROM (SELECT c_custkey + 1 AS c_custkey, c_mktsegment FROM {customer})"
+
+
+def _progress(s, d) -> DataFrame:
+    rows = s.sql(_OPENINGS, customer=s.read.parquet(f"{d}/customer.parquet"))
+    k = F.col("k")
+    openings = rows.select("player", "ply", "line", "losses", F.array(k, k + 1, k, k + 2, F.lit(0).cast("long")).alias("review_game_ids"), k.alias("game_id"))
+    saved = rows.where("k % 5 <> 0").select(review.pattern_key(F.col("player"), F.col("ply"), F.col("line")).alias("pattern"), F.array(k + 1, k + 9).alias("reviewed_game_ids"), F.array(k + 1, k + 2).alias("deferred_game_ids"), F.when(k % 2 == 0, k + 2).otherwise(k + 7).alias("current_game_id"))
+    return review.reconciled_progress(openings, saved)
+
+
+@query("progress_reconciled", "SELECT concat('v1:p', c_custkey, ':', c_custkey % 9, ':', c_mktsegment) AS pattern, c_mktsegment AS title, concat(c_custkey, ' ', c_custkey + 1, ' ', c_custkey + 2) AS game_ids, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey + 1 AS VARCHAR) ELSE '' END AS reviewed, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey + 2 AS VARCHAR) ELSE '' END AS deferred, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN c_custkey + 2 ELSE c_custkey END AS current_game_id, c_custkey % 4 + 1 AS matching_losses FROM (SELECT c_custkey + 1 AS c_custkey, c_mktsegment FROM customer)", plain=True)
+def progress_reconciled(s, d):
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
+    return _progress(s, d).select("pattern", "title", text("game_ids").alias("game_ids"), text("reviewed_game_ids").alias("reviewed"), text("deferred_game_ids").alias("deferred"), "current_game_id", "matching_losses")
+
+
+@query("progress_next", "SELECT concat('v1:p', c_custkey, ':', c_custkey % 9, ':', c_mktsegment) AS pattern, c_custkey AS current_game_id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey END AS next_game_id FROM (SELECT c_custkey + 1 AS c_custkey, c_mktsegment FROM customer)", plain=True)
+def progress_next(s, d):
+    """Progress as a review begins with it, and the game after the current one."""
+    rows = review.prepared_progress(_progress(s, d))
+    nxt = review.next_review_game(F.col("game_ids"), F.col("reviewed_game_ids"), F.col("deferred_game_ids"), F.col("current_game_id"))
+    return rows.select("pattern", "current_game_id", nxt.alias("next_game_id"))
+
+
+@query("progress_coached", """WITH e AS (SELECT user_id, event_id, event_type, user_id % 2 = 0 AS running FROM events), ids AS (SELECT user_id, event_id, running, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'again_later' WHEN 'view' THEN 'active' END AS disposition FROM e)
+  SELECT CAST(user_id AS VARCHAR) AS path, CAST(count(*) FILTER (disposition = 'completed' OR (disposition IS NULL AND running AND event_id % 3 = 0)) AS INTEGER) AS reviewed, CAST(count(*) FILTER (disposition = 'again_later' OR (disposition IS NULL AND event_id % 3 = 1)) AS INTEGER) AS deferred FROM ids GROUP BY user_id""", plain=True)
+def progress_coached(s, d):
+    """Saved progress brought in line with practice: every third game was reviewed, every third put off."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    path, k = F.col("user_id").cast("string").alias("path"), F.col("event_id")
+    of = lambda c: F.collect_list(F.when(c, k))
+    progress = e.groupBy(path).agg(F.collect_list("event_id").alias("game_ids"), of(k % 3 == 0).alias("reviewed_game_ids"), of(k % 3 == 1).alias("deferred_game_ids"))
+    t = F.col("event_type")
+    practice = e.select(path, k.alias("game_id"), F.when(t == "purchase", "completed").when(t == "click", "again_later").when(t == "view", "active").alias("disposition"), (F.col("user_id") % 2 == 0).alias("running"))
+    return review.coached_progress(progress, practice).select("path", F.size("reviewed_game_ids").alias("reviewed"), F.size("deferred_game_ids").alias("deferred"))
+
+
+@query("cache_keys", f"SELECT game_id, (SELECT count(DISTINCT (line_id, black IS NULL)) FROM g) > 0 AS some, line_id IS NOT NULL AS named FROM (SELECT *, {_REVIEW_ERROR} AS e FROM g) WHERE e IS NULL")
+def cache_keys(s, d):
+    """Keys of the reviewable games: every one has a digest, and equal mainlines of one side share their line's hash."""
+    rows = _reviews(s, d).where("error IS NULL").select("game_id", "initial_fen", "uci", "color", "player_name", F.lit(4).alias("shared_ply"), F.lit("engine").alias("engine_name"), F.lit("00").alias("engine_binary_hash"), F.lit(100_000).alias("nodes"), F.lit("x").alias("architecture"))
+    keyed = review.cache_keys(rows)
+    return keyed.select(F.col("game_id").cast("long").alias("game_id"), F.col("mainline_hash").rlike("^[0-9a-f]{64}$").alias("some"), F.col("digest").rlike("^[0-9a-f]{64}$").alias("named"))
+
+
+@query("cache_lines", f"SELECT count(DISTINCT line_id) AS lines, count(DISTINCT game_id) AS keys FROM (SELECT *, {_REVIEW_ERROR} AS e FROM g) WHERE e IS NULL")
+def cache_lines(s, d):
+    """Different mainlines and different keys of the reviewable games."""
+    rows = _reviews(s, d).where("error IS NULL").select("game_id", "initial_fen", "uci", "color", "player_name", F.lit(4).alias("shared_ply"), F.lit("engine").alias("engine_name"), F.lit("00").alias("engine_binary_hash"), F.lit(100_000).alias("nodes"), F.lit("x").alias("architecture"))
+    keyed = review.cache_keys(rows).groupBy("mainline_hash").agg(F.count("digest").alias("n"))  # a key has its game's id, so digests don't repeat
+    return keyed.agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("keys"))
+
+
+@query("save_diagnoses", """WITH n AS (SELECT o_custkey AS k, min(o_orderstatus) AS lo, max(o_orderstatus) AS hi FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS old, c_custkey % 10 AS practice FROM customer WHERE c_custkey % 4 <> 0)
+  SELECT CAST(coalesce(n.k, o.k) AS VARCHAR) AS digest, CASE WHEN lo IS NULL THEN 'untouched' WHEN lo <> hi OR (old IS NOT NULL AND old <> lo) THEN 'inconsistent' WHEN old IS NOT NULL THEN 'kept' ELSE 'created' END AS action, coalesce(old, CASE WHEN lo = hi THEN lo END) AS diagnosis, practice FROM n FULL JOIN o ON n.k = o.k""", plain=True)
+def save_diagnoses(s, d):
+    new = s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("digest"), F.col("o_orderstatus").alias("diagnosis"))
+    k = F.col("c_custkey")
+    stored = s.read.parquet(f"{d}/customer.parquet").where(k % 4 != 0).select(k.cast("string").alias("digest"), F.when(k % 2 == 0, "F").otherwise("O").alias("diagnosis"), (k % 10).alias("practice"))
+    return review.save_diagnoses(new, stored)
+
+
+_FAULTS = ["versions", "diagnosis_versions", "nodes", "shared_ply", "analyzed_moves", "inconclusive_moves", "engine", "attempts", "ply", "best_move", "variation", "reply", "loss", "completed", "practice_without_point", "hint"]
+_FAULT_SQL = " ".join(f"WHEN {i + 1} THEN '{name}'" for i, name in enumerate(_FAULTS))
+
+
+@query("entry_faults", f"SELECT o_orderkey AS id, CASE o_orderkey % 17 {_FAULT_SQL} END AS fault FROM orders", plain=True)
+def entry_faults(s, d):
+    """Sound entries, of which each breaks one rule told by its number."""
+    base = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 17).alias("k"))
+    k = F.col("k")
+    put = lambda i, wrong, right: F.when(k == i, wrong).otherwise(right)
+    text = lambda *xs: F.array(*map(F.lit, xs))
+    turned = k != 15
+    point = lambda c: F.when(turned, c)
+    rows = base.select(
+        "id", put(1, 2, 1).alias("schema"), *(F.lit(1).alias(f"{c}_version") for c in ("selection", "evidence", "practice")), put(2, 2, 1).alias("diagnosis_selection"), F.lit(1).alias("diagnosis_evidence"), F.lit(100).alias("nodes"), put(3, 99, 100).alias("diagnosis_nodes"),
+        F.lit(2).alias("shared_ply"), put(4, 3, 2).alias("diagnosis_shared_ply"), put(5, 1025, 9).alias("analyzed_moves"), put(6, 10, 1).alias("inconclusive_moves"), put(7, "other", "own").alias("engine"), F.lit("own").alias("engine_name"),
+        F.when(k == 15, 0).otherwise(1).alias("total_attempts"), F.when(k == 8, 2).when(k == 15, 0).otherwise(1).alias("kept_attempts"), point(put(9, 2, 3)).alias("ply"), point(text("e2e4", "e7e5")).alias("history"), point(put(10, "g1f3", "a2a3")).alias("played_uci"), point(F.lit("g1f3")).alias("best_uci"),
+        point(F.lit("Nf3")).alias("best_san"), point(F.when(k == 11, text("b1c3")).otherwise(text("g1f3"))).alias("pv"), point(text("Nf3")).alias("pv_san"), point(F.when(k == 12, text("e7e5", "d7d5")).otherwise(text("e7e5"))).alias("after_pv"), point(text("e5")).alias("after_pv_san"),
+        *(point(F.lit(v)).alias(c) for c, v in (("bk", "centipawns"), ("bv", 200), ("bb", "exact"), ("ak", "centipawns"), ("av", 50), ("ab", "exact"), ("loss_kind", "centipawns"))), point(put(13, 151, 150).cast("long")).alias("loss"),
+        F.when(k == 14, "completed").when(k == 15, "skipped").otherwise("active").alias("disposition"), F.lit(False).alias("revealed"), F.when(k == 16, "after_hint").otherwise("unsolved").alias("solution"),
+    )
+    return review.entry_faults(rows).select("id", "fault")
+
+
+# Arrivals asked for again, previews, texts
+
+
+@query("sync_refreshed", """WITH a AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS n, count(*) FILTER (event_type = 'view' AND event_id % 50 = 0) AS others, bool_or(event_id % 2 = 0) FILTER (event_type = 'view') AS open, max(CASE WHEN user_id % 11 = 0 THEN 404 WHEN user_id % 13 = 0 THEN 500 ELSE 200 END) AS http FROM events GROUP BY user_id)
+  SELECT CAST(user_id AS VARCHAR) AS requested_id, CASE WHEN http = 404 THEN 'vanished' WHEN http <> 200 THEN 'failed' WHEN others > 0 THEN 'unexpected_game_id' WHEN n <> 1 THEN 'unexpected_game_count' ELSE 'refreshed' END AS status FROM a""", plain=True)
+def sync_refreshed(s, d):
+    """What became of games that were asked for again, one by one."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    u, k = F.col("user_id"), F.col("event_id")
+    own = F.when(F.col("event_type") == "view", F.when(k % 50 == 0, F.lit("another")).otherwise(u.cast("string")))
+    answers = e.select(u.cast("string").alias("requested_id"), F.when(u % 11 == 0, 404).when(u % 13 == 0, 500).otherwise(200).alias("http_status"), own.alias("remote_id"), (k % 2 == 0).alias("unfinished"))
+    return collection.refreshed(answers.select("requested_id"), answers).select("requested_id", "status")
+
+
+@query("sync_preview", "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS remote_id FROM events ORDER BY event_id LIMIT 24", plain=True)
+def sync_preview(s, d):
+    """The twenty-four newest games of a stream that is told newest first."""
+    return collection.preview(arrivals(s, d)).select("seq", "remote_id")
+
+
+@query("sync_state_unfinished", f"WITH a AS ({_ARRIVALS.format(events='events')}) SELECT count(*) AS unfinished FROM (SELECT remote_id, arg_max(unfinished, seq) AS u FROM a GROUP BY remote_id) WHERE u", plain=True)
+def sync_state_unfinished(s, d):
+    return collection.unfinished(arrivals(s, d)).agg(F.count(F.lit(1)).alias("unfinished"))
+
+
+@query(
+    "fn_evidence_texts",
+    f"""WITH {_ASSESSED} SELECT id, concat(CASE bb WHEN 'lower' THEN 'at least ' WHEN 'upper' THEN 'at most ' ELSE '' END, CASE WHEN bk = 'centipawns' THEN concat(CASE WHEN bv >= 0 THEN '+' ELSE '' END, printf('%.2f', bv / 100.0), ' pawns') ELSE concat('mate ', CASE bk WHEN 'mate_for' THEN 'for' ELSE 'against' END, ' you', CASE WHEN bv <> 0 THEN concat(' in ', bv) ELSE '' END) END) AS score,
+      CASE WHEN verdict = 'turning_point' THEN CASE WHEN bk = 'centipawns' AND ak = 'centipawns' THEN concat(CASE WHEN bb = 'exact' AND ab = 'exact' THEN '' ELSE 'at least ' END, printf('%.2f', (bv - av) / 100.0), ' pawns of evaluation lost') WHEN ak = 'mate_against' THEN 'allowed a forced mate' ELSE 'lost a forced mate' END END AS loss_told,
+      CASE id % 3 WHEN 0 THEN 'Practice ' || (id % 5 + 1) || CASE WHEN id % 5 = 0 THEN ' position →' ELSE ' positions →' END WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'View diagnosis summary →' ELSE 'Continue diagnosis →' END ELSE 'Diagnose ' || (id % 4) || CASE WHEN id % 4 = 1 THEN ' loss →' ELSE ' losses →' END END AS recommended,
+      CASE id % 4 WHEN 0 THEN 'COMPLETED ✓' WHEN 1 THEN 'FOR LATER' WHEN 2 THEN CASE WHEN id % 8 = 2 THEN 'ATTEMPTED' ELSE 'READY TO PRACTICE' END ELSE 'FAILED' END AS label FROM assessed""",
+    plain=True,
+)
+def fn_evidence_texts(s, d):
+    rows, k = _assessed(s, d), F.col("id")
+    exact = (F.col("bb") == "exact") & (F.col("ab") == "exact")
+    state = C.queue_state(F.lit("failed"), F.when(k % 4 == 0, "completed").when(k % 4 == 1, "again_later").when(k % 4 == 2, "active"), F.lit("unsolved"), F.lit(False), F.when(k % 8 == 2, 3).otherwise(0))
+    return rows.select(
+        "id", C.score_text(F.col("bk"), F.col("bv"), F.col("bb")).alias("score"), F.when(F.col("verdict") == "turning_point", C.loss_text(F.col("loss_kind"), F.col("loss"), exact)).alias("loss_told"),
+        C.recommendation_label(F.when(k % 3 == 0, k % 5 + 1).otherwise(0), k % 3 == 1, k % 2 == 0, k % 4).alias("recommended"), C.choice(state, C.QUEUE_LABELS).alias("label"),
+    )
+
+
+@query(
+    "fn_moves_told",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'pawn from e2 to e4' WHEN 1 THEN 'king from e1 to g1 (castling)' WHEN 2 THEN 'pawn from b7 to a8, capturing a rook, promote to queen' WHEN 3 THEN 'piece from d5 to d6' ELSE '' END AS told,
+      CASE o_orderkey % 5 WHEN 0 THEN '450 650 450 450' WHEN 1 THEN '450 750 650 750' WHEN 2 THEN '150 150 50 50' WHEN 3 THEN '350 350 350 250' END AS arrow, CAST(o_orderkey % 64 AS INTEGER) AS square, chr(CAST(97 + o_orderkey % 8 AS INTEGER)) || CAST(o_orderkey % 64 // 8 + 1 AS VARCHAR) AS name, 64 AS squares FROM orders""",
+    plain=True,
+)
+def fn_moves_told(s, d):
+    """Moves in words, their arrows, and squares by number and name."""
+    rows = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    k = F.col("id")
+    uci = F.when(k % 5 == 0, "e2e4").when(k % 5 == 1, "e1g1").when(k % 5 == 2, "b7a8q").when(k % 5 == 3, "d5d6").otherwise("e9e4")
+    fen = F.lit("r3k3/1P6/8/8/8/8/4P3/4K2R w K - 0 1")
+    arrow = C.move_arrow(uci)
+    at = (k % 64).cast("int")
+    return rows.select(
+        "id", C.describe_move(fen, uci).alias("told"), F.concat_ws(" ", *(F.when(arrow.isNotNull(), arrow[c].cast("string")) for c in ("x1", "y1", "x2", "y2"))).alias("arrow"), C.square_index(C.square_name(at)).alias("square"),
+        C.square_name(at).alias("name"), F.size(C.fen_squares(fen)).alias("squares"),
+    ).withColumn("arrow", F.nullif("arrow", F.lit("")))
+
+
+@query("fn_throughput", f"SELECT source, round(CASE WHEN count(*) % 2 = 0 THEN 0 ELSE sum(strlen({_PGN})) / 1048576.0 / (count(*) / 1000.0) END, 9) AS rate, round(sum(strlen(movetext)) / CAST(sum(strlen({_PGN})) AS DOUBLE), 9) AS ratio FROM g GROUP BY source")
+def fn_throughput(s, d):
+    """Bytes a second (of no time for even numbers of games), and movetexts as a share of the texts."""
+    rows = with_pgn(raw_games(s, d)).groupBy("source").agg(F.sum(F.length("pgn")).alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("movetext")).alias("m"))
+    return rows.select("source", F.round(C.throughput(F.col("b"), F.when(F.col("n") % 2 == 0, 0.0).otherwise(F.col("n") / 1000)), 9).alias("rate"), F.round(C.compression_ratio(F.col("m"), F.col("b")), 9).alias("ratio"))

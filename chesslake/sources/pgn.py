@@ -186,6 +186,25 @@ def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes:
     return kept.select("position", "source", "part", none("start").alias("start"), F.when(F.col("fits"), F.col("stop")).alias("stop"), none("games_before").alias("games_before"), none("lines_before").alias("lines_before"))
 
 
+def balanced_parts(games: DataFrame, size: int = 100_000, block: int = 4096) -> DataFrame:
+    """Adds `part` to games (source, source_game from 1, n bytes): ranges of whole games of about `size` bytes in each source.
+
+    Bytes before a game are those of the blocks of games before its own and of the games before it there, so no task holds a source.
+    """
+    rows = games.withColumn("block", F.floor((F.col("source_game") - 1) / block))
+    blocks = rows.groupBy("source", "block").agg(F.sum("n").alias("bytes"))
+    up_to = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("source", "block", F.coalesce(F.sum("bytes").over(up_to), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "block").orderBy("source_game").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["source", "block"])
+    return placed.withColumn("part", F.floor((F.col("start") + F.col("inside")) / size)).drop("block", "start", "inside")
+
+
+def repeated_game(spark: SparkSession, game: bytes, size: int = 8 << 20) -> DataFrame:
+    """A synthetic source (source, source_game, raw) of one game over and over, of `size` bytes at least; made where it is used."""
+    return spark.range(-(-size // max(1, len(game)))).select(F.lit("synthetic").alias("source"), F.col("id").alias("source_game"), F.lit(bytearray(game)).alias("raw"))
+
+
 def read_frames(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The games of files and folders, plain or Zstandard: source, source_game, byte_offset, raw, error, first_line.
 

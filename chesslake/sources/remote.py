@@ -2,8 +2,9 @@
 
 `spark.read.format("pgn").load(folder)` plans one partition per file and frames games inside the readers;
 `spark.read.format("pgn_remote").option("user", ...)` asks a transport for a user's games with the limits that the options
-give. The transport is a class name, so that tests and other archives can bring their own; none is built in,
-as there is no network to use one.
+give; filters on played_on, color and opponent are pushed into the request (spark.sql.python.filterPushdown.enabled). The transport is
+a class name, so that tests and other archives can bring their own; none is built in, as there is no network to use one. It gives a status and bytes
+or a stream of them.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ import io
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from datetime import datetime, timezone
 
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from ..functions.columns import ARCHIVE_START_MS
 from ..kernel import pgn as P
 
-SCHEMA = "source string, source_game long, byte_offset long, raw binary, error string"
-PLAIN_OPTIONS = ("user", "since", "until", "max", "vs", "color", "ongoing", "gameid", "token")
+SCHEMA = "source string, source_game long, byte_offset long, raw binary, error string, first_line long"
+#: What a remote game has beside: the day, and the side and opponent of the user asked for.
+REMOTE_SCHEMA = SCHEMA + ", played_on int, color string, opponent string"
+PLAIN_OPTIONS = ("user", "since", "until", "max", "vs", "color", "ongoing", "gameid", "token", "sort")
 
 
 class GameNotFound(LookupError):
@@ -65,9 +71,24 @@ class _Part(InputPartition):
         self.name = name
 
 
-def _rows(name: str, content: bytes) -> Iterator[tuple]:
-    for f in P.frame(content):
-        yield name, f.number, f.offset, f.raw, f.error
+def _rows(name: str, frames: Iterator[P.Frame]) -> Iterator[tuple]:
+    for f in frames:
+        yield name, f.number, f.offset, f.raw, f.error, f.line
+
+
+def _facts(raw: bytes, user: str) -> tuple[int | None, str | None, str | None]:
+    """Day, side and opponent of a game as the user's."""
+    tags = P.parse_game(raw, strict=False)["tags"]
+    date = tags.get("Date", tags.get("UTCDate", b"")).decode("utf-8", "replace").replace("-", ".")
+    try:
+        day = datetime.strptime(date, "%Y.%m.%d").year * 10000 + int(date[5:7]) * 100 + int(date[8:10])
+    except ValueError:
+        day = None
+    names = [tags[k].decode("utf-8", "replace") if k in tags else None for k in ("White", "Black")]
+    for side, own, other in (("white", *names), ("black", *names[::-1])):
+        if own is not None and own.lower() == user.lower():
+            return day, side, other
+    return day, None, None
 
 
 class _Files(DataSourceReader):
@@ -79,12 +100,12 @@ class _Files(DataSourceReader):
 
     def read(self, partition):
         with open(partition.name, "rb") as file:
-            content = file.read()
-        if partition.name.lower().endswith(".zst"):
-            import zstandard
+            stream = file
+            if partition.name.lower().endswith(".zst"):
+                import zstandard
 
-            content = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
-        yield from _rows(partition.name, content)
+                stream = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+            yield from _rows(partition.name, P.frame_stream(stream.read))
 
 
 class PgnSource(DataSource):
@@ -101,6 +122,12 @@ class PgnSource(DataSource):
         return _Files([p for p in (self.options.get("paths") or self.options["path"]).split(",")])
 
 
+def _day_ms(day: int, last: bool) -> int:
+    """Unix milliseconds of the first or last moment of a day, not before the archive's start."""
+    moment = datetime(day // 10000, day // 100 % 100, day % 100, tzinfo=timezone.utc)
+    return max(int(moment.timestamp()) * 1000 + (86_399_999 if last else 0), ARCHIVE_START_MS)
+
+
 class _Remote(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k: v for k, v in options.items() if k in PLAIN_OPTIONS}
@@ -108,6 +135,22 @@ class _Remote(DataSourceReader):
         if not self.options.get("user") and not self.options.get("gameid"):
             raise ValueError("user or gameId is needed")
 
+    def pushFilters(self, filters):
+        """Bounds of the day, the side and the opponent become limits of the request; Spark applies all filters again."""
+        for f in filters:
+            name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if name == "played_on" and isinstance(value, int):
+                try:
+                    if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                        self.options["since"] = str(max(int(self.options.get("since", 0)), _day_ms(value, False)))
+                    if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                        self.options["until"] = str(min(int(self.options.get("until", 1 << 62)), _day_ms(value, True)))
+                except ValueError:  # no day: Spark finds that nothing matches
+                    pass
+            elif isinstance(f, EqualTo) and name in ("color", "opponent") and isinstance(value, str):
+                self.options.setdefault({"color": "color", "opponent": "vs"}[name], value)
+            yield f
+
     def partitions(self):
         return [_Part(self.options.get("user") or self.options["gameid"])]
 
@@ -115,7 +158,9 @@ class _Remote(DataSourceReader):
         module, _, name = self.transport.rpartition(".")
         status, content = getattr(importlib.import_module(module), name)().fetch(self.options)
         check_status(status)
-        yield from _rows(partition.name, content)
+        frames = P.frame_stream((io.BytesIO(content) if isinstance(content, bytes) else content).read)
+        for row in _rows(partition.name, frames):
+            yield (*row, *_facts(row[3], self.options.get("user", "")))
 
 
 class RemoteGames(DataSource):
@@ -126,7 +171,7 @@ class RemoteGames(DataSource):
         return "pgn_remote"
 
     def schema(self) -> str:
-        return SCHEMA
+        return REMOTE_SCHEMA
 
     def reader(self, schema):
         return _Remote(dict(self.options))
