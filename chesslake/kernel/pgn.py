@@ -233,23 +233,29 @@ _PLAIN_TAG = re.compile(rb'\[([A-Za-z0-9_]+)[ \t]+"([^"]*)"')
 _PLAIN_MOVE = re.compile(rb"(?<![^ \n.])[a-hKQRBNO][^ \n]*")
 
 
+def plain_game(raw: bytes) -> tuple[list[tuple[bytes, bytes]], bytes, bytes] | None:
+    """Tag pairs, movetext and outcome of a game without comments, variations, glyphs and escapes; None for any other."""
+    m = _PLAIN.match(raw)
+    return (_PLAIN_TAG.findall(m[1]), m[2], m[3]) if m else None
+
+
 def parse_game(raw: bytes, strict: bool = True) -> dict:
     """One framed game: first-wins tags, mainline moves, outcome and the first error.
 
     Games without comments, variations, glyphs and escapes, which most are, are told by one expression; all others go
     through `events`.
     """
-    m = _PLAIN.match(raw)
-    if m:
-        pairs = _PLAIN_TAG.findall(m[1])
+    plain = plain_game(raw)
+    if plain:
+        pairs, text, outcome = plain
         tags = {name.decode(): value for name, value in reversed(pairs)}
-        moves = [x.decode("utf-8", "replace") for x in _PLAIN_MOVE.findall(m[2])]
+        moves = [x.decode("utf-8", "replace") for x in _PLAIN_MOVE.findall(text)]
         counts = {"game_start": 1, "movetext_start": 1, "outcome": 1, "game_end": 1}
-        numbers = m[2].count(b".")
+        numbers = text.count(b".")
         for kind, n in (("tag", len(pairs)), ("move_number", numbers), ("san", len(moves))):
             if n:
                 counts[kind] = n
-        return {"tags": tags, "raw_tags": tags, "moves": moves, "outcome": OUTCOMES[m[3]], "error": None, "counts": counts}
+        return {"tags": tags, "raw_tags": tags, "moves": moves, "outcome": OUTCOMES[outcome], "error": None, "counts": counts}
     return _parse_events(raw, strict)
 
 

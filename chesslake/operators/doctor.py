@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,8 +52,65 @@ def _begin(tags: dict[str, tuple[bytes, int]]) -> B.Board:
     return board
 
 
+#: Plies of a line whose boards a worker process remembers, and how many such openings.
+_OPENING, _OPENINGS = 16, 20_000
+_HEADERS = ("Event", "Date", "Round", "White", "Black")
+_NUMBER_OR_MOVE = re.compile(rb"([0-9]+)\.|([^ \n.]+)")
+
+
+@lru_cache(_OPENINGS)
+def _opening(moves: tuple[str, ...]) -> B.Board | None:
+    """The board after the first moves of a game; None if they can't be played."""
+    if not moves:
+        return B.Board()
+    board = _opening(moves[:-1])
+    if board is not None:
+        board = board.copy()
+        try:
+            board.play_san(moves[-1])
+        except B.SanError:
+            return None
+    return board
+
+
+def _sound(raw: bytes, semantic: bool) -> dict | None:
+    """What `validate` gives for a game without comments, variations and setup in which nothing is wrong; None for any other."""
+    plain = P.plain_game(raw)
+    if plain is None:
+        return None
+    pairs, text, outcome = plain
+    tags = {name.decode(): value for name, value in pairs}
+    if semantic and ("FEN" in tags or "SetUp" in tags or tags.get("Result", outcome) != outcome):
+        return None
+    moves: list[str] = []
+    for m in _NUMBER_OR_MOVE.finditer(text):
+        if m[2]:
+            moves.append(_show(m[2]))
+        elif semantic and (len(moves) % 2 or int(m[1]) != len(moves) // 2 + 1):
+            return None
+    if semantic:
+        board = _opening(tuple(moves[:_OPENING]))
+        if board is None:
+            return None
+        if len(moves) > _OPENING:
+            board = board.copy()
+            try:
+                for san in moves[_OPENING:]:
+                    board.play_san(san)
+            except B.SanError:
+                return None
+    return {"moves": len(moves), "fault": None, "headers": {k: _show(tags[k]) for k in _HEADERS if k in tags}}
+
+
 def validate(raw: bytes, semantic: bool = True) -> dict:
-    """The first fault of a framed game and the moves before it. Tags that repeat count with their last value."""
+    """The first fault of a framed game and the moves before it. Tags that repeat count with their last value.
+
+    Most games are plain and sound, and are told at once; all others are walked event by event.
+    """
+    return _sound(raw, semantic) or _walked(raw, semantic)
+
+
+def _walked(raw: bytes, semantic: bool) -> dict:
     tags: dict[str, tuple[bytes, int]] = {}
     board = previous = None
     branches: list[tuple] = []
@@ -87,7 +145,7 @@ def validate(raw: bytes, semantic: bool = True) -> dict:
         fault = ("syntax", error.offset, None, None, error.kind)
     except _Fault as error:
         fault = error.details
-    headers = {k: _show(tags[k][0]) for k in ("Event", "Date", "Round", "White", "Black") if k in tags}
+    headers = {k: _show(tags[k][0]) for k in _HEADERS if k in tags}
     return {"moves": moves, "fault": fault, "headers": headers}
 
 

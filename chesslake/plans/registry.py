@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,11 +199,22 @@ def _positions_sql(select: str) -> str:
 
 
 def _visits(s, d) -> DataFrame:
-    """game columns, ply, position_key and the position's name: the least line, shortest first, that reaches it."""
-    steps = replayed(s, d).select("game_id", "white_key", "black_key", "played_on", "result", F.posexplode("steps").alias("ply", "step"), "moves")
-    rows = steps.select("game_id", "white_key", "black_key", "played_on", "result", "ply", F.col("step.position_key").alias("position_key"), F.array_join(F.slice("moves", 1, F.col("ply")), " ").alias("line"))
-    rows = rows.persist(StorageLevel.DISK_ONLY)  # read for the names and for the visits
-    names = rows.groupBy("position_key").agg(F.min(F.struct("ply", "line")).alias("n")).select("position_key", F.col("n.line").alias("name"))
+    """game columns, ply, position_key and the position's name: the least line, shortest first, that reaches it.
+
+    Names come from each different line once.
+    """
+    games_ = pgn.parse_games(with_pgn(raw_games(s, d)).select("game_id", "pgn"), "pgn", fields=("tags", "moves", "outcome"))
+    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    date = C.effective_date(tag("Date"), tag("UTCDate"))
+    games_ = games_.select(
+        "game_id", C.ascii_fold(tag("White")).alias("white_key"), C.ascii_fold(tag("Black")).alias("black_key"), C.parse_date(date).alias("played_on"), F.coalesce("outcome", F.lit(0)).alias("result"),
+        tag("FEN").alias("fen"), tag("Variant").alias("variant"), "moves",
+    )
+    steps = lambda rows, *keep: pgn.with_position_keys(rows).select(*keep, F.posexplode("keys").alias("ply", "position_key"))
+    rows = steps(games_, "game_id", "white_key", "black_key", "played_on", "result")
+    lines = steps(games_.select("fen", "variant", "moves").distinct(), "moves")
+    line = F.array_join(F.slice("moves", 1, F.col("ply")), " ")
+    names = lines.groupBy("position_key").agg(F.min(F.struct("ply", line.alias("line"))).alias("n")).select("position_key", F.col("n.line").alias("name"))
     return rows.join(names, "position_key")
 
 

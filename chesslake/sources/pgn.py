@@ -394,6 +394,22 @@ def replay(rows: DataFrame) -> DataFrame:
     return _with(named, "__line", replay_line, _REPLAY).drop("__line")
 
 
+def with_position_keys(rows: DataFrame) -> DataFrame:
+    """Adds `keys` to games with fen, variant and moves: the keys of the positions that the mainline visits, by ply; null for other variants.
+
+    Where only keys are asked for, they alone come back from Python.
+    """
+    standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
+    named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
+    schema = T.StructType([T.StructField("keys", T.ArrayType(T.BinaryType()))])
+    return _with(named, "__line", lambda line: {"keys": None if line is None else _keys(line)}, schema).drop("__line")
+
+
+@lru_cache(_OPENINGS)
+def _keys(line: str) -> list[bytes]:
+    return [s["position_key"] for s in replay_line(line)["steps"]]
+
+
 def first_plies(rows: DataFrame, key: bytes) -> DataFrame:
     """Adds `first_ply` to games with fen, variant and moves: the first ply at which the mainline has the position of the key, else null.
 
@@ -407,7 +423,7 @@ def first_plies(rows: DataFrame, key: bytes) -> DataFrame:
 
 @lru_cache(_OPENINGS)
 def _first_ply(line: str, key: bytes) -> int | None:
-    return next((s["ply"] for s in replay_line(line)["steps"] if s["position_key"] == key), None)
+    return next((ply for ply, k in enumerate(_keys(line)) if k == key), None)
 
 
 def position_rows(replayed: DataFrame) -> DataFrame:

@@ -166,6 +166,23 @@ def test_doctor_finds_each_fault(spark):
     assert doctor.first_faults(both).where("source = 't'").first()["message"] == "no such file"
 
 
+def test_plain_games_are_told_as_by_walking():
+    """Games put together at random, most of them plain: the short way and the walk agree on faults, moves and headers."""
+    import random
+
+    rng = random.Random(9)
+    parts = [b"e4 ", b"e5 ", b"Nf3 ", b"Nc6\n", b"1. ", b"2. ", b"3.", b"1... ", b"O-O ", b"{x} ", b"(", b") ", b"Ke2 ", b"e4! ", b"exd5 ", b"d5 "]
+    heads = [b"", b'[White "a"]\n', b'[White "a"]\n[White "b"]\n', b'[Result "1-0"]\n', b'[SetUp "0"]\n', b'[FEN "8/8"]\n', b'[Event "\\""]\n']
+    short = 0
+    for _ in range(6000):
+        start = b"1. e4 e5 2. Nf3 " * rng.randint(0, 1)
+        raw = rng.choice(heads) + start + b"".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) + rng.choice([b"1-0", b"*", b" 1-0\n\n"])
+        for semantic in (True, False):
+            assert doctor.validate(raw, semantic) == doctor._walked(raw, semantic), raw
+            short += doctor._sound(raw, semantic) is not None
+    assert short > 1000
+
+
 def test_faults_are_located_in_lines():
     """Lines end at line feeds; a long line's excerpt is as long near its end as anywhere."""
     assert doctor.locate(b"ab\rcd\r\nef", 4) == (0, 5, "ab\rcd") and doctor.locate(b"ab\r\nef", 5) == (1, 2, "ef")
