@@ -51,6 +51,19 @@ def in_check(fen: pd.Series) -> pd.Series:
     return _each(fen, lambda f: B.Board(f).in_check())
 
 
+@pandas_udf(T.LongType())
+def perft(fen: pd.Series, depth: pd.Series) -> pd.Series:
+    """Legal games of so many plies from a position."""
+
+    def count(pair):
+        try:
+            return None if None in pair else B.perft(B.Board(pair[0]), int(pair[1]))
+        except ValueError:
+            return None
+
+    return pd.Series([count(p) for p in zip(fen, depth)], dtype=object)
+
+
 @udtf(returnType="san string, uci string, fen string")
 class LegalMoves:
     """The legal moves of a position, in notation and as the position after them."""
@@ -101,7 +114,7 @@ def play_uci(fen: str, text: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    for name, fn in (("position_key", position_key), ("fen_normalize", fen_normalize), ("fen_error", fen_error), ("in_check", in_check)):
+    for name, fn in (("position_key", position_key), ("fen_normalize", fen_normalize), ("fen_error", fen_error), ("in_check", in_check), ("perft", perft)):
         spark.udf.register(name, fn)
     for name, table in (("legal_moves", LegalMoves), ("replay", Replay), ("pgn_events", PgnEvents)):
         spark.udtf.register(name, table)

@@ -207,8 +207,8 @@ def first_faults(diagnostics: DataFrame) -> DataFrame:
 
 
 def exit_status(diagnostics: DataFrame) -> DataFrame:
-    """source and status: 0 valid, 1 invalid, 2 for what could not be read."""
-    worst = F.max(F.when(F.col("category") == "input", 2).when(F.col("category").isNotNull(), 1).otherwise(0))
+    """source and status: 0 valid, 1 invalid, 3 for what could not be read (2 is a wrong request)."""
+    worst = F.max(F.when(F.col("category") == "input", 3).when(F.col("category").isNotNull(), 1).otherwise(0))
     return diagnostics.groupBy("source").agg(worst.alias("status"))
 
 

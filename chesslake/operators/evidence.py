@@ -57,19 +57,32 @@ def attempt_verdict(best: tuple[Column, Column, Column], tried: tuple[Column, Co
     )
 
 
-def diagnose(decisions: DataFrame) -> DataFrame:
+def diagnose(decisions: DataFrame, nodes: int | None = None) -> DataFrame:
     """The earliest turning point of each game after its shared plies.
 
     `decisions` has game_id, ply, verdict, played_uci, best_uci, loss_kind and loss. A move that was the engine's
-    own choice is inconclusive. Counts go up to the turning point, or over all decisions.
+    own choice is inconclusive. Counts go up to the turning point, or over all decisions. With `nodes`, decisions also have engine_before,
+    engine_after, nodes_before, nodes_after and pv_first, and a game has `error` if what was analysed up to its end is not of one engine at
+    this budget, or a turning point lacks its best move; the game then has no result.
     """
-    own = decisions.withColumn("verdict", F.when((F.col("verdict") == "turning_point") & F.col("played_uci").eqNullSafe(F.col("best_uci")), "inconclusive").otherwise(F.col("verdict")))
-    first = own.groupBy("game_id").agg(F.min(F.when(F.col("verdict") == "turning_point", F.col("ply"))).alias("turn"))
+    c = F.col
+    own = decisions.withColumn("told", c("verdict")).withColumn("verdict", F.when((c("verdict") == "turning_point") & c("played_uci").eqNullSafe(c("best_uci")), "inconclusive").otherwise(c("verdict")))
+    if nodes is None:
+        own = own.withColumn("odd", F.lit(False))
+    else:
+        whole = F.coalesce((c("nodes_before") == nodes) & (c("nodes_after") == nodes) & (c("engine_before") != "") & (c("engine_before") == c("engine_after")), F.lit(False))
+        lacks = (c("told") == "turning_point") & (c("best_uci").isNull() | ~c("pv_first").eqNullSafe(c("best_uci")))
+        other = c("engine_before") != F.min_by("engine_before", "ply").over(Window.partitionBy("game_id"))
+        own = own.withColumn("odd", ~whole | lacks | F.coalesce(other, F.lit(False)))
+    first = own.groupBy("game_id").agg(F.min(F.when(c("verdict") == "turning_point", c("ply"))).alias("turn"), F.min(F.when(c("odd"), c("ply"))).alias("odd_at"))
     seen = own.join(first, "game_id").where("turn IS NULL OR ply <= turn")
-    return seen.groupBy("game_id").agg(
-        F.count(F.lit(1)).alias("analyzed_moves"), F.count_if(F.col("verdict") == "inconclusive").alias("inconclusive_moves"), F.min("turn").alias("turning_ply"),
-        F.max(F.when(F.col("ply") == F.col("turn"), F.col("loss_kind"))).alias("loss_kind"), F.max(F.when(F.col("ply") == F.col("turn"), F.col("loss"))).alias("loss"),
+    good = c("odd_at").isNull() | F.coalesce(c("odd_at") > c("turn"), F.lit(False))
+    told = seen.withColumn("good", good).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("analyzed_moves"), F.count_if(c("verdict") == "inconclusive").alias("inconclusive_moves"), F.min("turn").alias("turning_ply"),
+        F.max(F.when(c("ply") == c("turn"), c("loss_kind"))).alias("loss_kind"), F.max(F.when(c("ply") == c("turn"), c("loss"))).alias("loss"), F.min("good").alias("good"),
     )
+    results = ("analyzed_moves", "inconclusive_moves", "turning_ply", "loss_kind", "loss")
+    return told.select("game_id", *(F.when(c("good"), c(n)).alias(n) for n in results), F.when(~c("good"), "inconsistent_evidence").alias("error"))
 
 
 def review_summary(records: DataFrame) -> DataFrame:

@@ -81,9 +81,9 @@ def before_first_error(games: DataFrame) -> DataFrame:
 
 
 def batch_status(per_source: DataFrame) -> DataFrame:
-    """Sources by status (0 valid, 1 invalid, 2 error) and the exit status, the worst of them."""
+    """Sources by status (0 valid, 1 invalid, 3 error) and the exit status, the worst of them."""
     c = lambda code: F.count_if(F.col("status") == code)
-    return per_source.agg(F.count(F.lit(1)).alias("sources"), c(0).alias("valid"), c(1).alias("invalid"), c(2).alias("errors"), F.coalesce(F.max("status"), F.lit(0)).alias("exit_status"))
+    return per_source.agg(F.count(F.lit(1)).alias("sources"), c(0).alias("valid"), c(1).alias("invalid"), c(3).alias("errors"), F.coalesce(F.max("status"), F.lit(0)).alias("exit_status"))
 
 
 def first_error(games: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..adapters import games, oracle, raw_games, with_pgn
 from ..functions import columns as C
 from ..operators import doctor, evidence, explore, library, reports, review, stats, store
-from ..operators.query import GameQuery, match_records
+from ..operators.query import GameQuery, count_unless_failed, match_records, summary
 from ..sources import pgn
 from ..streaming import collection, sync
 
@@ -635,6 +637,23 @@ def evidence_diagnose(s, d):
     return evidence.diagnose(_assessed(s, d)).select("game_id", "analyzed_moves", "inconclusive_moves", "turning_ply")
 
 
+@query(
+    "evidence_diagnose_checked",
+    f"""WITH {_ASSESSED}, own AS (SELECT game_id, ply, CASE WHEN verdict = 'turning_point' AND played_uci = best_uci THEN 'inconclusive' ELSE verdict END AS verdict,
+      id % 211 = 0 OR id % 223 = 0 OR (verdict = 'turning_point' AND id % 53 = 0) AS odd FROM assessed),
+    turn AS (SELECT game_id, min(ply) FILTER (verdict = 'turning_point') AS turn, min(ply) FILTER (odd) AS odd_at FROM own GROUP BY game_id)
+    SELECT game_id, CASE WHEN odd_at IS NULL OR coalesce(odd_at > turn, false) THEN turn END AS turning_ply, CASE WHEN NOT (odd_at IS NULL OR coalesce(odd_at > turn, false)) THEN 'inconsistent_evidence' END AS error FROM turn""",
+    plain=True,
+)
+def evidence_diagnose_checked(s, d):
+    """Diagnoses whose analyses must be of one engine at one budget, and name their best move."""
+    k = F.col("id")
+    rows = _assessed(s, d).withColumns({
+        "engine_before": F.lit("e"), "engine_after": F.when(k % 211 == 0, "f").otherwise("e"), "nodes_before": F.lit(100), "nodes_after": F.when(k % 223 == 0, 99).otherwise(100), "pv_first": F.when(k % 53 == 0, "x").otherwise(F.col("best_uci")),
+    })
+    return evidence.diagnose(rows, 100).select("game_id", "turning_ply", "error")
+
+
 @query(
     "attempt_verdict",
     f"""WITH {_ASSESSED} SELECT id, CASE WHEN bk = 'centipawns' AND ak = 'centipawns' THEN CASE WHEN bb IN ('exact', 'upper') AND ab IN ('exact', 'lower') AND bv - av <= 30 THEN 'strong' WHEN bb IN ('exact', 'lower') AND ab IN ('exact', 'upper') AND bv - av > 30 THEN 'try_again' ELSE 'inconclusive' END
@@ -1144,3 +1163,147 @@ def fn_throughput(s, d):
     """Bytes a second (of no time for even numbers of games), and movetexts as a share of the texts."""
     rows = with_pgn(raw_games(s, d)).groupBy("source").agg(F.sum(F.length("pgn")).alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("movetext")).alias("m"))
     return rows.select("source", F.round(C.throughput(F.col("b"), F.when(F.col("n") % 2 == 0, 0.0).otherwise(F.col("n") / 1000)), 9).alias("rate"), F.round(C.compression_ratio(F.col("m"), F.col("b")), 9).alias("ratio"))
+
+
+# Small outputs and orders
+
+
+@query("query_summary", f"SELECT count(*) AS games, CAST(sum(strlen({_PGN})) AS BIGINT) AS bytes, count(*) FILTER ({_OWN}) AS matches FROM g")
+def query_summary(s, d):
+    rows = with_pgn(games(s, d)).withColumn("pgn_bytes", F.length("pgn").cast("long"))
+    return summary(rows, GameQuery(player=PLAYER).run(rows))
+
+
+@query("query_count_guarded", f"SELECT name, CASE name WHEN 'whole' THEN (SELECT count(*) FROM g WHERE {_OWN}) END AS matches FROM (VALUES ('whole'), ('failed')) AS t(name)")
+def query_count_guarded(s, d):
+    """A count is given only if no source failed."""
+    rows, faulty = games(s, d), _faulty(s, d).where("error IS NOT NULL")
+    found = GameQuery(player=PLAYER).run(rows)
+    return count_unless_failed(found, faulty.where("false")).select(F.lit("whole").alias("name"), "matches").unionByName(count_unless_failed(found, faulty).select(F.lit("failed").alias("name"), "matches"))
+
+
+@query("library_in_order", "SELECT CAST(l_linenumber AS INTEGER) AS place, g.game_id, white_key FROM (SELECT DISTINCT l_linenumber, l_orderkey FROM lineitem WHERE l_linenumber <= 2) JOIN g ON g.game_id = l_orderkey + 1")
+def library_in_order(s, d):
+    """Summaries of a list of ids, in the list's order; ids without a game are left out."""
+    ids = s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 2").select(F.col("l_linenumber").cast("int").alias("place"), (F.col("l_orderkey") + 1).alias("game_id")).distinct()
+    return library.in_order(ids, games(s, d)).select("place", "game_id", "white_key")
+
+
+@query("library_retained", "SELECT CAST(row_number() OVER (ORDER BY tier, place) AS INTEGER) AS place, game_id FROM (SELECT 0 AS tier, game_id AS place, game_id FROM g WHERE game_id IN (2, 5, 9) UNION ALL SELECT 1, -game_id, game_id FROM g WHERE game_id NOT IN (2, 5, 9)) ORDER BY tier, place LIMIT 6")
+def library_retained(s, d):
+    """Three retained games, then the newest ones, six in all."""
+    rows = raw_games(s, d).select("game_id")
+    retained = rows.where("game_id IN (2, 5, 9)").select("game_id", F.col("game_id").alias("place"))
+    got = library.retained_then_recent(retained, rows.select("game_id", (-F.col("game_id")).alias("place")))
+    kept = F.col("game_id").isin(2, 5, 9)
+    return got.select(F.row_number().over(Window.orderBy(~kept, F.when(kept, F.col("game_id")).otherwise(-F.col("game_id")))).cast("int").alias("place"), "game_id")  # six rows
+
+
+@query("fn_tag_values", """SELECT c_custkey, concat('"', c_name, '"\\') AS value, concat('n', chr(65533), 'x') AS lossy FROM customer""", plain=True)
+def fn_tag_values(s, d):
+    """Tag values with escaped quotes and backslashes, and one with a byte that is no UTF-8."""
+    name = F.concat(F.lit('[White "\\"'), F.col("c_name"), F.lit('\\"\\\\"]\n[Black "n')).cast("binary")
+    text = F.concat(name, F.lit(bytearray(b"\xff")), F.lit('x"]\n\n1. e4 *').cast("binary"))
+    rows = pgn.parse_games(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", text.alias("raw")), fields=("tags",))
+    return rows.select("c_custkey", F.col("tags")["White"].alias("value"), F.col("tags")["Black"].alias("lossy"))
+
+
+_AT_ONE = "FROM g JOIN (VALUES (0, 'e4'), (1, 'd4'), (2, 'e4'), (3, 'e4'), (4, 'f3'), (5, 'Nf3'), (6, 'e4'), (7, 'd4'), (8, 'e4'), (10, 'e4'), (11, 'Nf3')) AS f(line_id, san) USING (line_id)"
+
+
+@query("board_codes", f"""SELECT san, count(*) AS games, CASE san WHEN 'e4' THEN 'RNBQKBNRPPPP.PPP............P...................' WHEN 'd4' THEN 'RNBQKBNRPPP.PPPP...........P....................' WHEN 'f3' THEN 'RNBQKBNRPPPPP.PP.....P..........................' ELSE 'RNBQKB.RPPPPPPPP.....N..........................' END || 'pppppppprnbqkbnr' AS board {_AT_ONE} GROUP BY san""")
+def board_codes(s, d):
+    """Boards after the first move, from a1 to h8."""
+    return pgn.move_rows(replayed(s, d)).where("ply = 1").groupBy("san", "board").agg(F.count(F.lit(1)).alias("games"))
+
+
+@query("positions_in_check", "SELECT CAST(sum(plies + 1) AS BIGINT) AS positions, count(*) FILTER (line_id = 4) AS in_check FROM g")
+def positions_in_check(s, d):
+    """Of the book's positions only the mate is a check."""
+    from ..functions import udf
+
+    each = replayed(s, d).select(F.explode("steps.fen").alias("fen")).groupBy("fen").agg(F.count(F.lit(1)).alias("n"))
+    return each.select("n", udf.in_check("fen").alias("c")).agg(F.sum("n").alias("positions"), F.sum(F.when(F.col("c"), F.col("n")).otherwise(0)).alias("in_check"))
+
+
+@query("perft", f"SELECT san, CASE san WHEN 'e4' THEN 600 WHEN 'd4' THEN 560 WHEN 'f3' THEN 380 ELSE 440 END AS nodes FROM (SELECT DISTINCT san {_AT_ONE})")
+def perft(s, d):
+    """Legal games of two plies from the positions after the first move."""
+    from ..functions import udf
+
+    at = pgn.move_rows(replayed(s, d)).where("ply = 1").select("san", "fen").distinct()
+    return at.select("san", udf.perft("fen", F.lit(2)).cast("int").alias("nodes"))
+
+
+@query("uci_playable", "SELECT o_orderkey AS id, o_orderkey % 4 IN (0, 1) AND o_orderkey % 2000 < 1024 AS legal FROM orders", plain=True)
+def uci_playable(s, d):
+    """Moves in coordinates from the start: legal ones, others, and ones after too long a history."""
+    k = F.col("o_orderkey")
+    rows = s.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), F.lit(_START).alias("fen"), F.when(k % 4 == 0, "e2e4").when(k % 4 == 1, "b1c3").when(k % 4 == 2, "e1e2").otherwise("e9").alias("uci"), (k % 2000).alias("plies"))
+    return review.playable(rows, history="plies").select("id", F.col("fen_after").isNotNull().alias("legal"))
+
+
+@query("sync_due", "SELECT event_id, event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 1800 >= 900 AS due FROM events", plain=True)
+def sync_due(s, d):
+    """Whether a sync is due: never yet, the clock went back, or fifteen minutes have gone by."""
+    k = F.col("event_id")
+    last = F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, 2_000_001).otherwise(2_000_000 - (k % 1800) * 1000)
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", sync.due(last.cast("long"), F.lit(2_000_000)).alias("due"))
+
+
+@query("doctor_syntax_only", "SELECT source, count(*) AS games, CAST(sum(CASE WHEN game_id % 12 = 6 THEN 0 ELSE plies + CASE WHEN line_id = 10 THEN 2 ELSE 0 END + CASE WHEN game_id % 12 IN (4, 7) THEN 2 WHEN game_id % 12 = 5 AND plies > 0 THEN 1 ELSE 0 END END) AS BIGINT) AS moves, count(*) FILTER (game_id % 12 IN (4, 6, 7)) AS faults FROM g GROUP BY source")
+def doctor_syntax_only(s, d):
+    """Without the rules of the game every notation counts as a move, at any depth; planted moves stand before the game and behind it, where they lack an outcome."""
+    return doctor.totals(doctor.diagnose(_faults(s, d), semantic=False))
+
+
+@query("doctor_headers", f"SELECT source, source_game AS game, white, black FROM g WHERE ({_CATEGORY}) IS NOT NULL")
+def doctor_headers(s, d):
+    """The headers that a fault's game has told so far."""
+    found = doctor.diagnose(_faults(s, d)).where("category IS NOT NULL")
+    return found.select("source", "game", F.try_element_at("headers", F.lit("White")).alias("white"), F.try_element_at("headers", F.lit("Black")).alias("black"))
+
+
+@query("doctor_places", "SELECT source, source_game AS game, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS at, CASE game_id % 12 WHEN 1 THEN '[Result \"2-0\"]' WHEN 2 THEN '[SetUp \"1\"]' ELSE '[FEN \"8/8\"]' END AS excerpt FROM g WHERE game_id % 12 IN (1, 2, 3)")
+def doctor_places(s, d):
+    """Line, column and excerpt of faults in the first tag."""
+    found = doctor.diagnose(_faults(s, d)).where("category IN ('inconsistent_result', 'inconsistent_setup', 'invalid_fen')")
+    return found.select("source", "game", "line", F.col("column").alias("at"), "excerpt")
+
+
+def _shared(s, name: str) -> str:
+    """A new folder in the shared one of the session; in local mode without one, a temporary folder."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not root and not s.sparkContext.master.startswith("local-") and s.sparkContext.master.startswith("local"):
+        root = "file://" + tempfile.mkdtemp(prefix="chesslake-")
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("files_roundtrip", f"SELECT count(*) AS games, CAST(sum(plies) AS BIGINT) AS plies, count(white) AS white, true AS in_order FROM g")
+def files_roundtrip(s, d):
+    """The games written as PGN files in the order of their ids and read from them again, in ranges."""
+    path = _shared(s, "pgn")
+    named = with_pgn(raw_games(s, d)).withColumn("pgn", F.concat(F.concat(F.lit('[Site "'), F.col("game_id").cast("string"), F.lit('"]\n')), F.col("pgn").cast("string")))
+    pgn.write_pgn(named, path, suffix=".pgn")
+    frames = pgn.read_frames(s, path, range_bytes=1 << 20)
+    rows = pgn.parse_games(frames, fields=("tags", "plies", "error")).where("frame_error IS NULL AND error IS NULL")
+    told = rows.select("source", "source_game", "plies", F.col("tags")["Site"].cast("long").alias("id"), F.try_element_at("tags", F.lit("White")).alias("white"))
+    by_file = told.groupBy("source", F.floor(F.col("source_game") / 4096).alias("block")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("plies").alias("p"), F.count("white").alias("w"), F.min("source_game").alias("first"))
+    after = F.coalesce(F.col("low") > F.lag("high").over(Window.partitionBy("source").orderBy("first")), F.lit(True))
+    return by_file.withColumn("sorted", after).agg(F.sum("n").alias("games"), F.sum("p").alias("plies"), F.sum("w").alias("white"), F.min("sorted").alias("in_order"))
+
+
+@query("db_build", "SELECT source, CASE source WHEN '1-URGENT' THEN 'replaced' WHEN '2-HIGH' THEN 'added' WHEN '3-MEDIUM' THEN 'retained' ELSE 'unchanged' END AS action, count(*) AS games, CAST(sum(plies + 1) AS BIGINT) AS positions FROM g GROUP BY source")
+def db_build(s, d):
+    """A database built of four sources and then updated: what happened to each, and what is stored."""
+    rows = pgn.with_position_keys(pgn.game_rows(pgn.parse_games(with_pgn(raw_games(s, d)).select("game_id", "source", "source_game", "pgn"), "pgn")))
+    stored = rows.select("game_id", "source", "source_game", "pgn", "white", "black", "white_key", "black_key", "played_on", "result", "mainline_plies", "pgn_bytes")
+    visited = rows.select("game_id", "source", F.posexplode("keys").alias("ply", "position_key"))
+    db = store.Database(s, _shared(s, "db"))
+    old = stored.where("source <> '2-HIGH'").withColumn("pgn", F.when(F.col("source") == "1-URGENT", F.concat(F.col("pgn").cast("string"), F.lit(" ")).cast("binary")).otherwise(F.col("pgn")))
+    db.build(old, visited.where("source <> '2-HIGH'"))
+    acted = db.update(stored.where("source <> '3-MEDIUM'"), visited.where("source <> '3-MEDIUM'"))
+    games_ = db.games().groupBy("source").agg(F.count(F.lit(1)).alias("games"))
+    return acted.join(games_, "source").join(db.positions().groupBy("source").agg(F.count(F.lit(1)).alias("positions")), "source")

@@ -440,10 +440,18 @@ def position_key(fen: str) -> bytes:
     return B.Board(fen).key()
 
 
-def write_pgn(games: DataFrame, path: str, raw: str = "pgn") -> None:
-    """The games' texts, each with a blank line after it, in the order of game_id, as text files."""
-    text = F.concat(F.rtrim(F.col(raw).cast("string")), F.lit("\n"))
+def write_pgn(games: DataFrame, path: str, raw: str = "pgn", suffix: str | None = None) -> None:
+    """The games' texts, each with a blank line after it, in the order of game_id, as text files; `suffix` names them otherwise than .txt."""
+    text = F.concat(F.btrim(F.col(raw).cast("string"), F.lit(" \t\r\n\f")), F.lit("\n"))
     games.repartitionByRange("game_id").sortWithinPartitions("game_id").select(text).write.text(path)
+    if suffix:
+        spark = games.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in store.listStatus(root):
+            name = status.getPath().getName()
+            if name.endswith(".txt"):
+                store.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, name.removesuffix(".txt") + suffix))
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 `spark.read.format("pgn").load(folder)` plans one partition per file and frames games inside the readers;
 `spark.read.format("pgn_remote").option("user", ...)` asks a transport for a user's games with the limits that the options
-give; filters on played_on, color and opponent are pushed into the request (spark.sql.python.filterPushdown.enabled). The transport is
+give; filters on played_on, color and opponent are pushed into the request. The transport is
 a class name, so that tests and other archives can bring their own; none is built in, as there is no network to use one. It gives a status and bytes
 or a stream of them.
 """
@@ -178,5 +178,7 @@ class RemoteGames(DataSource):
 
 
 def register(spark) -> None:
+    """Make the sources known to a session; its filters are pushed to sources written in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PgnSource)
     spark.dataSource.register(RemoteGames)

@@ -57,6 +57,11 @@ def is_due(last_ms: int | None, now_ms: int) -> bool:
     return last_ms is None or now_ms < last_ms or now_ms - last_ms >= AUTO_SYNC_MS
 
 
+def due(last_ms, now_ms):
+    """`is_due` as a column."""
+    return last_ms.isNull() | (now_ms < last_ms) | (now_ms - last_ms >= AUTO_SYNC_MS)
+
+
 class GameTable:
     """The games of a sync as Parquet folders `version=N`; the highest complete one is current.
 

@@ -162,7 +162,7 @@ def test_doctor_finds_each_fault(spark):
     assert [(r["game"], r["category"]) for r in doctor.first_faults(doctor.diagnose(frames)).collect()] == [(2, "inconsistent_result")]
     lost = doctor.inputs(spark.createDataFrame([("t", "no such file")], "source string, message string"))
     both = doctor.diagnose(frames).unionByName(lost)
-    assert {(r["source"], r["status"]) for r in doctor.exit_status(both).collect()} == {("s", 1), ("t", 2)}
+    assert {(r["source"], r["status"]) for r in doctor.exit_status(both).collect()} == {("s", 1), ("t", 3)}
     assert doctor.first_faults(both).where("source = 't'").first()["message"] == "no such file"
 
 

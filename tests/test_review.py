@@ -106,7 +106,6 @@ class Archive:
 
 def test_syncs_of_a_user(spark, tmp_path):
     remote.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     log = tmp_path / "asked"
     log.write_text("")
 
