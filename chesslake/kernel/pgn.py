@@ -43,6 +43,7 @@ class Frame:
     raw: bytes
     error: str | None = None
     line: int = 0  # line ends before it
+    plain: re.Match | None = None  # how it was told, if it is plain
 
 
 #: A game without comments, variations, glyphs and escapes: tag pairs, moves, outcome.
@@ -56,9 +57,6 @@ _PLAIN_START = re.compile(_PLAIN_GAME + rb"(?=[" + _SPACE + rb"])")
 
 def _game_end(data: bytes, start: int, last: bool) -> int | None:
     """Where the game that begins at `start` ends; None if the data does not tell. `last`: nothing follows the data."""
-    plain = _PLAIN_START.match(data, start)
-    if plain:
-        return plain.end()
     depth = 0
     view = memoryview(data)[start:]  # lookbehinds see the byte before a game only as its start
     for m in _FRAME.finditer(view):
@@ -82,7 +80,8 @@ def frame_stream(read: Callable[[int], bytes], max_bytes: int = MAX_GAME_BYTES,
     """
     data, at, base, number, line, last = b"", 0, 0, 0, 0, False
     while True:
-        end = _game_end(data, at, last) if at < len(data) else None
+        plain = _PLAIN_START.match(data, at)
+        end = plain.end() if plain else _game_end(data, at, last) if at < len(data) else None
         if end is None and not last and len(data) - at <= max_bytes:
             more = read(max(chunk, len(data) - at))
             last = not more
@@ -96,7 +95,7 @@ def frame_stream(read: Callable[[int], bytes], max_bytes: int = MAX_GAME_BYTES,
                 yield Frame(number, base + at, rest, "missing_outcome", line)
             return
         raw = data[at:end]
-        yield Frame(number, base + at, raw, None, line)
+        yield Frame(number, base + at, raw, None, line, plain)
         at, number, line = end, number + 1, line + raw.count(b"\n")
 
 
@@ -259,6 +258,26 @@ def parse_game(raw: bytes, strict: bool = True) -> dict:
     return _parse_events(raw, strict)
 
 
+def _counted(m: re.Match) -> dict:
+    """Of a plain game: words, without the numbers that stand by themselves."""
+    text = m[2]
+    return {"plies": len(text.split()) - text.count(b". "), "outcome": OUTCOMES[m[3]], "error": None}
+
+
+def count_frame(f: Frame, strict: bool = True) -> dict:
+    """As `count_game`, without looking at a plain game twice."""
+    return _counted(f.plain) if f.plain else count_game(f.raw, strict)
+
+
+def count_game(raw: bytes, strict: bool = True) -> dict:
+    """Mainline plies, outcome and first error of a framed game, and nothing else of it."""
+    m = _PLAIN.match(raw)
+    if m:
+        return _counted(m)
+    g = _parse_events(raw, strict)
+    return {"plies": len(g["moves"]), "outcome": g["outcome"], "error": g["error"]}
+
+
 def _parse_events(raw: bytes, strict: bool) -> dict:
     """As `parse_game`, event by event."""
     tags: dict[str, bytes] = {}

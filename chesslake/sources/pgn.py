@@ -284,8 +284,51 @@ def parse_games(frames: DataFrame, raw: str = "raw", strict: bool = True, fields
     neither sent to Python nor back.
     """
     frames = frames.withColumnRenamed("error", "frame_error") if "error" in frames.columns else frames
+    return _with(frames, raw, *_parser(strict, fields))
+
+
+def _parser(strict: bool, fields: tuple[str, ...] | None):
+    """A function of a game's bytes that gives (at least) some fields, and their schema."""
     wanted = PARSED if fields is None else T.StructType([f for f in PARSED.fields if f.name in fields])
-    return _with(frames, raw, _parse(strict), wanted)
+    if {f.name for f in wanted.fields} <= {"plies", "outcome", "error"}:
+        return (lambda raw: P.count_game(raw or b"", strict)), wanted
+    return _parse(strict), wanted
+
+
+def read_games(spark: SparkSession, *paths: str, fields: tuple[str, ...] | None = None, strict: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The parsed games of files and folders: source, source_game, byte_offset, frame_error and fields of `parse_games`.
+
+    Games are framed and parsed in one pass; their texts don't leave it.
+    """
+    ranges = plan_ranges(spark, discover(spark, *paths), range_bytes)
+    parse, wanted = _parser(strict, fields)
+    counts_only = {f.name for f in wanted.fields} <= {"plies", "outcome", "error"}
+    schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("source_game", T.LongType()), ("byte_offset", T.LongType()), ("frame_error", T.StringType()))] + wanted.fields)
+    names = [f.name for f in wanted.fields]
+
+    def cut(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def batch_of(held):
+            places, games = zip(*held)
+            columns = [*zip(*places), *([g[n] for g in games] for n in names)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for source, start, stop, before in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                held = []
+                for f in _framed(source, start, stop):
+                    held.append(((source, before + f.number, f.offset, f.error), P.count_frame(f, strict) if counts_only else parse(f.raw)))
+                    if len(held) == 5000:
+                        yield batch_of(held)
+                        held = []
+                if held:
+                    yield batch_of(held)
+
+    n = max(1, ranges.count())
+    return ranges.select("source", "start", "stop", "games_before").repartition(n).mapInArrow(cut, schema)
 
 
 def game_rows(parsed: DataFrame) -> DataFrame:

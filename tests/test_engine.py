@@ -78,6 +78,10 @@ def test_large_files_are_read_in_ranges(spark, tmp_path):
     key = lambda rows: sorted((r["source"].rsplit("/", 1)[1], r["source_game"], r["byte_offset"], bytes(r["raw"]), r["error"], r["first_line"]) for r in rows)
     whole = key(pgn.read_frames(spark, str(tmp_path)).collect())
     assert whole == key(pgn.read_frames(spark, str(tmp_path), range_bytes=1000).collect())
+    for fields in (("plies", "outcome", "error"), ("tags", "moves", "outcome")):
+        columns = ["source", "source_game", "byte_offset", "frame_error", *fields]
+        told = lambda rows: sorted(map(str, rows.select(*columns).collect()))
+        assert told(pgn.read_games(spark, str(tmp_path), fields=fields, range_bytes=1000)) == told(pgn.parse_games(pgn.read_frames(spark, str(tmp_path)), fields=fields))
     plan = pgn.plan_ranges(spark, pgn.discover(spark, str(tmp_path)), 1000).collect()
     assert sum(r["source"].endswith("plain.pgn") for r in plan) > 20 and sum(r["source"].endswith("tricky.pgn") for r in plan) == 1
     assert [r[4:] for r in whole if r[0] == "plain.pgn"][499] == (None, plain[: plain.rindex(b"[Event")].count(b"\n") - 2)
