@@ -251,10 +251,13 @@ def test_a_database_guards_its_state(spark, tmp_path):
     assert db.migrate() == 4 == db.migrate() and db.manifest().first()["fingerprint"] is None
     assert [r["action"] for r in db.update(games, positions).collect()] == ["unchanged"]
     assert len(db.manifest().first()["fingerprint"]) == 64
+    dated = games.withColumn("source", F.lit("2020-01-02"))
+    assert {r["source"]: r["action"] for r in db.update(dated.unionByName(games.withColumn("source", F.lit("007"))), positions).collect()} == {"2020-01-02": "added", "007": "added", "a": "retained"}
+    assert {r["source"] for r in db.games().collect()} == {"2020-01-02", "007", "a"}
     unsteady = games.withColumn("pgn", F.concat(F.col("pgn").cast("string"), F.udf(lambda: os.urandom(8).hex()).asNondeterministic()()).cast("binary"))
     with pytest.raises(store.SourceChanged):
         db.update(unsteady, positions)
-    assert db.game(1) == TWO
+    assert db.games().where("source = 'a'").count() == 1
     damaged = games.withColumn("pgn_bytes", F.lit(5))
     assert [r["issue"] for r in store.damaged_games(damaged).collect()] == ["size_differs"]
     assert [r["issue"] for r in store.damaged_games(games.withColumn("pgn", F.lit(b"1. e4 )"))).collect()] == ["pgn_invalid"]
@@ -264,7 +267,7 @@ def test_a_database_guards_its_state(spark, tmp_path):
     for name in ("a.pgn", "c.pgn"):
         with pytest.raises(LookupError):
             store.find_source(sources, name)
-    store.export(db.games(), str(tmp_path / "out"))
+    store.export(db.games().where("source = 'a'"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).first()["value"].count("1-0") == 1
 
 
