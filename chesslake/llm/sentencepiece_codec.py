@@ -52,7 +52,7 @@ class _Cache(dict):
         ids = self.ids(chunk)
         if len(chunk) <= LONG_CHUNK:
             self[chunk] = ids
-            self.held += 200 + 2 * len(chunk) + len(ids)
+            self.held += 200 + 2 * len(chunk) + (len(ids) if isinstance(ids, bytes) else 100 + len(ids[0]) + len(ids[1]))
         return ids
 
     def trim(self) -> None:
@@ -83,7 +83,9 @@ class PieceModel:
         for i, score in pieces.values():
             self.scores[i] = score
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        self.cache = _Cache(self._ids)
+        self.cache, self.pairs = _Cache(self._ids), _Cache(self._both)
+        self.singles = {p for p in pieces if len(p) == 1}
+        self.table = [self.text_of.get(i, b"") for i in range(max([*self.text_of, 0]) + 1)]
         self.fits: dict[int, bool] = {}
 
     def _merge(self, text: str) -> list[str]:
@@ -117,7 +119,10 @@ class PieceModel:
 
     def best(self, chunk: str) -> list[int]:
         """The numbers of a chunk's pieces, by one pass of the automaton with a Viterbi table."""
-        best = self._best_bpe(chunk) if self.bpe else self._best_unigram(chunk)
+        return self._pieces(chunk, self._best_bpe(chunk) if self.bpe else self._best_unigram(chunk))
+
+    def _pieces(self, chunk: str, best: list[int]) -> list[int]:
+        """The numbers on the best way, from the table."""
         out, at = [], len(chunk)
         while at:
             if (piece := best[at]) < 0:
@@ -160,14 +165,57 @@ class PieceModel:
         return best
 
     def _ids(self, chunk: str) -> bytes:
+        chunk = chunk.replace(" ", _BLANK)
+        return self._as_ids(chunk, self._best_bpe(chunk) if self.bpe else self._best_unigram(chunk))
+
+    def _as_ids(self, chunk: str, best: list[int]) -> bytes:
         ids = array("i")
-        for piece in self.best(chunk.replace(" ", _BLANK)):
+        for piece in self._pieces(chunk, best):
             if piece < ALONE:
                 ids.append(piece)
             else:
                 ids.extend(self.byte_ids[b] for b in self.text_of[piece])
         return ids.tobytes()
 
+    def _both(self, chunk: str) -> tuple[bytes, bytes]:
+        """The ids of a chunk by both rules, BPE's and the largest sum of scores, from one pass of the automaton."""
+        chunk = chunk.replace(" ", _BLANK)
+        if not self.singles.issuperset(chunk):  # characters without a piece are relaxed by themselves
+            return self._as_ids(chunk, self._best_bpe(chunk)), self._as_ids(chunk, self._best_unigram(chunk))
+        n = len(chunk) + 1
+        bpe, best, total = [-1] * n, [-1] * n, [float("-inf")] * n
+        bpe[0], total[0] = START, 0.0
+        fits = self.fits.get
+        for end, (size, piece, score) in self.automaton.iter(chunk):
+            at = end + 1
+            start = at - size
+            score += total[start]
+            if score > total[at]:
+                total[at], best[at] = score, piece
+            if bpe[at] < 0:
+                before = bpe[start]
+                known = fits(before << 21 | piece)
+                if self._learn(before, piece) if known is None else known:
+                    bpe[at] = piece
+        return self._back(bpe), self._back(best)
+
+    def _back(self, best: list[int]) -> bytes:
+        """The ids of a full table, from its end."""
+        out, at, sizes = [], len(best) - 1, self.sizes
+        while at:
+            piece = best[at]
+            out.append(piece)
+            at -= sizes[piece]
+        return array("i", out[::-1]).tobytes()
+
+    def encode_both(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text by BPE's rule and by the largest sum of scores."""
+        if not text:
+            return b"", b""
+        self.pairs.trim()
+        found = list(map(self.pairs.__getitem__, _CHUNKS.findall(" " + text.replace(_BLANK, " "))))
+        return b"".join([x for x, _ in found]), b"".join([y for _, y in found])
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
@@ -177,8 +225,7 @@ class PieceModel:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank put before every text goes."""
-        of = self.text_of
-        text = b"".join([of[i] for i in array("i", ids)]).decode("utf-8", "replace").replace(_BLANK, " ")
+        text = b"".join(map(self.table.__getitem__, array("i", ids))).decode("utf-8", "replace").replace(_BLANK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -247,15 +294,14 @@ def best_scores(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_
     keep = tuple(c for c in keep if c not in names)
 
     def start():
-        models = load_model(model_path, "bpe"), load_model(model_path, "unigram")
+        model = load_model(model_path)
 
         def work(texts: list, rows: pa.RecordBatch) -> dict:
             out: dict = {c: [] for c in names}
             for raw in texts:
                 text = "" if raw is None else raw.decode("utf-8", "replace")
                 found = []
-                for model in models:
-                    ids = model.encode(text)
+                for ids in model.encode_both(text):
                     found += [len(ids) // 4, zlib.crc32(ids), model.decode(ids) == text, model.score(ids)]
                 for name, value in zip(names, found):
                     out[name].append(value)

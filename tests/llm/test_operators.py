@@ -469,6 +469,7 @@ def test_sentencepiece_random_and_unigram():
     for _ in range(800):
         text = "".join(rng.choice("abcdeht inrgTHE  ▁\n\t.,!?01éñ你😀\x00<>s") for _ in range(rng.randint(1, 40)))
         assert list(array("i", model.encode(text))) == library.encode(text)
+        assert model.encode_both(text) == (model.encode(text), sentencepiece_codec.load_model(path, "unigram").encode(text))
     pieces = {p: (i, s) for i, (p, s) in enumerate({"▁": -2.0, "a": -3.0, "b": -3.0, "ab": -4.0, "▁a": -3.5, "ba": -3.2, "bab": -8.0, "▁ab": -7.0}.items())}
     unigram = sentencepiece_codec.PieceModel(pieces, list(range(100, 356)), "unigram")
     assert unigram.score(unigram.encode("ab")) == -6.0
