@@ -43,16 +43,22 @@ class Frame:
     raw: bytes
     error: str | None = None
     line: int = 0  # line ends before it
-    plain: re.Match | None = None  # how it was told, if it is plain
+    easy: re.Match | None = None  # how it was told, if it is easy
 
 
-#: A game without comments, variations, glyphs and escapes: tag pairs, moves, outcome.
-_PLAIN_GAME = (
-    rb"[" + _SPACE + rb"]*((?:\[[A-Za-z0-9_]+[ \t]+\"[^\"\\\r\n]*\"\][" + _SPACE + rb"]*)*)"
-    rb"((?:(?:[1-9][0-9]{0,8}\.[ ]*)?[a-hKQRBNO][^" + _SPACE + rb"{};()$!?\[\].%]*[ \n]+)*)(1/2-1/2|1-0|0-1|\*)"
+#: What a game's text is made of where it is easy to tell: blanks, comments in braces, glyphs, and moves with or without a number.
+_EASY_ITEMS = (
+    rb"(?:[1-9][0-9]{0,8}+\.(?:\.\.)?+[ ]*+)?+[a-hKQRBNO][^" + _SPACE + rb"{};()$!?\[\].%]*+(?:[ \n]++|(?=[{$!?)]))"
+    rb"|\{[^}]*+\}[ \n]*+|[!?]++[ \n]*+|\$[0-9]{1,9}+(?:[ \n]++|(?=[{)]))|[ \n]++"
 )
-_PLAIN = re.compile(_PLAIN_GAME + rb"[" + _SPACE + rb"]*\Z")
-_PLAIN_START = re.compile(_PLAIN_GAME + rb"(?=[" + _SPACE + rb"])")
+#: An easy game: tag pairs, such items and variations of such items without further ones, and the outcome. One match tells all of it.
+_EASY_GAME = (
+    rb"[" + _SPACE + rb"]*+((?:\[[A-Za-z0-9_]++[ \t]++\"[^\"\\\r\n]*+\"\][" + _SPACE + rb"]*+)*+)"
+    rb"((?:" + _EASY_ITEMS + rb"|\((?:" + _EASY_ITEMS + rb")*+\))*+)(?<=[" + _SPACE + rb"{}()!?\]])(1/2-1/2|1-0|0-1|\*)"
+)
+_EASY = re.compile(_EASY_GAME + rb"[" + _SPACE + rb"]*\Z")
+_EASY_START = re.compile(_EASY_GAME + rb"(?=[" + _SPACE + rb"])")
+_BRACES, _NAGS, _GLYPHS, _ASIDES = (re.compile(x) for x in (rb"\{[^}]*\}", rb"\$[0-9]+", rb"[!?]+", rb"\([^()]*\)"))
 
 
 def _game_end(data: bytes, start: int, last: bool) -> int | None:
@@ -80,8 +86,8 @@ def frame_stream(read: Callable[[int], bytes], max_bytes: int = MAX_GAME_BYTES,
     """
     data, at, base, number, line, last = b"", 0, 0, 0, 0, False
     while True:
-        plain = _PLAIN_START.match(data, at)
-        end = plain.end() if plain else _game_end(data, at, last) if at < len(data) else None
+        easy = _EASY_START.match(data, at)
+        end = easy.end() if easy else _game_end(data, at, last) if at < len(data) else None
         if end is None and not last and len(data) - at <= max_bytes:
             more = read(max(chunk, len(data) - at))
             last = not more
@@ -95,7 +101,7 @@ def frame_stream(read: Callable[[int], bytes], max_bytes: int = MAX_GAME_BYTES,
                 yield Frame(number, base + at, rest, "missing_outcome", line)
             return
         raw = data[at:end]
-        yield Frame(number, base + at, raw, None, line, plain)
+        yield Frame(number, base + at, raw, None, line, easy)
         at, number, line = end, number + 1, line + raw.count(b"\n")
 
 
@@ -228,50 +234,75 @@ def tag_value(raw: bytes) -> bytes:
     return re.sub(rb"\\(.)", rb"\1", raw, flags=re.DOTALL)
 
 
-_PLAIN_TAG = re.compile(rb'\[([A-Za-z0-9_]+)[ \t]+"([^"]*)"')
-_PLAIN_MOVE = re.compile(rb"(?<![^ \n.])[a-hKQRBNO][^ \n]*")
+_EASY_TAG = re.compile(rb'\[([A-Za-z0-9_]+)[ \t]+"([^"]*)"')
+_EASY_MOVE = re.compile(rb"(?<![^ \n.])[a-hKQRBNO][^ \n]*")
+
+
+def easy_game(raw: bytes) -> tuple[list[tuple[bytes, bytes]], bytes, bytes] | None:
+    """Tag pairs, text and outcome of an easy game; None for any other. The text has moves, numbers and variations, blanks for all else."""
+    m = _EASY.match(raw)
+    return (_EASY_TAG.findall(m[1]), _bare(m[2]), m[3]) if m else None
+
+
+def _bare(text: bytes) -> bytes:
+    """The text of an easy game without its comments and glyphs."""
+    for sign, of in ((b"{", _BRACES), (b"$", _NAGS), (b"!", _GLYPHS), (b"?", _GLYPHS)):
+        if sign in text:
+            text = of.sub(b" ", text)
+    return text
+
+
+def mainline(text: bytes) -> bytes:
+    """A bare text without its variations."""
+    return _ASIDES.sub(b" ", text) if b"(" in text else text
 
 
-def plain_game(raw: bytes) -> tuple[list[tuple[bytes, bytes]], bytes, bytes] | None:
-    """Tag pairs, movetext and outcome of a game without comments, variations, glyphs and escapes; None for any other."""
-    m = _PLAIN.match(raw)
-    return (_PLAIN_TAG.findall(m[1]), m[2], m[3]) if m else None
+def _moves(text: bytes) -> int:
+    """The moves of a bare text: its words, without the numbers that stand by themselves."""
+    return len(text.split()) - text.count(b". ")
 
 
 def parse_game(raw: bytes, strict: bool = True) -> dict:
     """One framed game: first-wins tags, mainline moves, outcome and the first error.
 
-    Games without comments, variations, glyphs and escapes, which most are, are told by one expression; all others go
-    through `events`.
+    Easy games, which most are, are told by one match; all others go through `events`.
     """
-    plain = plain_game(raw)
-    if plain:
-        pairs, text, outcome = plain
-        tags = {name.decode(): value for name, value in reversed(pairs)}
-        moves = [x.decode("utf-8", "replace") for x in _PLAIN_MOVE.findall(text)]
-        counts = {"game_start": 1, "movetext_start": 1, "outcome": 1, "game_end": 1}
-        numbers = text.count(b".")
-        for kind, n in (("tag", len(pairs)), ("move_number", numbers), ("san", len(moves))):
-            if n:
-                counts[kind] = n
-        return {"tags": tags, "raw_tags": tags, "moves": moves, "outcome": OUTCOMES[outcome], "error": None, "counts": counts}
-    return _parse_events(raw, strict)
+    m = _EASY.match(raw)
+    if m is None:
+        return _parse_events(raw, strict)
+    pairs, text = _EASY_TAG.findall(m[1]), m[2]
+    tags = {name.decode(): value for name, value in reversed(pairs)}
+    counts = {"game_start": 1, "movetext_start": 1, "outcome": 1, "game_end": 1}
+    bare = text
+    for kind, sign, of in (("comment_brace", b"{", _BRACES), ("nag_numeric", b"$", _NAGS), ("nag_glyph", b"!", _GLYPHS), ("nag_glyph", b"?", _GLYPHS)):
+        if sign in bare:
+            bare, n = of.subn(b" ", bare)
+            counts[kind] = n
+    main, every = bare, bare
+    if b"(" in bare:
+        main, n = _ASIDES.subn(b" ", bare)
+        counts["variation_start"] = counts["variation_end"] = n
+        every = bare.replace(b"(", b" ").replace(b")", b" ")
+    threes = bare.count(b"...")
+    for kind, n in (("tag", len(pairs)), ("move_number", bare.count(b".") - 2 * threes), ("san", _moves(every))):
+        if n:
+            counts[kind] = n
+    moves = [x.decode("utf-8", "replace") for x in _EASY_MOVE.findall(main)]
+    return {"tags": tags, "raw_tags": tags, "moves": moves, "outcome": OUTCOMES[m[3]], "error": None, "counts": counts}
 
 
 def _counted(m: re.Match) -> dict:
-    """Of a plain game: words, without the numbers that stand by themselves."""
-    text = m[2]
-    return {"plies": len(text.split()) - text.count(b". "), "outcome": OUTCOMES[m[3]], "error": None}
+    return {"plies": _moves(mainline(_bare(m[2]))), "outcome": OUTCOMES[m[3]], "error": None}
 
 
 def count_frame(f: Frame, strict: bool = True) -> dict:
-    """As `count_game`, without looking at a plain game twice."""
-    return _counted(f.plain) if f.plain else count_game(f.raw, strict)
+    """As `count_game`, without looking at an easy game twice."""
+    return _counted(f.easy) if f.easy else count_game(f.raw, strict)
 
 
 def count_game(raw: bytes, strict: bool = True) -> dict:
     """Mainline plies, outcome and first error of a framed game, and nothing else of it."""
-    m = _PLAIN.match(raw)
+    m = _EASY.match(raw)
     if m:
         return _counted(m)
     g = _parse_events(raw, strict)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernel import board as B
 from ..kernel import pgn as P
+from ..kernel.batch import Replay
 
 DIAGNOSTICS = "source string, game long, byte_offset long, moves long, category string, ply long, byte long, context string, message string, headers map<string,string>, line long, `column` long, excerpt string"
 _SAN_CATEGORY = {"empty": "invalid_san"}
@@ -52,62 +53,63 @@ def _begin(tags: dict[str, tuple[bytes, int]]) -> B.Board:
     return board
 
 
-#: Plies of a line whose boards a worker process remembers, and how many such openings.
-_OPENING, _OPENINGS = 16, 20_000
 _HEADERS = ("Event", "Date", "Round", "White", "Black")
-_NUMBER_OR_MOVE = re.compile(rb"([0-9]+)\.|([^ \n.]+)")
+_PART = re.compile(rb"([0-9]+)(\.+)|([^ \n.()]+)|[()]")
+_NUMBERS = [b"%d." % n for n in range(1, 301)]
 
 
-@lru_cache(_OPENINGS)
-def _opening(moves: tuple[str, ...]) -> B.Board | None:
-    """The board after the first moves of a game; None if they can't be played."""
-    if not moves:
-        return B.Board()
-    board = _opening(moves[:-1])
-    if board is not None:
-        board = board.copy()
-        try:
-            board.play_san(moves[-1])
-        except B.SanError:
-            return None
-    return board
-
+def _simple(raw: bytes, semantic: bool) -> tuple[list[list[bytes]], int, dict] | None:
+    """Lines to play, moves and headers of an easy game without a setup whose tags and numbers are right; None for any other.
 
-def _sound(raw: bytes, semantic: bool) -> dict | None:
-    """What `validate` gives for a game without comments, variations and setup in which nothing is wrong; None for any other."""
-    plain = P.plain_game(raw)
-    if plain is None:
+    The first line is the mainline; a variation is the moves before the one that it replaces, and its own.
+    """
+    easy = P.easy_game(raw)
+    if easy is None:
         return None
-    pairs, text, outcome = plain
+    pairs, text, outcome = easy
     tags = {name.decode(): value for name, value in pairs}
     if semantic and ("FEN" in tags or "SetUp" in tags or tags.get("Result", outcome) != outcome):
         return None
-    moves: list[str] = []
-    for m in _NUMBER_OR_MOVE.finditer(text):
-        if m[2]:
-            moves.append(_show(m[2]))
-        elif semantic and (len(moves) % 2 or int(m[1]) != len(moves) // 2 + 1):
-            return None
-    if semantic:
-        board = _opening(tuple(moves[:_OPENING]))
-        if board is None:
-            return None
-        if len(moves) > _OPENING:
-            board = board.copy()
-            try:
-                for san in moves[_OPENING:]:
-                    board.play_san(san)
-            except B.SanError:
-                return None
-    return {"moves": len(moves), "fault": None, "headers": {k: _show(tags[k]) for k in _HEADERS if k in tags}}
+    moves = text.split()
+    numbers = moves[::3]
+    if numbers == _NUMBERS[: len(numbers)] and text.count(b".") == len(numbers) and b"(" not in text:
+        del moves[::3]
+        lines, n = [moves], len(moves)
+    else:
+        main: list[bytes] = []
+        lines, here, n = [main], main, 0
+        for m in _PART.finditer(text):
+            if m[3]:
+                here.append(m[3])
+                n += 1
+            elif m[1]:
+                if semantic and (int(m[1]), len(m[2])) != (len(here) // 2 + 1, 1 if len(here) % 2 == 0 else 3):
+                    return None
+            elif m[0] == b"(":
+                here = main[:-1]
+                lines.append(here)
+            else:
+                here = main
+    return lines, n, {k: _show(tags[k]) for k in _HEADERS if k in tags}
+
+
+def validate_all(games: list[bytes], semantic: bool = True) -> list[dict]:
+    """`validate` of each game: those that look sound are replayed together, and only the others and those that are not are walked."""
+    simple = [_simple(raw, semantic) for raw in games]
+    at = [i for i, s in enumerate(simple) if s is not None]
+    sound = np.ones(len(games), bool)
+    if semantic and at:
+        lines = [line for i in at for line in simple[i][0]]
+        owner = np.repeat(at, [len(simple[i][0]) for i in at])
+        flat = pa.array([m for line in lines for m in line], pa.binary()).dictionary_encode()
+        run = Replay([""] * len(lines), np.array([len(line) for line in lines]), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), [_show(m) for m in flat.dictionary.to_pylist()]).finish()
+        sound[owner[[e is not None for e in run.error]]] = False
+    return [{"moves": s[1], "fault": None, "headers": s[2]} if s is not None and fine else _walked(raw, semantic) for s, fine, raw in zip(simple, sound.tolist(), games)]
 
 
 def validate(raw: bytes, semantic: bool = True) -> dict:
-    """The first fault of a framed game and the moves before it. Tags that repeat count with their last value.
-
-    Most games are plain and sound, and are told at once; all others are walked event by event.
-    """
-    return _sound(raw, semantic) or _walked(raw, semantic)
+    """The first fault of a framed game and the moves before it. Tags that repeat count with their last value."""
+    return validate_all([raw], semantic)[0]
 
 
 def _walked(raw: bytes, semantic: bool) -> dict:
@@ -174,10 +176,9 @@ def diagnose(frames: DataFrame, semantic: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for source, number, base, raw, error, lines in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                raw = raw or b""
-                got = validate(raw, semantic)
+            rows, columns = [], [batch.column(k).to_pylist() for k in range(6)]
+            columns[3] = [raw or b"" for raw in columns[3]]
+            for source, number, base, raw, error, lines, got in zip(*columns, validate_all(columns[3], semantic)):
                 fault = got["fault"] or ((("limit" if error == "game_too_large" else "syntax"), len(raw), None, None, error) if error else None)
                 place = locate(raw, fault[1]) if fault else (None, None, None)
                 place = place if place[0] is None else (lines + place[0] + 1, *place[1:])

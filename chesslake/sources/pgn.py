@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -437,36 +438,55 @@ def replay(rows: DataFrame) -> DataFrame:
     return _with(named, "__line", replay_line, _REPLAY).drop("__line")
 
 
+def _over_lines(rows: DataFrame, fn, field: T.StructField) -> DataFrame:
+    """Adds a column that `fn` gives for a batch's lines, as one `Replay`; null for other variants than the standard one and for null moves."""
+    standard = (F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")) & F.col("moves").isNotNull()
+    named = rows.withColumn("__fen", F.when(standard, F.coalesce("fen", F.lit(""))))
+    full = T.StructType([*rows.schema.fields, field])
+    fen_at, moves_at = len(rows.columns), rows.columns.index("moves")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from ..kernel.batch import Replay
+
+        arrow = to_arrow_schema(full)
+        for batch in batches:
+            fens = batch.column(fen_at)
+            own = fens.is_valid()
+            got = fn(Replay.of_arrow(fens.filter(own).to_pylist(), batch.column(moves_at).filter(own)))
+            at = np.cumsum(own.to_numpy(zero_copy_only=False)) - 1
+            told = got.take(pa.array(at, mask=~own.to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns[:fen_at])), told.cast(arrow.field(fen_at).type)], schema=arrow)
+
+    return named.mapInArrow(run, full)
+
+
 def with_position_keys(rows: DataFrame) -> DataFrame:
     """Adds `keys` to games with fen, variant and moves: the keys of the positions that the mainline visits, by ply; null for other variants.
 
-    Where only keys are asked for, they alone come back from Python.
+    A batch's games are replayed together; only keys are computed, and they alone come back from Python.
     """
-    standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
-    named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
-    schema = T.StructType([T.StructField("keys", T.ArrayType(T.BinaryType()))])
-    return _with(named, "__line", lambda line: {"keys": None if line is None else _keys(line)}, schema).drop("__line")
 
+    def keys(run) -> pa.Array:
+        words, counts = run.keys()
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(words), [None, pa.py_buffer(words.astype("<u8").tobytes())]).cast(pa.binary())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
 
-@lru_cache(_OPENINGS)
-def _keys(line: str) -> list[bytes]:
-    return [s["position_key"] for s in replay_line(line)["steps"]]
+    return _over_lines(rows, keys, T.StructField("keys", T.ArrayType(T.BinaryType())))
 
 
 def first_plies(rows: DataFrame, key: bytes) -> DataFrame:
     """Adds `first_ply` to games with fen, variant and moves: the first ply at which the mainline has the position of the key, else null.
 
-    Only the ply comes back from Python, none of the positions.
+    A batch's games are replayed together, each no further than to the position; only the ply comes back from Python.
     """
-    standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
-    named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
-    schema = T.StructType([T.StructField("first_ply", T.IntegerType())])
-    return _with(named, "__line", lambda line: {"first_ply": None if line is None else _first_ply(line, key)}, schema).drop("__line")
 
+    def first(run) -> pa.Array:
+        plies = run.first_plies(key)
+        return pa.array(plies.astype(np.int32), mask=plies < 0)
 
-@lru_cache(_OPENINGS)
-def _first_ply(line: str, key: bytes) -> int | None:
-    return next((ply for ply, k in enumerate(_keys(line)) if k == key), None)
+    return _over_lines(rows, first, T.StructField("first_ply", T.IntegerType()))
 
 
 def position_rows(replayed: DataFrame) -> DataFrame:
