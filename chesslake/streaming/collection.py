@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators.store import Database
 from ..sources import pgn
+from ..sources.publish import States
 from . import sync
 
 STATE_SCHEMA, SOURCE, PREVIEW_GAMES = 1, "lichess", 24
@@ -45,34 +46,18 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.games = sync.GameTable(spark, f"{self.path}/games")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._store = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _states(self) -> list[int]:
-        root = self._path(self.path)
-        if not self._store.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._store.listStatus(root)]
-        found = sorted(int(n[7:]) for n in names if n.startswith("_state="))
-        if names and not found:
-            raise ValueError(f"{self.path} is neither empty nor a sync's folder")
-        return found
+        self._published = States(spark, self.path, "_state=")
 
     def state(self) -> dict | None:
-        found = self._states()
-        if not found:
-            return None
-        file = self._store.open(self._path(f"{self.path}/_state={found[-1]}"))
-        text = file.readUTF()
-        file.close()
-        return json.loads(text)
+        names = [n for n in self._published.names() if not n.startswith(".")]
+        if names and not any(n.startswith("_state=") for n in names):
+            raise ValueError(f"{self.path} is neither empty nor a sync's folder")
+        found = self._published.newest()
+        return found and json.loads(found[1])
 
     def write_state(self, state: dict) -> None:
         """The next state; of two writers at once one fails."""
-        at = (self._states() or [0])[-1] + 1
-        out = self._store.create(self._path(f"{self.path}/_state={at}"), False)
-        out.writeUTF(json.dumps(state))
-        out.close()
+        self._published.publish(self._published.next_number(), json.dumps(state))
 
     def prepare(self, username: str, now_ms: int, since: int | None = None) -> dict:
         """What to ask for next: `sync.plan` over the stored state, with the ids to ask for again."""
@@ -161,6 +146,8 @@ def sync_user(spark: SparkSession, path: str, username: str, transport: str, now
     read = lambda **o: spark.read.format("pgn_remote").options(transport=transport, **o).load()
     arrivals = received(read(**options), username)
     arrivals = preview(arrivals) if only else arrivals
+    at = plan["until"] << 20  # later syncs come behind, and games asked for again behind their sync's
+    arrivals = arrivals.withColumn("seq", F.col("seq") + at)
     label = f"{plan['until']}-{'preview' if only else 'sync'}"
     arrivals = spark.createDataFrame(arrivals.collect(), arrivals.schema)  # one user's answer, which came through one reader
     summary = sync.summary(sync.actions(arrivals, collection.games.read())).first().asDict()
@@ -174,8 +161,8 @@ def sync_user(spark: SparkSession, path: str, username: str, transport: str, now
                 raise UnexpectedGame(f"{game_id}: {status}")
             again = answer if answer is not None else spark.createDataFrame([(game_id, None, False)], "remote_id string, content string, unfinished boolean")
             if answer is not None:
-                collection.games.upsert(answer.withColumn("seq", F.lit(1 << 40).cast("long")), k + 1, label)
-            statuses = statuses.unionByName(again.select("remote_id", F.lit(1 << 40).cast("long").alias("seq"), "unfinished"))
+                collection.games.upsert(answer.withColumn("seq", F.lit(at + (1 << 20) - 1)), k + 1, label)
+            statuses = statuses.unionByName(again.select("remote_id", F.lit(at + (1 << 20) - 1).alias("seq"), "unfinished"))
         summary["unfinished"] = collection.finish(plan, statuses)
     if database is not None:
         summary["index_mode"] = maintain(spark, collection, database)[0]

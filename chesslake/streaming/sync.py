@@ -1,7 +1,7 @@
 """Arrivals of games by id: idempotent upserts, cursors, and the streaming job around them.
 
 The rules are one DataFrame plan, `actions`, used over a whole log of arrivals or per micro-batch. The
-stream keeps the games as a table in versions: a batch writes the next version under the name of its query and batch, which
+stream keeps the games as a table in versions: a batch publishes the next version under the name of its query and batch, which
 makes a repeated batch harmless.
 """
 
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.publish import PublishedMeanwhile, States
+
 OVERLAP_MS = 300_000
 AUTO_SYNC_MS = 15 * 60_000
 
@@ -63,25 +65,21 @@ def due(last_ms, now_ms):
 
 
 class GameTable:
-    """The games of a sync as Parquet folders `version=N`; the highest complete one is current.
+    """The games of a sync as Parquet folders, one a version; the highest published one is current.
 
-    Versions are numbered by the table. A version's folder name carries the query and batch that made it, so a batch that
-    runs again, after a failure or with the same checkpoint, finds its version done, and a new checkpoint goes on behind the newest. Rows lie in
+    A version is published with the batch that made it, as `sources.publish` tells: a batch that runs again, after a failure or with the same
+    checkpoint, finds its version done; of two writers that saw the same newest version one is told so and folds its batch into the other's. Rows lie in
     `buckets` by a hash of the id; a batch writes the buckets that it touches and the others are read from the versions that hold them.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._store = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._published = States(spark, self.path, "current=")
 
     def _versions(self) -> dict[int, tuple[str, str]]:
-        """Complete versions: number to (folder, batch)."""
-        if not self._store.exists(self._path(self.path)):
-            return {}
-        names = [s.getPath().getName() for s in self._store.listStatus(self._path(self.path))]
-        done = [n for n in names if n.startswith("version=") and self._store.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
-        return {int(n[8:].split(".", 1)[0]): (n, n[8:].split(".", 1)[1]) for n in done}
+        """Published versions: number to (folder, batch)."""
+        told = {n: self._published.read(n) for n in self._published.numbers()}
+        return {n: tuple(text.split(" ", 1)) for n, text in told.items() if text is not None}
 
     def version(self) -> int:
         return max(self._versions(), default=-1)
@@ -97,21 +95,28 @@ class GameTable:
         return held.where("version = newest").select("remote_id", "content", "unfinished", "seq")
 
     def upsert(self, batch: DataFrame, batch_id: int, query: str = "batch") -> None:
-        """For foreachBatch: fold a batch into the newest version. The latest arrival of an id counts, in a batch and against the table."""
-        label, done = f"{query}-{batch_id}", self._versions()
-        if any(name == label for _, name in done.values()):
-            return
-        bucket = F.pmod(F.xxhash64("remote_id"), F.lit(self.buckets)).cast("int")
-        new = batch.groupBy("remote_id").agg(F.max_by(F.struct("content", "unfinished", "seq"), "seq").alias("g")).select("remote_id", "g.*")
+        """For foreachBatch: fold a batch into the newest version. The latest arrival of an id (by seq) counts, in a batch and against the table."""
+        label, bucket = f"{query}-{batch_id}", F.pmod(F.xxhash64("remote_id"), F.lit(self.buckets)).cast("int")
+        latest_of = lambda rows: rows.groupBy("remote_id").agg(F.max_by(F.struct("content", "unfinished", "seq"), "seq").alias("g")).select("remote_id", "g.*")
+        new = latest_of(batch)
         touched = new.select(bucket.alias("bucket")).distinct()
-        old = self.read()
-        if old is not None:
-            kept = old.withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")  # as many rows as buckets
-            new = kept.join(new, "remote_id", "left_anti").unionByName(new)
-        at = max(done, default=-1) + 1
-        rows = new.select("*", bucket.alias("bucket"), F.lit(at).alias("version"), F.lit(True).alias("bucket_rows"))
-        marks = touched.select(*(F.lit(None).cast(t).alias(c) for c, t in (("remote_id", "string"), ("content", "string"), ("unfinished", "boolean"), ("seq", "long"))), "bucket", F.lit(at).alias("version"), F.lit(False).alias("bucket_rows"))
-        rows.unionByName(marks).write.mode("overwrite").parquet(f"{self.path}/version={at}.{label}")
+        while True:
+            done = self._versions()
+            if any(name == label for _, name in done.values()):
+                return
+            old, rows = self.read(), new
+            if old is not None:
+                kept = old.withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")  # as many rows as buckets
+                rows = latest_of(kept.unionByName(new.select(*kept.columns)))
+            at = self._published.next_number()
+            folder = f"version={at}.{uuid.uuid4().hex}"
+            rows = rows.select("*", bucket.alias("bucket"), F.lit(at).alias("version"), F.lit(True).alias("bucket_rows"))
+            marks = touched.select(*(F.lit(None).cast(t).alias(c) for c, t in (("remote_id", "string"), ("content", "string"), ("unfinished", "boolean"), ("seq", "long"))), "bucket", F.lit(at).alias("version"), F.lit(False).alias("bucket_rows"))
+            rows.unionByName(marks).write.mode("errorifexists").parquet(f"{self.path}/{folder}")
+            try:
+                return self._published.publish(at, f"{folder} {label}")
+            except PublishedMeanwhile:
+                continue  # onto the version that came between
 
 
 def start(arrivals: DataFrame, table: GameTable, checkpoint: str):
@@ -122,7 +127,7 @@ def start(arrivals: DataFrame, table: GameTable, checkpoint: str):
 
 def _checkpoint_id(table: GameTable, checkpoint: str) -> str:
     """A name that a checkpoint keeps for life: a folder that is removed and made again gets another."""
-    at = table._path(f"{checkpoint.rstrip('/')}/_games_id")
+    at = table.spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_games_id")
     store = at.getFileSystem(table.spark._jsc.hadoopConfiguration())
     if not store.exists(at):
         out = store.create(at, False)

@@ -245,7 +245,7 @@ def test_a_database_guards_its_state(spark, tmp_path):
     db._publish(db.manifest(), "first", 2)
     with pytest.raises(OSError, match="meanwhile"):
         db._publish(db.manifest(), "second", 2)
-    assert db._published(2) == "first" and db.manifest().count() == 1
+    assert db._state() == (2, "first") and db.manifest().count() == 1
     # a database of the first version: no fingerprints
     db._publish(db.manifest().withColumns({"fingerprint": F.lit(None).cast("string"), "schema_version": F.lit(1)}), "old", 3)
     assert db.migrate() == 4 == db.migrate() and db.manifest().first()["fingerprint"] is None
@@ -300,7 +300,7 @@ def test_streaming_sync_is_idempotent(spark, tmp_path):
     # a new checkpoint goes on behind the newest version, and nothing is lost
     spark.createDataFrame([(6, "d", "v", False, "win")], schema).coalesce(1).write.parquet(str(src / "2"))
     sync.start(arrivals(), table, str(tmp_path / "other")).awaitTermination()
-    assert contents() == now | {"d": "v"} and {r["remote_id"]: r["content"] for r in table.read(0).collect()} == {"a": "x", "b": "y"}
+    assert contents() == now | {"d": "v"} and {r["remote_id"]: r["content"] for r in table.read(1).collect()} == {"a": "x", "b": "y"}
 
 
 def test_sync_plans():
