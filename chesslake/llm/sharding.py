@@ -5,14 +5,17 @@ slot, and a stored, versioned map from slots to shards decides where a slot live
 rebalance never rehashes records, it edits the map: version 1 deals slots round
 robin; each later version moves or swaps slots between the fullest and the emptiest
 shard until their bytes are nearly equal. The map has `n_slots` rows whatever the
-input is, so it is edited on the driver; every version is a folder of its own, written once (a second
-editor of the same version fails) and read back by whoever needs it, and older versions stay.
+input is, so it is edited on the driver; every version is a folder of its own, published whole or not at all (of two
+editors of one version the second fails) and read back by whoever needs it, and older versions stay.
 
-Law: `bytes` (the shards' sizes are nearly equal). The slot depends on doc_id and text: rows of one doc_id spread, and equal
-texts with different ids need not meet in a shard.
+Law: `bytes` (the shards' sizes are nearly equal). The slot depends on doc_id, text and the number of the repeat: rows of one doc_id
+spread, as do rows that agree in both, and equal texts with different ids need not meet in a shard.
+
+Repeats are counted before anything is numbered: rows that agree are one row with a count (added up in the tasks that read
+them), which then becomes rows again in portions of PORTION, so a document that makes up a third of the table passes through no single task.
 
 Defined cases: a null text has size 1 and the CRC of an empty text; a null doc_id is
-hashed like a value; repeated rows go to the same slot and take positions of their
+hashed like a value; repeated rows are numbered, go to slots of their own and take positions of their
 own; a text of any length counts whole; an empty table gives no rows and the round-robin map. `write_shards` keeps all
 columns of `docs` but those named shard, virtual_slot and version, which it replaces.
 """
@@ -20,29 +23,40 @@ columns of `docs` but those named shard, virtual_slot and version, which it repl
 from __future__ import annotations
 
 import bisect
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, text_column
+from ..sources.publish import States
+from .common import materialize, read_table, scratch_path, text_column
 
 N_SLOTS = 4096
 N_SHARDS = 16
 
 
+#: Repeats that are numbered together.
+PORTION = 4096
+
+
+def _slot(doc_id: Column, crc: Column, repeat: Column, n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string"), crc, repeat.cast("long")), F.lit(n_slots)).cast("int")
+
+
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of every record.
 
-    The slot depends on doc_id and text, so that rows that share a doc_id spread.
+    The slot depends on doc_id, text and the number of the repeat, so that rows that share any of them spread.
     """
     text = F.coalesce(text_column(docs), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), crc), F.lit(n_slots)).cast("int").alias("virtual_slot"),
-    )
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
+    each = rows.groupBy("doc_id", "size", "text_crc32", "hash").agg(F.count(F.lit(1)).alias("n"))
+    starts = F.when(F.col("n") <= PORTION, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PORTION).cast("long")))
+    portions = each.select("doc_id", "size", "text_crc32", "n", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("n"), F.col("start") + PORTION) - 1)
+    # portions of one document are dealt over the tasks; most documents have one and stay
+    dealt = portions.where(F.col("n") > PORTION).repartition(F.xxhash64("doc_id", "text_crc32", "start"))
+    numbered = portions.where(F.col("n") <= PORTION).unionByName(dealt).select("doc_id", "size", "text_crc32", F.explode(F.sequence("start", "end")).alias("repeat"))
+    return numbered.select("doc_id", "size", "text_crc32", _slot(F.col("doc_id"), F.col("text_crc32"), F.col("repeat"), n_slots).alias("virtual_slot"))
 
 
 def slot_sizes(slotted: DataFrame) -> DataFrame:
@@ -105,13 +119,9 @@ _MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
     """A version of the map stored at `path` (the newest by default); None if there is none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(root):
-        return None
-    found = {int(s.getPath().getName().split("=")[1]) for s in store.listStatus(root) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))}
-    version = version or max(found, default=None)
-    return spark.read.schema(_MAP).parquet(f"{path}/version={version}") if version in found else None
+    states = States(spark, path, "map=")
+    found = states.newest() if version is None else (version, states.read(version))
+    return spark.read.schema(_MAP).parquet(f"{path}/{found[1]}") if found and found[1] else None
 
 
 def add_batch(spark: SparkSession, path: str, sizes: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> DataFrame:
@@ -133,7 +143,10 @@ def add_batch(spark: SparkSession, path: str, sizes: DataFrame, n_slots: int = N
 
 
 def store_map(spark: SparkSession, path: str, rows: list[tuple[int, int, int, int, int]]) -> None:
-    spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={rows[0][0]}")
+    """Store a version of the map (the first column); it is published when it is whole, and once."""
+    folder = f"version={rows[0][0]}.{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, _MAP).coalesce(1).write.parquet(f"{path}/{folder}")
+    States(spark, path, "map=").publish(rows[0][0], folder)
 
 
 def shard(docs: DataFrame, path: str, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -163,9 +176,16 @@ def write_shards(docs: DataFrame, path: str, n_slots: int = N_SLOTS, n_shards: i
     Rows go to `data/version=V/shard=S`, the map to `_map/version=V`. What earlier versions wrote stays where it is;
     `moved` tells the slots to move if it is to follow.
     """
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.coalesce(text_column(docs), F.lit("")).cast("binary"))), F.lit(n_slots)).cast("int")
-    slotted = docs.drop("shard", "version").withColumn("virtual_slot", slot)
-    table = add_batch(docs.sparkSession, f"{path}/_map", slot_sizes(with_slots(docs, n_slots)), n_slots, n_shards)
+    text = F.coalesce(text_column(docs), F.lit(""))
+    crc = F.crc32(text.cast("binary"))
+    size = F.octet_length(text).cast("long") + 1
+    # of documents that repeat beyond a slot's mean bytes, n_slots at most, the repeats are told apart by where they are read
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    often = docs.groupBy(F.col("doc_id").alias("__id"), crc.alias("__crc")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") * n_slots > total)).select("__id", "__crc", F.lit(True).alias("__often"))
+    marked = docs.drop("shard", "version", "virtual_slot").withColumn("__own", crc).join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__crc")), "left")
+    repeat = F.when(F.col("__often"), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    slotted = materialize(marked.withColumn("virtual_slot", _slot(F.col("doc_id"), F.col("__own"), repeat, n_slots)).drop("__id", "__crc", "__often", "__own"), "op6-slotted")
+    table = add_batch(docs.sparkSession, f"{path}/_map", slot_sizes(slotted.select("virtual_slot", (F.octet_length(F.coalesce(text_column(slotted), F.lit(""))).cast("long") + 1).alias("size"))), n_slots, n_shards)
     version = table.first()["version"]
     slotted.join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot").repartition(  # n_slots rows
         F.col("shard"), F.col("virtual_slot") % 64
