@@ -1,19 +1,21 @@
 """Operator 1: quality rules with robust multivariate outliers, in DataFrame functions only.
 
-Base counts of each text give a vector of seven transformed statistics (shrunken word length,
-and shares of symbols, exclamation marks, capitalised runs, repeated words, repeated
-lines and words equal to the one before). Every pair of language and source, whatever its size, gets its own
+Each text gives a vector of five transformed statistics that vary in ordinary prose: mean word length, punctuation per word, sentence ends
+per word (logarithms), the share of words of up to three characters (root), and the richness of the vocabulary, log(different words) /
+log(words). The first four are shrunken by PSEUDO words of the language's average, so that a vector's spread hardly depends on the
+length of the text. Every pair of language and source, whatever its size, gets its own
 minimum-covariance-determinant estimate of their location and scatter:
 
-* C-steps: take the part H of the documents with the smallest distances, (n + 7 + 1) / 2 of them (and those in the
+* C-steps: take the part H of the documents with the smallest distances, (n + 5 + 1) / 2 of them (and those in the
   same fine bin of distance as the last), estimate anew from them, repeat until the determinant falls no more; of two
-  deterministic starts the one with the smaller determinant wins.
+  deterministic starts (all documents; all documents weighed by how near they are) the one with the smaller determinant wins.
 * The scatter of H is made consistent (a factor of its share of the group), and the estimate is taken anew from the
   documents within the 0.975 chi-square quantile of it.
 * It is pulled towards the same estimate of its language: n documents of the group weigh against PRIOR of the
-  language, by one formula at every n. NOISE is added to the variances.
+  language, by one formula at every n. FLOOR, small beside any scatter measured, is added to the variances so that constant statistics can be divided by.
 
-A document goes if its squared Mahalanobis distance exceeds the 0.999 chi-square quantile.
+A document goes if its squared Mahalanobis distance exceeds the chi-square quantile that one normal document in 10**12 exceeds: a corpus of
+100 TB has fewer. Nothing but these estimates decides beside the base rule.
 
 A C-step is one aggregation: documents are grouped by group, start and a fine bin of the
 distance, with counts, sums and products, so that H is a running sum over bins. No step holds a
@@ -40,13 +42,14 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Documents of the language that are added, by weight, to a group's own.
-PRIOR = 20
-#: Standard deviations added to a statistic's own: what one or two occurrences in a text of MIN_WORDS words
-#: (for repeated words, one repeated window in 60 words) may do in a group without any, over the limit's root of 4.9.
-NOISE = (0.02, 0.02, 0.035, 0.011, 0.045, 0.035, 0.011)
-P = len(NOISE)
-#: Chi-square quantiles with seven degrees of freedom: for the estimate taken anew, and for rejecting.
-CHI2_INNER, CHI2_LIMIT = 16.013, 24.322
+PRIOR = 200
+#: Words of the language's average that are added to a text's own.
+PSEUDO = 100
+#: Standard deviation added to each statistic's own.
+FLOOR = 1e-3
+P = 5
+#: Chi-square quantiles with five degrees of freedom: for the estimate taken anew (0.975), and for rejecting (1 - 10**-12).
+CHI2_INNER, CHI2_LIMIT = 12.833, 65.239
 #: A determinant that falls by less, in logarithms, has converged.
 FALLS = 1e-6
 _X = [f"x{i}" for i in range(P)]
@@ -73,7 +76,7 @@ def consistency(percent: int) -> float:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bangs, n_caps and n_stutters."""
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_ends, n_short and n_different."""
     text = F.coalesce(text_column(docs), F.lit(""))
     trimmed = F.btrim(text, F.lit(_BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -83,17 +86,18 @@ def counts(docs: DataFrame) -> DataFrame:
         words.alias("__words"),
         lines.alias("__lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
-        F.regexp_count(text, F.lit("[A-Z]{2,}")).cast("long").alias("n_caps"),
+        F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_marks"),
+        F.regexp_count(text, F.lit(r"[.!?\n]+")).cast("long").alias("n_ends"),
     )
     rows = rows.select(
-        *docs.columns, "n_symbols", "n_bangs", "n_caps",
+        *docs.columns, "n_symbols", "n_marks", "n_ends",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter("__words", lambda w: F.length(w) <= 3)).cast("long").alias("n_short"),
+        F.size(F.array_distinct("__words")).cast("long").alias("n_different"),
         F.when(F.size("__words") > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))).alias("__h"),
     )
-    rows = rows.withColumn("n_stutters", F.coalesce(F.size(F.filter("__h", lambda h, i: h == F.get("__h", i + 1))), F.lit(0)).cast("long"))
     reach = 1
     while reach < WINDOW:  # the hash of 2, 4, 8 words from those of half as many
         left = F.slice("__h", F.lit(1), F.size("__h") - reach)
@@ -115,26 +119,16 @@ def base_failed() -> Column:
 
 
 def with_vectors(rows: DataFrame) -> DataFrame:
-    """Adds the statistics x0 to x6, and `usual`, the mean word length of the row's group.
-
-    Shares of short texts are shrunk, word lengths towards the group's mean, so that a vector's spread
-    does not depend on the length of the text.
-    """
-    keys = ["lang", "source"]
-    usual = rows.where("NOT base_failed").groupBy(*keys).agg((F.sum("word_chars") / F.sum("n_words")).alias("usual"))
-    usual = usual.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "usual")
-    joined = rows.join(usual, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__l", "__s")
-    n, usual = F.col("n_words"), F.col("usual")
-    x = (
-        F.log((F.col("word_chars") + 100 * usual) / (n + 100) / usual),
-        F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 100)),
-        F.sqrt(F.col("n_bangs") / (n + 20)),
-        F.col("n_caps") / (n + 20),
-        F.col("n_repeat_words") / (n + 20),
-        F.col("n_dup_lines") / (n / 10 + 10),
-        F.col("n_stutters") / (n + 20),
-    )
-    return joined.select("*", *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for v, c in zip(x, _X)))
+    """Adds the statistics x0 to x4."""
+    counted = ("word_chars", "n_marks", "n_ends", "n_short")
+    usual = rows.where("NOT base_failed").groupBy(F.col("lang").alias("__l")).agg(*((F.sum(c) / F.sum("n_words")).alias(f"__u_{c}") for c in counted))
+    few = usual.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    joined = rows.join(F.broadcast(usual) if few else usual, F.col("lang").eqNullSafe(F.col("__l")), "left")
+    share = {c: (F.col(c) + PSEUDO * F.col(f"__u_{c}")) / (F.col("n_words") + PSEUDO) for c in counted}
+    # a statistic that no document of the language has is 0 for all
+    log = lambda c: F.log(F.greatest(share[c], F.lit(1e-6)))
+    x = (log("word_chars"), log("n_marks"), log("n_ends"), F.sqrt(share["n_short"]), F.log(F.col("n_different") + 1) / F.log(F.col("n_words") + 1))
+    return joined.select(*rows.columns, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for v, c in zip(x, _X)))
 
 
 _M = [f"m{i}" for i in range(P)]
@@ -145,8 +139,8 @@ _SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _PAIRS)]
 
 
 # The expressions of a step are SQL text, parsed at once: built as columns they are thousands of calls a step.
-def _sums() -> list[Column]:
-    return [F.expr("count(1)").alias("n"), *(F.expr(f"sum(x{i})").alias(f"s{i}") for i in range(P)), *(F.expr(f"sum(x{i} * x{j})").alias(f"q{i}{j}") for i, j in _PAIRS)]
+def _sums(weight: str = "1") -> list[Column]:
+    return [F.expr(f"sum({weight})").alias("n"), *(F.expr(f"sum({weight} * x{i})").alias(f"s{i}") for i in range(P)), *(F.expr(f"sum({weight} * x{i} * x{j})").alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
 def _moments(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,11 +149,11 @@ def _moments(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _cholesky() -> list[str]:
-    """l*, the Cholesky factor of the scatter with its noise, and w*, its inverse; each refers to those before it."""
+    """l*, the Cholesky factor of the scatter with its floor, and w*, its inverse; each refers to those before it."""
     less = lambda i, j: "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
     out = []
     for j in range(P):
-        out.append(f"sqrt(greatest(c{j}{j} + {NOISE[j] ** 2!r}D{less(j, j)}, 1e-12D)) AS l{j}{j}")
+        out.append(f"sqrt(greatest(c{j}{j} + {FLOOR**2!r}D{less(j, j)}, 1e-12D)) AS l{j}{j}")
         out += [f"(c{i}{j}{less(i, j)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)]
     out += [f"1 / l{i}{i} AS w{i}{i}" for i in range(P)]
     for gap in range(1, P):
@@ -168,7 +162,7 @@ def _cholesky() -> list[str]:
 
 
 def _factored(df: DataFrame) -> DataFrame:
-    """Adds w*, the inverse Cholesky factor of the scatter with its noise, and log_det, the logarithm of its determinant."""
+    """Adds w*, the inverse Cholesky factor of the scatter with its floor, and log_det, the logarithm of its determinant."""
     det = "2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ") AS log_det"
     return df.selectExpr("*", *_cholesky(), det).select(*df.columns, *_W, "log_det")
 
@@ -196,11 +190,11 @@ def _nearest(met: DataFrame) -> DataFrame:
 
 @tidied("mcd")
 def mcd(fit: DataFrame) -> DataFrame:
-    """The MCD estimate of every group of `fit` (columns group, x0 to x6): group, share, n (of H), m*, c* (of H, as it is), w*, log_det."""
-    whole = _factored(_moments(fit.groupBy("group").agg(*_sums()), ["group"])).select("group", F.lit(0).alias("start"), *_M, *_W, F.lit(math.inf).alias("log_det"))
-    # the other start: no unusual statistics at all, and the least spread
-    plain = whole.select("group", F.lit(1).alias("start"), *(F.lit(0.0).alias(m) for m in _M), *(F.lit(1 / NOISE[i] if i == j else 0.0).alias(f"w{i}{j}") for i, j in _PAIRS), "log_det")
-    now = materialize(whole.unionByName(plain), "mcd")
+    """The MCD estimate of every group of `fit` (columns group, x0 to x4): group, share, n (of H), m*, c* (of H, as it is), w*, log_det."""
+    start = lambda sums, k: _factored(_moments(sums, ["group"])).select("group", F.lit(k).alias("start"), *_M, *_W, F.lit(math.inf).alias("log_det"))
+    whole = materialize(start(fit.groupBy("group").agg(*_sums()), 0), "mcd")
+    weighed = _met(fit, whole).withColumn("w", 1 / (1 + squared_distance() / P)).groupBy("group").agg(*_sums("w"))
+    now = materialize(whole.unionByName(start(weighed, 1)), "mcd")
     steps = []
     while True:  # every step lowers a determinant, or is the last
         sums = _nearest(_met(fit, now))

@@ -11,6 +11,7 @@ from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 import corpus_pipeline
@@ -49,7 +50,7 @@ def test_quality_counts_match_brute_force(spark, sf):
 
 
 def distances(x, m, c):
-    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.diag(np.square(quality_rules.NOISE))), x - m)
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + quality_rules.FLOOR**2 * np.eye(x.shape[1])), x - m)
 
 
 def scatter(x):
@@ -58,14 +59,17 @@ def scatter(x):
 
 def brute_mcd(x):
     """Location and scatter of H, and its share in percent: C-steps on arrays, with whole bins of distances as the operator takes them."""
-    noise, n, best = np.diag(np.square(quality_rules.NOISE)), len(x), None
-    for m, c in ((x.mean(0), scatter(x)), (np.zeros(x.shape[1]), 0 * noise)):
+    floor, n, best = quality_rules.FLOOR**2 * np.eye(x.shape[1]), len(x), None
+    whole = x.mean(0), scatter(x)
+    w = 1 / (1 + distances(x, *whole) / x.shape[1])
+    weighed = w @ x / w.sum(), (x * w[:, None]).T @ x / w.sum() - np.outer(w @ x, w @ x) / w.sum() ** 2
+    for m, c in (whole, weighed):
         last = np.inf
         while True:
             bins = np.floor(64 * np.log2(1 + 16 * distances(x, m, c))).astype(int)
             own = x[bins <= np.sort(bins)[min(n, (n + x.shape[1] + 1) // 2) - 1]]
             m, c = own.mean(0), scatter(own)
-            det = np.linalg.slogdet(c + noise)[1]
+            det = np.linalg.slogdet(c + floor)[1]
             if best is None or det < best[0] - 1e-9:
                 best = (det, m, c, max(50, int(np.floor(100 * len(own) / n + 0.5))))
             if det >= last - quality_rules.FALLS:
@@ -95,13 +99,16 @@ def vectors(rows):
     """(key, lang, source, statistics) of (key, lang, source, text) rows that pass the base rule."""
     base = {k: (lang, source, t, brute_counts(t)) for k, lang, source, t in rows}
     base = {k: v for k, v in base.items() if v[3][0] >= 20 and 100 * v[3][4] <= 30 * v[3][0]}
-    usual = {g: sum(v[3][1] for v in base.values() if v[:2] == g) / sum(v[3][0] for v in base.values() if v[:2] == g) for g in {v[:2] for v in base.values()}}
+    found = {}
+    for k, (lang, source, t, (n, chars, *_)) in base.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        found[k] = (n, len(set(words)), np.array([chars, len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(re.findall(r"[.!?\n]+", t)), sum(len(w) <= 3 for w in words)], float))
+    usual = {g: sum(found[k][2] for k, v in base.items() if v[0] == g) / sum(found[k][0] for k, v in base.items() if v[0] == g) for g in {v[0] for v in base.values()}}
     out = []
-    for k, (lang, source, t, (n, chars, symbols, lines, repeated)) in base.items():
-        words, u = re.findall(r"[^\x20\x09-\x0D]+", t), usual[lang, source]
-        stutters = sum(a == b for a, b in zip(words, words[1:])) if n > 8 else 0
-        x = (np.log((chars + 100 * u) / (n + 100) / u), (symbols / (chars + 100)) ** 0.5, (t.count("!") / (n + 20)) ** 0.5, len(re.findall("[A-Z]{2,}", t)) / (n + 20), repeated / (n + 20), lines / (n / 10 + 10), stutters / (n + 20))
-        out.append((k, lang, source, x))
+    for k, (lang, source, *_) in base.items():
+        n, different, own = found[k]
+        share = (own + quality_rules.PSEUDO * usual[lang]) / (n + quality_rules.PSEUDO)
+        out.append((k, lang, source, (*np.log(np.maximum(share[:3], 1e-6)), share[3] ** 0.5, np.log(different + 1) / np.log(n + 1))))
     return out
 
 
@@ -152,18 +159,18 @@ def prose(rng, n, letters=(2, 8)):
 def test_single_outliers_go(spark):
     """One statistic alone rejects a text in a group without that feature; one or two occurrences in a short text don't."""
     rng = random.Random(11)
-    rows = [(i, " ".join(prose(rng, rng.randint(40, 300)))) for i in range(400)]
-    w, short, twice = prose(rng, 200), prose(rng, 22), prose(rng, 56)
+
+    def text(n, size=(2, 8), ends=12):
+        words = prose(rng, n, size)
+        return " ".join(w + ("." if (i + 1) % rng.randint(ends - 4, ends + 4) == 0 else "," if rng.random() < 0.06 else "") for i, w in enumerate(words))
+
+    rows = [(i, text(rng.randint(40, 300))) for i in range(400)]
+    w = prose(rng, 200)
     planted = {
-        "bangs": " ".join(x + "!" * (i % 2) for i, x in enumerate(w)),
-        "caps": " ".join(x.upper() if i < 80 else x for i, x in enumerate(w)),
-        "symbols": " ".join(x + "#" * (i % 3 == 0) for i, x in enumerate(w)),
-        "length": " ".join(x[:1] * 7 for x in w[:100]),
-        "lines": "\n".join([*w[:90], *["same"] * 10]),
-        "repeats": " ".join(w[:175] + w[:25]),
-        "stutters": " ".join(x for i, x in enumerate(w) for _ in range(1 + (i < 40))),
+        "marks": " ".join(x + "#" * (i % 2) + "." * (i % 12 == 0) for i, x in enumerate(w)),
+        "length": text(150, (9, 14)), "short": text(150, (1, 3)), "ends": " ".join(x + "." for x in w), "repeats": " ".join(x for x in w[:60] for _ in range(3)),
     }
-    ordinary = {"bang": " ".join(short) + "!", "symbol": " ".join(short) + " $", "cap": "USA " + " ".join(short), "line": "\n".join([*short, short[0]])}
+    ordinary = {"bang": text(30) + "!", "symbol": text(30) + " $", "cap": "USA " + text(30), "quote": '"' + text(60) + '"'}
     rows += [(1000 + i, t) for i, t in enumerate([*planted.values(), *ordinary.values()])]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality_rules.quality(docs).collect()}
@@ -173,6 +180,29 @@ def test_single_outliers_go(spark):
     assert np.mean([got[i]["kept"] for i in range(400)]) > 0.98
 
 
+def test_scatter_outweighs_the_floor(spark):
+    """In ordinary texts every statistic varies by far more than the floor, and some go together."""
+    rows = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' AND source < 'src13'").collect()]
+    told = vectors(rows)
+    x = np.array([r[3] for r in told])
+    _, c, share = brute_mcd(x)
+    spread = np.sqrt(np.diag(c) * quality_rules.consistency(share))
+    assert spread.min() > 8 * quality_rules.FLOOR
+    assert np.abs(c / np.outer(np.sqrt(np.diag(c)), np.sqrt(np.diag(c))) - np.eye(quality_rules.P)).max() > 0.5
+
+
+def test_turned_covariance_turns_verdicts(spark):
+    """Documents at the same distance in each statistic by itself: along the group's correlation they stay, across it they go."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(0, 1, (600, 1)) @ np.ones((1, quality_rules.P)) * 0.1 + rng.normal(0, 0.01, (600, quality_rules.P))
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in base], "group string, " + ", ".join(f"x{i} double" for i in range(quality_rules.P)))
+    groups = spark.createDataFrame([("g", "c")], "fine string, coarse string")
+    fit = rows.unionByName(rows.withColumn("group", F.lit("c")))
+    probe = spark.createDataFrame([("g", "along", *[0.2] * quality_rules.P), ("g", "across", *[0.2 * (-1) ** i for i in range(quality_rules.P)])], "group string, name string, " + ", ".join(f"x{i} double" for i in range(quality_rules.P)))
+    got = {r["name"]: r["d"] for r in quality_rules._met(probe, quality_rules.estimates(fit, groups)).select("name", quality_rules.squared_distance().alias("d")).collect()}
+    assert got["along"] < 20 < quality_rules.CHI2_LIMIT < got["across"]
+
+
 def test_quality_edge_cases(spark, hostile, nothing):
     got = quality_rules.quality(hostile).collect()
     assert len(got) == hostile.count()
@@ -587,6 +617,28 @@ def test_three_batches_edit_the_stored_map(spark):
         sharding.store_map(spark, path, [(4, 0, 0, 0, 0)])
 
 
+def test_repeats_of_one_row_spread(spark, monkeypatch):
+    """A document repeated 300 times beside 1,000 others: sizes stay near equal, positions gapless, and no slot holds them all."""
+    monkeypatch.setattr(sharding, "PORTION", 64)  # several portions
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    often = docs.where("length(text) > 1500").orderBy("doc_id").limit(1)
+    rows = docs.unionByName(often.crossJoin(spark.range(300)).select("doc_id", "text"))
+    placed, table = sharding.shard(rows, tempfile.mkdtemp(prefix="spark-") + "/map")
+    load, slots, own = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    hot = often.first()["doc_id"]
+    for r in placed.collect():
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        own[r["virtual_slot"]] += r["doc_id"] == hot
+    assert sum(map(len, slots.values())) == rows.count() and sum(own.values()) == 301
+    assert max(load.values()) < 1.01 * min(load.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(own.values()) < 6
+    folder = tempfile.mkdtemp(prefix="spark-")
+    sharding.write_shards(rows, folder + "/out")
+    written = {r["shard"]: r["n"] for r in spark.read.parquet(folder + "/out/data").selectExpr("shard", "octet_length(text) + 1 AS b").groupBy("shard").agg({"b": "sum"}).toDF("shard", "n").collect()}
+    assert sum(written.values()) == sum(load.values()) and max(written.values()) < 1.02 * min(written.values())
+
+
 def test_sharding_edge_cases(spark, hostile, nothing):
     folder = tempfile.mkdtemp(prefix="spark-")
     placed, table = sharding.shard(hostile, folder + "/map")
