@@ -127,7 +127,7 @@ def with_vectors(rows: DataFrame) -> DataFrame:
     share = {c: (F.col(c) + PSEUDO * F.col(f"__u_{c}")) / (F.col("n_words") + PSEUDO) for c in counted}
     # a statistic that no document of the language has is 0 for all
     log = lambda c: F.log(F.greatest(share[c], F.lit(1e-6)))
-    x = (log("word_chars"), log("n_marks"), log("n_ends"), F.sqrt(share["n_short"]), F.log(F.col("n_different") + 1) / F.log(F.col("n_words") + 1))
+    x = (log("word_chars"), log("n_marks"), log("n_ends"), F.sqrt(share["n_short"]), F.try_divide(F.log(F.col("n_different") + 1), F.log(F.col("n_words") + 1)))
     return joined.select(*rows.columns, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for v, c in zip(x, _X)))
 
 
