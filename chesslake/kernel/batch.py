@@ -113,10 +113,10 @@ def notations(sans: Sequence[str]) -> tuple[np.ndarray, list[str | None]]:
 class Boards:
     """The positions of a batch's nodes at one ply."""
 
-    __slots__ = ("pieces", "black", "rights", "ep")
+    __slots__ = ("pieces", "black", "rights", "ep", "half", "full")
 
-    def __init__(self, pieces: np.ndarray, black: np.ndarray, rights: np.ndarray, ep: np.ndarray):
-        self.pieces, self.black, self.rights, self.ep = pieces, black, rights, ep
+    def __init__(self, pieces: np.ndarray, black: np.ndarray, rights: np.ndarray, ep: np.ndarray, half: np.ndarray, full: np.ndarray):
+        self.pieces, self.black, self.rights, self.ep, self.half, self.full = pieces, black, rights, ep, half, full
 
     @classmethod
     def of(cls, boards: Sequence[B.Board]) -> Boards:
@@ -125,13 +125,13 @@ class Boards:
             for square, c in enumerate(b.cells):
                 if c != ".":
                     pieces[_KINDS.index(c.upper()) + (0 if c.isupper() else 6), i] |= _ONE << U(square)
-        return cls(pieces, np.array([not b.white for b in boards]), np.array([sum(B._CASTLING[c] for c in b.rights) for b in boards], dtype=np.uint8), np.array([64 if b.ep is None else b.ep for b in boards], dtype=np.int64))
+        return cls(pieces, np.array([not b.white for b in boards]), np.array([sum(B._CASTLING[c] for c in b.rights) for b in boards], dtype=np.uint8), np.array([64 if b.ep is None else b.ep for b in boards], dtype=np.int64), np.array([b.half for b in boards], dtype=np.int64), np.array([b.full for b in boards], dtype=np.int64))
 
     def take(self, at: np.ndarray) -> Boards:
-        return Boards(self.pieces[:, at], self.black[at], self.rights[at], self.ep[at])
+        return Boards(self.pieces[:, at], self.black[at], self.rights[at], self.ep[at], self.half[at], self.full[at])
 
     def board(self, i: int) -> B.Board:
-        """One of them as a board; the move counters are those of a start."""
+        """One of them as a board."""
         out = B.Board.__new__(B.Board)
         out.cells = ["."] * 64
         for k in range(12):
@@ -141,7 +141,7 @@ class Boards:
                 out.cells[low.bit_length() - 1] = (_KINDS + _KINDS.lower())[k]
                 word ^= low
         out.white, out.rights = not self.black[i], "".join(c for c in "KQkq" if int(self.rights[i]) & B._CASTLING[c])
-        out.ep, out.half, out.full = None if self.ep[i] == 64 else int(self.ep[i]), 0, 1
+        out.ep, out.half, out.full = None if self.ep[i] == 64 else int(self.ep[i]), int(self.half[i]), int(self.full[i])
         return out
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +149,23 @@ class Boards:
         white, black = self.pieces[:6], self.pieces[6:]
         return np.where(self.black, black, white), np.where(self.black, white, black)
 
+    def texts(self) -> tuple[list[str], list[str]]:
+        """The 64 squares of each position as characters, and its FEN."""
+        cells = np.full((len(self.black), 64), ord("."), dtype=np.uint8)
+        squares = np.arange(64, dtype=np.uint64)
+        for k, letter in enumerate(_KINDS + _KINDS.lower()):
+            cells[(self.pieces[k][:, None] >> squares) & _ONE == _ONE] = ord(letter)
+        boards = [row.tobytes().decode() for row in cells]
+        fens = []
+        for board, black, rights, ep, half, full in zip(boards, self.black.tolist(), self.rights.tolist(), self.ep.tolist(), self.half.tolist(), self.full.tolist()):
+            placement = "/".join(board[r : r + 8] for r in range(56, -1, -8))
+            if "." in placement:
+                for n in range(8, 0, -1):
+                    placement = placement.replace("." * n, str(n))
+            castling = "".join(c for c in "KQkq" if rights & B._CASTLING[c])
+            fens.append(f"{placement} {'b' if black else 'w'} {castling or '-'} {'-' if ep == 64 else B.SQUARES[ep]} {half} {full}")
+        return boards, fens
+
     def keys(self) -> np.ndarray:
         """The two words of each position's key."""
         n = len(self.black)
@@ -226,8 +243,22 @@ def _castle(b: Boards, own: np.ndarray, other: np.ndarray, kind: np.ndarray) ->
     return fine, a, to
 
 
-def play(b: Boards, moves: np.ndarray) -> tuple[Boards, np.ndarray]:
-    """The positions after a move each (rows of `notations`), and codes of faults: 0 none, 1 no move, 2 illegal, 3 ambiguous, 4 wrong check suffix."""
+def _seen(b_kind: np.ndarray, square: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """What pieces (no pawns) of a kind see from squares."""
+    t, out = _tables(), np.zeros(len(square), dtype=U)
+    for k in (_N, _BI, _R, _Q, _K):
+        at = np.flatnonzero(b_kind == k)
+        if len(at):
+            s = square[at]
+            out[at] = t["NK"[k == _K]][s] if k in (_N, _K) else (_bishop(s, every[at]) if k in (_BI, _Q) else U(0)) | (_rook(s, every[at]) if k in (_R, _Q) else U(0))
+    return out
+
+
+def play(b: Boards, moves: np.ndarray) -> tuple[Boards, np.ndarray, np.ndarray, np.ndarray]:
+    """The positions after a move each (rows of `notations`), codes of faults, and from and to of the moves.
+
+    Faults are 0 none, 1 no move, 2 illegal, 3 ambiguous, 4 wrong check suffix.
+    """
     t = _tables()
     bit = t["bit"]
     kind, to, file, rank, takes, promotion, claim = moves.T
@@ -241,12 +272,7 @@ def play(b: Boards, moves: np.ndarray) -> tuple[Boards, np.ndarray]:
     fault = np.where(kind == _BAD, 1, 0)
     castles = (kind == _SHORT) | (kind == _LONG)
 
-    seen = np.zeros(n, dtype=U)
-    for k in (_N, _BI, _R, _Q, _K):
-        at = np.flatnonzero(kind == k)
-        if len(at):
-            s = to[at]
-            seen[at] = t["NK"[k == _K]][s] if k in (_N, _K) else (_bishop(s, every[at]) if k in (_BI, _Q) else U(0)) | (_rook(s, every[at]) if k in (_R, _Q) else U(0))
+    seen = _seen(kind, to, every)
     pawn = kind == _P
     seen = np.where(~pawn & ((takes == 1) != captures), U(0), seen)
     if pawn.any():
@@ -297,7 +323,7 @@ def play(b: Boards, moves: np.ndarray) -> tuple[Boards, np.ndarray]:
     of_us, of_them = np.where(black, 12, 3).astype(np.uint8), np.where(black, 3, 12).astype(np.uint8)
     lost = np.where(piece == _K, of_us, 0) | np.where(piece == _R, t["corner"][a] & of_us, 0) | np.where(lost_rook, t["corner"][to] & of_them, 0)
     ep = np.where(pawn & (np.abs(a - to) == 16), (a + to) // 2, 64)
-    after = Boards(np.where(black, np.concatenate([other_after, own_after]), np.concatenate([own_after, other_after])), ~black, b.rights & ~lost.astype(np.uint8), ep)
+    after = Boards(np.where(black, np.concatenate([other_after, own_after]), np.concatenate([own_after, other_after])), ~black, b.rights & ~lost.astype(np.uint8), ep, np.where(pawn | (captures & ~castles), 0, np.minimum(b.half + 1, 65535)), np.where(black, np.minimum(b.full + 1, 65535), b.full))
     at = np.flatnonzero((claim > 0) & (fault == 0))
     if len(at):
         part = own_after[:, at]
@@ -307,7 +333,46 @@ def play(b: Boards, moves: np.ndarray) -> tuple[Boards, np.ndarray]:
         for i in at[check & (claim[at] == 2)]:
             if after.board(int(i)).legal_moves():
                 fault[i] = 4
-    return after, fault
+    return after, fault, a, to
+
+
+def told(b: Boards, after: Boards, kind: np.ndarray, promotion: np.ndarray, a: np.ndarray, to: np.ndarray) -> tuple[list[str], list[str]]:
+    """The moves that led from positions to others, in standard notation with as few hints as they need, and in coordinates."""
+    own, other = b.sides()
+    every = np.bitwise_or.reduce(b.pieces, axis=0)
+    bit, n = _tables()["bit"], len(kind)
+    takes = ((every & bit[to]) != 0) | ((kind == _P) & (a % 8 != to % 8))
+    rivals = np.where((kind > _P) & (kind < _K), _seen(kind, to, every) & own[np.minimum(kind, _K), np.arange(n)] & ~bit[a], U(0))
+    others: dict[int, list[int]] = {}
+    while True:
+        at = np.flatnonzero(rivals)
+        if not len(at):
+            break
+        low = rivals[at] & (~rivals[at] + _ONE)
+        from_ = _square(low)
+        good = _safe(own[:, at], other[:, at], b.black[at], kind[at], from_, to[at], np.zeros(len(at), bool))
+        for i, square in zip(at[good].tolist(), from_[good].tolist()):
+            others.setdefault(i, []).append(square)
+        rivals[at] ^= low
+    now, then = after.sides()
+    check = _attacked(_square(now[_K]), then, ~after.black, np.bitwise_or.reduce(after.pieces, axis=0))
+    sans, ucis = [], []
+    for i, (k, p, x, y, take, in_check) in enumerate(zip(kind.tolist(), promotion.tolist(), a.tolist(), to.tolist(), takes.tolist(), check.tolist())):
+        start, end = B.SQUARES[x], B.SQUARES[y]
+        if k in (_SHORT, _LONG):
+            text = "O-O" if k == _SHORT else "O-O-O"
+        elif k == _P:
+            text = (start[0] + "x" if take else "") + end + ("=" + _KINDS[p] if p else "")
+        else:
+            hint = ""
+            if i in others:
+                hint = start[0] if all(s % 8 != x % 8 for s in others[i]) else start[1] if all(s // 8 != x // 8 for s in others[i]) else start
+            text = _KINDS[k] + hint + ("x" if take else "") + end
+        if in_check:
+            text += "+" if after.board(i).legal_moves() else "#"
+        sans.append(text)
+        ucis.append(start + end + (_KINDS[p].lower() if p else ""))
+    return sans, ucis
 
 
 def starts(fens: Sequence[str]) -> tuple[list[B.Board | None], list[str | None]]:
@@ -381,7 +446,8 @@ class Replay:
                 return
             named, back = np.unique(node * many + self.sans[self.first[games] + ply], return_inverse=True)
             moves = table[named % many]
-            here, fault = play(here.take(named // many), moves)
+            before = here.take(named // many)
+            here, fault, a, to = play(before, moves)
             ply += 1
             wrong = fault[back] > 0
             for g, f in zip(games[wrong].tolist(), fault[back][wrong].tolist()):
@@ -393,6 +459,7 @@ class Replay:
             if len(fine) < len(fault):
                 here = here.take(fine)
             self.done[games] = ply
+            self.last = before, fine, moves, a, to
 
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -420,6 +487,19 @@ class Replay:
             stop = games[(here.keys() == wanted).all(axis=1)[node]]
             out[stop] = ply
 
+    def steps(self, positions: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, list]]]:
+        """Ply by ply: its number, the games that reach it, the node of each, and of the nodes san and uci of the move and, if wanted, board, fen and position_key."""
+        for ply, games, node, here in self.plies():
+            own: dict[str, list] = {"san": [None] * len(here.black), "uci": [None] * len(here.black)}
+            if ply:
+                before, fine, moves, a, to = self.last
+                moves = moves[fine]
+                own["san"], own["uci"] = told(before.take(fine), here, moves[:, 0], moves[:, 5], a[fine], to[fine])
+            if positions:
+                own["board"], own["fen"] = here.texts()
+                own["position_key"] = [k.tobytes() for k in here.keys().astype("<u8")]
+            yield ply, games, node, own
+
     def finish(self) -> Replay:
         """Play all lines to their ends, without keys."""
         for _ in self.plies():

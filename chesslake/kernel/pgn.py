@@ -257,6 +257,11 @@ def mainline(text: bytes) -> bytes:
     return _ASIDES.sub(b" ", text) if b"(" in text else text
 
 
+def easy_moves(text: bytes) -> list[bytes]:
+    """The mainline's moves of a bare text."""
+    return _EASY_MOVE.findall(mainline(text))
+
+
 def _moves(text: bytes) -> int:
     """The moves of a bare text: its words, without the numbers that stand by themselves."""
     return len(text.split()) - text.count(b". ")

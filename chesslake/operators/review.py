@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..kernel import board as B
 from ..kernel import pgn as P
+from ..kernel.batch import Replay
 from .evidence import assess, attempt_verdict
 
 MOST_BYTES, MOST_PLIES, MOST_NAME, MOST_PV, MOST_LINE, MOST_ATTEMPTS = 256 * 1024, 1024, 256, 32, 6, 100
@@ -25,15 +26,24 @@ class _Refused(ValueError):
 
 
 def _one_game(raw: bytes, player: str | None) -> dict:
-    """A game as a review takes it; raises _Refused with what speaks against it."""
+    """A game as a review takes it: its setting, its moves, and what speaks against it behind them; raises _Refused where something does before."""
     name = (player or "").strip()
     if len(raw) > MOST_BYTES:
         raise _Refused("too_large")
     if not name or len(name.encode()) > MOST_NAME:
         raise _Refused("player_required")
-    own, board, first, side, moves, starts, ends = {}, B.Board(), None, None, [], 0, 0
+    own, first, side, moves, starts, ends = {}, None, None, [], 0, 0
+    easy = P.easy_game(raw)
+    events = P.events(raw) if easy is None else ()
+    if easy is not None:
+        for tag, value in easy[0]:
+            _tagged(own, tag, value)
+        side, first = _setting(own, name)
+        moves = [m.decode("utf-8", "replace") for m in P.easy_moves(easy[1])]
+        starts = ends = 1
+    fault = None
     try:
-        for e in P.events(raw):
+        for e in events:
             if e.kind == "game_start":
                 starts += 1
                 if starts > 1:
@@ -41,35 +51,36 @@ def _one_game(raw: bytes, player: str | None) -> dict:
             elif e.kind == "game_end":
                 ends += 1
             elif e.kind == "tag":
-                tag, value = e.text.split(b"\0", 1)
-                if tag in (b"White", b"Black", b"FEN", b"SetUp", b"Variant"):
-                    if tag in own:
-                        raise _Refused("invalid_pgn:duplicate_tag")
-                    try:
-                        own[tag] = P.tag_value(value).decode()
-                    except UnicodeDecodeError:
-                        raise _Refused("invalid_pgn:invalid_utf8_tag") from None
+                _tagged(own, *e.text.split(b"\0", 1))
             elif e.kind == "movetext_start":
-                side, board = _setting(own, name)
-                first = board.fen()
+                side, first = _setting(own, name)
             elif e.kind == "san" and e.depth == 0:
-                if len(moves) >= MOST_PLIES:
-                    raise _Refused("too_large")
-                before = board.copy()
-                try:
-                    move = board.play_san(e.text.decode("utf-8", "replace"))
-                except B.SanError:
-                    raise _Refused(f"illegal_mainline:{len(moves) + 1}") from None
-                moves.append((B.uci(move), before.san(*move)))
+                moves.append(e.text.decode("utf-8", "replace"))
+                if len(moves) > MOST_PLIES:
+                    break
     except P.PgnError as error:
-        raise _Refused(f"invalid_pgn:{error.kind}") from None
-    if (starts, ends) != (1, 1):
-        raise _Refused("expected_one_game")
-    return {"initial_fen": first, "color": side, "player_name": "".join(c.lower() if c.isascii() else c for c in name), "uci": [u for u, _ in moves], "san": [s for _, s in moves]}
+        fault = f"invalid_pgn:{error.kind}"
+    except _Refused as error:
+        if first is None:
+            raise
+        fault = str(error)
+    if fault is None and (starts, ends) != (1, 1) and len(moves) <= MOST_PLIES:
+        fault = "expected_one_game"
+    return {"initial_fen": first, "color": side, "player_name": "".join(c.lower() if c.isascii() else c for c in name), "moves": moves, "fault": fault}
+
+
+def _tagged(own: dict[bytes, str], tag: bytes, value: bytes) -> None:
+    if tag in (b"White", b"Black", b"FEN", b"SetUp", b"Variant"):
+        if tag in own:
+            raise _Refused("invalid_pgn:duplicate_tag")
+        try:
+            own[tag] = P.tag_value(value).decode()
+        except UnicodeDecodeError:
+            raise _Refused("invalid_pgn:invalid_utf8_tag") from None
 
 
-def _setting(own: dict[bytes, str], name: str) -> tuple[str, B.Board]:
-    """The player's side and the start position, from the tags."""
+def _setting(own: dict[bytes, str], name: str) -> tuple[str, str]:
+    """The player's side and the start position's FEN, from the tags."""
     fold = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip())
     if b"Variant" in own and fold(own[b"Variant"]) != "standard":
         raise _Refused("unsupported_variant")
@@ -80,7 +91,7 @@ def _setting(own: dict[bytes, str], name: str) -> tuple[str, B.Board]:
     if setup not in (None, "0", "1") or (setup == "1" and fen is None) or (setup == "0" and fen is not None):
         raise _Refused("invalid_setup")
     try:
-        return ("white" if is_side[0] else "black"), B.Board(fen)
+        return ("white" if is_side[0] else "black"), B.START_FEN if fen is None else B.Board(fen).fen()
     except B.FenError:
         raise _Refused("invalid_setup") from None
 
@@ -88,8 +99,8 @@ def _setting(own: dict[bytes, str], name: str) -> tuple[str, B.Board]:
 _REVIEW = "initial_fen string, color string, player_name string, uci array<string>, san array<string>, error string"
 
 
-def _each(rows: DataFrame, inputs: list[str], fn, schema: str) -> DataFrame:
-    """Columns of `rows` and the fields that `fn` gives for the values of `inputs`, batch by batch."""
+def _each(rows: DataFrame, inputs: list[str], fn, schema: str, together: bool = False) -> DataFrame:
+    """Columns of `rows` and the fields that `fn` gives for the values of `inputs`, row by row or, `together`, for a batch's lists of them."""
     own = T._parse_datatype_string(schema)
     full, places = T.StructType([*rows.schema.fields, *own.fields]), [rows.columns.index(c) for c in inputs]
 
@@ -98,7 +109,8 @@ def _each(rows: DataFrame, inputs: list[str], fn, schema: str) -> DataFrame:
 
         arrow = to_arrow_schema(full)
         for batch in batches:
-            got = [fn(*values) for values in zip(*(batch.column(k).to_pylist() for k in places))]
+            lists = [batch.column(k).to_pylist() for k in places]
+            got = fn(*lists) if together else [fn(*values) for values in zip(*lists)]
             new = [pa.array([g.get(f.name) for g in got], type=arrow.field(f.name).type) for f in own.fields]
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)), *new], schema=arrow)
 
@@ -106,15 +118,33 @@ def _each(rows: DataFrame, inputs: list[str], fn, schema: str) -> DataFrame:
 
 
 def parse_reviews(games: DataFrame, pgn: str = "pgn", player: str = "player") -> DataFrame:
-    """Adds initial_fen, color, player_name and the mainline (uci, san) of exactly one standard game with one side the player's; else error."""
+    """Adds initial_fen, color, player_name and the mainline (uci, san) of exactly one standard game with one side the player's; else error.
 
-    def read(raw, name):
-        try:
-            return _one_game(raw or b"", name)
-        except _Refused as error:
-            return {"error": str(error)}
+    A batch's games are replayed together.
+    """
 
-    return _each(games, [pgn, player], read, _REVIEW)
+    def read(raws, names):
+        got: list[dict] = []
+        for raw, name in zip(raws, names):
+            try:
+                got.append(_one_game(raw or b"", name))
+            except _Refused as error:
+                got.append({"error": str(error)})
+        at = [i for i, g in enumerate(got) if "moves" in g]
+        run = Replay.of([(got[i]["initial_fen"], got[i]["moves"][: MOST_PLIES]) for i in at])
+        told: list[list[tuple[str, str]]] = [[] for _ in at]
+        for ply, games_, node, own in run.steps(positions=False):
+            if ply:
+                for g, k in zip(games_.tolist(), node.tolist()):
+                    told[g].append((own["uci"][k], own["san"][k]))
+        for k, i in enumerate(at):
+            g = got[i]
+            # the first of: a move that can't be played, one too many, a fault behind the moves
+            error = f"illegal_mainline:{int(run.done[k]) + 1}" if run.error[k] else "too_large" if len(g["moves"]) > MOST_PLIES else g["fault"]
+            got[i] = {"error": error} if error else {**g, "uci": [u for u, _ in told[k]], "san": [x for _, x in told[k]]}
+        return got
+
+    return _each(games, [pgn, player], read, _REVIEW, together=True)
 
 
 def decisions(reviews: DataFrame, shared_ply: int | Column) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -371,56 +370,37 @@ _STEP = T.StructType([T.StructField(n, t) for n, t in (("ply", T.IntegerType()),
 _REPLAY = T.StructType([T.StructField("steps", T.ArrayType(_STEP)), T.StructField("replay_error", T.StructType([T.StructField("kind", T.StringType()), T.StructField("ply", T.IntegerType())]))])
 
 
-#: Plies of a line whose positions a worker process remembers, and how many such openings.
-_OPENING, _OPENINGS = 16, 20_000
-
-
-def _step(board: B.Board, ply: int, san: str | None, move) -> dict:
-    return {"ply": ply, "san": san, "uci": move and B.uci(move), "board": board.board64(), "fen": board.fen(), "position_key": board.key()}
-
-
-def _play(board: B.Board, san: str, ply: int) -> dict:
-    """Play a move on the board; gives its step, or raises SanError."""
-    before = board.copy()
-    move = board.play_san(san)
-    return _step(board, ply, before.san(*move), move)
-
-
-@lru_cache(_OPENINGS)
-def _opening(fen: str, moves: tuple[str, ...]) -> tuple[B.Board, tuple[dict, ...], str | None]:
-    """Board and steps after the first moves of a line, and the error that ended them."""
-    if not moves:
-        board = B.Board(fen or None)
-        return board, (_step(board, 0, None, None),), None
-    board, steps, error = _opening(fen, moves[:-1])
-    if error is None:
-        board = board.copy()
-        try:
-            steps = (*steps, _play(board, moves[-1], len(moves)))
-        except B.SanError as fault:
-            error = str(fault)
-    return board, steps, error
-
-
 def replay_line(line: str | None) -> dict:
     """Positions of a line `fen|san san ...`, ply 0 first, and the first move that can't be played."""
     if line is None:
         return {"steps": None, "replay_error": None}
+    from ..kernel.batch import Replay
+
     fen, _, text = line.partition("|")
-    moves = tuple(text.split(" ")) if text else ()
-    try:
-        board, steps, error = _opening(fen, moves[:_OPENING])
-    except B.FenError as fault:
-        return {"steps": [], "replay_error": {"kind": f"invalid_fen:{fault}", "ply": 0}}
-    steps = list(steps)
-    if error is None and len(moves) > _OPENING:
-        board = board.copy()
-        try:
-            for san in moves[_OPENING:]:
-                steps.append(_play(board, san, len(steps)))
-        except B.SanError as fault:
-            error = str(fault)
-    return {"steps": steps, "replay_error": error and {"kind": error, "ply": len(steps)}}
+    return _stepped(Replay.of([(fen, text.split(" ") if text else [])])).to_pylist()[0]
+
+
+def _stepped(run) -> pa.Array:
+    """`steps` and `replay_error` of the lines of a `Replay`, line by line; what the games of a batch share is told once."""
+    parts = list(run.steps())
+    counts = np.zeros(len(run.sizes), dtype=np.int64)
+    for _, games, _, _ in parts:
+        counts[games] += 1
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    at, base = np.zeros(int(offsets[-1]), dtype=np.int64), 0
+    nodes: dict[str, list] = {"ply": [], "san": [], "uci": [], "board": [], "fen": [], "position_key": []}
+    for ply, games, node, own in parts:
+        at[offsets[games] + ply] = base + node
+        base += len(own["san"])
+        nodes["ply"] += [ply] * len(own["san"])
+        for name, values in own.items():
+            nodes[name] += values
+    types = {"ply": pa.int32(), "position_key": pa.binary()}
+    told = pa.StructArray.from_arrays([pa.array(v, types.get(k, pa.string())) for k, v in nodes.items()], names=list(nodes)).take(pa.array(at))
+    steps = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), told)
+    errors = [e and {"kind": e, "ply": int(n) + (0 if e.startswith("invalid_fen") else 1)} for e, n in zip(run.error, run.done)]
+    error = pa.array(errors, pa.struct([("kind", pa.string()), ("ply", pa.int32())]))
+    return pa.StructArray.from_arrays([steps, error], names=["steps", "replay_error"])
 
 
 def line_of(fen, moves):
@@ -431,11 +411,10 @@ def line_of(fen, moves):
 def replay(rows: DataFrame) -> DataFrame:
     """Adds `steps` and `replay_error` to games with fen, variant and moves; other variants get nulls.
 
-    Games are replayed where they are; a worker process remembers the openings that many games share.
+    A batch's games are replayed together where they are; what they share is worked out once.
     """
-    standard = F.col("variant").isNull() | (C.ascii_fold(F.col("variant")) == "standard")
-    named = rows.withColumn("__line", F.when(standard, line_of(F.col("fen"), F.col("moves"))))
-    return _with(named, "__line", replay_line, _REPLAY).drop("__line")
+    told = _over_lines(rows, _stepped, T.StructField("__told", _REPLAY))
+    return told.select(*rows.columns, "__told.*")
 
 
 def _over_lines(rows: DataFrame, fn, field: T.StructField) -> DataFrame:

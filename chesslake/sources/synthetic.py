@@ -91,7 +91,7 @@ def _choose(b: K.Boards, ids: np.ndarray, salt: int) -> tuple[np.ndarray, list[s
     seen = np.zeros(n, dtype=K.U)  # others of the kind that see the target
     for k in range(1, 6):
         of = at[kind[at] == k]
-        seen[of] = _targets(K.Boards(b.pieces[:, of], b.black[of], b.rights[of], b.ep[of]), np.zeros((6, len(of)), dtype=K.U), other[:, of], np.full(len(of), k), to[of]) & own[k, of] & ~K._tables()["bit"][a[of]]
+        seen[of] = K._seen(kind[of], to[of], every[of]) & own[k, of] & ~K._tables()["bit"][a[of]]
     takes = (every & K._tables()["bit"][to]) != 0
     piece = "QRBN"
     promote = _noise(ids, salt * 64 + 63)
@@ -138,7 +138,7 @@ def play_games(ids: np.ndarray, plies: int, seed: int = 0) -> Iterator[dict]:
                 if texts[g] and style[g] != 1:
                     texts[g][-1] = texts[g][-1].replace("+", "#")
         table, _ = K.notations(sans)
-        here, fault = K.play(here.take(at), table)
+        here, fault, _, _ = K.play(here.take(at), table)
         if fault.any():
             raise ValueError(f"made an impossible move: {sans[int(np.flatnonzero(fault)[0])]}")
         own, other = here.sides()

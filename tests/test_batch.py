@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from chesslake.kernel import batch, pgn as P
-from chesslake.kernel.board import Board, FenError, SanError
+from chesslake.kernel.board import Board, FenError, SanError, uci
 from chesslake.operators import doctor
 from chesslake.sources import pgn, synthetic
 
@@ -81,6 +81,31 @@ def test_mates_ambiguous_moves_and_promotions():
     assert run.error[:5] == [None, None, None, "invalid_check_suffix", "invalid_san"] and run.error[7] == "ambiguous_move"
 
 
+def test_steps_are_those_of_the_board(lines):
+    """Notation with as few hints as needed, coordinates, squares and FEN with its counters, of every ply."""
+    got = [[] for _ in lines]
+    for _, games, node, own in batch.Replay.of(lines).steps():
+        for g, k in zip(games.tolist(), node.tolist()):
+            got[g].append(tuple(own[c][k] for c in ("san", "uci", "board", "fen", "position_key")))
+    hints = set()
+    for (fen, moves), steps in zip(lines, got):
+        if fen == "no fen":
+            assert steps == []
+            continue
+        board = Board(fen or None)
+        want = [(None, None, board.board64(), board.fen(), board.key())]
+        for move in moves:
+            before = board.copy()
+            try:
+                played = board.play_san(move)
+            except SanError:
+                break
+            want.append((before.san(*played), uci(played), board.board64(), board.fen(), board.key()))
+            hints.add(len(want[-1][0].rstrip("+#")))
+        assert steps == want
+    assert {2, 3, 4, 5} <= hints
+
+
 def test_first_plies_are_those_of_the_board(lines):
     for target in (Board().key(), by_board(*lines[5])[0][-1]):
         want = [next((n for n, k in enumerate(by_board(*line)[0]) if k == target), -1) for line in lines]
