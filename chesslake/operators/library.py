@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_PER_PAGE = 200
@@ -28,6 +28,43 @@ def page(games: DataFrame, by: str = "date", descending: bool = True, limit: int
     return games.orderBy(*order(by, descending)).offset(max(0, offset)).limit(min(max(limit, 1), MOST_PER_PAGE))
 
 
+#: Games in a range of a library stored in an order, about.
+RANGE_GAMES = 50_000
+
+
+class SortedLibrary:
+    """The games of a library stored in one of its orders, in ranges with their counts, so that a page reads the ranges that it lies in.
+
+    The order is total (ids end it), so games that agree in the rest of the key are split over ranges like any others.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: str = "date", descending: bool = True):
+        self.spark, self.path, self.by, self.descending = spark, path.rstrip("/"), by, descending
+
+    def build(self, games: DataFrame, range_games: int = RANGE_GAMES) -> None:
+        """Write the games in order; an existing library is an error."""
+        keys = order(self.by, self.descending)
+        ranges = max(1, -(-games.count() // range_games))
+        ordered = games.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id())
+        ordered.write.mode("errorifexists").partitionBy("range").parquet(f"{self.path}/games")
+        counts = self.spark.read.parquet(f"{self.path}/games").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        counts.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).coalesce(1).write.parquet(f"{self.path}/ranges")
+
+    def ranges_of(self, limit: int, offset: int) -> list[tuple[int, int]]:
+        """(range, place of its first game) of the ranges that hold some of the places offset to offset + limit - 1."""
+        own = self.spark.read.parquet(f"{self.path}/ranges").where((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset))
+        return sorted((r["range"], r["first"]) for r in own.collect())  # a page lies in a few
+
+    def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        """The games of a page, as `page` gives them for the whole library; what is skipped within its first range is less than a range."""
+        limit, offset = min(max(limit, 1), MOST_PER_PAGE), max(0, offset)
+        held = self.ranges_of(limit, offset)
+        games = self.spark.read.parquet(f"{self.path}/games")
+        own = games.where(F.col("range").isin([r for r, _ in held])).drop("range")
+        return own.orderBy(*order(self.by, self.descending)).offset(offset - held[0][1] if held else 0).limit(limit)
+
+
 def ranked(rows: DataFrame, by: str, descending: bool = True) -> DataFrame:
     """Rows of a page with their place; only for pages, which are small."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order(by, descending))))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..kernel.board import START_FEN
-from ..operators import doctor, explore, store
+from ..operators import doctor, explore, library, store
 from ..operators.query import GameQuery
 from ..sources import pgn, synthetic
-from .registry import _shared, query
+from .registry import _shared, games, oracle, query
 
 _NOISE = {"w": (31, 7, 17, 13, 5), "b": (57, 11, 19, 29, 3)}
 _PRIME = 1_000_003
@@ -203,3 +203,21 @@ def random_games_sound(s, d):
     whole = keyed.select(told.alias("told"), (F.size("keys") == F.col("made") + 1).alias("keyed"), F.sha2("pgn", 256).alias("h"), "promotions", F.array_join("moves", " ").alias("line"))
     out = whole.agg(F.count(F.lit(1)).alias("games"), F.count_if("told").alias("counts_told"), F.count_if("keyed").alias("keys_told"), F.count_distinct("h").alias("different"), ((F.sum("promotions") >= 0) & (F.count_if(F.contains("line", F.lit("x"))) > 0)).alias("rare_moves"))
     return out.crossJoin(sound)  # one row each
+
+
+_BEST = "greatest(coalesce(white_elo, -1), coalesce(black_elo, -1))"
+
+
+@query(
+    "library_page_deep",
+    oracle(f"""SELECT game_id, place FROM (SELECT game_id, row_number() OVER (ORDER BY ({_BEST} < 0), {_BEST} DESC, played_on DESC NULLS LAST, game_id DESC) AS place, count(*) OVER () AS n FROM g)
+      WHERE place > n // 2 AND place <= n // 2 + 200"""),
+    plain=True,
+)
+def library_page_deep(s, d):
+    """The page in the middle of all games by rating, from the ranges that it lies in."""
+    rows = games(s, d).select("game_id", "played_on", "white_elo", "black_elo")
+    stored = library.SortedLibrary(s, _shared(s, "library"), "rating")
+    stored.build(rows, 1000)
+    middle = rows.count() // 2
+    return library.ranked(stored.page(200, middle), "rating").select("game_id", (F.col("place") + middle).alias("place"))
