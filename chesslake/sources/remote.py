@@ -1,6 +1,7 @@
 """A PGN data source for files and for a remote archive of a user's games.
 
-`spark.read.format("pgn").load(folder)` plans one partition per file and frames games inside the readers;
+`spark.read.format("pgn").load(folder)` plans one partition per file and frames games inside the readers, and `df.write.format("pgn").mode("append")`
+writes a new folder of files that appears whole or not at all;
 `spark.read.format("pgn_remote").option("user", ...)` asks a transport for a user's games with the limits that the options
 give; filters on played_on, color and opponent are pushed into the request. The transport is
 a class name, so that tests and other archives can bring their own; none is built in, as there is no network to use one. It gives a status and bytes
@@ -12,11 +13,13 @@ from __future__ import annotations
 import importlib
 import io
 import os
+import uuid
 from collections.abc import Iterator
-
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.columns import ARCHIVE_START_MS
 from ..kernel import pgn as P
@@ -108,8 +111,81 @@ class _Files(DataSourceReader):
             yield from _rows(partition.name, P.frame_stream(stream.read))
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str | None
+
+
+class _Writer(DataSourceArrowWriter):
+    """Games as PGN files of a folder that appears at once, whole.
+
+    A task writes a file of its own beside the folder to be. When all tasks are done, what failed or repeated tasks left is removed and the folder
+    gets its name; a job that fails leaves nothing. An existing folder is an error, or is replaced with `overwrite`.
+    """
+
+    def __init__(self, path: str, column: int, overwrite: bool):
+        self.path, self.column, self.overwrite = path.rstrip("/"), column, overwrite
+        self.temporary = f"{self.path}._tmp-{uuid.uuid4().hex}"
+        if not overwrite and self._kind(self.path) != fs.FileType.NotFound:
+            raise FileExistsError(path)
+
+    @staticmethod
+    def _at(path: str) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+    def _kind(self, path: str) -> fs.FileType:
+        store, at = self._at(path)
+        return store.get_file_info(at).type
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        store, folder = self._at(self.temporary)
+        name, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pgn", None
+        try:
+            for batch in iterator:
+                for raw in batch.column(self.column).to_pylist():
+                    if raw is None:
+                        continue
+                    if out is None:
+                        store.create_dir(folder, recursive=True)
+                        out = store.open_output_stream(f"{folder}/{name}")
+                    out.write((raw.encode() if isinstance(raw, str) else raw).strip(b" \t\r\n\f") + b"\n\n")
+        finally:
+            if out is not None:
+                out.close()
+        return _Written(name if out is not None else None)
+
+    def commit(self, messages):
+        store, folder = self._at(self.temporary)
+        _, target = self._at(self.path)
+        kept = {m.name for m in messages if m is not None and m.name}
+        store.create_dir(folder, recursive=True)
+        for info in store.get_file_info(fs.FileSelector(folder)):
+            if info.base_name not in kept:
+                store.delete_file(info.path)
+        old = None
+        if self._kind(self.path) != fs.FileType.NotFound:
+            if not self.overwrite:
+                store.delete_dir(folder)
+                raise FileExistsError(self.path)
+            old = f"{target}._old-{uuid.uuid4().hex}"
+            store.move(target, old)
+        store.move(folder, target)
+        if old is not None:
+            store.delete_dir(old)
+
+    def abort(self, messages):
+        store, folder = self._at(self.temporary)
+        if self._kind(self.temporary) != fs.FileType.NotFound:
+            store.delete_dir(folder)
+
+
 class PgnSource(DataSource):
-    """Options: path, or paths separated by commas. Files lie where every executor sees them."""
+    """Options: path, or paths separated by commas. Files lie where every executor sees them.
+
+    Written are the texts of the column `pgn`, else of the first column of bytes or text, a file a partition in the order of its rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -121,6 +197,12 @@ class PgnSource(DataSource):
     def reader(self, schema):
         return _Files([p for p in (self.options.get("paths") or self.options["path"]).split(",")])
 
+    def writer(self, schema, overwrite):
+        texts = [i for i, f in enumerate(schema.fields) if f.name == "pgn"] or [i for i, f in enumerate(schema.fields) if f.dataType.simpleString() in ("binary", "string")]
+        if not texts:
+            raise ValueError("no column of texts to write")
+        return _Writer(self.options["path"], texts[0], overwrite)
+
 
 def _day_ms(day: int, last: bool) -> int:
     """Unix milliseconds of the first or last moment of a day, not before the archive's start."""
