@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..kernel.board import START_FEN
+from ..kernel.board import START_FEN, Board
 from ..operators import doctor, explore, library, store
 from ..operators.query import GameQuery
 from ..sources import pgn, synthetic
 from .registry import _shared, games, oracle, query
 
+START_KEY = bytearray(Board().key())
 _NOISE = {"w": (31, 7, 17, 13, 5), "b": (57, 11, 19, 29, 3)}
 _PRIME = 1_000_003
 
@@ -161,6 +162,24 @@ def pawn_openings(s, d):
     return totals.groupBy("games", "wins", "draws", "losses", "unfinished").agg(F.count(F.lit(1)).alias("positions"))
 
 
+@query("db_openings", _SQL + """SELECT games, wins, draws, losses, unfinished, count(*) AS positions FROM (
+      SELECT name, count(*) AS games, count(*) FILTER (result = 1) AS wins, count(*) FILTER (result = 3) AS draws, count(*) FILTER (result = 2) AS losses, count(*) FILTER (result = 0) AS unfinished
+      FROM v JOIN meta USING (id) JOIN orders ON o_orderkey = id WHERE ply = 4 AND o_orderpriority <> '3-MEDIUM' GROUP BY name) GROUP BY ALL""", plain=True)
+def db_openings(s, d):
+    """The opening tree after a database was built of some sources, one was added, one came back to what it was, and one lost its games."""
+    lines = pgn.with_position_keys(_lines(s, d).withColumn("source_game", F.row_number().over(Window.partitionBy("source").orderBy("game_id"))))
+    stored = lines.select("game_id", "source", "source_game", "pgn", "white", "result", F.size("moves").cast("long").alias("mainline_plies"))
+    visited = lines.select("game_id", "source", F.posexplode("keys").alias("ply", "position_key"))
+    db = store.Database(s, _shared(s, "tree-db"))
+    changed = stored.withColumns({"result": F.when(F.col("source") == "1-URGENT", F.lit(0)).otherwise(F.col("result")), "pgn": F.when(F.col("source") == "1-URGENT", F.concat(F.col("pgn").cast("string"), F.lit(" ")).cast("binary")).otherwise(F.col("pgn"))})
+    db.build(changed.where("source <> '2-HIGH'"), visited.where("source <> '2-HIGH'"))
+    db.update(stored.where("source IN ('1-URGENT', '2-HIGH')"), visited.where("source IN ('1-URGENT', '2-HIGH')"))
+    one = F.lit("3-MEDIUM")
+    gone = s.range(1).select(F.lit(-1).cast("long").alias("game_id"), one.alias("source"), F.lit(1).alias("source_game"), F.lit(bytearray(b"*")).alias("pgn"), F.lit("w").alias("white"), F.lit(0).alias("result"), F.lit(0).cast("long").alias("mainline_plies"))
+    db.update(gone, s.range(1).select(F.lit(-1).cast("long").alias("game_id"), one.alias("source"), F.lit(0).alias("ply"), F.lit(START_KEY).alias("position_key")))
+    return db.openings().groupBy("games", "wins", "draws", "losses", "unfinished").agg(F.count(F.lit(1)).alias("positions"))
+
+
 _KIND = "CASE WHEN id % 7 = 3 THEN 'inconsistent_result' WHEN id % 7 = 5 THEN 'incorrect_move_number' WHEN id % 11 = 4 THEN 'illegal_move' WHEN id % 13 = 6 THEN 'syntax' END"
 
 

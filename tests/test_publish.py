@@ -110,3 +110,29 @@ def test_look_ups_follow_updates(spark, tmp_path):
 def test_pawn_games_differ(spark, sf):
     rows = different_games.pawn_games(spark, sf)
     assert rows.select("pgn").distinct().count() == rows.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_the_opening_tree_follows_updates(spark, tmp_path):
+    """After a build and three updates the tree equals a count over the stored positions, which it does not read."""
+    rng = __import__("random").Random(6)
+
+    def corpus(names, seed):
+        games, positions = [], []
+        for name in names:
+            for k in range(rng.randint(3, 9)):
+                game_id = hash((name, k)) % 10**9
+                games.append((game_id, name, k + 1, bytearray(f"1. e4 {seed} {k} *".encode()), "w", rng.randint(0, 3), 20200101, 50))
+                positions += [(bytes([rng.randint(0, 6)] * 16), game_id, ply, name) for ply in range(0, 45)]
+        return spark.createDataFrame(games, GAMES), spark.createDataFrame(positions, POSITIONS)
+
+    db = Database(spark, str(tmp_path / "db"))
+    db.build(*corpus("abc", 1))
+    for names, seed in (("bd", 2), ("a", 3), ("cde", 4)):
+        db.update(*corpus(names, seed))
+        results = db.games().select("game_id", "result")
+        for scope, (low, high) in (("opening", (4, 4)), ("recurring", (8, 40))):
+            once = db.positions().where(F.col("ply").between(low, high)).select("position_key", "game_id").distinct().join(results, "game_id")
+            want = once.groupBy("position_key").agg(F.count(F.lit(1)), F.count_if(F.col("result") == 1), F.count_if(F.col("result") == 3), F.count_if(F.col("result") == 2), F.count_if(F.col("result") == 0))
+            tree = db.openings(scope)
+            assert {bytes(r[0]): tuple(r)[1:] for r in tree.collect()} == {bytes(r[0]): tuple(r)[1:] for r in want.collect()}
+            assert not any("/positions/" in f for f in tree.inputFiles())
