@@ -1,9 +1,9 @@
 """Operator 1: quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Each text gives a vector of five transformed statistics that vary in ordinary prose: mean word length, punctuation per word, sentence ends
-per word (logarithms), the share of words of up to three characters (root), and the richness of the vocabulary, log(different words) /
-log(words). The first four are shrunken by PSEUDO words of the language's average, so that a vector's spread hardly depends on the
-length of the text. Every pair of language and source, whatever its size, gets its own
+per word, the share of different words in each SEGMENT words in a row (logarithms), and the share of words of up to three characters (root).
+All are shrunken by PSEUDO words of the language's average, so that a vector's spread hardly depends on the
+length of the text; nor does its centre, as segments have one length. Every pair of language and source, whatever its size, gets its own
 minimum-covariance-determinant estimate of their location and scatter:
 
 * C-steps: take the part H of the documents with the smallest distances, (n + 5 + 1) / 2 of them (and those in the
@@ -43,6 +43,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Documents of the language that are added, by weight, to a group's own.
 PRIOR = 200
+#: Words in a row of which different ones are counted; what is left behind the last segment is not.
+SEGMENT = 20
 #: Words of the language's average that are added to a text's own.
 PSEUDO = 100
 #: Standard deviation added to each statistic's own.
@@ -95,7 +97,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("__words", lambda w: F.length(w) <= 3)).cast("long").alias("n_short"),
-        F.size(F.array_distinct("__words")).cast("long").alias("n_different"),
+        F.when(F.size("__words") >= SEGMENT, F.aggregate(F.sequence(F.lit(0), F.floor(F.size("__words") / SEGMENT).cast("int") - 1), F.lit(0).cast("long"), lambda t, i: t + F.size(F.array_distinct(F.slice("__words", i * SEGMENT + 1, F.lit(SEGMENT)))))).otherwise(F.lit(0).cast("long")).alias("n_different"),
         F.when(F.size("__words") > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))).alias("__h"),
     )
     reach = 1
@@ -120,14 +122,15 @@ def base_failed() -> Column:
 
 def with_vectors(rows: DataFrame) -> DataFrame:
     """Adds the statistics x0 to x4."""
-    counted = ("word_chars", "n_marks", "n_ends", "n_short")
-    usual = rows.where("NOT base_failed").groupBy(F.col("lang").alias("__l")).agg(*((F.sum(c) / F.sum("n_words")).alias(f"__u_{c}") for c in counted))
+    n = F.col("n_words")
+    of = {"word_chars": n, "n_marks": n, "n_ends": n, "n_different": n - n % SEGMENT, "n_short": n}
+    usual = rows.where("NOT base_failed").groupBy(F.col("lang").alias("__l")).agg(*((F.sum(c) / F.sum(words)).alias(f"__u_{c}") for c, words in of.items()))
     few = usual.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     joined = rows.join(F.broadcast(usual) if few else usual, F.col("lang").eqNullSafe(F.col("__l")), "left")
-    share = {c: (F.col(c) + PSEUDO * F.col(f"__u_{c}")) / (F.col("n_words") + PSEUDO) for c in counted}
+    share = {c: (F.col(c) + PSEUDO * F.col(f"__u_{c}")) / (words + PSEUDO) for c, words in of.items()}
     # a statistic that no document of the language has is 0 for all
     log = lambda c: F.log(F.greatest(share[c], F.lit(1e-6)))
-    x = (log("word_chars"), log("n_marks"), log("n_ends"), F.sqrt(share["n_short"]), F.try_divide(F.log(F.col("n_different") + 1), F.log(F.col("n_words") + 1)))
+    x = (log("word_chars"), log("n_marks"), log("n_ends"), log("n_different"), F.sqrt(share["n_short"]))
     return joined.select(*rows.columns, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for v, c in zip(x, _X)))
 
 

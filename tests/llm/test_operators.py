@@ -102,13 +102,16 @@ def vectors(rows):
     found = {}
     for k, (lang, source, t, (n, chars, *_)) in base.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
-        found[k] = (n, len(set(words)), np.array([chars, len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(re.findall(r"[.!?\n]+", t)), sum(len(w) <= 3 for w in words)], float))
-    usual = {g: sum(found[k][2] for k, v in base.items() if v[0] == g) / sum(found[k][0] for k, v in base.items() if v[0] == g) for g in {v[0] for v in base.values()}}
+        size = quality_rules.SEGMENT
+        different = sum(len(set(words[i : i + size])) for i in range(0, n - size + 1, size))
+        own = [chars, len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(re.findall(r"[.!?\n]+", t)), different, sum(len(w) <= 3 for w in words)]
+        found[k] = np.array([n, n, n, n - n % size, n], float), np.array(own, float)
+    usual = {g: sum(found[k][1] for k, v in base.items() if v[0] == g) / sum(found[k][0] for k, v in base.items() if v[0] == g) for g in {v[0] for v in base.values()}}
     out = []
     for k, (lang, source, *_) in base.items():
-        n, different, own = found[k]
-        share = (own + quality_rules.PSEUDO * usual[lang]) / (n + quality_rules.PSEUDO)
-        out.append((k, lang, source, (*np.log(np.maximum(share[:3], 1e-6)), share[3] ** 0.5, np.log(different + 1) / np.log(n + 1))))
+        of, own = found[k]
+        share = (own + quality_rules.PSEUDO * usual[lang]) / (of + quality_rules.PSEUDO)
+        out.append((k, lang, source, (*np.log(np.maximum(share[:4], 1e-6)), share[4] ** 0.5)))
     return out
 
 
