@@ -110,16 +110,6 @@ def frame(data: bytes, max_bytes: int = MAX_GAME_BYTES) -> Iterator[Frame]:
     return frame_stream(io.BytesIO(data).read, max_bytes, max(1, len(data)))
 
 
-#: The end of a game by its looks: an outcome, blank lines, and a tag pair at the beginning of a line.
-_BOUNDARY = re.compile(rb"[" + _SPACE + rb"](?:1/2-1/2|1-0|0-1|\*)(?=[ \t\r]*\n\s*\[[A-Za-z0-9_]+[ \t]+\")")
-
-
-def likely_boundary(data: bytes) -> int | None:
-    """Where in some part of a source a game probably ends and another begins, if it shows."""
-    m = _BOUNDARY.search(data)
-    return m and m.end()
-
-
 @dataclass
 class Event:
     kind: str

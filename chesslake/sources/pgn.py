@@ -1,17 +1,19 @@
 """PGN sources and sinks.
 
 Files are listed on the driver and streamed by the tasks, plain or Zstandard, in blocks: a task holds a game and a
-block or two, whatever the file's size. Large plain files are read in byte ranges that begin where a game does. Games are
+block or two, whatever the file's size. Large files are read in ranges that begin where a game does, plain ones cut anywhere, Zstandard ones between frames. Games are
 parsed one by one; a fault in a game is a row's `error`, never an exception. Positions come from
 replaying each game's moves in the same pass, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..kernel import board as B
 from ..kernel import pgn as P
+from ..kernel import structure
 
 FRAMES = "source string, source_game long, byte_offset long, raw binary, error string, first_line long"
-#: Plain files are read in ranges of about so many bytes.
+#: Files are read in ranges of about so many bytes.
 RANGE_BYTES = 64 << 20
 EVENTS = "source string, source_game long, seq int, kind string, start long, `end` long, text binary, number long, dots int, depth int, error string"
 _ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.LongType())])
@@ -84,55 +87,60 @@ def discover(spark: SparkSession, *paths: str) -> list[tuple[str, int]]:
     return found
 
 
-class _Reader:
-    """The decompressed bytes of a file from a place on, in blocks."""
+def _open(uri: str):
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return store.open_input_file(path)
+
 
-    def __init__(self, uri: str, start: int = 0, stop: int | None = None):
-        from pyarrow import fs
+def _zstd(uri: str) -> bool:
+    return uri.lower().endswith(".zst")
 
-        store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-        self.file = store.open_input_file(path)
-        self.file.seek(start)
-        self.left = None if stop is None else stop - start
-        self.inflated = None
-        if uri.lower().endswith(".zst"):
+
+class _Reader:
+    """The text of a file's bytes from `seek` to `until`, decompressed, without its first `skip` bytes and no more than `size`, in blocks."""
+
+    def __init__(self, uri: str, seek: int = 0, until: int | None = None, skip: int = 0, size: int | None = None):
+        self.file = self.text = _open(uri)
+        self.file.seek(seek)
+        self.raw_left, self.left = None if until is None else until - seek, size
+        self.take = self._raw
+        if _zstd(uri):
             import zstandard
 
-            self.inflated = zstandard.ZstdDecompressor().stream_reader(self.file, read_across_frames=True)
+            self.take = zstandard.ZstdDecompressor().stream_reader(_Readable(self._raw), read_across_frames=True).read
+        while skip > 0 and (gone := self.take(min(skip, 1 << 20))):
+            skip -= len(gone)
+
+    def _raw(self, size: int) -> bytes:
+        if self.raw_left is not None:
+            size = min(size, self.raw_left)
+        data = self.file.read(size)
+        if self.raw_left is not None:
+            self.raw_left -= len(data)
+        return data
 
     def read(self, size: int) -> bytes:
-        if self.inflated is not None:
-            return self.inflated.read(size)
         if self.left is not None:
             size = min(size, self.left)
-            self.left -= size
-        return self.file.read(size)
+        data = self.take(size) if size else b""
+        if self.left is not None:
+            self.left -= len(data)
+        return data
 
     def close(self) -> None:
         self.file.close()
 
 
-def _boundary(uri: str, cut: int, length: int) -> int:
-    """The first place from `cut` on where a game probably begins; the file's end if none shows within a game's greatest size."""
-    if cut <= 0 or cut >= length:
-        return min(max(cut, 0), length)
-    reader, data = _Reader(uri, cut, length), b""
-    try:
-        while len(data) <= P.MAX_GAME_BYTES:
-            more = reader.read(1 << 16)
-            data += more
-            at = P.likely_boundary(data)
-            if at is not None:
-                return cut + at
-            if not more:
-                break
-    finally:
-        reader.close()
-    return length
+class _Readable:
+    def __init__(self, read):
+        self.read = read
 
 
-def _framed(uri: str, start: int, stop: int | None) -> Iterator[P.Frame]:
-    reader = _Reader(uri, start, stop)
+def _framed(uri: str, start: int, stop: int | None, seek: int, skip: int) -> Iterator[P.Frame]:
+    """The games of a source between two places of its text; `seek` and `skip` tell where the file has the first."""
+    reader = _Reader(uri, seek, None, skip, None if stop is None else stop - start)
     try:
         for f in P.frame_stream(reader.read):
             f.offset += start
@@ -141,49 +149,105 @@ def _framed(uri: str, start: int, stop: int | None) -> Iterator[P.Frame]:
         reader.close()
 
 
+_PARTS = "position int, source string, slot int, part int, low long, high long, final boolean"
+_SUMMARIES = "position int, source string, slot int, part int, low long, summary string"
+RANGES = "position int, source string, slot int, part int, start long, stop long, seek long, skip long, games_before long, lines_before long"
+
+
+def _parts_of_zstd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of Zstandard files (position, source, length, slot, size): a part has the frames that begin in its `size` bytes."""
+    from .zstd_frames import frames, windowed
+
+    for batch in batches:
+        for position, source, length, slot, size in zip(*(c.to_pylist() for c in batch.columns)):
+            file = _open(source)
+
+            def read(at, n, file=file):
+                file.seek(at)
+                return file.read(n)
+
+            parts: dict[int, list[int]] = {}
+            for low, high in frames(windowed(read), length):
+                parts.setdefault(low // size, [low, high])[1] = high
+            file.close()
+            rows = [(position, source, slot + k, i, low, high, i == len(parts) - 1) for i, (k, (low, high)) in enumerate(parts.items())]
+            if rows:
+                types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["position", "source", "slot", "part", "low", "high", "final"])
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A summary for each part; a file of one part needs none."""
+    for batch in batches:
+        rows = []
+        for position, source, slot, part, low, high, final in zip(*(c.to_pylist() for c in batch.columns)):
+            summary = None
+            if not (part == 0 and final):
+                own, tail = _Reader(source, low, high), None if final else _Reader(source, high)
+                try:
+                    summary = json.dumps(structure.summarise(own.read, tail and tail.read, part == 0))
+                finally:
+                    own.close()
+                    if tail:
+                        tail.close()
+            rows.append((position, source, slot, part, low, summary))
+        if rows:
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["position", "source", "slot", "part", "low", "summary"])
+
+
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ranges of one file from the summaries of its parts."""
+    fold, out = structure.Fold(P.MAX_GAME_BYTES), []
+    for row in rows.sort_values("part").itertuples():
+        begun = fold.add(json.loads(row.summary)) if row.summary else (0, 0, 0, 0)
+        if begun:
+            start, games, lines, base = begun
+            if out:
+                out[-1][5] = start
+            seek, skip = (row.low, start - base) if _zstd(row.source) else (start, 0)
+            out.append([row.position, row.source, row.slot, row.part, start, None, seek, skip, games, lines])
+    told = pd.DataFrame(out, columns=["position", "source", "slot", "part", "start", "stop", "seek", "skip", "games_before", "lines_before"])
+    return told.astype({"stop": "Int64"})
+
+
 def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """position (of the file), source, part, start, stop, games_before and lines_before of the ranges to read.
+    """The ranges of files to read, each in the partition `slot`: position (of the file), source, part, start and stop (of its text), seek and skip
+    (where the file has its start: a byte, and bytes of text after it), games_before and lines_before. No job is run for it.
 
-    Zstandard files and small ones are one range. A range begins where a game probably does; that it does is checked by
-    framing: a range must end in a whole game, else its file is read as one range. Framing counts its games and lines too, so
-    that games are numbered through the file. Only files of several ranges are framed for this.
+    Files of more than `range_bytes` are cut there, Zstandard files between the frames that begin in such ranges of the file. Parts are summarised
+    for every state that they may begin in, and the summaries folded through each file, so that a range begins where a game does, whatever comments look
+    like, and games and lines are numbered as in one pass. A file's summaries, a row a part, meet in one task; texts don't. Small files share a
+    partition up to a like share of all bytes.
     """
-    rows = []
+    share = min(range_bytes, max(1 << 20, sum(n for _, n in files) // spark.sparkContext.defaultParallelism))
+    whole, plain, packed, slot, held = [], [], [], 0, None
     for i, (file, n) in enumerate(files):
-        parts = 1 if file.lower().endswith(".zst") else max(1, -(-n // range_bytes))
-        rows += [(i, file, k, k * range_bytes, n if k == parts - 1 else (k + 1) * range_bytes, n) for k in range(parts)]
-    cuts = spark.createDataFrame(rows, "position int, source string, part int, low long, high long, length long")
-    several = len(rows) > len(files)
-    if not several:
-        return cuts.select("position", "source", "part", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), F.lit(0).cast("long").alias("games_before"), F.lit(0).cast("long").alias("lines_before"))
-
-    def look(batches):
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            out = []
-            for position, source, part, low, high, length in zip(*columns):
-                whole = low == 0 and high == length
-                start, stop = (0, length) if whole else (_boundary(source, low, length), _boundary(source, high, length))
-                games = lines = 0
-                good = True
-                if not whole and start < stop:
-                    for f in _framed(source, start, stop):
-                        games += f.error is None
-                        lines += f.raw.count(b"\n")
-                        good &= f.error is None or stop == length
-                out.append((position, source, part, start, stop, games, lines, good))
-            types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["position", "source", "part", "start", "stop", "games", "lines", "good"])
-
-    looked = cuts.repartition(len(rows)).mapInArrow(look, "position int, source string, part int, start long, stop long, games long, lines long, good boolean")
-    # a row per range: framing is not repeated for it
-    looked = spark.createDataFrame(looked.collect(), looked.schema)
-    own = Window.partitionBy("position")
-    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    checked = looked.withColumns({"fits": F.min("good").over(own), "games_before": F.coalesce(F.sum("games").over(before), F.lit(0)), "lines_before": F.coalesce(F.sum("lines").over(before), F.lit(0))})
-    kept = checked.where("(fits AND start < stop) OR part = 0")
-    none = lambda c: F.when(F.col("fits"), F.col(c)).otherwise(F.lit(0)).cast("long")
-    return kept.select("position", "source", "part", none("start").alias("start"), F.when(F.col("fits"), F.col("stop")).alias("stop"), none("games_before").alias("games_before"), none("lines_before").alias("lines_before"))
+        parts = max(1, -(-n // range_bytes))
+        if parts > 1:
+            (packed if _zstd(file) else plain).append((i, file, n, slot, range_bytes))
+            slot, held = slot + parts, None
+        else:
+            if held is None or held[1] + n > share:
+                held = [slot, 0]
+                slot += 1
+            held[1] += n
+            whole.append((i, file, held[0], 0, 0, None, 0, 0, 0, 0))
+    cut = None
+    if plain:
+        rows = spark.createDataFrame(plain, "position int, source string, length long, slot int, size long")
+        last = F.ceil(F.col("length") / F.col("size")) - 1
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), last.cast("int")))).withColumn("low", F.col("part") * F.col("size"))
+        cut = rows.select("position", "source", (F.col("slot") + F.col("part")).alias("slot"), "part", "low", F.least(F.col("low") + F.col("size"), "length").alias("high"), (F.col("part") == last).alias("final"))
+    if packed:
+        rows = spark.createDataFrame(packed, "position int, source string, length long, slot int, size long")
+        parts = rows.repartition(len(packed)).mapInArrow(_parts_of_zstd, _PARTS)
+        cut = parts if cut is None else cut.unionByName(parts)
+    ranges = spark.createDataFrame(whole, RANGES)
+    if cut is not None:
+        told = cut.repartitionById(slot, "slot").mapInArrow(_summaries, _SUMMARIES)
+        ranges = ranges.unionByName(told.groupBy("position").applyInPandas(_folded, RANGES))
+    return ranges.repartitionById(max(1, slot), "slot")
 
 
 def balanced_parts(games: DataFrame, size: int = 100_000, block: int = 4096) -> DataFrame:
@@ -215,12 +279,10 @@ def read_frames(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES
 
     def cut(batches):
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for source, start, stop, games, lines in zip(*columns):
-                yield from _batches(source, _framed(source, start, stop), games, lines)
+            for source, start, stop, seek, skip, games, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches(source, _framed(source, start, stop, seek, skip), games, lines)
 
-    n = max(1, ranges.count())
-    return ranges.select("source", "start", "stop", "games_before", "lines_before").repartition(n).mapInArrow(cut, FRAMES)
+    return ranges.select("source", "start", "stop", "seek", "skip", "games_before", "lines_before").mapInArrow(cut, FRAMES)
 
 
 def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
@@ -317,9 +379,9 @@ def read_games(spark: SparkSession, *paths: str, fields: tuple[str, ...] | None
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         for batch in batches:
-            for source, start, stop, before in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for source, start, stop, seek, skip, before in zip(*(c.to_pylist() for c in batch.columns)):
                 held = []
-                for f in _framed(source, start, stop):
+                for f in _framed(source, start, stop, seek, skip):
                     held.append(((source, before + f.number, f.offset, f.error), P.count_frame(f, strict) if counts_only else parse(f.raw)))
                     if len(held) == 5000:
                         yield batch_of(held)
@@ -327,8 +389,7 @@ def read_games(spark: SparkSession, *paths: str, fields: tuple[str, ...] | None
                 if held:
                     yield batch_of(held)
 
-    n = max(1, ranges.count())
-    return ranges.select("source", "start", "stop", "games_before").repartition(n).mapInArrow(cut, schema)
+    return ranges.select("source", "start", "stop", "seek", "skip", "games_before").mapInArrow(cut, schema)
 
 
 def game_rows(parsed: DataFrame) -> DataFrame:
