@@ -15,7 +15,8 @@ from ..functions import columns as C
 from ..kernel.board import START_FEN, Board
 from ..operators import doctor, explore, library, store
 from ..operators.query import GameQuery
-from ..sources import pgn, synthetic
+from ..sources import pgn, remote, synthetic
+from ..streaming import folders
 from .registry import _shared, games, oracle, query
 
 START_KEY = bytearray(Board().key())
@@ -105,6 +106,38 @@ def pawn_games_framed(s, d):
     return rows.agg(F.count(F.lit(1)).alias("games"), F.sum("plies").alias("plies"), F.count_if(F.col("outcome") == 1).alias("white_wins"), F.count_if(F.col("outcome") == 2).alias("black_wins"))
 
 
+_COUNTED = "count(*) AS games, CAST(sum(plies) AS BIGINT) AS plies, count(*) FILTER (style = 1) AS commented"
+
+
+@query("pawn_games_zstd", _SQL + f"SELECT source, {_COUNTED}, true AS numbered FROM meta JOIN (SELECT o_orderkey AS id, o_orderpriority AS source FROM orders) USING (id) GROUP BY source", plain=True)
+def pawn_games_zstd(s, d):
+    """The games written as Zstandard files of many frames and read back by frames: what is in them, and that games are numbered through each file."""
+    remote.register(s)
+    path = _shared(s, "pawns")
+    rows = pawn_games(s, d).withColumn("pgn", F.concat(F.lit('[Origin "'), F.col("source"), F.lit('"]\n'), F.col("pgn").cast("string")))
+    rows.repartitionByRange("id").sortWithinPartitions("id").select("pgn").write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1 << 16).save(path)
+    read = pgn.parse_games(pgn.read_frames(s, path, range_bytes=1 << 17), fields=("tags", "plies", "error", "counts")).where("frame_error IS NULL AND error IS NULL")
+    told = read.select(F.col("tags")["Origin"].alias("origin"), "plies", F.try_element_at("counts", F.lit("comment_brace")).isNotNull().alias("commented"), "source", "source_game", "byte_offset")
+    # numbers of a file's games are gapless and rise with their places: a sum over games of number times 1 equals that of 0 to n - 1, block by block
+    block = told.groupBy("source", F.floor(F.col("source_game") / 1024).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_game").alias("different"), F.min("source_game").alias("low"), F.max("source_game").alias("high"), F.min("byte_offset").alias("begin"), F.max("byte_offset").alias("end"))
+    after = Window.partitionBy("source").orderBy("block")
+    gapless = (F.col("n") == F.col("different")) & (F.col("high") - F.col("low") + 1 == F.col("n")) & (F.col("low") == F.coalesce(F.lag("high").over(after), F.lit(-1)) + 1) & (F.col("begin") > F.coalesce(F.lag("end").over(after), F.lit(-1)))
+    numbered = block.select(gapless.alias("good")).agg(F.min("good").alias("numbered"))
+    return told.groupBy(F.col("origin").alias("source")).agg(F.count(F.lit(1)).alias("games"), F.sum("plies").alias("plies"), F.count_if("commented").alias("commented")).crossJoin(F.broadcast(numbered))
+
+
+@query("pawn_games_arriving", _SQL + "SELECT CAST(id % 3 AS BIGINT) AS arrival, count(*) AS games, CAST(sum(plies) AS BIGINT) AS plies FROM meta GROUP BY 1", plain=True)
+def pawn_games_arriving(s, d):
+    """Three folders of games that arrive one after the other, read by a stream that is stopped and started between them: each game once."""
+    remote.register(s)
+    folder, table, checkpoint = _shared(s, "arrivals"), _shared(s, "table"), _shared(s, "checkpoint")
+    for k in range(3):
+        pawn_games(s, d).where(F.col("id") % 3 == k).select("pgn").write.format("pgn").mode("append").save(f"{folder}/{k}")
+        folders.collect_games(s, folder, table, checkpoint).awaitTermination()
+    rows = pgn.parse_games(folders.collected(s, table), fields=("plies", "error")).where("frame_error IS NULL AND error IS NULL")
+    return rows.groupBy(F.col("batch").alias("arrival")).agg(F.count(F.lit(1)).alias("games"), F.sum("plies").alias("plies"))
+
+
 @query("pawn_positions", _SQL + "SELECT CAST(ply AS INTEGER) AS ply, count(*) AS visits, count(DISTINCT name) AS positions FROM v GROUP BY ply", plain=True)
 def pawn_positions(s, d):
     """Visits and different positions of every ply: two orders of the same moves are one position."""

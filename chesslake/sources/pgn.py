@@ -275,7 +275,12 @@ def read_frames(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES
     A game is a row; the last row of a source has `error` if its text does not end with an outcome. Places are those in the
     decompressed text, `first_line` counts the line ends before the game.
     """
-    ranges = plan_ranges(spark, discover(spark, *paths), range_bytes)
+    return frames_of_files(spark, discover(spark, *paths), range_bytes)
+
+
+def frames_of_files(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As `read_frames`, for files that are listed with their sizes."""
+    ranges = plan_ranges(spark, files, range_bytes)
 
     def cut(batches):
         for batch in batches:

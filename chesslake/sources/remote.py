@@ -121,10 +121,11 @@ class _Writer(DataSourceArrowWriter):
 
     A task writes a file of its own beside the folder to be. When all tasks are done, what failed or repeated tasks left is removed and the folder
     gets its name; a job that fails leaves nothing. An existing folder is an error, or is replaced with `overwrite`.
+    With `frame_bytes` files are Zstandard, of independent frames of about so many bytes of text, each ending with a game, so that readers share a file.
     """
 
-    def __init__(self, path: str, column: int, overwrite: bool):
-        self.path, self.column, self.overwrite = path.rstrip("/"), column, overwrite
+    def __init__(self, path: str, column: int, overwrite: bool, frame_bytes: int | None = None):
+        self.path, self.column, self.overwrite, self.frame_bytes = path.rstrip("/"), column, overwrite, frame_bytes
         self.temporary = f"{self.path}._tmp-{uuid.uuid4().hex}"
         if not overwrite and self._kind(self.path) != fs.FileType.NotFound:
             raise FileExistsError(path)
@@ -141,7 +142,16 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         store, folder = self._at(self.temporary)
-        name, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pgn", None
+        name, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pgn{'.zst' if self.frame_bytes else ''}", None
+        held = bytearray()
+
+        def frame():
+            if held:
+                import zstandard
+
+                out.write(zstandard.ZstdCompressor(write_checksum=True).compress(bytes(held)))
+                held.clear()
+
         try:
             for batch in iterator:
                 for raw in batch.column(self.column).to_pylist():
@@ -149,8 +159,15 @@ class _Writer(DataSourceArrowWriter):
                         continue
                     if out is None:
                         store.create_dir(folder, recursive=True)
-                        out = store.open_output_stream(f"{folder}/{name}")
-                    out.write((raw.encode() if isinstance(raw, str) else raw).strip(b" \t\r\n\f") + b"\n\n")
+                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    text = (raw.encode() if isinstance(raw, str) else raw).strip(b" \t\r\n\f") + b"\n\n"
+                    if not self.frame_bytes:
+                        out.write(text)
+                        continue
+                    held += text
+                    if len(held) >= self.frame_bytes:
+                        frame()
+            frame()
         finally:
             if out is not None:
                 out.close()
@@ -184,7 +201,8 @@ class _Writer(DataSourceArrowWriter):
 class PgnSource(DataSource):
     """Options: path, or paths separated by commas. Files lie where every executor sees them.
 
-    Written are the texts of the column `pgn`, else of the first column of bytes or text, a file a partition in the order of its rows.
+    Written are the texts of the column `pgn`, else of the first column of bytes or text, a file a partition in the order of its rows; with the option
+    `compression` zstd in Zstandard frames of about `frameBytes` (4 MiB) of text.
     """
 
     @classmethod
@@ -201,7 +219,10 @@ class PgnSource(DataSource):
         texts = [i for i, f in enumerate(schema.fields) if f.name == "pgn"] or [i for i, f in enumerate(schema.fields) if f.dataType.simpleString() in ("binary", "string")]
         if not texts:
             raise ValueError("no column of texts to write")
-        return _Writer(self.options["path"], texts[0], overwrite)
+        compression = self.options.get("compression", "none").lower()
+        if compression not in ("none", "zstd"):
+            raise ValueError(f"unknown compression {compression}")
+        return _Writer(self.options["path"], texts[0], overwrite, max(1, int(self.options.get("frameBytes", 4 << 20))) if compression == "zstd" else None)
 
 
 def _day_ms(day: int, last: bool) -> int:

@@ -132,3 +132,46 @@ def test_small_files_share_tasks(spark, tmp_path):
     plan = pgn.plan_ranges(spark, pgn.discover(spark, str(tmp_path)))
     assert plan.count() == 30 and plan.select("slot").distinct().count() == 1
     assert pgn.read_frames(spark, str(tmp_path)).groupBy("source").count().where("count = 2").count() == 30
+
+
+def test_files_are_written_in_frames(spark, tmp_path):
+    from chesslake.sources import remote
+
+    remote.register(spark)
+    rows = spark.range(0, 500, 1, 1).select(F.format_string('[Site "%d"]\n\n1. e4 *', "id").alias("pgn"))
+    rows.write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1000).save(str(tmp_path / "out"))
+    (name,) = [p for p in (tmp_path / "out").iterdir()]
+    data = name.read_bytes()
+    found = list(zstd_frames.frames(lambda a, n: data[a : a + n], len(data)))
+    texts = [zstandard.ZstdDecompressor().decompress(data[a:b]) for a, b in found]
+    assert name.name.endswith(".pgn.zst") and len(texts) > 10 and all(t.endswith(b" *\n\n") and len(t) < 1100 for t in texts)
+    sites = pgn.read_frames(spark, str(tmp_path / "out"), range_bytes=200).select("source_game", F.regexp_extract(F.col("raw").cast("string"), "Site .([0-9]+)", 1).cast("int").alias("s"))
+    assert sites.where("source_game = s").count() == 500
+    with pytest.raises(Exception, match="unknown compression"):
+        rows.write.format("pgn").mode("append").option("compression", "lz4").save(str(tmp_path / "other"))
+
+
+def test_files_that_arrive_are_read_once(spark, tmp_path):
+    """Between two runs of a stream files arrive; a restart, a batch given again and files that were there before change nothing."""
+    from chesslake.streaming import folders
+
+    inbox, table, log = (str(tmp_path / n) for n in ("inbox", "table", "log"))
+    (tmp_path / "inbox" / "deep").mkdir(parents=True)
+    run = lambda **k: folders.collect_games(spark, inbox, table, log, **k).awaitTermination()
+    (tmp_path / "inbox" / "a.pgn").write_bytes(_games(5))
+    (tmp_path / "inbox" / "notes.txt").write_bytes(_games(5))
+    run()
+    run()
+    (tmp_path / "inbox" / "deep" / "b.pgn.zst").write_bytes(zstandard.compress(_games(7)))
+    (tmp_path / "inbox" / "c.pgn").write_bytes(_games(40))
+    run(range_bytes=200)
+    counts = {(r["batch"], r["source"].rsplit("/", 1)[1]): r["count"] for r in folders.collected(spark, table).groupBy("batch", "source").count().collect()}
+    assert counts == {(0, "a.pgn"): 5, (1, "b.pgn.zst"): 7, (1, "c.pgn"): 40}
+    (tmp_path / "log" / "commits" / "1").unlink()  # as if the driver had died after writing
+    (tmp_path / "log" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert folders.collected(spark, table).count() == 52
+    for name in "de":
+        (tmp_path / "inbox" / f"{name}.pgn").write_bytes(_games(3))
+    run(files_per_batch=1)
+    assert folders.collected(spark, table).where("batch >= 2").groupBy("batch").count().where("count = 3").count() == 2
