@@ -115,8 +115,8 @@ def pawn_games_zstd(s, d):
     remote.register(s)
     path = _shared(s, "pawns")
     rows = pawn_games(s, d).withColumn("pgn", F.concat(F.lit('[Origin "'), F.col("source"), F.lit('"]\n'), F.col("pgn").cast("string")))
-    rows.repartitionByRange("id").sortWithinPartitions("id").select("pgn").write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1 << 16).save(path)
-    read = pgn.parse_games(pgn.read_frames(s, path, range_bytes=1 << 17), fields=("tags", "plies", "error", "counts")).where("frame_error IS NULL AND error IS NULL")
+    rows.repartitionByRange(s.sparkContext.defaultParallelism, "id").sortWithinPartitions("id").select("pgn").write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1 << 16).save(path)
+    read = pgn.parse_games(pgn.read_frames(s, path, range_bytes=1 << 15), fields=("tags", "plies", "error", "counts")).where("frame_error IS NULL AND error IS NULL")
     told = read.select(F.col("tags")["Origin"].alias("origin"), "plies", F.try_element_at("counts", F.lit("comment_brace")).isNotNull().alias("commented"), "source", "source_game", "byte_offset")
     # numbers of a file's games are gapless and rise with their places: a sum over games of number times 1 equals that of 0 to n - 1, block by block
     block = told.groupBy("source", F.floor(F.col("source_game") / 1024).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_game").alias("different"), F.min("source_game").alias("low"), F.max("source_game").alias("high"), F.min("byte_offset").alias("begin"), F.max("byte_offset").alias("end"))

@@ -129,6 +129,8 @@ class _Writer(DataSourceArrowWriter):
         self.temporary = f"{self.path}._tmp-{uuid.uuid4().hex}"
         if not overwrite and self._kind(self.path) != fs.FileType.NotFound:
             raise FileExistsError(path)
+        store, folder = self._at(self.temporary)
+        store.create_dir(folder, recursive=True)  # tasks don't make it: one that still runs when the job was given up must not bring it back
 
     @staticmethod
     def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -158,7 +160,6 @@ class _Writer(DataSourceArrowWriter):
                     if raw is None:
                         continue
                     if out is None:
-                        store.create_dir(folder, recursive=True)
                         out = store.open_output_stream(f"{folder}/{name}", compression=None)
                     text = (raw.encode() if isinstance(raw, str) else raw).strip(b" \t\r\n\f") + b"\n\n"
                     if not self.frame_bytes:
@@ -177,7 +178,6 @@ class _Writer(DataSourceArrowWriter):
         store, folder = self._at(self.temporary)
         _, target = self._at(self.path)
         kept = {m.name for m in messages if m is not None and m.name}
-        store.create_dir(folder, recursive=True)
         for info in store.get_file_info(fs.FileSelector(folder)):
             if info.base_name not in kept:
                 store.delete_file(info.path)
