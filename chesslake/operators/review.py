@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..kernel import board as B
 from ..kernel import pgn as P
-from ..kernel.batch import Replay
+from ..kernel.batch import Coordinates, Replay
 from .evidence import assess, attempt_verdict
 
 MOST_BYTES, MOST_PLIES, MOST_NAME, MOST_PV, MOST_LINE, MOST_ATTEMPTS = 256 * 1024, 1024, 256, 32, 6, 100
@@ -183,26 +183,48 @@ def _named(fen: str | None, moves: list[str] | None, need_move: bool, most: int
     return {"pv_san": sans, "fens": fens}
 
 
+def _named_together(fens: list, lines: list, need_move: bool, most: int | None = None) -> list[dict]:
+    """What `_named` gives for the lines of a batch, played side by side; what they share is worked out once."""
+    # an empty text is no position, while none at all is the start; the batch's own name for that is the empty text
+    run = Coordinates.of([("-" if fen == "" else fen or "", [m or "" for m in (own or [])[:most]]) for fen, own in zip(fens, lines)])
+    sans, told = run.lines()
+    movable: dict[int, bool] = {}
+    out = []
+    for i, own in enumerate(lines):
+        at = int(run.start[i])
+        board = run.boards[at]
+        if board is None:
+            out.append(_named(fens[i], None, False))
+            continue
+        if need_move and not own:
+            if at not in movable:
+                movable[at] = bool(board.legal_moves())
+            if movable[at]:
+                out.append({"error": "missing move in nonterminal position"})
+                continue
+        out.append({"error": "illegal variation"} if run.error[i] else {"pv_san": sans[i], "fens": told[i]})
+    return out
+
+
 def legal_variations(rows: DataFrame, fen: str = "fen", pv: str = "pv") -> DataFrame:
     """Adds pv_san, the notation of a variation's moves, or error: a move that is not legal, or none where there is one."""
-    return _each(rows, [fen, pv], lambda f, m: _named(f, m, True), "pv_san array<string>, error string")
+    return _each(rows, [fen, pv], lambda f, m: _named_together(f, m, True), "pv_san array<string>, error string", together=True)
 
 
 def replay_lines(rows: DataFrame, fen: str = "fen", moves: str = "moves") -> DataFrame:
     """Adds fens, the position and those after at most six moves of a line, or error."""
-    return _each(rows, [fen, moves], lambda f, m: _named(f, m, False, MOST_LINE), "fens array<string>, error string")
+    return _each(rows, [fen, moves], lambda f, m: _named_together(f, m, False, MOST_LINE), "fens array<string>, error string", together=True)
 
 
 def playable(rows: DataFrame, fen: str = "fen", uci: str = "uci", history: str | None = None) -> DataFrame:
     """Adds fen_after of a move in coordinates, null where it is not legal, or after MOST_PLIES plies of history."""
 
-    def play(f, text, plies):
-        got = _named(f, [text or ""], False)
-        return {"fen_after": got["fens"][-1] if "fens" in got and (plies or 0) < MOST_PLIES else None}
+    def play(fens, texts, *plies):
+        got = _named_together(fens, [[t or ""] for t in texts], False)
+        told = plies[0] if plies else [0] * len(got)
+        return [{"fen_after": g["fens"][-1] if "fens" in g and (n or 0) < MOST_PLIES else None} for g, n in zip(got, told)]
 
-    if history is None:
-        return _each(rows, [fen, uci, uci], lambda f, t, _: play(f, t, 0), "fen_after string")
-    return _each(rows, [fen, uci, history], play, "fen_after string")
+    return _each(rows, [fen, uci, *([] if history is None else [history])], play, "fen_after string", together=True)
 
 
 def verify_attempts(attempts: DataFrame, exercises: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Reviews, collections and reports on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chesslake.functions import columns as C
+from chesslake.kernel import board as B
 from chesslake.operators import doctor, reports, review
 from chesslake.sources import pgn, remote
 from chesslake.streaming import collection
@@ -193,3 +195,38 @@ def test_reports_of_statistics(spark):
 def test_synthetic_source(spark):
     rows = pgn.repeated_game(spark, GAME.encode(), 10_000)
     assert rows.count() * len(GAME) >= 10_000 and pgn.parse_games(rows, fields=("plies",)).agg(F.min("plies"), F.max("plies")).first() == (4, 4)
+
+
+def test_lines_in_coordinates_equal_the_board():
+    """Side by side, lines of all kinds of moves, impossible ones too, are told as one board tells them."""
+    rng = random.Random(5)
+    fens = [None, "", "x", "r3k2r/p1ppqpb1/bn2pnp1/3PN2/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", "n1n5/PPPk4/8/8/8/8/4Kppp/5N1N b - - 0 1", "7k/5Q2/6K1/8/8/8/8/8 b - - 0 1", "rnbqkbnr/ppp1p1pp/8/3pPp2/8/8/PPPP1PPP/RNBQKBNR w KQkq f6 0 3"]
+    lines = []
+    for _ in range(150):
+        fen = rng.choice(fens)
+        moves = []
+        try:
+            board = B.Board(fen)
+        except B.FenError:
+            board = B.Board()
+        for _ in range(rng.randrange(12)):
+            legal = board.legal_moves()
+            if not legal:
+                break
+            move = rng.choice(legal)
+            moves.append(B.uci(move))
+            board.apply(*move)
+        if rng.random() < 0.4:
+            moves.insert(rng.randrange(len(moves) + 1), rng.choice(["e1g1", "e8c8", "e1c1", "a7a8", "b7b8k", "e2e4q", "E2E4", "", None, "e5f6", "z9a1", "e1h1"]))
+        lines.append((fen, moves if moves or rng.random() < 0.5 else None))
+    # every legal move from these positions too, and many that are not
+    squares = [f + r for f in "abcdefgh" for r in "12345678"]
+    lines += [(fen, [m]) for fen in fens[4:] for m in {B.uci(m) for m in B.Board(fen).legal_moves()} | {rng.choice(squares) + rng.choice(squares) + rng.choice(("", "", "q")) for _ in range(200)}]
+    sizes = {f: {B.uci(m): m for m in B.Board(f).legal_moves()} for f in fens[4:]}
+    for need, most in ((True, None), (False, 6)):
+        got = review._named_together([f for f, _ in lines], [m for _, m in lines], need, most)
+        for n, ((fen, moves), told) in enumerate(zip(lines, got)):
+            if n < 150 or moves[0] in sizes[fen]:
+                assert told == review._named(fen, moves, need, most), (fen, moves)
+            else:
+                assert told == {"error": "illegal variation"}, (fen, moves)
