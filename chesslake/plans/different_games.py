@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..adapters import number_rows, spread
+from ..adapters import number_rows, orders, spread
 from ..functions import columns as C
 from ..kernel.board import START_FEN, Board
 from ..operators import doctor, explore, library, store
@@ -254,8 +254,7 @@ def pawn_faults(s, d):
 @query("random_games_sound", "SELECT count(*) AS games, count(*) AS sound, count(*) AS counts_told, count(*) AS keys_told, count(*) AS different, true AS rare_moves FROM (SELECT o_orderkey FROM orders)", plain=True)
 def random_games_sound(s, d):
     """Random games of up to 40 plies: every one is legal, its parts are counted as they were made, it visits a position more than it has plies, and no two are the same."""
-    ids = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
-    made = synthetic.random_games(ids, 40)
+    made = _staged(s, synthetic.random_games(orders(s, d).select("o_orderkey"), 40), "random")
     rows = pgn.parse_games(made.withColumnRenamed("plies", "made"), "pgn", fields=("moves", "counts", "error"))
     none = F.lit(None).cast("string")
     n = lambda kind: F.coalesce(F.try_element_at("counts", F.lit(kind)), F.lit(0).cast("long"))

@@ -20,7 +20,7 @@ GAMES = "game_id long, plies int, comments int, variations int, promotions int,
 #: Draws of a move before a game is given up.
 _DRAWS = 60
 #: Games that are played side by side.
-_TOGETHER = 2000
+_TOGETHER = 10_000
 _LETTERS = ("", "N", "B", "R", "Q", "K")
 
 

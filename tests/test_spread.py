@@ -26,3 +26,16 @@ def test_one_part_of_a_file_is_shared_by_the_cores(spark, sf):
     assert spark.read.parquet(f"{sf}/orders.parquet").rdd.getNumPartitions() == 1
     for rows in (different_games.pawn_games(spark, sf), different_games.pawn_games(spark, sf, True), adapters.raw_games(spark, sf), adapters.raw_games(spark, sf, True)):
         assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_random_games_are_made_once_by_all_cores(spark, sf, monkeypatch):
+    given, make = [], different_games.synthetic.random_games
+
+    def told(ids, *more):
+        given.append(ids.select(F.spark_partition_id().alias("p")).distinct().count())
+        return make(ids, *more)
+
+    monkeypatch.setattr(different_games.synthetic, "random_games", told)
+    rows = different_games.random_games_sound(spark, sf)
+    assert len(given) == 1 and given[0] >= 4
+    assert "game_id#" in rows._jdf.queryExecution().toString() and "random-" in "".join(rows.inputFiles())
