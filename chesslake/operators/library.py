@@ -30,6 +30,8 @@ def page(games: DataFrame, by: str = "date", descending: bool = True, limit: int
 
 #: Games in a range of a library stored in an order, about.
 RANGE_GAMES = 50_000
+#: The most folders of a stored library; the driver draws their bounds from so many keys for each. Above, a folder holds several ranges.
+MOST_FOLDERS = 256
 
 
 class SortedLibrary:
@@ -44,25 +46,30 @@ class SortedLibrary:
     def build(self, games: DataFrame, range_games: int = RANGE_GAMES) -> None:
         """Write the games in order; an existing library is an error."""
         keys = order(self.by, self.descending)
-        ranges = max(1, -(-games.count() // range_games))
-        ordered = games.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id())
+        folders = min(max(1, -(-games.count() // range_games)), MOST_FOLDERS)
+        at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's place in its sorted part
+        ordered = games.repartitionByRange(folders, *keys).sortWithinPartitions(*keys).withColumns({"part": F.floor(at / range_games), "range": F.spark_partition_id()})
         ordered.write.mode("errorifexists").partitionBy("range").parquet(f"{self.path}/games")
-        counts = self.spark.read.parquet(f"{self.path}/games").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-        counts.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).coalesce(1).write.parquet(f"{self.path}/ranges")
+        counts = self.spark.read.parquet(f"{self.path}/games").groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        counts.select("range", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).coalesce(1).write.parquet(f"{self.path}/ranges")
 
-    def ranges_of(self, limit: int, offset: int) -> list[tuple[int, int]]:
-        """(range, place of its first game) of the ranges that hold some of the places offset to offset + limit - 1."""
+    def ranges_of(self, limit: int, offset: int) -> list[tuple[int, int, int]]:
+        """(folder, range in it, place of its first game) of the ranges that hold some of the places offset to offset + limit - 1."""
         own = self.spark.read.parquet(f"{self.path}/ranges").where((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset))
-        return sorted((r["range"], r["first"]) for r in own.collect())  # a page lies in a few
+        return sorted((r["range"], r["part"], r["first"]) for r in own.collect())  # a page lies in a few
 
     def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
         """The games of a page, as `page` gives them for the whole library; what is skipped within its first range is less than a range."""
         limit, offset = min(max(limit, 1), MOST_PER_PAGE), max(0, offset)
         held = self.ranges_of(limit, offset)
         games = self.spark.read.parquet(f"{self.path}/games")
-        own = games.where(F.col("range").isin([r for r, _ in held])).drop("range")
-        return own.orderBy(*order(self.by, self.descending)).offset(offset - held[0][1] if held else 0).limit(limit)
+        chosen = F.lit(False)
+        for folder in sorted({r for r, _, _ in held}):
+            parts = [p for r, p, _ in held if r == folder]
+            chosen |= (F.col("range") == folder) & F.col("part").between(min(parts), max(parts))
+        own = games.where(chosen).drop("range", "part")
+        return own.orderBy(*order(self.by, self.descending)).offset(offset - held[0][2] if held else 0).limit(limit)
 
 
 def ranked(rows: DataFrame, by: str, descending: bool = True) -> DataFrame:

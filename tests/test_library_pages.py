@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from chesslake.operators import library
 from chesslake.operators.library import SortedLibrary, page
 
 
@@ -26,3 +27,17 @@ def test_pages_are_those_of_the_whole_sort(spark, tmp_path, by, descending):
     assert "PartitionFilters: [isnotnull(range" in plan or "PartitionFilters: [range" in plan
     with pytest.raises(Exception):
         stored.build(games)
+
+
+def test_folders_are_bounded_and_hold_several_ranges(spark, tmp_path, monkeypatch):
+    """Ranges keep their size when there are more of them than folders; pages are those of one sort."""
+    monkeypatch.setattr(library, "MOST_FOLDERS", 3)
+    none = F.lit(None).cast("int")
+    games = spark.range(1000).select(F.col("id").alias("game_id"), F.when(F.col("id") % 9 > 0, (F.col("id") % 13).cast("int")).alias("played_on"), none.alias("white_elo"), none.alias("black_elo"))
+    stored = library.SortedLibrary(spark, str(tmp_path / "lib"), "date")
+    stored.build(games, 20)
+    ranges = spark.read.parquet(str(tmp_path / "lib" / "ranges"))
+    assert ranges.select("range").distinct().count() <= 3 and ranges.agg(F.max("n")).first()[0] <= 20 and ranges.count() >= 50
+    whole = [r["game_id"] for r in games.orderBy(*library.order("date", True)).collect()]
+    for offset in (0, 15, 333, 507, 990, 1000):
+        assert [r["game_id"] for r in stored.page(35, offset).collect()] == whole[offset : offset + 35]
