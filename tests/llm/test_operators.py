@@ -835,6 +835,34 @@ def test_toxicity_edge_cases(spark, hostile, nothing):
     assert toxicity.score(nothing, None).count() == 0 and toxicity.fit(nothing, labels) is None
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # more rows of either label than any bounded sample took; every text is one word of its own
+    rows = spark.range(16_000).selectExpr("id AS doc_id", "concat('word', id) AS text", "CAST(id % 2 AS INT) AS toxic")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.selectExpr("doc_id", "1 AS quality", "toxic"))
+    taught = [r["text"].encode() for r in rows.where(~toxicity.held_out()).where("pmod(xxhash64(doc_id, 'toxicity'), 5) > 0").collect()]
+    assert len(taught) > 2 * toxicity.SHARD_ROWS
+    whole = toxicity.features(taught)[0][:, 0]
+    assert (np.abs(model.e[whole]).sum(axis=1) > 0).all()
+
+
+def test_toxicity_model_does_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    one = toxicity.fit(docs, labels)
+    other = toxicity.fit(docs.repartition(7), labels.repartition(5))
+    assert all((a == b).all() for a, b in zip([one.e, one.thresholds, *one.dense()], [other.e, other.thresholds, *other.dense()]))
+
+
+def test_toxicity_thresholds_from_counts():
+    model = toxicity.Model()
+    # in one language: clean at -2 and 1, toxic at 3 and, one of many, at -3
+    language, cell = np.array([1, 1, 1, 1]), np.array([-2, 1, 3, -3]) * toxicity.CELLS
+    toxicity.set_thresholds(model, language, cell, np.array([500, 500, 0, 0]), np.array([0, 0, 999, 1]))
+    everyone = 1000 * 2 / (1000 + toxicity.PRIOR)
+    assert np.isclose(model.thresholds[0], everyone) and np.isclose(model.thresholds[1], (1000 * 2 + toxicity.PRIOR * everyone) / (1000 + toxicity.PRIOR))
+
+
 # 10 near-dedup
 
 
