@@ -124,14 +124,19 @@ def doctor_reports(diagnostics: DataFrame, most: int = 100, mode: str = "semanti
         F.get(F.array(*map(F.lit, STATUS)), worst).alias("status"), F.lit(mode).alias("mode"), F.count_if(F.col("game").isNotNull() & ~bad).alias("games"), F.coalesce(F.sum("moves"), F.lit(0)).alias("moves"),
         F.least(F.count_if(bad), F.lit(most)).alias("diagnostic_count"), (F.count_if(bad) > most).alias("error_limit_reached"),
     )
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.coalesce("game", F.lit(0))))
-    first = diagnostics.where(bad).withColumn("k", place).where(F.col("k") <= most)
-    fault = F.struct("game", "ply", "category", "byte", "line", "column", "message", "context", "excerpt", F.to_json("headers").alias("headers"))
-    listed = first.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", fault.alias("d")))), lambda x: x["d"]).alias("diagnostics"))
+    listed = first_diagnostics(diagnostics, most)
     empty = F.array().cast(listed.schema["diagnostics"].dataType)
     return totals.join(listed, "source", "left").withColumn("diagnostics", F.coalesce("diagnostics", empty))
 
 
+def first_diagnostics(diagnostics: DataFrame, most: int = 100) -> DataFrame:
+    """source and its first `most` diagnostics in order, of sources with any: all that annotations need, in one pass over the games."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.coalesce("game", F.lit(0))))
+    first = diagnostics.where("category IS NOT NULL").withColumn("k", place).where(F.col("k") <= most)
+    fault = F.struct("game", "ply", "category", "byte", "line", "column", "message", "context", "excerpt", F.to_json("headers").alias("headers"))
+    return first.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", fault.alias("d")))), lambda x: x["d"]).alias("diagnostics"))
+
+
 def _place(d: Column) -> Column:
     return F.concat_ws(", ", F.concat(F.lit("game "), d["game"].cast("string")), F.concat(F.lit("ply "), d["ply"].cast("string")))
 
