@@ -77,7 +77,26 @@ def visits(positions: DataFrame, games: DataFrame, low: int, high: int, player:
 
 def common_positions(visited: DataFrame, repeated_only: bool = False, top: int | None = TOP_POSITIONS) -> DataFrame:
     """The positions that most games reach, with results; all of them without `top`."""
-    totals = visited.groupBy("position_key").agg(F.count(F.lit(1)).alias("games"), *_tally(F.col("outcome")))
+    return chosen_positions(visited.groupBy("position_key").agg(F.count(F.lit(1)).alias("games"), *_tally(F.col("outcome"))), repeated_only, top)
+
+
+def line_results(games: DataFrame, player: str | None = None) -> DataFrame:
+    """Every different line (fen, variant, moves) of the games, with how many of a player's games, or of all, play it and their results."""
+    own = F.lit(True) if player is None else _is_white(player) | _is_black(player)
+    outcome = F.when(own, _outcome(player))
+    return games.groupBy("fen", "variant", "moves").agg(F.count_if(own).alias("games"), *_tally(outcome))
+
+
+def position_results(lines: DataFrame, low: int, high: int) -> DataFrame:
+    """As the totals of `visits` by position, from `line_results` with keys: a game counts once however often it has a position within the range."""
+    totals = [c for c in lines.columns if c in ("games", "wins", "draws", "losses", "unfinished")]
+    own = F.array_distinct(F.slice("keys", low + 1, high - low + 1))
+    rows = lines.where("games > 0").select(*totals, F.explode(own).alias("position_key"))
+    return rows.groupBy("position_key").agg(*(F.sum(c).alias(c) for c in totals))
+
+
+def chosen_positions(totals: DataFrame, repeated_only: bool = False, top: int | None = TOP_POSITIONS) -> DataFrame:
+    """Of positions with results those that most games reach; all of them without `top`."""
     chosen = totals.where("games > 1") if repeated_only else totals
     return chosen if top is None else chosen.orderBy(F.desc("games"), "position_key").limit(top)
 

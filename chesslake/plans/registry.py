@@ -207,25 +207,32 @@ def _staged(s, rows: DataFrame, name: str) -> DataFrame:
     return s.read.parquet(path)
 
 
-def _visits_and_names(s, d) -> tuple[DataFrame, DataFrame]:
-    """Game columns, ply and position_key of every visit; and of every position its name: the least line, shortest first, that reaches it.
-
-    Games are parsed once; names come from each different line once. Who counts visits joins names to the counts, not to the visits.
-    """
+def _played(s, d) -> DataFrame:
+    """What Explore needs of the games, parsed from their texts."""
     games_ = pgn.parse_games(with_pgn(raw_games(s, d)).select("game_id", "pgn"), "pgn", fields=("tags", "moves", "outcome"))
     tag = lambda name: F.try_element_at("tags", F.lit(name))
     date = C.effective_date(tag("Date"), tag("UTCDate"))
-    games_ = games_.select(
+    return games_.select(
         "game_id", C.ascii_fold(tag("White")).alias("white_key"), C.ascii_fold(tag("Black")).alias("black_key"), C.parse_date(date).alias("played_on"), F.coalesce("outcome", F.lit(0)).alias("result"),
         tag("FEN").alias("fen"), tag("Variant").alias("variant"), "moves",
     )
-    games_ = _staged(s, pgn.with_position_keys(games_), "visits")
-    steps = lambda rows, *keep: rows.select(*keep, F.posexplode("keys").alias("ply", "position_key"))
-    rows = steps(games_, "game_id", "white_key", "black_key", "played_on", "result")
-    lines = steps(pgn.with_position_keys(games_.select("fen", "variant", "moves").distinct()), "moves")
+
+
+def _names(lines: DataFrame) -> DataFrame:
+    """Of every position its name: the least line (moves, keys), shortest first, that reaches it."""
+    steps = lines.select("moves", F.posexplode("keys").alias("ply", "position_key"))
     line = F.array_join(F.slice("moves", 1, F.col("ply")), " ")
-    names = lines.groupBy("position_key").agg(F.min(F.struct("ply", line.alias("line"))).alias("n")).select("position_key", F.col("n.line").alias("name"))
-    return rows, names
+    return steps.groupBy("position_key").agg(F.min(F.struct("ply", line.alias("line"))).alias("n")).select("position_key", F.col("n.line").alias("name"))
+
+
+def _visits_and_names(s, d) -> tuple[DataFrame, DataFrame]:
+    """Game columns, ply and position_key of every visit; and the names of positions.
+
+    Games are parsed once; names come from each different line once. Who counts visits joins names to the counts, not to the visits.
+    """
+    games_ = _staged(s, pgn.with_position_keys(_played(s, d)), "visits")
+    rows = games_.select("game_id", "white_key", "black_key", "played_on", "result", F.posexplode("keys").alias("ply", "position_key"))
+    return rows, _names(pgn.with_position_keys(games_.select("fen", "variant", "moves").distinct()))
 
 
 def _visits(s, d) -> DataFrame:
@@ -267,7 +274,13 @@ def query_position_variant_skip(s, d):
 
 def _explore(s, d, low, high, player=None) -> tuple[DataFrame, DataFrame]:
     rows, names = _visits_and_names(s, d)
-    return explore.visits(rows.select("position_key", "game_id", "ply"), games(s, d), low, high, player), names
+    return explore.visits(explore.scoped(rows, player).select("position_key", "game_id", "ply"), games(s, d), low, high, player), names
+
+
+def _results(s, d, low, high, player=None) -> tuple[DataFrame, DataFrame]:
+    """Results of the positions within a range of plies, and names: games are counted by line, and each different line is replayed once."""
+    lines = _staged(s, pgn.with_position_keys(explore.line_results(_played(s, d), player)), "lines")
+    return explore.position_results(lines, low, high), _names(lines)
 
 
 _TALLY = "CAST(sum(CASE WHEN o = 1 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN o = 3 THEN 1 ELSE 0 END) AS BIGINT) AS draws, CAST(sum(CASE WHEN o = 2 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CAST(sum(CASE WHEN o = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unfinished"
@@ -277,27 +290,27 @@ _OUTCOME = f"CASE WHEN {_WHITE} THEN result ELSE CASE result WHEN 1 THEN 2 WHEN
 @query("explore_openings", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name"), plain=True)
 def explore_openings(s, d):
     """Every opening with its results, without a limit; `explore_top_openings` ranks them."""
-    visited, names = _explore(s, d, 4, 4)
-    return explore.common_positions(visited, top=None).join(names, "position_key").drop("position_key")
+    totals, names = _results(s, d, 4, 4)
+    return explore.chosen_positions(totals, top=None).join(names, "position_key").drop("position_key")
 
 
 @query("explore_top_openings", _positions_sql(f"SELECT /*visits*/ games, {_TALLY.replace('sum(', 'max(').replace('CASE WHEN o = 1 THEN 1 ELSE 0 END', 'wins').replace('CASE WHEN o = 3 THEN 1 ELSE 0 END', 'draws').replace('CASE WHEN o = 2 THEN 1 ELSE 0 END', 'losses').replace('CASE WHEN o = 0 THEN 1 ELSE 0 END', 'unfinished')} FROM (SELECT name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name ORDER BY games DESC LIMIT 6) GROUP BY name, games"), plain=True)
 def explore_top_openings(s, d):
     """The six openings that most games reach; equal counts go by key, which the other engine has not, so names are left out."""
-    visited, _ = _explore(s, d, 4, 4)
-    return explore.common_positions(visited).drop("position_key")
+    totals, _ = _results(s, d, 4, 4)
+    return explore.chosen_positions(totals).drop("position_key")
 
 
 @query("explore_openings_scoped", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, {_OUTCOME} AS o FROM v WHERE ply = 4 AND {_OWN}) GROUP BY name"), plain=True)
 def explore_openings_scoped(s, d):
-    visited, names = _explore(s, d, 4, 4, PLAYER)
-    return explore.common_positions(visited, top=None).join(names, "position_key").drop("position_key")
+    totals, names = _results(s, d, 4, 4, PLAYER)
+    return explore.chosen_positions(totals, top=None).join(names, "position_key").drop("position_key")
 
 
 @query("explore_recurring", _positions_sql(f"SELECT /*visits*/ name, count(*) AS games, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply BETWEEN 8 AND 40) GROUP BY name HAVING count(*) > 1"), plain=True)
 def explore_recurring(s, d):
-    visited, names = _explore(s, d, 8, 40)
-    return explore.common_positions(visited, repeated_only=True, top=None).join(names, "position_key").drop("position_key")
+    totals, names = _results(s, d, 8, 40)
+    return explore.chosen_positions(totals, repeated_only=True, top=None).join(names, "position_key").drop("position_key")
 
 
 @query(
@@ -732,8 +745,8 @@ def lesson_ranking(s, d):
 
 @query("focus_opening", _positions_sql(f"SELECT /*visits*/ name AS line, wins, draws, losses FROM (SELECT name, {_TALLY} FROM (SELECT DISTINCT name, game_id, result AS o FROM v WHERE ply = 4) GROUP BY name) WHERE wins + draws + losses >= 4 AND losses > 0 ORDER BY (2 * wins + draws) / CAST(wins + draws + losses AS DOUBLE), losses DESC, wins + draws + losses DESC, name LIMIT 1"), plain=True)
 def focus_opening(s, d):
-    visited, names = _explore(s, d, 4, 4)
-    openings = explore.common_positions(visited, top=None).join(names, "position_key").withColumnRenamed("name", "line")
+    totals, names = _results(s, d, 4, 4)
+    openings = explore.chosen_positions(totals, top=None).join(names, "position_key").withColumnRenamed("name", "line")
     return explore.focus_opening(openings).select("line", "wins", "draws", "losses")
 
 

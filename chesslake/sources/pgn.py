@@ -44,6 +44,10 @@ PARSED = T.StructType(
 )
 
 
+#: Games whose parsed values a task holds as Python objects at once.
+_PARSED_AT_ONCE = 1000
+
+
 def _with(rows: DataFrame, raw: str, fn, schema: T.StructType) -> DataFrame:
     """Columns of `rows` and the fields that `fn` gives for the bytes of `raw`, batch by batch."""
     full = T.StructType([*rows.schema.fields, *schema.fields])
@@ -53,7 +57,7 @@ def _with(rows: DataFrame, raw: str, fn, schema: T.StructType) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(full)
-        for batch in batches:
+        for batch in (whole.slice(i, _PARSED_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, _PARSED_AT_ONCE)):
             got = [fn(x) for x in batch.column(place).to_pylist()]
             own = [pa.array([g[f.name] for g in got], type=arrow.field(f.name).type) for f in schema.fields]
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)), *own], schema=arrow)
@@ -327,9 +331,9 @@ def frames_of_texts(texts: DataFrame) -> DataFrame:
     return texts.select("source", "content").mapInArrow(cut, FRAMES)
 
 
-def _parse(strict: bool):
+def _parse(strict: bool, counted: bool = True):
     def parse(raw: bytes | None) -> dict:
-        g = P.parse_game(raw or b"", strict)
+        g = P.parse_game(raw or b"", strict, counted)
         tags = {k: v.decode("utf-8", "replace") for k, v in g["tags"].items()}
         date = g["raw_tags"].get("Date", g["raw_tags"].get("UTCDate"))
         return {
@@ -359,7 +363,7 @@ def _parser(strict: bool, fields: tuple[str, ...] | None):
     wanted = PARSED if fields is None else T.StructType([f for f in PARSED.fields if f.name in fields])
     if {f.name for f in wanted.fields} <= {"plies", "outcome", "error"}:
         return (lambda raw: P.count_game(raw or b"", strict)), wanted
-    return _parse(strict), wanted
+    return _parse(strict, "counts" in {f.name for f in wanted.fields}), wanted
 
 
 def read_games(spark: SparkSession, *paths: str, fields: tuple[str, ...] | None = None, strict: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:

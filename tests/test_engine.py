@@ -6,9 +6,11 @@ import zstandard
 from pyspark.sql import functions as F
 
 from chesslake.functions import columns as C
+from chesslake.kernel import pgn as P
 from chesslake.operators import doctor, evidence, explore, library, stats, store
 from chesslake.operators.query import GameQuery, count_unless_failed, match_records, summary
 from chesslake.operators.store import Database
+from chesslake.plans import registry
 from chesslake.sources import pgn
 from chesslake.streaming import sync
 
@@ -417,3 +419,36 @@ def test_sql_functions(spark):
     assert udf.play_uci(start, "e2e4").split()[1] == "b"
     with pytest.raises(ValueError):
         udf.play_uci(start, "e2e5")
+
+
+def test_results_by_line_equal_results_by_visit(spark):
+    # a game counts once however often it has a position in the range; null names, and players on either side
+    lines = [("e4 e5 Nf3 Nc6", 1), ("Nf3 Nc6 e4 e5", 2), ("Nf3 Nf6 Ng1 Ng8", 3), ("Nf3 Nf6 Ng1 Ng8 Nf3", 0), ("e4 e5 Nf3 Nc6", 2), ("", 1), ("e4 Ke4", 1)]
+    rows = [(i, ("a", "b", None)[i % 3], ("b", None, "a")[i % 3 - 1], 20200101, r, None, None if i != 4 else "standard", text.split()) for i, (text, r) in enumerate(lines * 3)]
+    games = spark.createDataFrame(rows, "game_id long, white_key string, black_key string, played_on int, result int, fen string, variant string, moves array<string>")
+    keyed = pgn.with_position_keys(games)
+    visits = keyed.selectExpr("game_id", "posexplode(keys) AS (ply, position_key)")
+    for player in (None, "A"):
+        totals = explore.position_results(pgn.with_position_keys(explore.line_results(games, player)), 0, 4)
+        old = explore.visits(visits, games, 0, 4, player).groupBy("position_key").agg(F.count(F.lit(1)).alias("games"), *explore._tally(F.col("outcome")))
+        assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, old.collect()))
+
+
+def _python_passes(rows) -> int:
+    return rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_openings_replay_lines_and_annotations_diagnose_once(spark):
+    sf = "/root/testdata/sf0.001"
+    # games are parsed while lines are staged; what is left joins the stored lines, and no game is replayed or shuffled by id
+    for name in ("explore_openings", "explore_recurring", "focus_opening"):
+        plan = registry.QUERIES[name](spark, sf)
+        assert _python_passes(plan) == 0 and "game_id" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert _python_passes(registry.QUERIES["report_annotations"](spark, sf)) == 1
+
+
+def test_parsing_without_counts_gives_the_same_games():
+    texts = [b'[A "1"]\n[A "2"]\n\n1. e4 {x} e5 $1 (1... c5) 2. Nf3! 1-0', b"1. e4 e5 *", b"bad [", b"", b'[Event "x"]\n\n 0-1']
+    for raw in texts:
+        full, lean = P.parse_game(raw), P.parse_game(raw, counted=False)
+        assert {k: v for k, v in full.items() if k != "counts"} == {k: v for k, v in lean.items() if k != "counts"}
