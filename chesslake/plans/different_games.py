@@ -255,16 +255,17 @@ def pawn_faults(s, d):
 def random_games_sound(s, d):
     """Random games of up to 40 plies: every one is legal, its parts are counted as they were made, it visits a position more than it has plies, and no two are the same."""
     made = _staged(s, synthetic.random_games(orders(s, d).select("o_orderkey"), 40), "random")
-    rows = pgn.parse_games(made.withColumnRenamed("plies", "made"), "pgn", fields=("moves", "counts", "error"))
+    rows = pgn.parse_games(made.select("pgn", F.col("plies").alias("made"), "comments", "variations", "promotions"), "pgn", fields=("moves", "counts", "error"))
     none = F.lit(None).cast("string")
     n = lambda kind: F.coalesce(F.try_element_at("counts", F.lit(kind)), F.lit(0).cast("long"))
     told = F.col("error").isNull() & (F.size("moves") == F.col("made")) & (n("comment_brace") == F.col("comments")) & (n("variation_start") == F.col("variations"))
-    keyed = pgn.with_position_keys(rows.withColumns({"fen": none, "variant": none}))
+    takes = F.contains(F.array_join("moves", " "), F.lit("x"))
+    keyed = pgn.with_position_keys(rows.select(told.alias("told"), takes.alias("takes"), "made", "promotions", "moves", none.alias("fen"), none.alias("variant")))
     frames = made.select(F.lit("made").alias("source"), F.col("game_id").alias("source_game"), F.lit(0).cast("long").alias("byte_offset"), F.col("pgn").alias("raw"), none.alias("error"))
     sound = doctor.diagnose(frames).where("category IS NULL").agg(F.count(F.lit(1)).alias("sound"))
-    whole = keyed.select(told.alias("told"), (F.size("keys") == F.col("made") + 1).alias("keyed"), F.sha2("pgn", 256).alias("h"), "promotions", F.array_join("moves", " ").alias("line"))
-    out = whole.agg(F.count(F.lit(1)).alias("games"), F.count_if("told").alias("counts_told"), F.count_if("keyed").alias("keys_told"), F.count_distinct("h").alias("different"), ((F.sum("promotions") >= 0) & (F.count_if(F.contains("line", F.lit("x"))) > 0)).alias("rare_moves"))
-    return out.crossJoin(sound)  # one row each
+    different = made.select(F.unhex(F.sha2("pgn", 256)).alias("h")).distinct().agg(F.count(F.lit(1)).alias("different"))
+    out = keyed.agg(F.count(F.lit(1)).alias("games"), F.count_if("told").alias("counts_told"), F.count_if(F.size("keys") == F.col("made") + 1).alias("keys_told"), ((F.sum("promotions") >= 0) & (F.count_if("takes") > 0)).alias("rare_moves"))
+    return out.crossJoin(different).crossJoin(sound).select("games", "counts_told", "keys_told", "different", "rare_moves", "sound")  # one row each
 
 
 _BEST = "greatest(coalesce(white_elo, -1), coalesce(black_elo, -1))"
