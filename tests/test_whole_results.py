@@ -4,11 +4,14 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chesslake.kernel import pgn as P
-from chesslake.operators import doctor
-from chesslake.plans import registry
-from chesslake.sources import synthetic
+from chesslake.kernel.board import START_FEN
+from chesslake.operators import doctor, store
+from chesslake.operators.query import GameQuery
+from chesslake.plans import different_games, registry
+from chesslake.sources import pgn, synthetic
 
 
 @pytest.mark.parametrize("raw", [b"", b" ", b"\n\t \r\n\x0c"])
@@ -60,3 +63,42 @@ def test_games_with_a_number_before_every_move_are_told_by_their_words(monkeypat
 
     monkeypatch.setattr(doctor, "_PART", Never())
     assert doctor.validate(game % b"2...") == whole and whole["fault"] is None and whole["moves"] == 4
+
+
+def _database(spark, rows, path, keyed):
+    db = store.Database(spark, path)
+    games = rows.select("game_id", "source", "source_game", "pgn", "result", *(["keys"] if keyed else []))
+    db.build(games, *([] if keyed else [rows.select("game_id", "source", F.posexplode("keys").alias("ply", "position_key"))]))
+    return db
+
+
+@pytest.mark.parametrize("slice_", [1000, store.SLICE])
+def test_a_database_of_games_with_keys_is_that_of_their_positions(spark, sf, tmp_path, monkeypatch, slice_):
+    """Positions are told from the games' keys, in slices of the keys: nothing is held a second time, and all are there."""
+    rows = pgn.with_position_keys(different_games._lines(spark, sf, numbered=True)).where("game_id % 10 = 0").persist()
+    one = _database(spark, rows, f"{tmp_path}/one", keyed=False)
+    monkeypatch.setattr(store, "SLICE", slice_)
+    kept = []
+    monkeypatch.setattr(type(rows), "persist", lambda df, *level: kept.append(level) or df)
+    two = _database(spark, rows, f"{tmp_path}/two", keyed=True)
+    assert not kept
+    fields = ("position_key", "game_id", "ply", "source")
+    a, b = one.positions().select(*fields), two.positions().select(*fields)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and b.count() == rows.agg(F.sum(F.size("keys"))).first()[0]
+    for scope in store.SCOPES:
+        a, b = one.openings(scope), two.openings(scope)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not b.isEmpty()
+    bounds = sorted((bytes(r["low"]), bytes(r["high"])) for r in spark.read.parquet(f"{two.path}/bounds").collect())
+    firsts = {low[0] for low, _ in bounds}
+    assert all(high <= low for (_, high), (low, _) in zip(bounds, bounds[1:])) and len(firsts) >= (4 if slice_ == 1000 else 1)
+    assert "keys" not in two.games().columns and two.query(GameQuery(position=START_FEN)).count() == rows.count()
+
+
+def test_pawn_games_are_written_side_by_side(spark, sf):
+    """The texts are those that the column expressions gave; the plan has none of their array functions left."""
+    games = different_games.pawn_games(spark, sf)
+    plan = games._jdf.queryExecution().toString()
+    assert "transform(" not in plan and "MapInArrow" in plan
+    texts = b"".join(bytes(r["pgn"]) for r in games.orderBy("id").collect())
+    assert hashlib.sha256(texts).hexdigest() == "445da6658087ac5ea3fdb1404e49c7a31dd074ba93e637ea7bcab6982388af05"
+    assert different_games._pawn_texts(np.zeros(0, np.int64)).to_pylist() == []
