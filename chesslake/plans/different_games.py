@@ -91,11 +91,12 @@ def _pawn_texts(ids: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*parts).cast(pa.binary())
 
 
-def pawn_games(s, d: str, numbered: bool = False) -> DataFrame:
-    """id, source, pgn of a pawn game for every order; `numbered` with source_game, its number in its source."""
+def pawn_games(s, d: str, numbered: bool = False, ordered: int = 0) -> DataFrame:
+    """id, source, pgn of a pawn game for every order; `numbered` with source_game, its number in its source; `ordered` in so many partitions by ranges of ids, each in their order."""
     ids = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
     number = ["source_game"] if numbered else []
-    ids = spread(number_rows(ids, "source", "id") if numbered else ids, "id").select("id", "source", *number)
+    ids = number_rows(ids, "source", "id") if numbered else ids
+    ids = (ids.repartitionByRange(ordered, "id").sortWithinPartitions("id") if ordered else spread(ids, "id")).select("id", "source", *number)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +152,11 @@ def pawn_games_zstd(s, d):
     """The games written as Zstandard files of many frames and read back by frames: what is in them, and that games are numbered through each file."""
     remote.register(s)
     path = _shared(s, "pawns")
-    rows = pawn_games(s, d).withColumn("pgn", F.concat(F.lit('[Origin "'), F.col("source"), F.lit('"]\n'), F.col("pgn").cast("string")))
-    rows.repartitionByRange(s.sparkContext.defaultParallelism, "id").sortWithinPartitions("id").select("pgn").write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1 << 16).save(path)
-    read = pgn.parse_games(pgn.read_frames(s, path, range_bytes=1 << 15), fields=("tags", "plies", "error", "counts")).where("frame_error IS NULL AND error IS NULL")
-    told = read.select(F.col("tags")["Origin"].alias("origin"), "plies", F.try_element_at("counts", F.lit("comment_brace")).isNotNull().alias("commented"), "source", "source_game", "byte_offset")
+    # ids are put in order before the games are written of them, so no text is shuffled; what is read is kept, as two totals are made of it
+    rows = pawn_games(s, d, ordered=s.sparkContext.defaultParallelism).select(F.concat(F.lit('[Origin "'), F.col("source"), F.lit('"]\n'), F.col("pgn").cast("string")).alias("pgn"))
+    rows.write.format("pgn").mode("append").option("compression", "zstd").option("frameBytes", 1 << 16).save(path)
+    read = pgn.read_games(s, path, fields=("tags", "plies", "error", "counts"), range_bytes=1 << 15).where("frame_error IS NULL AND error IS NULL")
+    told = _staged(s, read.select(F.col("tags")["Origin"].alias("origin"), "plies", F.try_element_at("counts", F.lit("comment_brace")).isNotNull().alias("commented"), "source", "source_game", "byte_offset"), "told")
     # numbers of a file's games are gapless and rise with their places: a sum over games of number times 1 equals that of 0 to n - 1, block by block
     block = told.groupBy("source", F.floor(F.col("source_game") / 1024).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_game").alias("different"), F.min("source_game").alias("low"), F.max("source_game").alias("high"), F.min("byte_offset").alias("begin"), F.max("byte_offset").alias("end"))
     after = Window.partitionBy("source").orderBy("block")

@@ -153,6 +153,8 @@ def _framed(uri: str, start: int, stop: int | None, seek: int, skip: int) -> Ite
         reader.close()
 
 
+#: Tasks a core that ranges are shared by, where ranges are so small that there are more.
+_TASKS_A_CORE = 16
 _PARTS = "position int, source string, slot int, part int, low long, high long, final boolean"
 _SUMMARIES = "position int, source string, slot int, part int, low long, summary string"
 RANGES = "position int, source string, slot int, part int, start long, stop long, seek long, skip long, games_before long, lines_before long"
@@ -216,13 +218,14 @@ def _folded(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The ranges of files to read, each in the partition `slot`: position (of the file), source, part, start and stop (of its text), seek and skip
+    """The ranges of files to read: slot (their order, which partitions follow), position (of the file), source, part, start and stop (of its text), seek and skip
     (where the file has its start: a byte, and bytes of text after it), games_before and lines_before. No job is run for it.
 
     Files of more than `range_bytes` are cut there, Zstandard files between the frames that begin in such ranges of the file. Parts are summarised
     for every state that they may begin in, and the summaries folded through each file, so that a range begins where a game does, whatever comments look
     like, and games and lines are numbered as in one pass. A file's summaries, a row a part, meet in one task; texts don't. Small files share a
-    partition up to a like share of all bytes.
+    partition up to a like share of all bytes. Where ranges are small and many, consecutive ones share a partition, so that there are no more tasks than _TASKS_A_CORE
+    a core or one for RANGE_BYTES.
     """
     share = min(range_bytes, max(1 << 20, sum(n for _, n in files) // spark.sparkContext.defaultParallelism))
     whole, plain, packed, slot, held = [], [], [], 0, None
@@ -237,6 +240,9 @@ def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes:
                 slot += 1
             held[1] += n
             whole.append((i, file, held[0], 0, 0, None, 0, 0, 0, 0))
+    most = max(_TASKS_A_CORE * spark.sparkContext.defaultParallelism, sum(n for _, n in files) // RANGE_BYTES)
+    together = max(1, -(-slot // most))
+    tasks, task = max(1, -(-slot // together)), (F.col("slot") / together).cast("int")
     cut = None
     if plain:
         rows = spark.createDataFrame(plain, "position int, source string, length long, slot int, size long")
@@ -249,9 +255,9 @@ def plan_ranges(spark: SparkSession, files: list[tuple[str, int]], range_bytes:
         cut = parts if cut is None else cut.unionByName(parts)
     ranges = spark.createDataFrame(whole, RANGES)
     if cut is not None:
-        told = cut.repartitionById(slot, "slot").mapInArrow(_summaries, _SUMMARIES)
+        told = cut.repartitionById(tasks, task).mapInArrow(_summaries, _SUMMARIES)
         ranges = ranges.unionByName(told.groupBy("position").applyInPandas(_folded, RANGES))
-    return ranges.repartitionById(max(1, slot), "slot")
+    return ranges.repartitionById(tasks, task)
 
 
 def balanced_parts(games: DataFrame, size: int = 100_000, block: int = 4096) -> DataFrame:

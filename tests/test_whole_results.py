@@ -102,3 +102,28 @@ def test_pawn_games_are_written_side_by_side(spark, sf):
     texts = b"".join(bytes(r["pgn"]) for r in games.orderBy("id").collect())
     assert hashlib.sha256(texts).hexdigest() == "445da6658087ac5ea3fdb1404e49c7a31dd074ba93e637ea7bcab6982388af05"
     assert different_games._pawn_texts(np.zeros(0, np.int64)).to_pylist() == []
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """However small the ranges, tasks are bounded by the cores; ranges, games and their numbers stay the same."""
+    import zstandard
+
+    games = [b'[Site "%d"]\n\n1. e4 {%s} e5 *\n\n' % (i, b"x" * (i % 50)) for i in range(900)]
+    (tmp_path / "many.pgn.zst").write_bytes(b"".join(zstandard.compress(b"".join(games[i : i + 3])) for i in range(0, 900, 3)))
+    (tmp_path / "plain.pgn").write_bytes(b"".join(games))
+    files = pgn.discover(spark, str(tmp_path))
+    plan = pgn.plan_ranges(spark, files, 50)
+    assert plan.count() > 300
+    assert plan.rdd.getNumPartitions() <= pgn._TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    rows = lambda n: pgn.frames_of_files(spark, files, n).orderBy("source", "source_game").collect()
+    assert rows(50) == rows(1 << 30) and len(rows(50)) == 1800
+
+
+def test_zstd_games_are_put_in_order_before_they_are_written(spark, sf):
+    games = different_games.pawn_games(spark, sf, ordered=5)
+    parts = games.select(F.spark_partition_id().alias("p"), "id").collect()
+    assert len({r["p"] for r in parts}) == 5 and [r["id"] for r in sorted(parts, key=lambda r: r["p"])] == sorted(r["id"] for r in parts)
+    plan = games._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    read = different_games.pawn_games_zstd(spark, sf)
+    assert any("told-" in f for f in read.inputFiles()) and [r["numbered"] for r in read.collect()] == [True] * 5
